@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import add, or_
 
@@ -62,6 +62,16 @@ class Text:
         return reduce(add, (self.has(p).cast("int") for p in patterns), F.lit(0))
 
 
+def evaluated(text: Column, make: Callable[[Text], Column]) -> Column:
+    """make(Text(text)), kept out of generated code.
+
+    Dozens of patterns in one generated method pass the limits up to which the JVM
+    compiles it; as the body of a higher-order function they are evaluated one by one.
+    """
+    once = F.transform(F.array(F.struct(text.alias("text"), F.lower(text).alias("low"))), lambda x: make(Text(x["text"], x["low"])))
+    return F.get(once, F.lit(0))
+
+
 def first_points(text: Column, points: Iterable[tuple[str, int]]) -> Column:
     """The points of the first pattern that matches, else 0."""
     out = F

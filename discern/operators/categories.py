@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.patterns import Text
+from ..functions.patterns import Text, evaluated
 
 
 def sentence_flags(sentences: DataFrame) -> DataFrame:
     """sentences (doc_id, i, sentence) with an array of the categories that each shows; others go."""
-    text = Text(F.col("sentence"))
-    shown = F.array_compact(F.array(*(F.when(text.any(patterns), F.lit(key)) for key, patterns in rules.CATEGORIES.items())))
-    return sentences.withColumn("shown", shown).where(F.size("shown") > 0)
+
+    def shown(text: Text) -> Column:
+        return F.array_compact(F.array(*(F.when(text.any(patterns), F.lit(key)) for key, patterns in rules.CATEGORIES.items())))
+
+    return sentences.withColumn("shown", evaluated(F.col("sentence"), shown)).where(F.size("shown") > 0)
 
 
 def _nth(key: str) -> Column:

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.patterns import Text, first_points, java
+from ..functions.patterns import evaluated, first_points, java
 from ..sources.pages import anchors, resolved
 
 
 def page_score(text: Column, title: Column, url: Column) -> Column:
-    body, head = Text(text), Text(F.concat_ws(" ", title, url))
-    hints = 2 * body.count(rules.STRONG_PAGE) + 3 * head.count(rules.STRONG_PAGE) + body.count(rules.WEAK_PAGE) + head.count(rules.WEAK_PAGE)
+    body = evaluated(text, lambda t: 2 * t.count(rules.STRONG_PAGE) + t.count(rules.WEAK_PAGE))
+    head = evaluated(F.concat_ws(" ", title, url), lambda t: 3 * t.count(rules.STRONG_PAGE) + t.count(rules.WEAK_PAGE))
+    hints = body + head
     pattern, bonus = rules.TEXT_BONUS
     return hints + first_points(url, rules.URL_POINTS) + first_points(title, rules.TITLE_POINTS) + F.when(text.rlike(java(pattern)), bonus).otherwise(0)
 
@@ -37,8 +38,8 @@ def scored_pages(pages: DataFrame) -> DataFrame:
 
 
 def link_score(text: Column, href: Column, absolute: Column, in_nav: Column) -> Column:
-    hay = Text(F.lower(F.concat_ws(" ", text, href)))
-    signal = 6 * hay.count(rules.HIGH_LINK) + 3 * hay.count(rules.MEDIUM_LINK) + hay.count(rules.LOW_LINK)
+    hay = F.lower(F.concat_ws(" ", text, href))
+    signal = evaluated(hay, lambda t: 6 * t.count(rules.HIGH_LINK) + 3 * t.count(rules.MEDIUM_LINK) + t.count(rules.LOW_LINK))
     return signal + first_points(absolute, rules.URL_POINTS) + F.when(in_nav, 1).otherwise(0)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.patterns import Text
+from ..functions.patterns import Text, evaluated
 from ..functions.text import chunks, distinct_evidence, sentences, shorten
 
 FINDING = "array<struct<category:string,title:string,summary:string,confidence:string,severity:string,score:int,evidence:array<string>,count_as_risk:boolean,source_key:string>>"
@@ -34,7 +34,8 @@ def context(text: Text) -> dict[str, Column]:
 
 
 def with_context(units: DataFrame) -> DataFrame:
-    return units.withColumn("low", F.lower("unit")).withColumns(context(Text(F.col("unit"), F.col("low"))))
+    flags = evaluated(F.col("unit"), lambda t: F.struct(*(c.alias(k) for k, c in context(t).items())))
+    return units.withColumn("flags", flags).select(*units.columns, "flags.*")
 
 
 def _detail(k: int, rule: rules.FindingRule, text: Text) -> Column:
@@ -48,8 +49,12 @@ def matches(units: DataFrame) -> DataFrame:
     A row for each rule and unit (doc_id, ord, unit) with a score above 0. Each pattern
     is tested once a unit, in one projection; no join of rules and units takes place.
     """
-    text = Text(F.col("unit"), F.col("low"))
-    wide = with_context(units).withColumn("details", F.array(*(_detail(k, r, text) for k, r in enumerate(rules.FINDINGS))))
+
+    def tests(text: Text) -> Column:
+        details = F.array(*(_detail(k, r, text) for k, r in enumerate(rules.FINDINGS)))
+        return F.struct(details.alias("details"), *(c.alias(k) for k, c in context(text).items()))
+
+    wide = units.withColumn("tests", evaluated(F.col("unit"), tests)).select(*units.columns, "tests.*")
     some = F.exists("details", lambda d: (d["strong_hits"] > 0) | (d["medium_hits"] > 0))
     rows = wide.where(some | F.col("ad_tech")).select("doc_id", "ord", "unit", "negation", "permission_limited", "safe_context", F.col("ad_tech").cast("int").alias("ad_tech_hits"), F.inline("details"))
     tracking, sharing = (next(k for k, r in enumerate(rules.FINDINGS) if r.category == c) for c in ("tracking", "sharing"))
@@ -80,7 +85,8 @@ def _strength(text: Text) -> Column:
 def snippets(matched: DataFrame) -> DataFrame:
     """(doc_id, rule_ord, rank, ord, snippet): of each match its strongest sentence, shortened; ranked by score, length, order."""
     parts = matched.select("doc_id", "rule_ord", "ord", "unit", "score", F.posexplode_outer(sentences(F.col("unit"))).alias("pos", "part"))
-    best = F.min_by("part", F.struct(-_strength(Text(F.col("part"))), F.length("part"), F.col("pos")))
+    parts = parts.withColumn("strength", evaluated(F.col("part"), _strength))
+    best = F.min_by("part", F.struct(-F.col("strength"), F.length("part"), F.col("pos")))
     rows = parts.groupBy("doc_id", "rule_ord", "ord", "unit", "score").agg(best.alias("part"))
     place = W.partitionBy("doc_id", "rule_ord").orderBy(F.desc("score"), F.length("unit"), "ord")
     return rows.select("doc_id", "rule_ord", F.row_number().over(place).alias("rank"), "ord", shorten(F.coalesce("part", "unit")).alias("snippet"))

@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, saved
 from .components import connected_components
 
 LEAST_LENGTH = 24
 HOT = 48
 HOLE = 8
+BITMAP_WORDS = 1 << 16
 _LAST_ID = (1 << 63) - 1
 
 
@@ -29,21 +31,21 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _part(line: Column | str, start, n) -> Column:
+def _part(line: Column, start: Column, n: Column) -> Column:
     return F.substring(line, start, n)
 
 
-def _segments() -> Column:
-    """A line's index rows (role 0) and probes of the length below (role 1)."""
-    n = F.length("line")
-    rows = []
-    for role in (0, 1):
-        length = n - role
-        half = F.floor(length / 2).cast("int")
-        for side in (1, 2):
-            part = _part(F.col("line"), F.lit(1), half) if side == 1 else _part(F.col("line"), half + 1 + role, n)
-            rows.append(F.struct(F.xxhash64(length, F.lit(side), part).alias("key"), F.lit(2 * side + role).cast("byte").alias("kind")))
-    return F.array(*rows)
+def _segment(role: int, side: int) -> Column:
+    """Key of a line's first (side 1) or second segment: its index row (role 0), or its probe of the length below."""
+    n, line = F.length("line"), F.col("line")
+    length = n - role
+    half = F.floor(length / 2).cast("int")
+    part = _part(line, F.lit(1), half) if side == 1 else _part(line, half + 1 + role, n)
+    return F.when(n >= LEAST_LENGTH, F.xxhash64(length, F.lit(side), part))
+
+
+#: Columns of a line's keys; kind % 2 is the role and kind // 2 the side.
+_KINDS = {"k2": (0, 1), "k3": (1, 1), "k4": (0, 2), "k5": (1, 2)}
 
 
 def _holes() -> Column:
@@ -65,31 +67,52 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return near.where("a <> b and (kind % 2 = 1 or a > b)").select("a", "b")
 
 
-def similar_lines(lines: DataFrame) -> DataFrame:
-    """Edges (a, b) between lines (h, line; distinct) that one edit turns into each other."""
-    long = lines.where(F.length("line") >= LEAST_LENGTH).select("h", "line")
-    keys = long.select("h", F.explode(_segments()).alias("x")).select("x.key", "x.kind", "h")
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, line) of the lines in wanted (h).
+
+    A bitmap of BITMAP_WORDS words, which is broadcast and can't grow, first drops
+    nearly all lines that aren't wanted, so that only the others are shuffled.
+    """
+    word, bit = F.pmod(F.shiftright("h", 6), F.lit(BITMAP_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    lines = rows.select(F.xxhash64("line").alias("h"), "line").withColumns({"word": word, "bit": bit})
+    near = lines.join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("h", "line")
+    return near.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+
+
+def similar_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Edges (a, b) between lines that one edit turns into each other.
+
+    rows: all occurrences with their text; lines: the keys of each distinct line.
+    """
+    keyed = F.array(*(F.struct(F.col(k).alias("key"), F.lit(int(k[1:])).alias("kind")) for k in _KINDS))
+    keys = lines.where("k2 is not null").select("h", F.explode(keyed).alias("x")).select("x.key", "x.kind", "h")
     hot = keys.where("kind % 2 = 0").groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
     marked = keys.join(hot, "key", "left")
-    cold = _pairs(marked.where("hot is null"))
-    again = marked.where("hot").select("h", "key", "kind").join(long, "h")
-    fine = _pairs(again.select("h", "kind", F.explode(_holes()).alias("key")))
+    cold = checkpointed(_pairs(marked.where("hot is null")).distinct())
+    again = marked.where("hot").select("h", "key", "kind")
+    wanted = cold.select(F.col("a").alias("h")).unionByName(cold.select(F.col("b").alias("h"))).unionByName(again.select("h")).distinct()
+    texts = saved(_texts(rows, checkpointed(wanted)))
+    fine = _pairs(again.join(texts, "h").select("h", "kind", F.explode(_holes()).alias("key")))
     pairs = cold.unionByName(fine).distinct()
-    left, right = long.select(F.col("h").alias("a"), F.col("line").alias("x")), long.select(F.col("h").alias("b"), F.col("line").alias("y"))
+    left, right = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
     return pairs.join(left, "a").join(right, "b").where(F.levenshtein("x", "y", 1) >= 0).select("a", "b")
 
 
-def line_classes(rows: DataFrame) -> DataFrame:
-    """(h, id, pos) for each distinct line that recurs or has a similar one: the first occurrence of its class."""
-    lines = rows.select(F.xxhash64("line").alias("h"), "id", "pos", "line")
-    distinct = lines.groupBy("h").agg(F.min(F.struct("id", "pos", "line")).alias("s")).select("h", "s.line")
-    comps = connected_components(similar_lines(distinct)).withColumnRenamed("node", "h")
-    # 64-bit place of a line: the pre-aggregated minimum needs no sort
-    firsts = lines.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    known = firsts.join(comps, "h", "left").where("last > id or component is not null")
-    places = lines.select("h", "id", "pos").join(known.select("h", "id", F.coalesce("component", "h").alias("class")), ["h", "id"])
+def line_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (h, id, pos), and (h, first_id, first_pos) for each distinct line that recurs or has a similar one.
+
+    The latter names the first occurrence of the line's class. Text is read for the
+    keys and for the candidates; all else is numbers.
+    """
+    occurs = saved(rows.select(F.xxhash64("line").alias("h"), "id", "pos", *(_segment(*v).alias(k) for k, v in _KINDS.items())))
+    lines = saved(occurs.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"), *(F.min(k).alias(k) for k in _KINDS)))
+    comps = connected_components(similar_lines(rows, lines)).withColumnRenamed("node", "h")
+    known = lines.select("h", "id", "last").join(comps, "h", "left").where("last > id or component is not null")
+    places = occurs.select("h", "id", "pos").join(known.select("h", "id", F.coalesce("component", "h").alias("class")), ["h", "id"])
     best = places.groupBy("class").agg(F.min(F.struct("id", "pos")).alias("s"))
-    return places.select("h", "class").distinct().join(best, "class").select("h", F.col("s.id").alias("id"), F.col("s.pos").alias("pos"))
+    firsts = places.select("h", "class").distinct().join(best, "class").select("h", F.col("s.id").alias("first_id"), F.col("s.pos").alias("first_pos"))
+    return occurs.select("h", "id", "pos"), firsts
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -102,17 +125,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     count as one document for order. Columns named n_lines or n_removed are replaced.
     Lines meet by a 64-bit hash; text is compared in the verification.
     """
-    rows = _rows(docs)
-    classes = line_classes(rows).withColumnsRenamed({"id": "first_id", "pos": "first_pos"})
-    occurs = rows.select(F.xxhash64("line").alias("h"), "id", "pos").join(classes, "h")
-    gone = occurs.where("id <> first_id or pos <> first_pos").groupBy("id").agg(F.collect_set("h").alias("gone_lines"))
+    occurs, firsts = line_classes(_rows(docs))
+    gone = occurs.join(firsts, "h").where("id <> first_id or pos <> first_pos").groupBy("id").agg(F.collect_set("h").alias("__gone_lines"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "text")]
-    full = docs.withColumn("line_key", F.coalesce("doc_id", F.lit(_LAST_ID))).join(gone.withColumnRenamed("id", "line_key"), "line_key", "left")
+    full = docs.withColumn("__line_key", F.coalesce("doc_id", F.lit(_LAST_ID))).join(gone.withColumnRenamed("id", "__line_key"), "__line_key", "left")
     lines = F.when(F.coalesce("text", F.lit("")) != "", F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
-    full = full.select(*keep, "gone_lines", lines.alias("all_lines"))
+    full = full.select(*keep, "__gone_lines", lines.alias("__all_lines"))
     # blank lines get a number, so that the distinct others can be told from them
-    blank = F.transform("all_lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), x).otherwise(F.concat(F.lit("\0"), i.cast("string"), F.lit("\0"), x)))
-    held = F.when(F.col("gone_lines").isNull(), blank).otherwise(F.filter(blank, lambda x: ~F.array_contains("gone_lines", F.xxhash64(x))))
-    full = full.select(*keep, F.size("all_lines").cast("long").alias("n_lines"), F.array_distinct(held).alias("kept_lines"))
-    text = F.array_join(F.transform("kept_lines", lambda x: F.when(x.startswith("\0"), F.regexp_replace(x, "^\0[0-9]+\0", "")).otherwise(x)), "\n")
-    return full.select(*keep, text.alias("text"), "n_lines", (F.col("n_lines") - F.size("kept_lines")).alias("n_removed"))
+    blank = F.transform("__all_lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), x).otherwise(F.concat(F.lit("\0"), i.cast("string"), F.lit("\0"), x)))
+    held = F.when(F.col("__gone_lines").isNull(), blank).otherwise(F.filter(blank, lambda x: ~F.array_contains("__gone_lines", F.xxhash64(x))))
+    full = full.select(*keep, F.size("__all_lines").cast("long").alias("n_lines"), F.array_distinct(held).alias("__kept_lines"))
+    text = F.array_join(F.transform("__kept_lines", lambda x: F.when(x.startswith("\0"), F.regexp_replace(x, "^\0[0-9]+\0", "")).otherwise(x)), "\n")
+    return full.select(*keep, text.alias("text"), "n_lines", (F.col("n_lines") - F.size("__kept_lines")).alias("n_removed"))

@@ -38,19 +38,24 @@ def _bucket_counts(docs: DataFrame, name: str) -> DataFrame:
     return _hashed(docs).select(F.explode(_features("wh")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
 
 
-def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are labelled as good and not as toxic."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi")
+def trusted(labels: DataFrame) -> DataFrame:
+    """(doc_id) of the documents that are labelled as good and not as toxic."""
+    best = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    return best.where("q = 1 and t = 0 and doc_id is not null").select("doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> list[float] | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[float] | None:
     """Log ratio of each bucket (add-one smoothing); None without trusted text.
 
-    Counts cover all documents; the driver gets BUCKETS numbers.
+    The raw counts cover all documents. The target is fitted on the whole texts of at
+    most `sample` trusted documents, those of smallest hashed doc_id, whose ids are
+    broadcast (that many numbers); so no text is shuffled. The driver gets BUCKETS
+    numbers.
     """
+    chosen = trusted(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    target = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
     raw = {r["bucket"]: r["n"] for r in _bucket_counts(docs.select("text"), "n").collect()}
-    good = {r["bucket"]: r["n"] for r in _bucket_counts(trusted(docs.select("doc_id", "text"), labels).select("text"), "n").collect()}
+    good = {r["bucket"]: r["n"] for r in _bucket_counts(target.select("text"), "n").collect()}
     if not good:
         return None
     a, b = sum(good.values()) + BUCKETS, sum(raw.values()) + BUCKETS
@@ -129,7 +134,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.005, slack: fl
     rows = rows.withColumn("base_failed", failed)
     limit = None
     if ratios is not None:
-        bins = trusted(rows.where("n_words > 0 and not base_failed"), labels).groupBy(F.floor(F.col("llr") / _BIN).alias("bin")).count().collect()
+        scored = rows.where("n_words > 0 and not base_failed").join(trusted(labels), "doc_id", "left_semi")
+        bins = scored.groupBy(F.floor(F.col("llr") / _BIN).alias("bin")).count().collect()
         limit = binned_quantile([(r["bin"] * _BIN, r["count"]) for r in bins], quantile)
     good = F.lit(True) if limit is None else F.col("llr") >= limit - slack
     return rows.withColumn("kept", ~F.col("base_failed") & good)

@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
     """docs without those that link to a document of smaller id.
 
-    Rows that repeat the kept doc_id stay only once when they are equal in text.
+    Rows that repeat a kept doc_id and its text stay once; rows with a null doc_id all
+    stay, as nothing tells them apart.
     """
     kept = near_duplicates(docs, radius).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
     known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

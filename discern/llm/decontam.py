@@ -9,10 +9,9 @@ longest common subsequence of words and a check of the item's answer words decid
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import utf8
 
 SEGMENT = 8  # words; windows are runs of segments
+LEAST_PART = 0.35
+LEAST_ANSWER = 0.5
 PASSAGE = 4  # segments in a passage of the decomposition
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -55,21 +56,23 @@ class Item:
 class Index:
     vocab: dict[bytes, int]
     items: list[Item]
+    idf: np.ndarray
     project: np.ndarray  # words x k: idf times right singular vectors
     latent: np.ndarray  # items x k, of length 1
+    length: np.ndarray  # of each item, before
     least_cosine: float
     least_lcs: float
 
 
-def _tokens(texts: list[bytes], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-    """(word ids, segment of each, the texts' words, first segment of each text) of what the vocabulary has."""
+def _tokens(texts: list[bytes], vocab: dict[bytes, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+    """(word ids, segment of each, the texts' words, first segment of each text) of words that weigh something."""
     split = [words(t) for t in texts]
     n = np.array([len(w) for w in split], np.int64)
     base = np.r_[0, np.cumsum(-(-n // SEGMENT))]
-    ids = np.fromiter((i for w in split for i in map(vocab.get, w, repeat(-1))), np.int32, int(n.sum()))
+    ids = np.fromiter(map(vocab.get, chain.from_iterable(split), repeat(-1)), np.int32, int(n.sum()))
     place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
     seg = np.repeat(base[:-1], n) + place // SEGMENT
-    known = ids >= 0
+    known = np.r_[idf > 0, False][ids]
     return ids[known], seg[known], split, base
 
 
@@ -119,16 +122,15 @@ def _sketch_batches(vocab: dict[bytes, int], idf: np.ndarray, omega: np.ndarray)
         for b in batches:
             texts = b.column(0).to_pylist()
             for lo in range(0, len(texts), 500):
-                ids, seg, _, _ = _tokens(texts[lo : lo + 500], vocab)
-                use = idf[ids] > 0
-                total += _sketch(ids[use], seg[use] // PASSAGE, idf, omega)
+                ids, seg, _, _ = _tokens(texts[lo : lo + 500], vocab, idf)
+                total += _sketch(ids, seg // PASSAGE, idf, omega)
         rows = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(total[rows, i]) for i in range(omega.shape[1]))], ["term", *names])
 
     return summed
 
 
-def build(docs: DataFrame, benchmark: DataFrame, rank: int = 64, oversample: int = 16, most_df: float = 0.2, least_cosine: float = 0.5, least_lcs: float = 0.75, most_items: int = 100_000, seed: int = 11) -> Index | None:
+def build(docs: DataFrame, benchmark: DataFrame, rank: int = 64, oversample: int = 16, most_df: float = 0.2, least_cosine: float = 0.5, least_lcs: float = 0.65, most_items: int = 100_000, seed: int = 11) -> Index | None:
     """The index of the benchmark's items in a space that all of docs span.
 
     benchmark: item_id, text and, if it has one, answer. It is a reference set that the
@@ -149,9 +151,8 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = 64, oversample: int
     seen = texts.mapInArrow(_frequency_batches(vocab), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(vocab) + 1)
     df[seen["term"].to_numpy()] = seen["n"].to_numpy()
-    idf = np.log((df[-1] + 1) / (df[:-1] + 1)).astype(np.float32)
+    idf = np.log(1 + (df[-1] + 1) / (df[:-1] + 1)).astype(np.float32)
     idf[df[:-1] > max(most_df * df[-1], 5)] = 0
-    idf[df[:-1] == 0] = np.log(df[-1] + 2)
     size = min(rank + oversample, len(vocab))
     omega = np.random.default_rng(seed).standard_normal((len(vocab), size)).astype(np.float32)
     schema = "term long, " + ", ".join(f"c{i} double" for i in range(size))
@@ -169,24 +170,34 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = 64, oversample: int
     u, _, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
     project = (idf[:, None] * u[:, :rank]).astype(np.float32)
     latent = _summed(project[ids], own, len(items))
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    length = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
+    latent /= length[:, None]
     for item in items:
         if not item.answer:  # without an answer of its own, an item is known by its rarest words
             item.answer = sorted(set(item.words), key=lambda w: (-idf[vocab[w]], w))[:6]
-    return Index(vocab, items, project, latent, least_cosine, least_lcs)
+    return Index(vocab, items, idf, project, latent, length, least_cosine, least_lcs)
 
 
 def verify(item: Item, region: list[bytes], least_lcs: float) -> tuple[float, float, bool]:
-    """(share of the item in the LCS, share of answer words, is a leak)."""
+    """(share of the item in the LCS, share of answer words, is a leak).
+
+    No common subsequence is longer than the number of the item's words that occur in
+    the region, so most candidates are settled without one (with that bound as share).
+    """
+    own = set(region)
+    most = sum(map(own.__contains__, item.words)) / len(item.words)
+    if most < 0.5:
+        return most, 0.0, False
+    answer = sum(map(own.__contains__, item.answer)) / len(item.answer)
+    if most < least_lcs and answer < LEAST_ANSWER:
+        return most, answer, False
     lcs = lcs_length(item.words, region) / len(item.words)
-    has = Counter(region)
-    answer = sum(w in has for w in item.answer) / len(item.answer)
-    return lcs, answer, lcs >= least_lcs or lcs >= 0.5 and answer >= 0.8
+    return lcs, answer, lcs >= least_lcs or lcs >= 0.5 and answer >= LEAST_ANSWER
 
 
 def search(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, float, float, float, int, int]]:
     """(text, item, cosine, lcs, answer, first word, last word) of each leak; the best window of a pair."""
-    ids, seg, split, base = _tokens(texts, index.vocab)
+    ids, seg, split, base = _tokens(texts, index.vocab, index.idf)
     upto = np.zeros((base[-1] + 1, index.project.shape[1]), np.float32)
     np.cumsum(_summed(index.project[ids], seg, int(base[-1])), axis=0, out=upto[1:])
     lengths = np.array([max(1, round(len(i.words) / SEGMENT)) for i in index.items])
@@ -198,12 +209,16 @@ def search(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, float,
             window = upto[np.minimum(start + m, base[-1])] - upto[start]
             norm = np.linalg.norm(window, axis=1)
             some = np.flatnonzero(norm > 1e-3)
-            cosine = (window[some] / norm[some, None]) @ index.latent[which].T
-            for a, b in zip(*np.nonzero(cosine >= index.least_cosine)):
-                s = int(start[some[a]])
-                first, last = np.searchsorted(base, [s, min(s + int(m), int(base[-1])) - 1], side="right") - 1
-                for doc in range(first, last + 1):  # a window may run over short texts
-                    hits.setdefault((doc, int(which[b])), []).append((float(cosine[a, b]), s, int(m)))
+            dot = window[some] @ index.latent[which].T
+            # a window that holds half an item reaches nearly half its length in its direction
+            a, b = np.nonzero((dot >= index.least_cosine * norm[some, None]) & (dot >= LEAST_PART * index.length[which]))
+            cosine = dot[a, b] / norm[some[a]]
+            at = start[some[a]]
+            first = np.searchsorted(base, at, side="right") - 1
+            last = np.searchsorted(base, np.minimum(at + m, base[-1]) - 1, side="right") - 1
+            for d0, d1, k, c, s in zip(first.tolist(), last.tolist(), which[b].tolist(), cosine.tolist(), at.tolist()):
+                for doc in range(d0, d1 + 1):  # a window may run over short texts
+                    hits.setdefault((doc, k), []).append((c, s, int(m)))
     for (doc, k), found in hits.items():
         item, best = index.items[k], None
         for cosine, s, m in sorted(found, reverse=True):
@@ -228,12 +243,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, index: Index | None = None
     schema = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long, last_word long"
     if index is None:
         return docs.sparkSession.createDataFrame([], schema)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = index
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo in range(0, len(texts), 500):
@@ -250,5 +264,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows with a null doc_id are judged by a hash of their text.
     """
     key = F.coalesce("doc_id", F.xxhash64("text"))
-    found = find_leaks(docs.withColumn("doc_id", key), benchmark).select(F.col("doc_id").alias("leak_key")).distinct()
-    return docs.join(found, key == F.col("leak_key"), "left_anti")
+    found = find_leaks(docs.withColumn("doc_id", key), benchmark).select(F.col("doc_id").alias("__leak_key")).distinct()
+    return docs.join(found, key == F.col("__leak_key"), "left_anti")

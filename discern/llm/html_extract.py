@@ -12,7 +12,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -117,11 +117,14 @@ def _chain(elements: list, e: int) -> Iterator[int]:
         e = elements[e][0]
 
 
-def _best_region(tokens: list, w: Weights) -> tuple[int, int] | None:
-    """First and last token of the run with the highest sum; None if no sum is above zero."""
+def _best_region(tokens: list, w: Weights, dead: Callable[[int], bool] = lambda e: False) -> tuple[int, int] | None:
+    """First and last token of the run with the highest sum; None if no sum is above zero.
+
+    Words in elements that are `dead` (boilerplate by name or class) score nothing.
+    """
     best, run, start, found = 0.0, 0.0, 0, None
-    for i, (is_tag, _, what, _) in enumerate(tokens):
-        run += -w.tags.get(what, w.other) if is_tag else w.word * len(what.split())
+    for i, (is_tag, e, what, _) in enumerate(tokens):
+        run += -w.tags.get(what, w.other) if is_tag else 0.0 if dead(e) else w.word * len(what.split())
         if run <= 0:
             run, start = 0.0, i + 1
         elif run > best:
@@ -134,26 +137,26 @@ def extract(page: str | None, w: Weights) -> str:
     if not page:
         return ""
     tokens, elements = _tokens(page)
-    region = _best_region(tokens, w)
+    dropped: dict[int, bool] = {0: False}
+
+    def drop(e: int) -> bool:
+        if e not in dropped:
+            parent, _, boiler, _ = elements[e]
+            dropped[e] = boiler or drop(parent)
+        return dropped[e]
+
+    region = _best_region(tokens, w, drop)
     if region is None:
         return ""
     words: Counter = Counter()
     for is_tag, e, what, _ in tokens[region[0] : region[1] + 1]:
-        if not is_tag:
+        if not is_tag and not drop(e):
             for x in _chain(elements, e):
                 words[x] += len(what.split())
-    inside = sum(len(t[2].split()) for t in tokens[region[0] : region[1] + 1] if not t[0])
+    inside = sum(len(t[2].split()) for t in tokens[region[0] : region[1] + 1] if not t[0] and not drop(t[1]))
     content = [x for x, n in words.items() if elements[x][1] in CONTENT and 2 * n > inside]
     # the outermost content element that holds most of the region, else the innermost element that holds all of it
     root = min(content) if content else max((x for x, n in words.items() if n == inside and elements[x][1] not in INLINE), default=0)
-    dropped: dict[int, bool] = {0: False, root: False}
-
-    def drop(e: int) -> bool:
-        if e not in dropped:
-            parent, name, boiler, _ = elements[e]
-            dropped[e] = boiler or drop(parent)
-        return dropped[e]
-
     def within(e: int) -> bool:
         return root == 0 or any(x == root for x in _chain(elements, e))
 

@@ -1,0 +1,150 @@
+import random
+
+import pytest
+
+from discern.llm import line_dedup, span_dedup
+
+LINE = "this line is long enough to count as one"
+
+
+def brute_lines(rows):
+    """What line dedup has to give: rows of (doc_id, text) without equal ids."""
+
+    def near(a, b):
+        if len(a) < line_dedup.LEAST_LENGTH or len(b) < line_dedup.LEAST_LENGTH or abs(len(a) - len(b)) > 1:
+            return False
+        a, b = sorted((a, b), key=len)
+        i = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+        return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
+
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    lines = list(dict.fromkeys(x for _, t in rows for x in (t or "").split("\n") if x.strip()))
+    root = {x: x for x in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(lines):
+        for y in lines[:i]:
+            if near(x, y):
+                root[find(x)] = find(y)
+    seen, out = set(), []
+    for d, t in rows:
+        kept = []
+        for x in t.split("\n") if t else []:
+            if x.strip():
+                if find(x) in seen:
+                    continue
+                seen.add(find(x))
+            kept.append(x)
+        out.append((d, "\n".join(kept), len(t.split("\n")) if t else 0, len(kept)))
+    return out
+
+
+def run(df):
+    return sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_lines"] - r["n_removed"]) for r in line_dedup.dedup_lines(df).collect()), key=lambda r: (r[0] is None, r[0] or 0))
+
+
+def test_lines_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = ["".join(rng.choice("abc de") for _ in range(rng.randrange(3, 60))) for _ in range(25)]
+    rows = []
+    for i in range(80):
+        lines = []
+        for _ in range(rng.randrange(8)):
+            x = list(rng.choice(pool))
+            for _ in range(rng.randrange(3)):
+                k = rng.randrange(len(x))
+                rng.choice([lambda: x.__setitem__(k, "z"), lambda: x.insert(k, "y"), lambda: x.pop(k)])()
+                x = x or ["q"]
+            lines.append("".join(x) if rng.random() < 0.9 else "  ")
+        rows.append((i, "\n".join(lines)))
+    rows += [(100, None), (None, pool[0] + "\n" + LINE), (101, "\n\n" + LINE + "é\n\n"), (102, LINE + "\n" + LINE), (103, "w " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' key", "1 h", "2 n_lines", "'x' kept_lines")
+    assert run(df) == brute_lines(rows)
+    assert {"key", "h", "kept_lines"} <= set(line_dedup.dedup_lines(df).columns)
+
+
+def test_hot_segments_lose_no_link(spark, monkeypatch):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    rows = [(0, base)]
+    for i in range(1, 120):
+        k = rng.randrange(70)
+        rows.append((i, rng.choice([base[:k] + rng.choice("xyzw") + base[k + 1 :], base[:k] + rng.choice("xyzw") + base[k:], base[:k] + base[k + 1 :], base[:k] + "QQQ" + base[k + 3 :]])))
+    monkeypatch.setattr(line_dedup, "HOT", 5)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute_lines(rows)
+
+
+def test_lines_edges(spark):
+    df = spark.createDataFrame([(1, LINE), (1, LINE), (2, LINE)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(df).collect()) == [(1, LINE), (1, LINE), (2, "")]
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+# ---- spans ----------------------------------------------------------------------------
+
+
+def sentence(rng, n):
+    return " ".join(f"w{rng.randrange(10_000)}" for _ in range(n)) + "."
+
+
+def test_breaks_keep_the_text():
+    for text in (b"", b"a. b! c?\n\nd", "é。ü. x".encode(), b" \n a.b. "):
+        parts, places = span_dedup.sentences(text)
+        assert b"".join(parts) == text and all(parts[i].strip() for i in places)
+
+
+def test_runs_cover_every_long_passage():
+    rng = random.Random(10)
+    for _ in range(30):
+        passage = [sentence(rng, rng.randrange(1, 30)) for _ in range(rng.randrange(2, 9))]
+        if sum(len(s.split()) for s in passage) <= 60:
+            continue
+        text = " ".join([sentence(rng, 9), *passage, sentence(rng, 9)]).encode()
+        _, _, own = span_dedup.runs(" ".join(passage).encode(), span_dedup.MIN_WORDS)
+        _, places, all_runs = span_dedup.runs(text, span_dedup.MIN_WORDS)
+        shared = {h for *_, h in own}
+        covered = {k for i, j, h in all_runs if h in shared for k in range(i, j + 1)}
+        assert covered == set(range(1, len(places) - 1))
+
+
+@pytest.fixture(scope="module")
+def spans(spark):
+    rng = random.Random(11)
+    passage = " ".join(sentence(rng, 12) for _ in range(5))
+    other = [" ".join(sentence(rng, 10) for _ in range(6)) for _ in range(6)]
+    rows = [
+        (1, other[0] + "\n" + passage + "\n" + other[1]), (2, other[2] + " " + passage + " " + other[3]), (3, passage.upper()), (4, other[4]), (5, passage.rsplit(" ", 20)[0]),
+        (6, other[5] + "\n" + other[5]), (7, None), (8, ""), (None, passage), (9, "Short. " * 40), (9, "Short. " * 40), (4, other[4]),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'h' h", "1 id", "2 gone"), passage, other
+
+
+def test_spans(spans):
+    df, passage, other = spans
+    got = {}
+    for r in span_dedup.dedup_spans(df).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert got[1][0]["n_removed"] == 0 and passage in got[1][0]["text"]
+    assert got[2][0]["n_removed"] == 5 and got[2][0]["text"] == other[2] + " " + other[3]
+    assert got[3][0]["text"] == "" and got[None][0]["text"] == ""
+    assert got[4][0]["n_removed"] == got[4][1]["n_removed"] == 0
+    assert got[6][0]["n_removed"] == 6 and got[6][0]["text"] == other[5]
+    assert got[7][0]["text"] == got[8][0]["text"] == "" and got[7][0]["n_sentences"] == 0
+    assert len(got[9]) == 2
+    assert 0 < got[5][0]["n_removed"] <= 3
+
+
+def test_spans_against_brute_force(spans):
+    df, _, _ = spans
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in df.collect()]
+    first = {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        for *_, h in span_dedup.runs(t, span_dedup.MIN_WORDS)[2]:
+            first.setdefault(h, d)
+    want = sorted((str(d), span_dedup.cut(t, {h for h, f in first.items() if f != d}, span_dedup.MIN_WORDS)[0].decode()) for d, t in rows)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in span_dedup.dedup_spans(df).collect()) == want
+    assert span_dedup.dedup_spans(df.limit(0)).count() == 0

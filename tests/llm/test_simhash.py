@@ -1,0 +1,104 @@
+import random
+
+import numpy as np
+import xxhash
+
+from discern.llm import simhash
+from discern.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string, fp string, component long, h int"
+
+
+def brute_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    runs = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [b" ".join(words)] if words else []
+    hs = [xxhash.xxh64_intdigest(r, seed=42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
+
+
+def brute_components(ids, fps, radius=3):
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                root[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [least.get(find(i)) for i in range(len(ids))]
+
+
+def test_gray_rank_is_the_inverse_of_the_gray_code():
+    x = np.array([random.Random(1).getrandbits(64) for _ in range(100)], np.uint64)
+    assert (simhash.gray_rank(x ^ (x >> np.uint64(1))) == x).all()
+
+
+def test_close_pairs_against_brute_force():
+    rng = random.Random(2)
+    for n, groups in ((1, 1), (9, 2), (300, 3), (700, 40)):
+        centres = [rng.getrandbits(64) for _ in range(5)]
+        fp = np.array([rng.choice(centres) ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) for _ in range(n)], np.uint64)
+        group = np.array([rng.randrange(groups) for _ in range(n)])
+        order = np.lexsort((simhash.gray_rank(fp), group))
+        fp, group = fp[order], group[order]
+        got = {(int(a), int(b)) for p in simhash._close_pairs(group, fp, 3, step=64) for a, b in zip(*p)}
+        want = {(i, j) for i in range(n) for j in range(i) if group[i] == group[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= 3}
+        assert got == want
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7), (5, 4)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    reach = {x: x for e in edges for x in e}
+    for _ in reach:
+        for a, b in edges:
+            reach[a] = reach[b] = min(reach[a], reach[b])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: reach[x] for x in linked}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(50)]
+    base = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(4)]
+    texts = [None, "", "  \n", "one", "One TWO", "É é", "x" * 200_000]
+    for b in base:
+        for _ in range(60):
+            ws = b.split()
+            for _ in range(rng.randrange(3)):
+                ws[rng.randrange(len(ws))] = rng.choice(words)
+            texts.append(" ".join(ws))
+    ids = [rng.randrange(1000) if i % 9 else None for i in range(len(texts))]
+    df = spark.createDataFrame([(d, t, "x", 1, 2) for d, t in zip(ids, texts)], SCHEMA)
+    fps = [brute_fingerprint(t) for t in texts]
+    want = sorted(zip(map(str, ids), fps, map(str, brute_components(ids, fps))))
+    got = sorted((str(r["doc_id"]), r["fp"] % (1 << 64), str(r["component_id"])) for r in simhash.near_duplicates(df).collect())
+    assert got == want
+    small = sorted((str(r["doc_id"]), r["fp"] % (1 << 64)) for r in df.sparkSession.createDataFrame(simhash.near_duplicates(df).rdd).collect())
+    assert small == sorted((a, b) for a, b, _ in want)
+
+
+def test_salted_buckets_lose_no_link(spark):
+    rng = random.Random(5)
+    centre = rng.getrandbits(64)
+    fps = sorted({centre ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(3))) for _ in range(400)})
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    one = {tuple(r) for r in connected_components(simhash.links(df, bucket_rows=10_000)).collect()}
+    many = {tuple(r) for r in connected_components(simhash.links(df, bucket_rows=20)).collect()}
+    assert one == many and one
+
+
+def test_one_of_each(spark):
+    df = spark.createDataFrame([(3, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "other words are here"), (None, "a b c d"), (None, None)], "doc_id long, text string")
+    kept = sorted(map(str, (r["doc_id"] for r in simhash.one_of_each(df).collect())))
+    assert kept == ["1", "2", "None", "None"]
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.one_of_each(df.limit(0)).count() == 0

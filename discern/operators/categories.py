@@ -9,13 +9,13 @@ from ..functions import rules
 from ..functions.patterns import Text, evaluated
 
 
-def sentence_flags(sentences: DataFrame) -> DataFrame:
-    """sentences (doc_id, i, sentence) with an array of the categories that each shows; others go."""
+def sentence_categories(sentences: DataFrame) -> DataFrame:
+    """(doc_id, i, sentence, key): a row for each category that a sentence shows."""
 
     def shown(text: Text) -> Column:
         return F.array_compact(F.array(*(F.when(text.any(patterns), F.lit(key)) for key, patterns in rules.CATEGORIES.items())))
 
-    return sentences.withColumn("shown", evaluated(F.col("sentence"), shown)).where(F.size("shown") > 0)
+    return sentences.select("doc_id", "i", "sentence", F.explode(evaluated(F.col("sentence"), shown)).alias("key"))
 
 
 def _nth(key: str) -> Column:
@@ -28,8 +28,7 @@ def categories(docs: DataFrame, sentences: DataFrame) -> DataFrame:
 
     Evidence is the first sentences in document order, not made distinct.
     """
-    keyed = sentence_flags(sentences).select("doc_id", "i", "sentence", F.explode("shown").alias("key"))
-    found = keyed.groupBy("doc_id").agg(*(_nth(k).alias(k) for k in rules.CATEGORIES))
+    found = sentence_categories(sentences).groupBy("doc_id").agg(*(_nth(k).alias(k) for k in rules.CATEGORIES))
     rows = docs.select("doc_id").join(found, "doc_id", "left")
     none = F.array().cast("array<string>")
     evidence = F.create_map(*(x for k in rules.CATEGORIES for x in (F.lit(k), F.coalesce(F.col(k), none))))

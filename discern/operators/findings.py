@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.patterns import Text, evaluated
-from ..functions.text import chunks, distinct_evidence, sentences, shorten
+from ..functions.patterns import Text, evaluated, needed_words
+from ..functions.text import chunks, distinct_evidence, marked_chunks, sentences, shorten
 
 FINDING = "array<struct<category:string,title:string,summary:string,confidence:string,severity:string,score:int,evidence:array<string>,count_as_risk:boolean,source_key:string>>"
 
@@ -24,6 +27,23 @@ def unit_rows(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", F.posexplode(chunks("s")).alias("ord", "unit"))
 
 
+#: No finding rule and no ad-tech pattern matches a unit that has none of these words.
+RULE_WORDS = needed_words([*(p for r in rules.FINDINGS for p in (*r.strong, *r.medium)), *rules.AD_TECH])
+
+
+def rule_units(docs: DataFrame) -> DataFrame:
+    """The rows of unit_rows() that any rule can match, found by the words of their sentences.
+
+    A sentence stands in up to six units and is looked through once; the words hold no
+    blank, so that none can arise where two sentences meet.
+    """
+    split = docs.select("doc_id", sentences(F.col("text")).alias("s"))
+    marks = F.transform(F.transform("s", F.lower), lambda low: reduce(or_, (F.contains(low, F.lit(w)) for w in RULE_WORDS)))
+    split = split.select("doc_id", "s", marks.alias("marks")).where(F.exists("marks", lambda m: m))
+    rows = split.select("doc_id", F.posexplode(marked_chunks("s", "marks")).alias("ord", "unit"))
+    return rows.where(F.col("unit").startswith("1")).select("doc_id", "ord", F.expr("substring(unit, 2)").alias("unit"))
+
+
 def context(text: Text) -> dict[str, Column]:
     return {
         "negation": text.any(rules.NEGATION),
@@ -34,8 +54,13 @@ def context(text: Text) -> dict[str, Column]:
 
 
 def with_context(units: DataFrame) -> DataFrame:
-    flags = evaluated(F.col("unit"), lambda t: F.struct(*(c.alias(k) for k, c in context(t).items())))
-    return units.withColumn("flags", flags).select(*units.columns, "flags.*")
+    """units (doc_id, ord, unit) that are in any context, with the context flags."""
+
+    def flags(t: Text) -> Column:
+        return F.struct(*(c.alias(k) for k, c in context(t).items()))
+
+    found = F.filter(F.array(evaluated(F.col("unit"), flags)), lambda f: f["negation"] | f["permission_limited"] | f["safe_context"] | f["ad_tech"])
+    return units.select(*units.columns, F.inline(found))
 
 
 def _detail(k: int, rule: rules.FindingRule, text: Text) -> Column:
@@ -54,9 +79,13 @@ def matches(units: DataFrame) -> DataFrame:
         details = F.array(*(_detail(k, r, text) for k, r in enumerate(rules.FINDINGS)))
         return F.struct(details.alias("details"), *(c.alias(k) for k, c in context(text).items()))
 
-    wide = units.withColumn("tests", evaluated(F.col("unit"), tests)).select(*units.columns, "tests.*")
-    some = F.exists("details", lambda d: (d["strong_hits"] > 0) | (d["medium_hits"] > 0))
-    rows = wide.where(some | F.col("ad_tech")).select("doc_id", "ord", "unit", "negation", "permission_limited", "safe_context", F.col("ad_tech").cast("int").alias("ad_tech_hits"), F.inline("details"))
+    def found(t: Column) -> Column:
+        some = F.filter(t["details"], lambda d: (d["strong_hits"] > 0) | (d["medium_hits"] > 0) | t["ad_tech"])
+        flags = ("negation", "permission_limited", "safe_context")
+        return F.transform(some, lambda d: F.struct(*(d[c].alias(c) for c in ("rule_ord", "strong_hits", "medium_hits", "own_negation")), *(t[c].alias(c) for c in flags), t["ad_tech"].cast("int").alias("ad_tech_hits")))
+
+    # one generator: a filter on the outcome would be pushed down and test every pattern again
+    rows = units.select("doc_id", "ord", "unit", F.inline(F.flatten(F.transform(F.array(evaluated(F.col("unit"), tests)), found))))
     tracking, sharing = (next(k for k, r in enumerate(rules.FINDINGS) if r.category == c) for c in ("tracking", "sharing"))
     score = 4 * F.col("strong_hits") + 2 * F.col("medium_hits") + 3 * F.col("ad_tech_hits")
     score -= F.when(F.col("own_negation"), 5).when(F.col("negation") & (F.col("strong_hits") == 0), 2).otherwise(0)

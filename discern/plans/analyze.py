@@ -23,7 +23,7 @@ def analyze_texts(docs: DataFrame) -> DataFrame:
             texts = texts.withColumn(name, none)
     scored = detect.scored_pages(texts)
     slim = scored.select("doc_id", F.col("page_text").alias("text"), "is_likely_policy_page")
-    units = findings.unit_rows(slim.where("is_likely_policy_page"))
+    units = findings.rule_units(slim.where("is_likely_policy_page"))
     found = findings.finding_arrays(findings.finding_rows(units))
     shown = categories.categories(slim, findings.sentence_rows(slim))
     rows = scored.join(found, "doc_id", "left").join(shown, "doc_id", "left")

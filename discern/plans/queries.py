@@ -108,34 +108,34 @@ def category_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def unit_context_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = findings.with_context(findings.unit_rows(corpus.documents(spark, sf_dir)))
-    return rows.where("negation or permission_limited or safe_context or ad_tech").select("doc_id", "ord", "negation", "permission_limited", "safe_context", "ad_tech")
+    return rows.select("doc_id", "ord", "negation", "permission_limited", "safe_context", "ad_tech")
 
 
 @query
 def unit_evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.matches(findings.unit_rows(corpus.documents(spark, sf_dir))).drop("unit")
+    return findings.matches(findings.rule_units(corpus.documents(spark, sf_dir))).drop("unit")
 
 
 @query
 def rule_hit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.hit_totals(findings.matches(findings.unit_rows(corpus.documents(spark, sf_dir))))
+    return findings.hit_totals(findings.matches(findings.rule_units(corpus.documents(spark, sf_dir))))
 
 
 @query
 def evidence_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.snippets(findings.matches(findings.unit_rows(corpus.documents(spark, sf_dir))))
+    return findings.snippets(findings.matches(findings.rule_units(corpus.documents(spark, sf_dir))))
 
 
 @query
 def findings_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = findings.finding_rows(findings.unit_rows(corpus.documents(spark, sf_dir)))
+    rows = findings.finding_rows(findings.rule_units(corpus.documents(spark, sf_dir)))
     return rows.select("doc_id", "place", "category", "title", "summary", "confidence", "severity", "score", _bar("evidence").alias("evidence"), "count_as_risk")
 
 
 @query
 def findings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best score of each category, as strings in order (a rule pack may hold several rules of one)."""
-    rows = findings.finding_arrays(findings.finding_rows(findings.unit_rows(corpus.documents(spark, sf_dir))))
+    rows = findings.finding_arrays(findings.finding_rows(findings.rule_units(corpus.documents(spark, sf_dir))))
     return rows.select("doc_id", _bar(F.transform("findings", lambda f: F.concat_ws(":", f["category"], f["score"].cast("string")))).alias("findings"))
 
 

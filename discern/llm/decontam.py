@@ -130,7 +130,7 @@ def _sketch_batches(vocab: dict[bytes, int], idf: np.ndarray, omega: np.ndarray)
     return summed
 
 
-def build(docs: DataFrame, benchmark: DataFrame, rank: int = 64, oversample: int = 16, most_df: float = 0.2, least_cosine: float = 0.5, least_lcs: float = 0.65, most_items: int = 100_000, seed: int = 11) -> Index | None:
+def build(docs: DataFrame, benchmark: DataFrame, rank: int = 56, oversample: int = 8, most_df: float = 0.2, least_cosine: float = 0.5, least_lcs: float = 0.65, most_items: int = 100_000, seed: int = 11) -> Index | None:
     """The index of the benchmark's items in a space that all of docs span.
 
     benchmark: item_id, text and, if it has one, answer. It is a reference set that the

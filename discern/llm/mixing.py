@@ -181,7 +181,7 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = 1 <
     shard_slots = max(shard_slots, -(-sum(slots) // MOST_SHARDS))
     rows = spark.createDataFrame(list(draws(slots, shard_slots, seed)), "shard long, sid long, first long, n long")
     dealt = rows.repartition("shard", "sid").mapInArrow(_slot_batches(sources, block_words, seed), "shard long, sid long, slot long, block long, take long")
-    return Mix(spark, sources, sized, dealt, block_words, max(64, -(-sum(sizes.values()) // 4_000_000)))
+    return Mix(spark, sources, sized, dealt, block_words, max(64, -(-sum(sizes.values()) // 1_000_000)))
 
 
 def taken(docs: DataFrame, mix: Mix | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space, in the wide sense in which texts are normalised.
@@ -68,14 +68,28 @@ class Text:
         return reduce(add, (self.has(p).cast("int") for p in patterns), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def evaluated(text: Column, make: Callable[[Text], Column]) -> Column:
     """make(Text(text)), kept out of generated code.
 
     Dozens of patterns in one generated method pass the limits up to which the JVM
     compiles it; as the body of a higher-order function they are evaluated one by one.
     """
-    once = F.transform(F.array(F.struct(text.alias("text"), F.lower(text).alias("low"))), lambda x: make(Text(x["text"], x["low"])))
-    return F.get(once, F.lit(0))
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), lambda x: make(Text(x["text"], x["low"])))
+
+
+def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with more columns, as withColumns(), but never worked out more than once a row.
+
+    They come from a generator of one row: a filter on them isn't pushed below it,
+    where it would repeat a costly expression for each use.
+    """
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
 def first_points(text: Column, points: Iterable[tuple[str, int]]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .patterns import BLANK
+from .patterns import BLANK, let
 
 
 def norm(text: Column) -> Column:
@@ -58,12 +58,14 @@ def last_index(text: Column, part: str) -> Column:
 
 def shorten(text: Column, most: int = 220, least: int = 80) -> Column:
     """Text of at most `most` characters, cut behind its last clause, else at a word."""
-    clean = norm(text)
-    head = F.substring(clean, 1, most)
-    clause = F.greatest(*(last_index(head, p) for p in (". ", "; ", ", ")))
-    blank = last_index(head, " ")
-    cut = F.when(clause > least, F.trim(F.left(head, clause + 1))).when(blank > least, F.concat(F.trim(F.left(head, blank)), F.lit("…")))
-    return F.when(F.length(clean) <= most, clean).otherwise(cut.otherwise(F.concat(F.trim(head), F.lit("…"))))
+
+    def cut(clean: Column, head: Column) -> Column:
+        clause = F.greatest(*(last_index(head, p) for p in (". ", "; ", ", ")))
+        blank = last_index(head, " ")
+        at = F.when(clause > least, F.trim(F.left(head, clause + 1))).when(blank > least, F.concat(F.trim(F.left(head, blank)), F.lit("…")))
+        return F.when(F.length(clean) <= most, clean).otherwise(at.otherwise(F.concat(F.trim(head), F.lit("…"))))
+
+    return let(norm(text), lambda clean: let(F.substring(clean, 1, most), lambda head: cut(clean, head)))
 
 
 def distinct_evidence(items: Column, most: int = rules.MAX_EVIDENCE) -> Column:

@@ -6,31 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.patterns import Text, evaluated
+from ..functions.patterns import Text, evaluated, with_computed
+from ..functions.text import sentences
 
 
-def sentence_categories(sentences: DataFrame) -> DataFrame:
-    """(doc_id, i, sentence, key): a row for each category that a sentence shows."""
+def _shown(text: Text) -> Column:
+    return F.array_compact(F.array(*(F.when(text.any(patterns), F.lit(key)) for key, patterns in rules.CATEGORIES.items())))
 
-    def shown(text: Text) -> Column:
-        return F.array_compact(F.array(*(F.when(text.any(patterns), F.lit(key)) for key, patterns in rules.CATEGORIES.items())))
 
-    return sentences.select("doc_id", "i", "sentence", F.explode(evaluated(F.col("sentence"), shown)).alias("key"))
+def with_categories(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with data_collected and data_evidence, maps from each category in order, found in a text column.
 
+    Evidence is the first sentences in document order, not made distinct. All of it
+    happens inside the row: no shuffle, no join.
+    """
+    shown = F.transform(sentences(F.col(text)), lambda s: F.struct(s.alias("sentence"), evaluated(s, _shown).alias("keys")))
+    rows = with_computed(docs, {"__shown": F.filter(shown, lambda x: F.size(x["keys"]) > 0)})
 
-def _nth(key: str) -> Column:
-    ordered = F.array_sort(F.collect_list(F.when(F.col("key") == key, F.struct("i", "sentence"))))
-    return F.transform(F.slice(ordered, 1, rules.MAX_EVIDENCE), lambda x: x["sentence"])
+    def first(key: str) -> Column:
+        own = F.filter("__shown", lambda x: F.array_contains(x["keys"], key))
+        return F.transform(F.slice(own, 1, rules.MAX_EVIDENCE), lambda x: x["sentence"])
 
+    rows = with_computed(rows, {"data_evidence": F.create_map(*(x for k in rules.CATEGORIES for x in (F.lit(k), first(k))))}).drop("__shown")
+    return rows.withColumn("data_collected", F.transform_values("data_evidence", lambda _, v: F.size(v) > 0))
 
-def categories(docs: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(doc_id, data_collected, data_evidence): maps from each category, in order, for every doc_id of docs.
 
-    Evidence is the first sentences in document order, not made distinct.
-    """
-    found = sentence_categories(sentences).groupBy("doc_id").agg(*(_nth(k).alias(k) for k in rules.CATEGORIES))
-    rows = docs.select("doc_id").join(found, "doc_id", "left")
-    none = F.array().cast("array<string>")
-    evidence = F.create_map(*(x for k in rules.CATEGORIES for x in (F.lit(k), F.coalesce(F.col(k), none))))
-    rows = rows.select("doc_id", evidence.alias("data_evidence"))
-    return rows.select("doc_id", F.transform_values("data_evidence", lambda _, v: F.size(v) > 0).alias("data_collected"), "data_evidence")
+def categories(docs: DataFrame) -> DataFrame:
+    """(doc_id, data_collected, data_evidence) of docs (doc_id, text)."""
+    return with_categories(docs.select("doc_id", "text")).select("doc_id", "data_collected", "data_evidence")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.patterns import evaluated, first_points, java
-from ..sources.pages import anchors, resolved
+from ..functions.patterns import evaluated, first_points, java, let, with_computed
+from ..sources.pages import anchor_array, resolved
 
 
 def page_score(text: Column, title: Column, url: Column) -> Column:
@@ -32,7 +32,7 @@ def scored_pages(pages: DataFrame) -> DataFrame:
     Null url or title count as empty.
     """
     url, title = F.coalesce("url", F.lit("")), F.coalesce("title", F.lit(""))
-    scored = pages.withColumn("page_score", page_score(F.col("page_text"), title, url))
+    scored = with_computed(pages, {"page_score": page_score(F.col("page_text"), title, url)})
     total = F.col("page_score")
     return scored.withColumns({"score": display_score(total), "confidence": page_confidence(total), "is_likely_policy_page": total >= rules.POLICY_SCORE})
 
@@ -47,16 +47,22 @@ def scored_links(links: DataFrame) -> DataFrame:
     """links (page_id, url, pos, href, text, in_nav) with absolute and link_score; scripts, mail and phone links go, and scores of 0."""
     links = links if "absolute" in links.columns else links.withColumn("absolute", resolved(F.col("href"), F.col("url")))
     usable = links.where("absolute is not null").where(~F.col("absolute").rlike("^(javascript|mailto|tel):"))
-    return usable.withColumn("link_score", link_score(F.col("text"), F.col("href"), F.col("absolute"), F.col("in_nav"))).where("link_score > 0")
+    return with_computed(usable, {"link_score": link_score(F.col("text"), F.col("href"), F.col("absolute"), F.col("in_nav"))}).where("link_score > 0")
 
 
 def best_links(links: DataFrame) -> DataFrame:
-    """(page_id, best_policy_link, best_link_score): the highest score, on ties the first in the page."""
+    """(page_id, best_policy_link, best_link_score) from rows of links: the highest score, on ties the first in the page."""
     best = F.max_by(F.struct("absolute", "link_score"), F.struct("link_score", -F.col("pos")))
     return scored_links(links).groupBy("page_id").agg(best.alias("b")).select("page_id", F.col("b.absolute").alias("best_policy_link"), F.col("b.link_score").alias("best_link_score"))
 
 
-def with_best_link(pages: DataFrame, source: DataFrame) -> DataFrame:
-    """pages with best_policy_link ('' if there is none) and best_link_score; source has the html."""
-    joined = pages.join(best_links(anchors(source)), "page_id", "left")
-    return joined.na.fill({"best_policy_link": "", "best_link_score": 0})
+def with_best_link(pages: DataFrame) -> DataFrame:
+    """pages (url, html, ...) with best_policy_link ('' if there is none) and best_link_score; as best_links(), but inside the row."""
+
+    def candidate(a: Column, pos: Column) -> Column:
+        absolute = resolved(a["href"], F.col("url"))
+        return let(absolute, lambda to: F.struct(link_score(a["text"], a["href"], to, a["in_nav"]).alias("score"), (-pos).alias("place"), to.alias("to")))
+
+    usable = F.filter(F.transform(anchor_array(F.col("html")), candidate), lambda x: x["to"].isNotNull() & ~x["to"].rlike("^(javascript|mailto|tel):") & (x["score"] > 0))
+    rows = with_computed(pages, {"__best": F.array_max(usable)})
+    return rows.withColumns({"best_policy_link": F.coalesce("__best.to", F.lit("")), "best_link_score": F.coalesce("__best.score", F.lit(0))}).drop("__best")

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.patterns import Text, evaluated, needed_words
+from ..functions.patterns import Text, evaluated, needed_words, with_computed
 from ..functions.text import chunks, distinct_evidence, marked_chunks, sentences, shorten
 
 FINDING = "array<struct<category:string,title:string,summary:string,confidence:string,severity:string,score:int,evidence:array<string>,count_as_risk:boolean,source_key:string>>"
@@ -39,7 +39,7 @@ def rule_units(docs: DataFrame) -> DataFrame:
     """
     split = docs.select("doc_id", sentences(F.col("text")).alias("s"))
     marks = F.transform(F.transform("s", F.lower), lambda low: reduce(or_, (F.contains(low, F.lit(w)) for w in RULE_WORDS)))
-    split = split.select("doc_id", "s", marks.alias("marks")).where(F.exists("marks", lambda m: m))
+    split = with_computed(split, {"marks": marks}).where(F.exists("marks", lambda m: m))
     rows = split.select("doc_id", F.posexplode(marked_chunks("s", "marks")).alias("ord", "unit"))
     return rows.where(F.col("unit").startswith("1")).select("doc_id", "ord", F.expr("substring(unit, 2)").alias("unit"))
 
@@ -96,11 +96,14 @@ def matches(units: DataFrame) -> DataFrame:
     return rows.select("doc_id", "rule_ord", "ord", "unit", "strong_hits", "medium_hits", "ad_tech_hits", negated.alias("negated"), "permission_limited", "safe_context", "score")
 
 
+def _totals() -> list[Column]:
+    sums = [F.sum(c).alias(c) for c in ("strong_hits", "medium_hits", "ad_tech_hits")]
+    return sums + [F.bool_or(c).alias(c) for c in ("negated", "permission_limited", "safe_context")]
+
+
 def hit_totals(matched: DataFrame) -> DataFrame:
     """Sums and flags for each document and rule."""
-    sums = [F.sum(c).alias(c) for c in ("strong_hits", "medium_hits", "ad_tech_hits")]
-    flags = [F.bool_or(c).alias(c) for c in ("negated", "permission_limited", "safe_context")]
-    return matched.groupBy("doc_id", "rule_ord").agg(*sums, *flags)
+    return matched.groupBy("doc_id", "rule_ord").agg(*_totals())
 
 
 def _strength(text: Text) -> Column:
@@ -111,20 +114,32 @@ def _strength(text: Text) -> Column:
     return out.otherwise(0) + F.when(text.any(rules.AD_TECH), 3).otherwise(0)
 
 
+def best_snippet(unit: Column) -> Column:
+    """The strongest sentence of a unit under the rule of its row, on ties the shorter, then the first; shortened."""
+    ranked = F.transform(sentences(unit), lambda part, pos: F.struct((-evaluated(part, _strength)).alias("s"), F.length(part).alias("n"), pos.alias("pos"), part.alias("part")))
+    return shorten(F.coalesce(F.array_min(ranked)["part"], unit))
+
+
+def with_snippets(matched: DataFrame) -> DataFrame:
+    """matched with its snippet and the unit's length in place of the unit, so that little is shuffled afterwards."""
+    return with_computed(matched, {"snippet": best_snippet(F.col("unit")), "length": F.length("unit")}).drop("unit")
+
+
 def snippets(matched: DataFrame) -> DataFrame:
-    """(doc_id, rule_ord, rank, ord, snippet): of each match its strongest sentence, shortened; ranked by score, length, order."""
-    parts = matched.select("doc_id", "rule_ord", "ord", "unit", "score", F.posexplode_outer(sentences(F.col("unit"))).alias("pos", "part"))
-    parts = parts.withColumn("strength", evaluated(F.col("part"), _strength))
-    best = F.min_by("part", F.struct(-F.col("strength"), F.length("part"), F.col("pos")))
-    rows = parts.groupBy("doc_id", "rule_ord", "ord", "unit", "score").agg(best.alias("part"))
-    place = W.partitionBy("doc_id", "rule_ord").orderBy(F.desc("score"), F.length("unit"), "ord")
-    return rows.select("doc_id", "rule_ord", F.row_number().over(place).alias("rank"), "ord", shorten(F.coalesce("part", "unit")).alias("snippet"))
+    """(doc_id, rule_ord, rank, ord, snippet) of each match, ranked by score, length and order."""
+    place = W.partitionBy("doc_id", "rule_ord").orderBy(F.desc("score"), "length", "ord")
+    return with_snippets(matched).select("doc_id", "rule_ord", F.row_number().over(place).alias("rank"), "ord", "snippet")
 
 
-def evidence(matched: DataFrame) -> DataFrame:
-    """(doc_id, rule_ord, evidence): the first distinct snippets."""
-    ranked = F.array_sort(F.collect_list(F.struct("rank", "snippet")))
-    return snippets(matched).groupBy("doc_id", "rule_ord").agg(ranked.alias("r")).select("doc_id", "rule_ord", distinct_evidence(F.transform("r", lambda x: x["snippet"])).alias("evidence"))
+def totals_with_evidence(matched: DataFrame) -> DataFrame:
+    """hit_totals() and evidence, the first distinct snippets, for each document and rule.
+
+    All shuffling is this one exchange by doc_id, of numbers and snippets.
+    """
+    rows = with_snippets(matched).repartition("doc_id").groupBy("doc_id", "rule_ord")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "length", "ord", "snippet")))
+    totals = rows.agg(*_totals(), ranked.alias("r"))
+    return totals.withColumn("evidence", distinct_evidence(F.transform("r", lambda x: x["snippet"]))).drop("r")
 
 
 def _by_rule(value) -> Column:
@@ -183,12 +198,10 @@ def counts_as_risk(category: Column, confidence: Column, severity: Column) -> Co
 def finding_rows(units: DataFrame) -> DataFrame:
     """A row for each document and rule with a match: rule_ord, category, title, summary, confidence, severity, score, evidence, count_as_risk, place.
 
-    Units carry doc_id; all shuffles are by it, so that one exchange serves them all.
     place ranks a document's findings by score, ties by rule order, after the best of
     each category was kept.
     """
-    matched = matches(units.repartition("doc_id"))
-    rows = hit_totals(matched).join(evidence(matched), ["doc_id", "rule_ord"])
+    rows = totals_with_evidence(matches(units))
     rows = rows.withColumn("confidence", confidence(*(F.col(c) for c in ("strong_hits", "medium_hits", "negated", "ad_tech_hits"))))
     rows = rows.withColumns({"severity": severity(), "category": _by_rule(lambda r: r.category), "title": _by_rule(lambda r: r.title)})
     rows = rows.withColumns({"score": finding_score(), "summary": summary(), "count_as_risk": counts_as_risk(F.col("category"), F.col("confidence"), F.col("severity"))})

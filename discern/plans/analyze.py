@@ -22,11 +22,10 @@ def analyze_texts(docs: DataFrame) -> DataFrame:
         if name not in docs.columns:
             texts = texts.withColumn(name, none)
     scored = detect.scored_pages(texts)
-    slim = scored.select("doc_id", F.col("page_text").alias("text"), "is_likely_policy_page")
-    units = findings.rule_units(slim.where("is_likely_policy_page"))
+    units = findings.rule_units(scored.where("is_likely_policy_page").select("doc_id", F.col("page_text").alias("text")))
     found = findings.finding_arrays(findings.finding_rows(units))
-    shown = categories.categories(slim, findings.sentence_rows(slim))
-    rows = scored.join(found, "doc_id", "left").join(shown, "doc_id", "left")
+    # what stays of a text is small before it is joined
+    rows = categories.with_categories(scored.drop("text"), "page_text").drop("page_text").join(found, "doc_id", "left")
     rows = rows.withColumn("findings", F.coalesce("findings", F.array().cast(findings.FINDING)))
     risks = counted("findings")
     return rows.select(
@@ -49,7 +48,7 @@ def analyze_texts(docs: DataFrame) -> DataFrame:
 
 def analyze_pages(pages: DataFrame) -> DataFrame:
     """A result for each row of pages (page_id, url, html); page_id has to be distinct."""
-    columns = detect.with_best_link(page_columns(pages), pages)
+    columns = page_columns(detect.with_best_link(pages), "best_policy_link", "best_link_score")
     texts = columns.select(F.col("page_id").alias("doc_id"), F.col("page_text").alias("text"), "title", "url", "best_policy_link", "best_link_score")
     return analyze_texts(texts)
 

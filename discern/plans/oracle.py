@@ -243,6 +243,7 @@ def sql() -> dict[str, str]:
             f"{PAGES},\n{ANCHORS_OF},\n{LINKS_OF},\ntop AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY link_score DESC, pos) = 1)",
             "SELECT page_id, coalesce(absolute, '') AS best_policy_link, coalesce(link_score, 0)::INT AS best_link_score FROM pages LEFT JOIN top USING (page_id)",
         ),
+        "best_policy_link_of_rows": with_(f"{PAGES},\n{ANCHORS_OF},\n{LINKS_OF}", "SELECT page_id, absolute AS best_policy_link, link_score AS best_link_score FROM links QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY link_score DESC, pos) = 1"),
         "category_flags": with_(f"{SENT},\n{CATS_OF}", f"SELECT doc_id, category, present, array_to_string(e, '{BAR}') AS evidence FROM cats"),
         "unit_context_flags": with_(f"{UNITS},\n{CONTEXT_OF}", "SELECT doc_id, ord, negation, permission_limited, safe_context, ad_tech FROM ctx WHERE negation OR permission_limited OR safe_context OR ad_tech"),
         "unit_evidence_score": with_(MATCHES, "SELECT doc_id, rule_ord, ord, strong_hits, medium_hits, ad_tech_hits, negated, permission_limited, safe_context, score FROM m"),

@@ -84,8 +84,7 @@ def link_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def best_policy_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = corpus.pages(spark, sf_dir)
-    return detect.with_best_link(pages.select("page_id"), pages)
+    return detect.with_best_link(corpus.pages(spark, sf_dir)).select("page_id", "best_policy_link", "best_link_score")
 
 
 @query
@@ -94,13 +93,19 @@ def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("page_id"), "score", "confidence", "best_policy_link", "counted_risk_count", "risk_score", "level", "level_hint", _bar("reasons").alias("reasons"))
 
 
+@query
+def best_policy_link_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As best_policy_link, from rows of links; pages without a link have no row."""
+    return detect.best_links(anchors(corpus.pages(spark, sf_dir)))
+
+
 # ---- categories and findings --------------------------------------------------------
 
 
 @query
 def category_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir)
-    rows = categories.categories(docs, findings.sentence_rows(docs))
+    rows = categories.categories(docs)
     rows = rows.select("doc_id", "data_collected", F.explode("data_evidence").alias("category", "e"))
     return rows.select("doc_id", "category", F.element_at("data_collected", F.col("category")).alias("present"), _bar("e").alias("evidence"))
 
@@ -161,7 +166,7 @@ def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def legacy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir)
-    rows = categories.categories(docs, findings.sentence_rows(docs))
+    rows = categories.categories(docs)
     found = risk.legacy_findings(F.col("data_collected"), F.col("data_evidence"))
     rows = rows.select("doc_id", F.posexplode(found).alias("pos", "f"))
     return rows.select("doc_id", "pos", "f.category", "f.title", "f.confidence", "f.severity", "f.score", "f.count_as_risk", "f.source_key", _bar("f.evidence").alias("evidence"))
@@ -193,7 +198,8 @@ def risk_by_lang_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir)
     rows = _results(spark, sf_dir).select("doc_id", "risk_score", "issues_count", "level").join(docs.select("doc_id", "lang", "source"), "doc_id")
     totals = (F.count("*").alias("docs"), F.sum("risk_score").alias("risk_sum"), F.sum("issues_count").alias("issues"), F.count_if(F.col("level") == "red").alias("red"))
-    return rows.rollup("lang", "source").agg(*totals)
+    base = rows.groupBy("lang", "source").agg(*totals)  # rolled up from totals, not from documents
+    return base.rollup("lang", "source").agg(*(F.sum(c).alias(c) for c in ("docs", "risk_sum", "issues", "red")))
 
 
 # ---- events ------------------------------------------------------------------------

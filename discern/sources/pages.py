@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.patterns import with_computed
 from ..functions.text import norm
 
 #: Elements without text of their own.
@@ -44,11 +45,12 @@ def plain(html: Column) -> Column:
     return norm(html)
 
 
-def page_columns(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, main_text, full_text, page_text) by built-in expressions."""
+def page_columns(pages: DataFrame, *keep: str) -> DataFrame:
+    """(page_id, url, title, main_text, full_text, page_text) by built-in expressions, and the columns `keep` of pages."""
     html = F.coalesce("html", F.lit(""))
     blocks = F.array(*(plain(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)) for tag in ("main", "article")))
     rows = pages.select(
+        *keep,
         "page_id",
         "url",
         plain(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
@@ -57,18 +59,27 @@ def page_columns(pages: DataFrame) -> DataFrame:
         plain(F.regexp_replace(html, r"(?is)<title[^>]*>.*?</title>", " ")).alias("full"),
     )
     main = F.left(F.when(F.size("blocks") > 0, F.array_join("blocks", "\n\n")).otherwise(F.col("body")), F.lit(rules.MAX_TEXT))
-    rows = rows.select("page_id", "url", "title", main.alias("main_text"), F.left("full", F.lit(rules.MAX_TEXT)).alias("full_text"))
-    return rows.withColumn("page_text", F.when(F.col("main_text") != "", F.col("main_text")).otherwise(F.col("full_text")))
+    rows = rows.select(*keep, "page_id", "url", "title", main.alias("main_text"), F.left("full", F.lit(rules.MAX_TEXT)).alias("full_text"))
+    return with_computed(rows, {"page_text": F.when(F.col("main_text") != "", F.col("main_text")).otherwise(F.col("full_text"))})
+
+
+def anchor_array(html: Column) -> Column:
+    """The links of a page in order, as an array of href, text, in_nav."""
+    html = F.coalesce(html, F.lit(""))
+    parts = [F.concat_ws(" ", F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"), F.lit(0))) for tag in ("nav", "footer")]
+    framed = F.concat_ws(" ", *parts)
+
+    def link(a: Column, frame: Column) -> Column:
+        return F.struct(F.regexp_extract(a, ANCHOR, 1).alias("href"), plain(F.regexp_extract(a, ANCHOR, 2)).alias("text"), F.contains(frame, a).alias("in_nav"))
+
+    found = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0))
+    return F.flatten(F.transform(F.array(framed), lambda frame: F.transform(found, lambda a: link(a, frame))))
 
 
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, url, pos, href, text, in_nav) of each link in page order, by built-in expressions."""
-    html = F.coalesce("html", F.lit(""))
-    parts = []
-    for tag in ("nav", "footer"):
-        parts.append(F.concat_ws(" ", F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"), F.lit(0))))
-    rows = pages.select("page_id", "url", F.concat_ws(" ", *parts).alias("framed"), F.posexplode(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0))).alias("pos", "a"))
-    return rows.select("page_id", "url", "pos", F.regexp_extract("a", ANCHOR, 1).alias("href"), plain(F.regexp_extract("a", ANCHOR, 2)).alias("text"), F.contains("framed", "a").alias("in_nav"))
+    rows = pages.select("page_id", "url", F.posexplode(anchor_array(F.col("html"))).alias("pos", "a"))
+    return rows.select("page_id", "url", "pos", "a.href", "a.text", "a.in_nav")
 
 
 def resolved(href: Column, base: Column) -> Column:

@@ -51,7 +51,7 @@ def test_resolution(spark):
 def test_best_link_ties_and_junk(spark):
     html = '<nav><a href="/a">Privacy policy</a><a href="/b">Privacy policy</a></nav><a href="javascript:x">Privacy policy do not sell</a><a href="tel:1">Privacy notice</a>'
     rows = frame(spark, (1, "https://a.example/", html), (2, "https://a.example/", "<p>none</p>"), (3, None, html))
-    got = {r["page_id"]: (r["best_policy_link"], r["best_link_score"]) for r in detect.with_best_link(rows.select("page_id"), rows).collect()}
+    got = {r["page_id"]: (r["best_policy_link"], r["best_link_score"]) for r in detect.with_best_link(rows).collect()}
     assert got == {1: ("https://a.example/a", 8), 2: ("", 0), 3: ("", 0)}
     assert detect.scored_links(anchors(rows)).count() == 2
 

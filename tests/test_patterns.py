@@ -17,7 +17,7 @@ ALL = [
 def example(pattern: str) -> str:
     """A text that the pattern matches."""
     text = pattern.replace(r"\b", "").replace(".*", " x ").replace("(and )?", "and ").replace("(ging)?", "").replace("[- ]", "-")
-    return re.sub(r"(.)\?", r"\1", text)
+    return re.sub(r"(.)\?", r"\1", re.sub(r"\((\w+)\|\w+\)", r"\1", text))
 
 
 def test_inventory():

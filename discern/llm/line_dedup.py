@@ -77,7 +77,8 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
     lines = rows.select(F.xxhash64("line").alias("h"), "line").withColumns({"word": word, "bit": bit})
     near = lines.join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("h", "line")
-    return near.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    # copies of a common line are put together before the exchange
+    return near.groupBy("h").agg(F.min("line").alias("line")).join(wanted, "h", "left_semi")
 
 
 def similar_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:

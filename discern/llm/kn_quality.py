@@ -4,6 +4,8 @@ The model is over characters in CLASSES classes and of order four, so its table
 CLASSES**4 entries whatever the input: a proven bound, under which the count join is a
 broadcast. Counts of the trusted text are summed by sharded keys; every document's
 perplexity is looked up and held against a quantile of its language's trusted documents.
+Characters don't tell an insult from other prose, so words that go with the toxic label
+are counted too, and a document's worst passage of them is held against a limit.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import toxic
 from .common import binned_quantile, checkpointed, utf8
 
 CLASSES = 48
@@ -100,18 +103,21 @@ def fit(text: DataFrame) -> np.ndarray | None:
     return log_probabilities(counts)
 
 
-def score(docs: DataFrame, model: np.ndarray | None) -> DataFrame:
-    """docs' (doc_id, lang), perplexity (null for empty text, or without a model) and n, the characters scored."""
+def score(docs: DataFrame, model: np.ndarray | None, weights: dict[str, float] | None = None) -> DataFrame:
+    """docs' (doc_id, lang), perplexity (null for empty text, or without a model), n, the characters scored, and toxic_score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    heavy = {w.encode(): v for w, v in (weights or {}).items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp = shared.value
         for b in batches:
-            grams = [keys(t) for t in b.column(2).to_pylist()]
+            texts = b.column(2).to_pylist()
+            grams = [keys(t) for t in texts]
+            worst = [toxic.passage_score(toxic.words_of(t), heavy) if heavy else 0.0 for t in texts]
             out = [float(np.exp(-logp[k].mean())) if logp is not None and len(k) else None for k in grams]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64()), pa.array(list(map(len, grams)), pa.int64())], ["doc_id", "lang", "perplexity", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64()), pa.array(list(map(len, grams)), pa.int64()), pa.array(worst, pa.float64())], ["doc_id", "lang", "perplexity", "n", "toxic_score"])
 
-    return docs.select("doc_id", "lang", utf8("text").alias("t")).mapInArrow(run, "doc_id long, lang string, perplexity double, n long")
+    return docs.select("doc_id", "lang", utf8("text").alias("t")).mapInArrow(run, "doc_id long, lang string, perplexity double, n long, toxic_score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.5) -> DataFrame:
@@ -121,15 +127,16 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
     trusted documents, in steps of one hundredth of a log unit; languages without one,
     null included, take the threshold of all trusted documents. For a text of n
     characters it is higher by the factor exp(SHORT / sqrt(n)), as the mean over few
-    characters scatters. Empty or null text
+    characters scatters. A passage with more of the toxic label's words than the same
+    quantile of the trusted documents have isn't kept either. Empty or null text
     has no perplexity and isn't kept; without trusted text all other rows are. Rows
     that repeat a doc_id are scored each by its own text.
     """
     good = trusted(labels)
-    # the ids grow with the corpus, so this is a shuffled join whatever their number
-    texts = docs.select("doc_id", utf8("text").alias("t")).join(good.hint("merge"), "doc_id", "left_semi")
-    model = fit(texts)
-    scores = checkpointed(score(docs, model))
+    texts = toxic.labelled_texts(docs, labels)
+    model = fit(texts.where("good").select(utf8("text").alias("t")))
+    weights = toxic.lexicon(texts) if model is not None else {}
+    scores = checkpointed(score(docs, model, weights))
     known = scores.where("perplexity is not null").join(good, "doc_id", "left_semi")
     bins = known.groupBy("lang", F.round(F.ln("perplexity") / _BIN).alias("bin")).count().collect()
     by: dict[str | None, list] = {}
@@ -142,4 +149,6 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
         rest = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for k, v in sorted(limit.items()) for x in (k, v))), F.coalesce("lang", F.lit(""))), rest)
     empty = F.col("perplexity").isNull() & F.lit(model is not None)
     scatter = F.exp(F.lit(SHORT) / F.sqrt(F.greatest(F.col("n"), F.lit(1)).cast("double")))
-    return scores.select("doc_id", "lang", "perplexity", (rest * scatter).alias("threshold")).withColumn("kept", ~empty & (F.coalesce(F.col("perplexity"), F.lit(0.0)) <= F.col("threshold")))
+    clean = F.col("toxic_score") <= toxic.limit(scores, good, quantile) if weights else F.lit(True)
+    rows = scores.select("doc_id", "lang", "perplexity", (rest * scatter).alias("threshold"), clean.alias("clean"))
+    return rows.withColumn("kept", ~empty & F.col("clean") & (F.coalesce(F.col("perplexity"), F.lit(0.0)) <= F.col("threshold"))).drop("clean")

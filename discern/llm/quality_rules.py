@@ -2,7 +2,8 @@
 
 Words and word pairs fall into BUCKETS hash buckets. Two multinomials over these, one of
 trusted documents and one of the whole corpus, give each document the mean log ratio of
-its n-grams; a document is kept if that is not below what nearly all trusted ones have.
+its n-grams; a document is kept if that is not below what nearly all trusted ones have,
+and if no passage of it holds more of the toxic label's words than nearly all of theirs.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import toxic
 from .common import binned_quantile, checkpointed
 
 BUCKETS = 8192
@@ -87,10 +89,11 @@ def _repeated(windows: str, bits: str) -> Column:
     return F.sort_array(F.transform(found, lambda x: x.bitwiseAND(mask)))
 
 
-def statistics(docs: DataFrame, ratios: list[float] | None, *keep: str) -> DataFrame:
-    """The columns `keep` of docs, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and llr.
+def statistics(docs: DataFrame, ratios: list[float] | None, *keep: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """The columns `keep` of docs, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, toxic_score and llr.
 
-    llr is the mean log ratio of a text's words and word pairs (0 without a word).
+    llr is the mean log ratio of a text's words and word pairs (0 without a word),
+    toxic_score the worst passage by the weights of toxic.lexicon().
     Windows of up to 65,536 words compare by 48 hash bits or more, longer texts by two
     sets of bits.
     """
@@ -103,9 +106,10 @@ def statistics(docs: DataFrame, ratios: list[float] | None, *keep: str) -> DataF
         F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
+        toxic.passage_column(docs, F.col("t"), weights or {}).alias("toxic_score"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("wh"),
     )
-    base = [*keep, "n", "word_chars", "n_symbols", "n_dup_lines"]
+    base = [*keep, "n", "word_chars", "n_symbols", "n_dup_lines", "toxic_score"]
     rows = rows.select(*base, "wh", F.greatest(F.lit(1), F.ceil(F.log2(F.col("n") + 1))).cast("int").alias("bits"))
     if ratios is None:
         llr = F.lit(0.0)
@@ -118,18 +122,21 @@ def statistics(docs: DataFrame, ratios: list[float] | None, *keep: str) -> DataF
     rows = rows.select(*base, "llr", "p", F.when(F.col("win2").isNotNull(), _repeated("win2", "bits")).alias("p2"))
     rows = rows.select(*base, "llr", F.when(F.col("p2").isNull(), F.col("p")).otherwise(F.sort_array(F.array_intersect("p", "p2"))).alias("p"))
     covered = F.aggregate(F.transform("p", lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("p", i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda s, x: s + x)
-    return rows.select(*keep, F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "llr")
+    return rows.select(*keep, F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "toxic_score", "llr")
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.005, slack: float = 0.05) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept) for every row of docs.
 
     kept: not base_failed, and llr at least the `quantile` of the trusted documents'
-    llr less `slack`, in steps of a hundredth. Null text has no word; without trusted
-    text only the base rules decide; a null doc_id is never trusted.
+    llr less `slack`, in steps of a hundredth, and no passage with more of the toxic
+    label's words than all but the share `quantile` of the trusted documents have. Null
+    text has no word; without trusted text only the base rules decide; a null doc_id is
+    never trusted.
     """
     ratios = fit(docs, labels)
-    rows = checkpointed(statistics(docs, ratios, "doc_id"))
+    weights = toxic.lexicon(toxic.labelled_texts(docs, labels)) if ratios is not None else {}
+    rows = checkpointed(statistics(docs, ratios, "doc_id", weights=weights))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     limit = None
@@ -138,4 +145,6 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.005, slack: fl
         bins = scored.groupBy(F.floor(F.col("llr") / _BIN).alias("bin")).count().collect()
         limit = binned_quantile([(r["bin"] * _BIN, r["count"]) for r in bins], quantile)
     good = F.lit(True) if limit is None else F.col("llr") >= limit - slack
-    return rows.withColumn("kept", ~F.col("base_failed") & good)
+    if weights:
+        good = good & (F.col("toxic_score") <= toxic.limit(rows, trusted(labels), 1 - quantile))
+    return rows.withColumn("kept", ~F.col("base_failed") & good).drop("toxic_score")

@@ -1,0 +1,37 @@
+import random
+
+from discern.llm import span_dedup
+
+
+def prose(rng, n):
+    """n sentences of 3 to 20 words."""
+    return [" ".join(f"w{rng.randrange(10_000)}" for _ in range(rng.randrange(3, 21))) + "." for _ in range(n)]
+
+
+def test_three_short_sentences_of_a_passage_cut_inside_sentences(spark):
+    rng = random.Random(5)
+    shared = "tail one. Short two here. Three is short. Four ends it. head " + "w " * 3
+    rows = [(i, " ".join([*prose(rng, 4), f"Own{i} {shared.strip()} own{i}.", *prose(rng, 4)])) for i in range(2)]
+    rows.append((2, "a.\nb.\nc."))
+    rows.append((3, "x.\na.\nb.\nc."))
+    got = {r["doc_id"]: r for r in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["n_removed"] == got[2]["n_removed"] == 0
+    assert got[1]["n_removed"] == 3 and "Short two here." not in got[1]["text"]
+    assert got[3]["text"] == "x."
+
+
+def touched(n, seed):
+    """Share of n passages of 51 to 60 words, cut anywhere, of which the second copy loses a sentence."""
+    rng, hits = random.Random(seed), 0
+    for _ in range(n):
+        words = " ".join(prose(rng, 30)).split()
+        at = rng.randrange(100)
+        passage = " ".join(words[at : at + rng.randrange(51, 61)])
+        a, b = (" ".join([*prose(rng, 5), "begins", passage, "ends.", *prose(rng, 5)]).encode() for _ in range(2))
+        gone = {h for *_, h in span_dedup.runs(a, span_dedup.MIN_WORDS)[2]}
+        hits += span_dedup.cut(b, gone, span_dedup.MIN_WORDS)[2] > 0
+    return hits / n
+
+
+def test_share_of_planted_passages():
+    assert touched(1000, 6) >= 0.9

@@ -1,7 +1,7 @@
 """Licence scan over a positional index of rare tokens.
 
 Each template's rarest words, by how many documents hold them, are posted with their
-positions. A file's own rarest licence words are looked up there, and the postings vote
+positions. All of a file's words are looked up there, and the postings vote
 for a relative position of template and file; where enough of them agree, the template
 is laid over the file, and its mandatory key phrases and the share of its words that
 stand in place decide.
@@ -53,7 +53,7 @@ TEMPLATES = (
 )
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-RARE_WORDS = 8  # of each template and file
+RARE_WORDS = 8  # of each template
 LEAST_VOTES = 3
 LEAST_COVER = 0.7
 SLIP = 3  # words that postings may be out of step
@@ -125,10 +125,9 @@ def matches(ws: list[bytes], index: Index) -> list[tuple[str, float, int]]:
     own = index.postings.keys() & set(ws)
     if len(own) < 2:
         return []
-    rare = set(sorted(own, key=lambda w: (-index.weight[w], w))[: 4 * RARE_WORDS])
     votes: dict[int, Counter] = defaultdict(Counter)
     for at, w in enumerate(ws):
-        if w in rare:
+        if w in own:
             for k, i in index.postings[w]:
                 votes[k][at - i] += 1
     out = []

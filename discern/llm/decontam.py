@@ -9,6 +9,7 @@ longest common subsequence of words and a check of the item's answer words decid
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
@@ -130,13 +131,28 @@ def _sketch_batches(vocab: dict[bytes, int], idf: np.ndarray, omega: np.ndarray)
     return summed
 
 
+def needed_words(items: list[Item], vocab: dict[bytes, int], df: np.ndarray) -> list[int]:
+    """Ids of each item's rarest words that make up half of it."""
+    found = set()
+    for item in items:
+        n = Counter(item.words)
+        left = len(item.words) / 2
+        for w in sorted(n, key=lambda w: (df[vocab[w]], w)):
+            if left <= 0:
+                break
+            found.add(vocab[w])
+            left -= n[w]
+    return sorted(found)
+
+
 def build(docs: DataFrame, benchmark: DataFrame, rank: int = 56, oversample: int = 8, most_df: float = 0.2, least_cosine: float = 0.5, least_lcs: float = 0.65, most_items: int = 100_000, seed: int = 11) -> Index | None:
     """The index of the benchmark's items in a space that all of docs span.
 
     benchmark: item_id, text and, if it has one, answer. It is a reference set that the
     driver holds; more than most_items is an error, to be run in parts. Words in more
-    than the share most_df of all documents weigh nothing. Null and empty items are
-    left out; None without any item.
+    than the share most_df of all documents weigh nothing, but for an item's rarest ones
+    that make up half of it: an item that many documents hold stays searchable. Null and
+    empty items are left out; None without any item.
     """
     with_answer = "answer" in benchmark.columns
     rows = benchmark.where("text is not null").limit(most_items + 1).collect()
@@ -152,7 +168,9 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = 56, oversample: int
     df = np.zeros(len(vocab) + 1)
     df[seen["term"].to_numpy()] = seen["n"].to_numpy()
     idf = np.log(1 + (df[-1] + 1) / (df[:-1] + 1)).astype(np.float32)
-    idf[df[:-1] > max(most_df * df[-1], 5)] = 0
+    rare = df[:-1] <= max(most_df * df[-1], 5)
+    rare[needed_words(items, vocab, df)] = True
+    idf[~rare] = 0
     size = min(rank + oversample, len(vocab))
     omega = np.random.default_rng(seed).standard_normal((len(vocab), size)).astype(np.float32)
     schema = "term long, " + ", ".join(f"c{i} double" for i in range(size))

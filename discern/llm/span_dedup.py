@@ -1,7 +1,9 @@
 """Substring dedup: repeated runs of consecutive sentences go, but for the first.
 
 A run starts (or ends) at each sentence and takes as few sentences as hold MIN_WORDS
-words, so a repeated passage is covered from its first whole sentence to its last.
+words, so a repeated passage is covered from its first whole sentence to its last; each
+FEW sentences in a row are a run too, whatever their words, as a passage that begins and
+ends inside sentences may hold fewer.
 Runs are hashed and joined over all documents; a sentence is removed if a run that
 covers it also occurs in a document of smaller doc_id, or earlier in its own document.
 """
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import utf8
 
 MIN_WORDS = 30
+FEW = 3
 #: A sentence ends at a line break, at an ideographic full stop, or at blanks behind . ! or ?
 _BREAK = re.compile(rb"((?<=[.!?])[\x20\x09-\x0D]+|(?<=\xe3\x80\x82)|\n+)")
 _LAST_ID = (1 << 63) - 1
@@ -53,6 +56,8 @@ def runs(text: bytes, min_words: int) -> tuple[list[bytes], list[int], list[tupl
             start += 1
         if upto[j + 1] - upto[start] >= min_words and (start, j) not in own:
             spans.append((start, j))
+    own.update(spans)
+    spans += [x for i in range(n - FEW + 1) if (x := (i, i + FEW - 1)) not in own]
     spans.sort()
     return parts, places, [(i, j, xxhash.xxh3_64_intdigest(b" ".join(norm[i : j + 1])) - (1 << 63)) for i, j in spans]
 
@@ -105,7 +110,7 @@ def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     meet the count in a join that AQE can split. Runs meet by a 64-bit hash.
     """
     rows = docs.select(F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), utf8("text").alias("t"))
-    found = rows.where(F.length("t") >= 2 * min_words - 1).mapInArrow(_run_batches(min_words), "h long, id long")
+    found = rows.where(F.length("t") >= min(2 * min_words, 2 * FEW) - 1).mapInArrow(_run_batches(min_words), "h long, id long")
     shared = found.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "first")
     gone = found.join(shared, "h").where("id > first").groupBy("id").agg(F.collect_set("h").alias("gone"))
     full = docs.select("doc_id", utf8("text").alias("t"), F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id")).join(gone, "id", "left")

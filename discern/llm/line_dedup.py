@@ -3,10 +3,14 @@
 With a threshold of one edit, a line is cut into two segments, one of which a similar
 line of the same or the next length holds unchanged at a known place. Each line puts its
 segments into an index by (length, segment), and probes that of its own length and of
-the length below. Where many lines share a segment, the other half of each line is cut
-into holes of HOLE characters: the one edit lies in one of them, and what is left of
-and right of it must agree, so that the lines of a hot segment meet in small groups
-again. Candidates are verified by a banded edit distance, and linked lines form classes.
+the length below. Pairs that meet are verified by a banded bit-parallel edit distance.
+
+Where many lines share a segment, no pairs are made. The other half of each line is cut
+into holes of HOLE characters; the one edit lies in one of them, and what stands left and
+right of it must agree. Inside such a group, lines that are equal but for one character
+of the hole form a star, and a line meets the longer ones that are it with one character
+more. Both are found by keys of the hole without one character, so that there are at
+most HOLE + 1 links for each line and hole. Linked lines form classes.
 """
 
 from __future__ import annotations
@@ -18,19 +22,29 @@ from .common import checkpointed, saved
 from .components import connected_components
 
 LEAST_LENGTH = 24
+EDITS = 1
 HOT = 48
 HOLE = 8
 BITMAP_WORDS = 1 << 16
-_LAST_ID = (1 << 63) - 1
+
+
+def _row_key(id: Column, text: Column) -> Column:
+    """A row is known by its doc_id and text: rows that share an id stay apart, and so do rows without one."""
+    return F.xxhash64(id, text)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(id, pos, line): the distinct lines with a word of each row, by first place."""
+    """(row, id, pos, line): the distinct lines with a word of each row, by first place."""
     lines = F.array_distinct(F.split("text", "\n"))
-    rows = docs.select(F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), F.posexplode(lines).alias("pos", "line"))
+    rows = docs.select(_row_key(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").alias("id"), F.posexplode(lines).alias("pos", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
+def _place() -> Column:
+    """The order of occurrences: by doc_id (null last), row and place."""
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "pos")
+
+
 def _part(line: Column, start: Column, n: Column) -> Column:
     return F.substring(line, start, n)
 
@@ -49,24 +63,89 @@ _KINDS = {"k2": (0, 1), "k3": (1, 1), "k4": (0, 2), "k5": (1, 2)}
 
 
 def _holes() -> Column:
-    """Finer keys of a line for the segment that `kind` names, one for each hole in its other half."""
+    """(group, hole) for each hole in a line's other half than the segment that `kind` names."""
     n, role = F.length("line"), (F.col("kind") % 2).cast("int")
     length = n - role
     half = F.floor(length / 2).cast("int")
     first = F.col("kind") < 4
     lo = F.when(first, half).otherwise(F.lit(0))
     hi = F.when(first, length).otherwise(half)
-    starts = F.sequence(lo, F.greatest(lo, hi - 1), F.lit(HOLE))
-    return F.transform(starts, lambda a: F.xxhash64(F.col("key"), a, _part(F.col("line"), F.lit(1), a), _part(F.col("line"), F.least(a + HOLE, hi) + role + 1, n)))
+
+    def hole(a: Column) -> Column:
+        end = F.least(a + HOLE, hi) + role
+        group = F.xxhash64(F.col("key"), a, _part(F.col("line"), F.lit(1), a), _part(F.col("line"), end + 1, n))
+        return F.struct(group.alias("group"), _part(F.col("line"), a + 1, end - a).alias("hole"))
+
+    return F.transform(F.sequence(lo, F.greatest(lo, hi - 1), F.lit(HOLE)), hole)
+
+
+def _shortened() -> Column:
+    """(at, rest) for each character of the hole: its place and the hole without it."""
+    without = lambda d: F.concat(_part(F.col("hole"), F.lit(1), d - 1), _part(F.col("hole"), d + 1, F.length("hole")))
+    return F.transform(F.sequence(F.lit(1), F.length("hole")), lambda d: F.struct(d.alias("at"), without(d).alias("rest")))
+
+
+def _hot_links(hot: DataFrame) -> DataFrame:
+    """Links (a, b) inside hot segments, from rows of (h, key, kind, line); their number is in proportion to the rows."""
+    fine = hot.select("h", (F.col("kind") % 2).alias("role"), F.inline(_holes()))
+    roles = fine.groupBy("group").agg(F.count_if(F.col("role") == 0).alias("n0"), F.count_if(F.col("role") == 1).alias("n1"))
+    fine = checkpointed(fine.join(roles.where("n0 > 1 or n0 = 1 and n1 > 0"), "group").select("group", "role", "h", "hole", "n0"))
+    # another character in one place: all lines of a node are one edit apart
+    other = fine.where("role = 0 and n0 > 1").select("h", "group", F.inline(_shortened()))
+    other = other.select("h", F.xxhash64("group", "at", "rest").alias("node"))
+    least = other.groupBy("node").agg(F.min("h").alias("b"), F.count("*").alias("n")).where("n > 1").select("node", "b")
+    swapped = other.join(least, "node").where("h <> b").select(F.col("h").alias("a"), "b")
+    # one character more: the longer line without it is the shorter one
+    longer = fine.where("role = 1").select(F.col("h").alias("a"), "group", F.inline(_shortened())).select("a", F.xxhash64("group", "rest").alias("node"))
+    shorter = fine.where("role = 0").select(F.col("h").alias("b"), F.xxhash64("group", "hole").alias("node"))
+    return swapped.unionByName(longer.join(shorter, "node").select("a", "b"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) that share a key, b as an index row, from rows of (key, kind, h)."""
+    """(a, b) that share a key, b as an index row, from rows of (key, kind, h) of which at most HOT index rows share one."""
     index = rows.where("kind % 2 = 0").select("key", F.col("h").alias("b"))
     near = rows.select("key", "kind", F.col("h").alias("a")).join(index, "key")
     return near.where("a <> b and (kind % 2 = 1 or a > b)").select("a", "b")
 
 
+def within(x: str, y: str, edits: int = EDITS) -> Column:
+    """If two text columns are at most so many edits apart, by a banded bit-parallel edit distance.
+
+    A column of the distance table is kept for 2 * edits + 1 rows around the diagonal,
+    as bits for a rise and a fall between neighbouring rows. A character of y makes the
+    next column by a few operations on words; whether the cost rises on the diagonal
+    that ends in the last cell is one bit of each column.
+    """
+    width = 2 * edits + 1
+    mask = F.lit((1 << width) - 1).cast("long")
+    a, b = F.split(x, ""), F.split(y, "")
+    n, m = F.length(x), F.length(y)
+    left, right = (lambda v: F.shiftleft(v, 1).bitwiseAND(mask)), (lambda v: F.shiftrightunsigned(v, 1))
+
+    def step(s: Column, j: Column) -> Column:
+        same = [F.when(F.get(a, j - edits + k) == F.get(b, j), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(width)]
+        eq = F.get(F.transform(F.array(sum(same[1:], same[0])), lambda e: F.struct(e.alias("eq"), right(s["up"]).alias("up"), right(s["down"]).alias("down"))), F.lit(0))
+
+        def diagonal(q: Column) -> Column:
+            d0 = ((q["eq"].bitwiseAND(q["up"]) + q["up"]).bitwiseXOR(q["up"])).bitwiseOR(q["eq"]).bitwiseOR(q["down"]).bitwiseAND(mask)
+            return F.struct(d0.alias("d0"), q["up"].alias("up"), q["down"].alias("down"))
+
+        def advance(q: Column) -> Column:
+            rise = q["down"].bitwiseOR(F.bitwise_not(q["d0"].bitwiseOR(q["up"])).bitwiseAND(mask))
+            fall = q["d0"].bitwiseAND(q["up"])
+            up = left(fall).bitwiseOR(F.bitwise_not(q["d0"].bitwiseOR(left(rise))).bitwiseAND(mask))
+            down = q["d0"].bitwiseAND(left(rise))
+            end = F.call_function("shiftright", q["d0"], n - m + edits).bitwiseAND(F.lit(1).cast("long"))
+            return F.struct(up.alias("up"), down.alias("down"), (s["cost"] + 1 - end).alias("cost"))
+
+        return F.get(F.transform(F.transform(F.array(eq), diagonal), advance), F.lit(0))
+
+    # before the first column, rows from 1 on rise by one each
+    start = F.struct(F.lit(((1 << edits) - 1) << (edits + 1)).cast("long").alias("up"), F.lit(0).cast("long").alias("down"), F.greatest(n - m, F.lit(0)).cast("long").alias("cost"))
+    cost = F.aggregate(F.sequence(F.lit(0), m - 1), start, step, lambda s: s["cost"])
+    return F.when(F.abs(n - m) > edits, F.lit(False)).when(m == 0, n <= edits).otherwise(cost <= edits)
+
+
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, line) of the lines in wanted (h).
 
@@ -82,7 +161,7 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """Edges (a, b) between lines that one edit turns into each other.
+    """Links (a, b) that join the lines which single edits turn into each other.
 
     rows: all occurrences with their text; lines: the keys of each distinct line.
     """
@@ -94,47 +173,48 @@ def similar_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
     again = marked.where("hot").select("h", "key", "kind")
     wanted = cold.select(F.col("a").alias("h")).unionByName(cold.select(F.col("b").alias("h"))).unionByName(again.select("h")).distinct()
     texts = saved(_texts(rows, checkpointed(wanted)))
-    fine = _pairs(again.join(texts, "h").select("h", "kind", F.explode(_holes()).alias("key")))
-    pairs = cold.unionByName(fine).distinct()
     left, right = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(F.levenshtein("x", "y", 1) >= 0).select("a", "b")
+    near = cold.join(left, "a").join(right, "b").where(within("x", "y")).select("a", "b")
+    return near.unionByName(_hot_links(again.join(texts, "h")))
 
 
 def line_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (h, id, pos), and (h, first_id, first_pos) for each distinct line that recurs or has a similar one.
+    """Occurrences (h, row, id, pos), and (h, first) for each distinct line that recurs or has a similar one.
 
-    The latter names the first occurrence of the line's class. Text is read for the
-    keys and for the candidates; all else is numbers.
+    first is the place (row, pos) of the first occurrence of the line's class. Text is
+    read for the keys and for the candidates; all else is numbers.
     """
-    occurs = saved(rows.select(F.xxhash64("line").alias("h"), "id", "pos", *(_segment(*v).alias(k) for k, v in _KINDS.items())))
-    lines = saved(occurs.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"), *(F.min(k).alias(k) for k in _KINDS)))
+    occurs = saved(rows.select(F.xxhash64("line").alias("h"), "row", "id", "pos", *(_segment(*v).alias(k) for k, v in _KINDS.items())))
+    lines = saved(occurs.groupBy("h").agg(F.min(_place()).alias("place"), (F.min("row") < F.max("row")).alias("again"), *(F.min(k).alias(k) for k in _KINDS)))
     comps = connected_components(similar_lines(rows, lines)).withColumnRenamed("node", "h")
-    known = lines.select("h", "id", "last").join(comps, "h", "left").where("last > id or component is not null")
-    places = occurs.select("h", "id", "pos").join(known.select("h", "id", F.coalesce("component", "h").alias("class")), ["h", "id"])
-    best = places.groupBy("class").agg(F.min(F.struct("id", "pos")).alias("s"))
-    firsts = places.select("h", "class").distinct().join(best, "class").select("h", F.col("s.id").alias("first_id"), F.col("s.pos").alias("first_pos"))
-    return occurs.select("h", "id", "pos"), firsts
+    known = lines.select("h", "place", "again").join(comps, "h", "left").where("again or component is not null")
+    known = known.select("h", "place", F.coalesce("component", "h").alias("class"))
+    best = known.groupBy("class").agg(F.min("place").alias("first"))
+    return occurs.select("h", "row", "pos"), known.join(best, "class").select("h", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text without repeated lines, and n_lines and n_removed.
 
     A class is a line with all that single edits reach from it (lines under
-    LEAST_LENGTH characters: equal ones only); its first occurrence by doc_id and place
-    stays, and the others go, within a document too. Lines without a word stay. Null
-    text counts as empty (no line); null doc_ids come last; rows that share a doc_id
-    count as one document for order. Columns named n_lines or n_removed are replaced.
-    Lines meet by a 64-bit hash; text is compared in the verification.
+    LEAST_LENGTH characters: equal ones only); its first occurrence stays, and the
+    others go, within a document too. First is by doc_id, null ones last, then by a
+    hash of doc_id and text, then by place. Rows that share a doc_id, or have none,
+    are documents of their own; rows that are equal in doc_id and text count as one,
+    and each keeps what that one keeps. Lines without a word stay. Null text counts as
+    empty (no line, text ''). All other columns stay, whatever their names; columns
+    named n_lines or n_removed are replaced. An empty table gives an empty one. Lines
+    meet by 64-bit hashes; pairs that share a segment are verified on their text.
     """
     occurs, firsts = line_classes(_rows(docs))
-    gone = occurs.join(firsts, "h").where("id <> first_id or pos <> first_pos").groupBy("id").agg(F.collect_set("h").alias("__gone_lines"))
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "text")]
-    full = docs.withColumn("__line_key", F.coalesce("doc_id", F.lit(_LAST_ID))).join(gone.withColumnRenamed("id", "__line_key"), "__line_key", "left")
-    lines = F.when(F.coalesce("text", F.lit("")) != "", F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
-    full = full.select(*keep, "__gone_lines", lines.alias("__all_lines"))
+    gone = occurs.join(firsts, "h").where("row <> first_row or pos <> first_pos").groupBy("row").agg(F.collect_set("h").alias("gone"))
+    full = docs.select(_row_key(F.col("doc_id"), F.col("text")).alias("row"), F.struct("*").alias("doc")).join(gone, "row", "left")
+    text = F.coalesce(F.col("doc")["text"], F.lit(""))
+    full = full.select("doc", "gone", F.when(text != "", F.split(text, "\n")).otherwise(F.array().cast("array<string>")).alias("lines"))
     # blank lines get a number, so that the distinct others can be told from them
-    blank = F.transform("__all_lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), x).otherwise(F.concat(F.lit("\0"), i.cast("string"), F.lit("\0"), x)))
-    held = F.when(F.col("__gone_lines").isNull(), blank).otherwise(F.filter(blank, lambda x: ~F.array_contains("__gone_lines", F.xxhash64(x))))
-    full = full.select(*keep, F.size("__all_lines").cast("long").alias("n_lines"), F.array_distinct(held).alias("__kept_lines"))
-    text = F.array_join(F.transform("__kept_lines", lambda x: F.when(x.startswith("\0"), F.regexp_replace(x, "^\0[0-9]+\0", "")).otherwise(x)), "\n")
-    return full.select(*keep, text.alias("text"), "n_lines", (F.col("n_lines") - F.size("__kept_lines")).alias("n_removed"))
+    blank = F.transform("lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), x).otherwise(F.concat(F.lit("\0"), i.cast("string"), F.lit("\0"), x)))
+    held = F.when(F.col("gone").isNull(), blank).otherwise(F.filter(blank, lambda x: ~F.array_contains("gone", F.xxhash64(x))))
+    full = full.select("doc", F.size("lines").cast("long").alias("n"), F.array_distinct(held).alias("kept"))
+    text = F.array_join(F.transform("kept", lambda x: F.when(x.startswith("\0"), F.regexp_replace(x, "^\0[0-9]+\0", "")).otherwise(x)), "\n")
+    keep = [F.col("doc")[c].alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "text")]
+    return full.select(*keep, text.alias("text"), F.col("n").alias("n_lines"), (F.col("n") - F.size("kept")).alias("n_removed"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from discern.llm import line_dedup, span_dedup
 
@@ -84,6 +85,50 @@ def test_lines_edges(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [(1, 1, 2), (None, None, None)])
+def test_rows_that_share_an_id_or_have_none_lose_no_text(spark, ids):
+    other = LINE.replace("enough", "enaugh")
+    for texts in ((LINE, "x\n" + LINE, LINE), (LINE, "x\n" + LINE, other)):
+        rows = line_dedup.dedup_lines(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()
+        lines = [x for r in rows for x in r["text"].split("\n") if x]
+        assert len(rows) == 3 and sum(x in (LINE, other) for x in lines) in ((1,) if len(set(zip(ids, texts))) == 3 else (1, 2))
+        assert sorted(x for x in lines if len(x) == 1) == sorted(x for t in texts for x in t.split("\n") if len(x) == 1)
+
+
+def test_many_lines_of_one_hole_make_few_links(spark):
+    rng = random.Random(12)
+    holes = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice((7, 8)))) for _ in range(1500)]
+    lines = sorted({"the same words stand in front of it " + h + " and the same words stand behind it" for h in holes})
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    rows = line_dedup._rows(df)
+    keys = rows.select(F.xxhash64("line").alias("h"), *(line_dedup._segment(*v).alias(k) for k, v in line_dedup._KINDS.items()))
+    assert line_dedup.similar_lines(rows, keys).count() < 40 * len(lines)
+    assert run(df) == brute_lines([(i, x) for i, x in enumerate(lines)])
+
+
+def test_banded_distance(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    rng = random.Random(13)
+    pairs = [("", ""), ("a", ""), ("", "b"), ("ab", "ba"), ("é😀x", "é😀y")]
+    for _ in range(400):
+        a = [rng.choice("abé") for _ in range(rng.randrange(20))]
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice("abc") * rng.randrange(2)
+        pairs.append(("".join(a), "".join(b)))
+    for edits in (1, 2, 4):
+        got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", line_dedup.within("x", "y", edits).alias("near")).collect()
+        assert [r["near"] for r in got] == [distance(r["x"], r["y"]) <= edits for r in got]
+
+
 # ---- spans ----------------------------------------------------------------------------
 
 

@@ -61,3 +61,25 @@ def binned_quantile(bins: list[tuple[float, int]], q: float) -> float | None:
         if run >= q * total:
             return value
     return None
+
+
+def row_key(id: str, text: str) -> Column:
+    """A row is known by its id and text: rows that share an id stay apart, and so do rows without one."""
+    return F.xxhash64(id, text)
+
+
+def bit_of(h: Column) -> Column:
+    """The bit that the lowest six bits of a hash name."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def among(rows: DataFrame, key: str, known: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """rows without most of those whose key, a 64-bit hash, isn't in known (a column of that name).
+
+    known is broadcast as a bitmap of so many words, which can't grow: the more keys,
+    the fewer rows it drops.
+    """
+    word = F.pmod(F.shiftright(key, 6), F.lit(words))
+    bitmap = known.groupBy(word.alias("__word")).agg(F.bit_or(bit_of(F.col(key))).alias("__bits"))
+    near = rows.withColumn("__word", word).join(F.broadcast(bitmap), "__word")
+    return near.where(F.col("__bits").bitwiseAND(bit_of(F.col(key))) != 0).drop("__word", "__bits")

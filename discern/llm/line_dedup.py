@@ -18,25 +18,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, saved
+from .common import among, checkpointed, row_key, saved
 from .components import connected_components
 
 LEAST_LENGTH = 24
 EDITS = 1
 HOT = 48
 HOLE = 8
-BITMAP_WORDS = 1 << 16
-
-
-def _row_key(id: Column, text: Column) -> Column:
-    """A row is known by its doc_id and text: rows that share an id stay apart, and so do rows without one."""
-    return F.xxhash64(id, text)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     """(row, id, pos, line): the distinct lines with a word of each row, by first place."""
     lines = F.array_distinct(F.split("text", "\n"))
-    rows = docs.select(_row_key(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").alias("id"), F.posexplode(lines).alias("pos", "line"))
+    rows = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").alias("id"), F.posexplode(lines).alias("pos", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -147,16 +141,8 @@ def within(x: str, y: str, edits: int = EDITS) -> Column:
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, line) of the lines in wanted (h).
-
-    A bitmap of BITMAP_WORDS words, which is broadcast and can't grow, first drops
-    nearly all lines that aren't wanted, so that only the others are shuffled.
-    """
-    word, bit = F.pmod(F.shiftright("h", 6), F.lit(BITMAP_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    lines = rows.select(F.xxhash64("line").alias("h"), "line").withColumns({"word": word, "bit": bit})
-    near = lines.join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("h", "line")
-    # copies of a common line are put together before the exchange
+    """(h, line) of the lines in wanted (h); nearly all others are dropped before the exchange, and copies of a common line put together."""
+    near = among(rows.select(F.xxhash64("line").alias("h"), "line"), "h", wanted)
     return near.groupBy("h").agg(F.min("line").alias("line")).join(wanted, "h", "left_semi")
 
 
@@ -208,7 +194,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     occurs, firsts = line_classes(_rows(docs))
     gone = occurs.join(firsts, "h").where("row <> first_row or pos <> first_pos").groupBy("row").agg(F.collect_set("h").alias("gone"))
-    full = docs.select(_row_key(F.col("doc_id"), F.col("text")).alias("row"), F.struct("*").alias("doc")).join(gone, "row", "left")
+    full = docs.select(row_key("doc_id", "text").alias("row"), F.struct("*").alias("doc")).join(gone, "row", "left")
     text = F.coalesce(F.col("doc")["text"], F.lit(""))
     full = full.select("doc", "gone", F.when(text != "", F.split(text, "\n")).otherwise(F.array().cast("array<string>")).alias("lines"))
     # blank lines get a number, so that the distinct others can be told from them

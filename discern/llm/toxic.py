@@ -13,13 +13,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binned_quantile, checkpointed, saved
+from .common import among, binned_quantile, bit_of, checkpointed, saved
 
 PASSAGE = 20
 LEAST_DOCS = 5
 #: A word's G statistic exceeds that of the best of as many chance words by SURE.
 SURE = 10.0
-BITMAP_WORDS = 1 << 18
 _BIN = 0.01
 _SEPARATORS = bytes(c if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -34,25 +33,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.decode().lower().encode().translate(_SEPARATORS).split()
 
 
-def _bitmap(rows: DataFrame, key: str) -> DataFrame:
-    """(word, bits): a set of hashes, as a table that can't grow."""
-    return rows.groupBy(_place(key).alias("word")).agg(F.bit_or(_bit(F.col(key))).alias("bits"))
-
-
-def _place(key: str, size: int = BITMAP_WORDS) -> Column:
-    return F.pmod(F.shiftright(key, 6), F.lit(size))
-
-
-def _bit(h: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-
-
-def _among(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
-    """rows without most of those whose key isn't in known (a column of that name)."""
-    near = rows.withColumn("word", _place(key)).join(F.broadcast(_bitmap(known, key)), "word")
-    return near.where(F.col("bits").bitwiseAND(_bit(F.col(key))) != 0).drop("word", "bits")
-
-
 def labelled(labels: DataFrame) -> DataFrame:
     """(doc_id, good, toxic) of each document with a label; good ones have quality 1 and aren't toxic."""
     best = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
@@ -63,7 +43,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, good, toxic) of the labelled documents, kept in the shared folder; only they are shuffled."""
     known = labelled(labels)
     ids = known.select(F.xxhash64("doc_id").alias("id"))
-    own = _among(docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("id")), "id", ids)
+    own = among(docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("id")), "id", ids)
     # the ids grow with the corpus, so this is a shuffled join whatever their number
     return saved(own.drop("id").join(known.hint("merge"), "doc_id"))
 
@@ -87,7 +67,7 @@ def lexicon(texts: DataFrame) -> dict[str, float]:
     if not many:
         return {}
     other = split.where("not toxic").select(F.explode(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))).alias("h"))
-    counts = found.join(_among(other, "h", found.select("h")).groupBy("h").agg(F.count("*").alias("b")), "h", "left").select("v", "a", F.coalesce("b", F.lit(0)).alias("b"))
+    counts = found.join(among(other, "h", found.select("h")).groupBy("h").agg(F.count("*").alias("b")), "h", "left").select("v", "a", F.coalesce("b", F.lit(0)).alias("b"))
     share = F.lit(n_toxic / (n_toxic + n_other))
     both = F.col("a") + F.col("b")
     g = 2 * (F.col("a") * F.ln(F.col("a") / (both * share)) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / (both * (1 - share)))).otherwise(0.0))
@@ -120,7 +100,7 @@ def passage_column(docs: DataFrame, text: Column, weights: dict[str, float]) ->
     bits = [x - (1 << 64) if x >> 63 else x for x in bits]
     table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
     value = F.create_map(*(F.lit(x) for h, v in zip(hashes, weights.values()) for x in (h, v)))
-    near = lambda h: F.get(table, F.pmod(F.call_function("shiftright", h, F.lit(6)), F.lit(1024)).cast("int")).bitwiseAND(_bit(h)) != 0
+    near = lambda h: F.get(table, F.pmod(F.call_function("shiftright", h, F.lit(6)), F.lit(1024)).cast("int")).bitwiseAND(bit_of(h)) != 0
     hit = F.array_compact(F.transform(F.transform(words(text), lambda x: F.xxhash64(x)), lambda h, i: F.when(near(h), F.struct(i.alias("i"), h.alias("h")))))
     hit = F.transform(hit, lambda x: F.struct(x["i"].alias("i"), F.coalesce(F.try_element_at(value, x["h"]), F.lit(0.0)).alias("v")))
     # no more than PASSAGE hits stand in PASSAGE words

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from discern.llm import line_dedup, span_dedup
+from discern.llm import line_dedup
 
 LINE = "this line is long enough to count as one"
 
@@ -127,69 +127,3 @@ def test_banded_distance(spark):
     for edits in (1, 2, 4):
         got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", line_dedup.within("x", "y", edits).alias("near")).collect()
         assert [r["near"] for r in got] == [distance(r["x"], r["y"]) <= edits for r in got]
-
-
-# ---- spans ----------------------------------------------------------------------------
-
-
-def sentence(rng, n):
-    return " ".join(f"w{rng.randrange(10_000)}" for _ in range(n)) + "."
-
-
-def test_breaks_keep_the_text():
-    for text in (b"", b"a. b! c?\n\nd", "é。ü. x".encode(), b" \n a.b. "):
-        parts, places = span_dedup.sentences(text)
-        assert b"".join(parts) == text and all(parts[i].strip() for i in places)
-
-
-def test_runs_cover_every_long_passage():
-    rng = random.Random(10)
-    for _ in range(30):
-        passage = [sentence(rng, rng.randrange(1, 30)) for _ in range(rng.randrange(2, 9))]
-        if sum(len(s.split()) for s in passage) <= 60:
-            continue
-        text = " ".join([sentence(rng, 9), *passage, sentence(rng, 9)]).encode()
-        _, _, own = span_dedup.runs(" ".join(passage).encode(), span_dedup.MIN_WORDS)
-        _, places, all_runs = span_dedup.runs(text, span_dedup.MIN_WORDS)
-        shared = {h for *_, h in own}
-        covered = {k for i, j, h in all_runs if h in shared for k in range(i, j + 1)}
-        assert covered == set(range(1, len(places) - 1))
-
-
-@pytest.fixture(scope="module")
-def spans(spark):
-    rng = random.Random(11)
-    passage = " ".join(sentence(rng, 12) for _ in range(5))
-    other = [" ".join(sentence(rng, 10) for _ in range(6)) for _ in range(6)]
-    rows = [
-        (1, other[0] + "\n" + passage + "\n" + other[1]), (2, other[2] + " " + passage + " " + other[3]), (3, passage.upper()), (4, other[4]), (5, passage.rsplit(" ", 20)[0]),
-        (6, other[5] + "\n" + other[5]), (7, None), (8, ""), (None, passage), (9, "Short. " * 40), (9, "Short. " * 40), (4, other[4]),
-    ]
-    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'h' h", "1 id", "2 gone"), passage, other
-
-
-def test_spans(spans):
-    df, passage, other = spans
-    got = {}
-    for r in span_dedup.dedup_spans(df).collect():
-        got.setdefault(r["doc_id"], []).append(r)
-    assert got[1][0]["n_removed"] == 0 and passage in got[1][0]["text"]
-    assert got[2][0]["n_removed"] == 5 and got[2][0]["text"] == other[2] + " " + other[3]
-    assert got[3][0]["text"] == "" and got[None][0]["text"] == ""
-    assert got[4][0]["n_removed"] == got[4][1]["n_removed"] == 0
-    assert got[6][0]["n_removed"] == 6 and got[6][0]["text"] == other[5]
-    assert got[7][0]["text"] == got[8][0]["text"] == "" and got[7][0]["n_sentences"] == 0
-    assert len(got[9]) == 2
-    assert 0 < got[5][0]["n_removed"] <= 3
-
-
-def test_spans_against_brute_force(spans):
-    df, _, _ = spans
-    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in df.collect()]
-    first = {}
-    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        for *_, h in span_dedup.runs(t, span_dedup.MIN_WORDS)[2]:
-            first.setdefault(h, d)
-    want = sorted((str(d), span_dedup.cut(t, {h for h, f in first.items() if f != d}, span_dedup.MIN_WORDS)[0].decode()) for d, t in rows)
-    assert sorted((str(r["doc_id"]), r["text"]) for r in span_dedup.dedup_spans(df).collect()) == want
-    assert span_dedup.dedup_spans(df.limit(0)).count() == 0

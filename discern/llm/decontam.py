@@ -9,7 +9,6 @@ longest common subsequence of words and a check of the item's answer words decid
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
@@ -25,6 +24,9 @@ SEGMENT = 8  # words; windows are runs of segments
 LEAST_PART = 0.35
 LEAST_ANSWER = 0.5
 PASSAGE = 4  # segments in a passage of the decomposition
+SLICE = 1 << 20  # bytes of text worked on at a time
+GATHERED = 1 << 17  # words whose vectors are gathered at a time
+WINDOWS, ITEMS = 1 << 14, 1 << 11  # compared at a time
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -61,31 +63,45 @@ class Index:
     project: np.ndarray  # words x k: idf times right singular vectors
     latent: np.ndarray  # items x k, of length 1
     length: np.ndarray  # of each item, before
+    segments: np.ndarray  # of each item
     least_cosine: float
     least_lcs: float
 
 
-def _tokens(texts: list[bytes], vocab: dict[bytes, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-    """(word ids, segment of each, the texts' words, first segment of each text) of words that weigh something."""
+def _tokens(texts: list[bytes], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+    """(word ids, segment of each, the texts' words, first segment of each text), of words of the vocabulary."""
     split = [words(t) for t in texts]
     n = np.array([len(w) for w in split], np.int64)
     base = np.r_[0, np.cumsum(-(-n // SEGMENT))]
     ids = np.fromiter(map(vocab.get, chain.from_iterable(split), repeat(-1)), np.int32, int(n.sum()))
     place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
     seg = np.repeat(base[:-1], n) + place // SEGMENT
-    known = np.r_[idf > 0, False][ids]
+    known = ids >= 0
     return ids[known], seg[known], split, base
 
 
-def _summed(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by ascending group, as n rows."""
+def _summed(rows: np.ndarray, ids: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows that ids name by ascending group, as n rows; a bounded number is gathered at a time."""
     out = np.zeros((n, rows.shape[1]), np.float32)
-    if len(group):
-        at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        out[group[at]] = np.add.reduceat(rows, at, axis=0)
+    for lo in range(0, len(ids), GATHERED):
+        g = group[lo : lo + GATHERED]
+        at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        out[g[at]] += np.add.reduceat(rows[ids[lo : lo + GATHERED]], at, axis=0)
     return out
 
 
+def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of bounded size (or of one text)."""
+    lo = held = 0
+    for i, t in enumerate(texts):
+        if i > lo and held + len(t) > SLICE:
+            yield lo, i
+            lo, held = i, 0
+        held += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def _frequency_batches(vocab: dict[bytes, int]):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocab) + 1, np.int64)  # the last counts documents
@@ -122,37 +138,24 @@ def _sketch_batches(vocab: dict[bytes, int], idf: np.ndarray, omega: np.ndarray)
         total = np.zeros(omega.shape, np.float64)
         for b in batches:
             texts = b.column(0).to_pylist()
-            for lo in range(0, len(texts), 500):
-                ids, seg, _, _ = _tokens(texts[lo : lo + 500], vocab, idf)
-                total += _sketch(ids, seg // PASSAGE, idf, omega)
+            for lo, hi in _slices(texts):
+                ids, seg, _, _ = _tokens(texts[lo:hi], vocab)
+                for at in range(0, len(ids), GATHERED):
+                    total += _sketch(ids[at : at + GATHERED], seg[at : at + GATHERED] // PASSAGE, idf, omega)
         rows = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(total[rows, i]) for i in range(omega.shape[1]))], ["term", *names])
 
     return summed
 
 
-def needed_words(items: list[Item], vocab: dict[bytes, int], df: np.ndarray) -> list[int]:
-    """Ids of each item's rarest words that make up half of it."""
-    found = set()
-    for item in items:
-        n = Counter(item.words)
-        left = len(item.words) / 2
-        for w in sorted(n, key=lambda w: (df[vocab[w]], w)):
-            if left <= 0:
-                break
-            found.add(vocab[w])
-            left -= n[w]
-    return sorted(found)
-
-
-def build(docs: DataFrame, benchmark: DataFrame, rank: int = 56, oversample: int = 8, most_df: float = 0.2, least_cosine: float = 0.5, least_lcs: float = 0.65, most_items: int = 100_000, seed: int = 11) -> Index | None:
+def build(docs: DataFrame, benchmark: DataFrame, rank: int = 64, oversample: int = 16, least_cosine: float = 0.5, least_lcs: float = 0.65, most_items: int = 100_000, seed: int = 11) -> Index | None:
     """The index of the benchmark's items in a space that all of docs span.
 
     benchmark: item_id, text and, if it has one, answer. It is a reference set that the
-    driver holds; more than most_items is an error, to be run in parts. Words in more
-    than the share most_df of all documents weigh nothing, but for an item's rarest ones
-    that make up half of it: an item that many documents hold stays searchable. Null and
-    empty items are left out; None without any item.
+    driver holds; more than most_items is an error, to be run in parts. Each word of an
+    item keeps a weight above zero however many documents hold it, so an item stays
+    searchable if all of them do. Null and empty items are left out; None without any
+    item.
     """
     with_answer = "answer" in benchmark.columns
     rows = benchmark.where("text is not null").limit(most_items + 1).collect()
@@ -168,9 +171,6 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = 56, oversample: int
     df = np.zeros(len(vocab) + 1)
     df[seen["term"].to_numpy()] = seen["n"].to_numpy()
     idf = np.log(1 + (df[-1] + 1) / (df[:-1] + 1)).astype(np.float32)
-    rare = df[:-1] <= max(most_df * df[-1], 5)
-    rare[needed_words(items, vocab, df)] = True
-    idf[~rare] = 0
     size = min(rank + oversample, len(vocab))
     omega = np.random.default_rng(seed).standard_normal((len(vocab), size)).astype(np.float32)
     schema = "term long, " + ", ".join(f"c{i} double" for i in range(size))
@@ -179,21 +179,21 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = 56, oversample: int
     y[sums["term"].to_numpy()] = sums.drop(columns="term").to_numpy()
     flat = [(vocab[w], k) for k, i in enumerate(items) for w in i.words]
     ids, own = (np.array(x, np.int32) for x in zip(*flat))
-    use = idf[ids] > 0
-    mine = _sketch(ids[use], own[use], idf, omega).astype(np.float64)
+    mine = _sketch(ids, own, idf, omega).astype(np.float64)
     # the items take part with the same weight as all passages together, so that the space separates them
     y = y / max(np.linalg.norm(y), 1e-9) + mine / max(np.linalg.norm(mine), 1e-9)
     values, vectors = np.linalg.eigh((omega.T @ y + y.T @ omega) / 2)
     keep = values > 1e-9 * max(values.max(), 1e-12)
     u, _, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
     project = (idf[:, None] * u[:, :rank]).astype(np.float32)
-    latent = _summed(project[ids], own, len(items))
+    latent = _summed(project, ids, own, len(items))
     length = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
     latent /= length[:, None]
     for item in items:
         if not item.answer:  # without an answer of its own, an item is known by its rarest words
             item.answer = sorted(set(item.words), key=lambda w: (-idf[vocab[w]], w))[:6]
-    return Index(vocab, items, idf, project, latent, length, least_cosine, least_lcs)
+    segments = np.array([max(1, round(len(i.words) / SEGMENT)) for i in items])
+    return Index(vocab, items, idf, project, latent, length, segments, least_cosine, least_lcs)
 
 
 def verify(item: Item, region: list[bytes], least_lcs: float) -> tuple[float, float, bool]:
@@ -215,28 +215,28 @@ def verify(item: Item, region: list[bytes], least_lcs: float) -> tuple[float, fl
 
 def search(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, float, float, float, int, int]]:
     """(text, item, cosine, lcs, answer, first word, last word) of each leak; the best window of a pair."""
-    ids, seg, split, base = _tokens(texts, index.vocab, index.idf)
+    ids, seg, split, base = _tokens(texts, index.vocab)
     upto = np.zeros((base[-1] + 1, index.project.shape[1]), np.float32)
-    np.cumsum(_summed(index.project[ids], seg, int(base[-1])), axis=0, out=upto[1:])
-    lengths = np.array([max(1, round(len(i.words) / SEGMENT)) for i in index.items])
+    np.cumsum(_summed(index.project, ids, seg, int(base[-1])), axis=0, out=upto[1:])
     hits: dict[tuple[int, int], list] = {}
-    for m in np.unique(lengths):
-        which = np.flatnonzero(lengths == m)
-        for lo in range(0, int(base[-1]), 1 << 16):
-            start = np.arange(lo, min(lo + (1 << 16), int(base[-1])))
+    for m in np.unique(index.segments):
+        same = np.flatnonzero(index.segments == m)
+        for lo in range(0, int(base[-1]), WINDOWS):
+            start = np.arange(lo, min(lo + WINDOWS, int(base[-1])))
             window = upto[np.minimum(start + m, base[-1])] - upto[start]
             norm = np.linalg.norm(window, axis=1)
             some = np.flatnonzero(norm > 1e-3)
-            dot = window[some] @ index.latent[which].T
-            # a window that holds half an item reaches nearly half its length in its direction
-            a, b = np.nonzero((dot >= index.least_cosine * norm[some, None]) & (dot >= LEAST_PART * index.length[which]))
-            cosine = dot[a, b] / norm[some[a]]
-            at = start[some[a]]
-            first = np.searchsorted(base, at, side="right") - 1
-            last = np.searchsorted(base, np.minimum(at + m, base[-1]) - 1, side="right") - 1
-            for d0, d1, k, c, s in zip(first.tolist(), last.tolist(), which[b].tolist(), cosine.tolist(), at.tolist()):
-                for doc in range(d0, d1 + 1):  # a window may run over short texts
-                    hits.setdefault((doc, k), []).append((c, s, int(m)))
+            for which in (same[i : i + ITEMS] for i in range(0, len(same), ITEMS)):
+                dot = window[some] @ index.latent[which].T
+                # a window that holds half an item reaches nearly half its length in its direction
+                a, b = np.nonzero((dot >= index.least_cosine * norm[some, None]) & (dot >= LEAST_PART * index.length[which]))
+                cosine = dot[a, b] / norm[some[a]]
+                at = start[some[a]]
+                first = np.searchsorted(base, at, side="right") - 1
+                last = np.searchsorted(base, np.minimum(at + m, base[-1]) - 1, side="right") - 1
+                for d0, d1, k, c, s in zip(first.tolist(), last.tolist(), which[b].tolist(), cosine.tolist(), at.tolist()):
+                    for doc in range(d0, d1 + 1):  # a window may run over short texts
+                        hits.setdefault((doc, k), []).append((c, s, int(m)))
     for (doc, k), found in hits.items():
         item, best = index.items[k], None
         for cosine, s, m in sorted(found, reverse=True):
@@ -268,19 +268,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, index: Index | None = None
         own = index
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo in range(0, len(texts), 500):
-                rows = [(ids[lo + d], own.items[k].item_id, *rest) for d, k, *rest in search(texts[lo : lo + 500], own)]
+            for lo, hi in _slices(texts):
+                rows = [(ids[lo + d], own.items[k].item_id, *rest) for d, k, *rest in search(texts[lo:hi], own)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
     return docs.where("text is not null").select("doc_id", utf8("text").alias("t")).mapInArrow(run, schema)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, index: Index | None = None) -> DataFrame:
     """The rows of docs that hold no item of the benchmark, with all their columns.
 
-    Rows with a null doc_id are judged by a hash of their text.
+    Each row is judged by its own text, whatever its doc_id; null and empty texts stay,
+    and so do all rows without a benchmark item. Repeated rows are judged each. Text
+    isn't shuffled, and no column is added on the way, so none can clash.
     """
-    key = F.coalesce("doc_id", F.xxhash64("text"))
-    found = find_leaks(docs.withColumn("doc_id", key), benchmark).select(F.col("doc_id").alias("__leak_key")).distinct()
-    return docs.join(found, key == F.col("__leak_key"), "left_anti")
+    index = index or build(docs, benchmark)
+    if index is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index
+        for b in batches:
+            texts = [(t or "").encode() for t in b.column(at).to_pylist()]
+            keep = np.ones(len(texts), bool)
+            for lo, hi in _slices(texts):
+                keep[[lo + d for d, *_ in search(texts[lo:hi], own)]] = False
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

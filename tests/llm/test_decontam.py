@@ -65,16 +65,24 @@ def test_all_planted_leaks_and_no_other(tables):
 
 def test_filter(tables):
     docs, bench, truth = tables
-    kept = dc.without_leaks(docs.drop("__leak_key", "item_id"), bench)
+    kept = dc.without_leaks(docs, bench)
+    assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in truth}
-    assert {r["doc_id"] for r in dc.without_leaks(docs.drop("__leak_key"), bench).collect()} == {r["doc_id"] for r in kept.collect()}
+
+
+def test_rows_are_judged_not_ids(spark, tables):
+    _, bench, _ = tables
+    item = bench.where("item_id = 3").first()["text"]
+    clean = " ".join(prose(60))
+    docs = spark.createDataFrame([(1, item), (1, clean), (None, item), (None, clean), (None, None)], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in dc.without_leaks(docs, bench).collect()) == sorted([("1", clean), ("None", clean), ("None", "")])
 
 
 def test_empty(tables):
     docs, bench, _ = tables
     assert dc.find_leaks(docs, bench.limit(0)).count() == 0
     assert dc.find_leaks(docs.limit(0), bench).count() == 0
-    assert dc.without_leaks(docs.drop("__leak_key").limit(0), bench).count() == 0
+    assert dc.without_leaks(docs.limit(0), bench).count() == 0
 
 
 def test_too_many_items(tables):
@@ -91,3 +99,28 @@ def test_answers_decide_paraphrases(spark):
     assert dc.find_leaks(docs, bench).count() == 0
     told = docs.selectExpr("doc_id", "if(doc_id = 1, concat(text, ' alpha beta'), text) text")
     assert [r["doc_id"] for r in dc.find_leaks(told, bench).collect()] == [1]
+
+
+@pytest.mark.parametrize("replaced, least", [(0, 1.0), (6, 1.0), (4, 0.9)])
+def test_recall_of_paraphrases(spark, replaced, least):
+    rng = random.Random(20 + replaced)
+    items = [" ".join(prose(rng.randrange(20, 60), rng)) for _ in range(100)]
+    docs, truth = [], set()
+    for i, text in enumerate(items):
+        other = " ".join(w if not replaced or n % replaced else rng.choice(RARE) for n, w in enumerate(text.split(), 1))
+        docs.append((i, " ".join([*prose(rng.randrange(200), rng), other, *prose(rng.randrange(200), rng)])))
+        truth.add((i, i))
+    docs += [(100 + i, " ".join(prose(300, rng))) for i in range(100)]
+    got = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert len(got & truth) >= least * len(truth) and not got - truth
+
+
+def test_items_and_windows_in_blocks(spark, tables, monkeypatch):
+    docs, bench, _ = tables
+    index = dc.build(docs, bench)
+    texts = [(r["text"] or "").encode() for r in docs.collect()]
+    want = sorted(dc.search(texts, index))
+    for name, n in (("WINDOWS", 7), ("ITEMS", 2), ("GATHERED", 50)):
+        monkeypatch.setattr(dc, name, n)
+    got = sorted(dc.search(texts, index))
+    assert [(d, k) for d, k, *_ in got] == [(d, k) for d, k, *_ in want]

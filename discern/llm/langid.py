@@ -3,7 +3,8 @@
 A text is the set of its character 1-, 2- and 3-grams (a blended spectrum of n-gram
 presence). The kernel of two texts is the normalised number of grams they share. A few
 landmark texts span a Nyström approximation of it, in which one-versus-rest ridge
-regression is solved; a batch of texts is scored by two matrix products.
+regression is solved; a batch of texts is scored by two matrix products. Grams are
+hashed to BUCKETS, so grams of one bucket count as one.
 """
 
 from __future__ import annotations
@@ -65,19 +66,18 @@ class Model:
         return (presence(texts) @ self.landmarks.T) @ self.alpha
 
 
-def train(texts: list[str], langs: list[str], landmarks: int = 192, ridge: float = 1e-2) -> Model | None:
-    """One-versus-rest kernel ridge regression; landmarks are dealt evenly to the languages."""
+def train(rows: np.ndarray, langs: list[str], landmarks: int = 192, ridge: float = 1e-2) -> Model | None:
+    """One-versus-rest kernel ridge regression on rows of presence(); landmarks are dealt evenly to the languages."""
     labels = sorted(set(langs))
     if not labels:
         return None
     by = {x: [i for i, y in enumerate(langs) if y == x] for x in labels}
     chosen = sorted(i for x in labels for i in by[x][: max(1, landmarks // len(labels))])
-    phi = np.concatenate([presence(texts[i : i + _BATCH]) for i in range(0, len(texts), _BATCH)])
-    marks = phi[chosen]
+    marks = rows[chosen]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = np.c_[(phi @ marks.T) @ root]
+    z = np.c_[(rows @ marks.T) @ root]
     y = np.where(np.array(langs)[:, None] == np.array(labels), 1.0, -1.0)
     # rows weigh so that each language counts alike
     weight = np.array([1 / len(by[x]) for x in langs])[:, None]
@@ -85,25 +85,42 @@ def train(texts: list[str], langs: list[str], landmarks: int = 192, ridge: float
     return Model(labels, marks, (root @ w).astype(np.float32))
 
 
-def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
+def _presence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        for lo in range(0, len(texts), _BATCH):
+            use = [i for i in range(lo, min(lo + _BATCH, len(texts))) if _has_letter(texts[i])]
+            bits = np.packbits(presence([texts[i] for i in use]) > 0, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(use, pa.int64())), pa.array([x.tobytes() for x in bits], pa.binary())], ["place", "bits"])
+
+
+def fit(docs: DataFrame, per_language: int = 400, most_languages: int = 1000) -> Model | None:
     """Learns from text and non-null lang of the rows that held_out() leaves.
 
     The bound is on training documents: those of smallest hashed doc_id, at most
-    `per_language` for each language. None if no row has a language.
+    `per_language` for each language. The driver gets their grams, a bit for each bucket
+    (832 bytes) however long the text; more than most_languages is an error. None if no
+    row has a language.
     """
     rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().collect()
+    counts = rows.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not counts:
         return None
     place = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(2.0 * per_language / r["count"]))))
-    near = rows.where(place < F.try_element_at(share, F.col("lang"))).select("lang", "text", place.alias("p"), "doc_id")
+    near = rows.where(place < F.try_element_at(share, F.col("lang"))).select(F.struct("lang", place.alias("p"), "doc_id").alias("place"), "text")
+    found = near.mapInArrow(_presence_batches, "place struct<lang:string,p:double,doc_id:long>, bits binary")
     by: dict[str, list] = {}
-    for r in sorted(near.collect(), key=lambda r: (r["p"], r["doc_id"])):
-        if len(got := by.setdefault(r["lang"], [])) < per_language and _has_letter(r["text"]):
-            got.append(r["text"])
-    pairs = [(t, x) for x, ts in sorted(by.items()) for t in ts]
-    return train([t for t, _ in pairs], [x for _, x in pairs])
+    for r in sorted(found.collect(), key=lambda r: (r["place"]["p"], r["place"]["doc_id"], r["bits"])):
+        if len(got := by.setdefault(r["place"]["lang"], [])) < per_language:
+            got.append(r["bits"])
+    pairs = [(bits, x) for x, own in sorted(by.items()) for bits in own]
+    if not pairs:
+        return None
+    phi = np.unpackbits(np.frombuffer(b"".join(bits for bits, _ in pairs), np.uint8).reshape(len(pairs), -1), axis=1)[:, : sum(BUCKETS)].astype(np.float32)
+    return train(phi / np.sqrt(np.maximum(phi.sum(1, keepdims=True), 1)), [x for _, x in pairs])
 
 
 def held_out():

@@ -112,10 +112,12 @@ def base_places(ws: list[bytes], norm: bytes) -> list[tuple[int, str]]:
     for phrase, label in _BASE:
         p = b" ".join(phrase)
         at = norm.find(p)
+        word = upto = 0  # words in front of `upto`
         while at >= 0:
             end = at + len(p)
             if (at == 0 or norm[at - 1] == 32) and (end == len(norm) or norm[end] == 32):
-                found.append((norm.count(b" ", 0, at), label))
+                word, upto = word + norm.count(b" ", upto, at), at
+                found.append((word, label))
             at = norm.find(p, at + 1)
     return found
 
@@ -174,7 +176,7 @@ def scan(docs: DataFrame, index: Index | None = None) -> DataFrame:
 
     Null text counts as empty: no word, no label, score 0. score is 1 with a contract
     phrase, else the best share of a template's words in place. Repeated rows are
-    scanned each; only doc_id and text are read.
+    scanned each; only doc_id and text are read. An empty table gives an empty one.
     """
     index = index or fit(docs)
     return docs.select("doc_id", utf8("text").alias("t")).mapInArrow(scan_batches(index), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

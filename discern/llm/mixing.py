@@ -3,7 +3,7 @@
 The words of a source, in a fixed order of its documents, are one stream that is cut
 into blocks of equal length. A source's target is a number of slots, each slot being
 one block (or, for the very last slot, part of one). Multinomial draws deal the slots
-of all sources to output shards. Slot k of a source is slot k mod n of pass k div n
+of all sources to groups of output shards, and those of each group to its shards. Slot k of a source is slot k mod n of pass k div n
 over its n blocks, and a keyed permutation of 0..n-1, another for each pass, names the
 block; blocks and slots are then joined by index. Nothing is shuffled at random.
 """
@@ -24,7 +24,10 @@ from .common import WORD, checkpointed
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 BLOCK_WORDS = 256
-MOST_SHARDS = 50_000
+SHARD_SLOTS = 1 << 14
+SHARDS = 1 << 10  # of a group
+MOST_SOURCES = 100_000
+BUCKETS = 1 << 12  # whose words are summed up at a time
 
 
 @dataclass(frozen=True)
@@ -105,6 +108,19 @@ def draws(slots: list[int], shard_slots: int, seed: int) -> Iterator[tuple[int,
         left, at, shard = left - got, at + got, shard + 1
 
 
+def _shard_batches(shard_slots: int, seed: int):
+    """Deals the slots of each group of shards to the shards."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                own = draws(row["n"], shard_slots, seed + 1 + row["group"])
+                rows = [(row["group"] * SHARDS + shard, row["sid"][s], row["first"][s] + at, n) for shard, s, at, n in own]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["shard", "sid", "first", "n"])
+
+    return dealt
+
+
 def _slot_batches(sources: list[Source], block: int, seed: int):
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "sid", "slot", "block", "take"]
@@ -149,9 +165,12 @@ class Mix:
         ids = self.spark.createDataFrame([(i, s.name) for i, s in enumerate(self.sources)], "sid long, name string")
         docs = docs.join(F.broadcast(ids), F.col("source").eqNullSafe(F.col("name"))).drop("name")
         docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(self.buckets)))
-        sums = docs.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-        before = W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-        sums = sums.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+        sums = docs.groupBy("sid", "bucket").agg(F.sum("size").alias("words")).withColumn("range", F.floor(F.col("bucket") / BUCKETS))
+        # the words in front of a bucket: of the ranges before its own, and of the buckets before it in its range
+        before = lambda order, *by: F.coalesce(F.sum("words").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        ranges = sums.groupBy("sid", "range").agg(F.sum("words").alias("words")).select("sid", "range", before("range", "sid").alias("start"))
+        sums = sums.withColumn("inner", before("bucket", "sid", "range")).join(ranges, ["sid", "range"])
+        sums = sums.select("sid", "bucket", (F.col("start") + F.col("inner")).alias("base"))
         inside = W.partitionBy("sid", "bucket").orderBy("doc_id", "size", "h")
         docs = docs.withColumns({"rn": F.row_number().over(inside), "local": F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")})
         return docs.join(sums, ["sid", "bucket"]).withColumn("at", F.col("base") + F.col("local")).drop("base", "local")
@@ -162,25 +181,31 @@ class Mix:
         return F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / self.block), last)).otherwise(F.array().cast("array<bigint>"))
 
 
-def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = 1 << 14, seed: int = 17) -> Mix:
+def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 17) -> Mix:
     """The mix of docs (doc_id, source, text).
 
-    The driver holds a row for each source, and draws for at most MOST_SHARDS shards:
-    beyond that shards grow.
+    The driver holds a row for each source (more than MOST_SOURCES is an error) and, for
+    each group of SHARDS shards, one for each of its sources; tasks draw for the shards.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = checkpointed(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("h")))
-    sizes = {r["source"]: int(r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    counted = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(counted) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    sizes = {r["source"]: int(r["n"]) for r in counted}
     goal = targets(sizes)
     sources = []
     for name in sorted(sizes, key=lambda s: (s is None, s or "")):
         n, take = sizes[name], min(MOST_PASSES * sizes[name], round(goal[name]))
         sources.append(Source(name, n, goal[name], n // block_words, n % block_words, take // n if n else 0, take % n if n else 0))
     slots = [s.slots(block_words) for s in sources]
-    shard_slots = max(shard_slots, -(-sum(slots) // MOST_SHARDS))
-    rows = spark.createDataFrame(list(draws(slots, shard_slots, seed)), "shard long, sid long, first long, n long")
-    dealt = rows.repartition("shard", "sid").mapInArrow(_slot_batches(sources, block_words, seed), "shard long, sid long, slot long, block long, take long")
+    groups: dict[int, list] = {}
+    for group, *rest in draws(slots, shard_slots * SHARDS, seed):
+        groups.setdefault(group, []).append(rest)
+    rows = spark.createDataFrame([(g, *map(list, zip(*own))) for g, own in groups.items()], "group long, sid array<long>, first array<long>, n array<long>")
+    shards = rows.repartition("group").mapInArrow(_shard_batches(shard_slots, seed), "shard long, sid long, first long, n long")
+    dealt = shards.repartition("shard", "sid").mapInArrow(_slot_batches(sources, block_words, seed), "shard long, sid long, slot long, block long, take long")
     return Mix(spark, sources, sized, dealt, block_words, max(64, -(-sum(sizes.values()) // 1_000_000)))
 
 
@@ -229,6 +254,9 @@ def mixed_blocks(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """(shard, slot, source, doc_ids, n_words, text): the mix itself, a row for each slot.
 
     doc_ids names the documents of the block in order; text is their words, space-joined.
+    Null and wordless texts give nothing; a null source is a source of its own; rows
+    that repeat a doc_id are documents of their own; only doc_id, source and text are
+    read; an empty table gives no block.
     """
     mix = mix or plan(docs)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -237,7 +265,7 @@ def mixed_blocks(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     blocks = pieces.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", "piece"))).alias("p"))
     names = mix.spark.createDataFrame([(i, s.name) for i, s in enumerate(mix.sources)], "sid long, source string")
     text = F.concat_ws(" ", F.transform("p", lambda x: x["piece"].cast("string")))
-    out = mix.slots.join(blocks, ["sid", "block"]).join(F.broadcast(names), "sid")
+    out = mix.slots.hint("merge").join(blocks, ["sid", "block"]).join(F.broadcast(names), "sid")
     out = out.select("shard", "slot", "source", F.col("p.doc_id").alias("doc_ids"), F.col("take").alias("n_words"), text.alias("text"), F.regexp_count(text, F.lit(WORD)).alias("len"))
     cut = F.when(F.col("n_words") < F.col("len"), F.array_join(F.slice(F.split("text", " "), 1, F.col("n_words").cast("int")), " ")).otherwise(F.col("text"))
     return out.withColumn("text", cut).drop("len")

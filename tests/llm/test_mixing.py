@@ -75,6 +75,36 @@ def test_mixed_blocks_hold_what_is_taken(docs):
     assert ids <= {r["doc_id"] for r in rows}
 
 
+def test_each_document_is_taken_as_the_blocks_say(spark):
+    rng = random.Random(7)
+    rows = [(i if i % 5 else None, " ".join(f"d{i}w{k}" for k in range(rng.choice([0, 3, 50, 700]))), rng.choice(["a", "b", "c", None])) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.plan(df, block_words=32, shard_slots=8)
+    count = Counter(w.split("w")[0] for b in mixing.mixed_blocks(df, mix).collect() for w in b["text"].split())
+    took = sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in mixing.taken(df, mix).collect())
+    assert took == sorted((str(d), len(t.split()), count[f"d{i}"]) for i, (d, t, _) in enumerate(rows))
+
+
+def test_groups_of_shards_and_ranges_of_buckets(spark, docs, monkeypatch):
+    want = sorted((str(r["doc_id"]), r["size"], r["source_size"]) for r in mixing.taken(docs).collect())
+    for name, n in (("SHARDS", 3), ("BUCKETS", 5)):
+        monkeypatch.setattr(mixing, name, n)
+    mix = mixing.plan(docs, block_words=16, shard_slots=8)
+    slots = mix.slots.collect()
+    assert sorted((r["sid"], r["slot"]) for r in slots) == [(i, k) for i, s in enumerate(mix.sources) for k in range(s.slots(16))]
+    sizes = Counter(r["shard"] for r in slots)
+    assert max(sizes.values()) == 8 and len(sizes) == -(-len(slots) // 8)
+    at = sorted((r["sid"], r["at"], r["size"]) for r in mix.with_offsets(mix.sized).collect())
+    assert all(x[1] + x[2] == y[1] for x, y in zip(at, at[1:]) if x[0] == y[0])
+    assert sorted((str(r["doc_id"]), r["size"], r["source_size"]) for r in mixing.taken(docs, mix).collect()) == want
+
+
+def test_too_many_sources(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.plan(docs)
+
+
 def test_empty(spark, docs):
     assert mixing.taken(docs.limit(0)).count() == 0 and mixing.mixed_blocks(docs.limit(0)).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (None, "", None)], "doc_id long, text string, source string")

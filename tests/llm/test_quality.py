@@ -126,6 +126,24 @@ def test_presence_kernel():
     assert x[0] @ x[0] == pytest.approx(1) and x[0] @ x[1] > 0.6 and x[0] @ x[2] < 0.3 and not x[3].any()
 
 
+def test_nystroem_with_all_texts_as_landmarks_is_kernel_ridge_regression():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdef " if i % 3 else "efghij "), 40)) for i in range(36)]
+    langs = ["x" if i % 3 else "y" for i in range(36)]
+    x, new = langid.presence(texts).astype(float), langid.presence(["abcabc dd", "ghij hh"]).astype(float)
+    model = langid.train(x.astype(np.float32), langs, landmarks=72, ridge=0.1)
+    kernel, weight = x @ x.T, np.array([1 / langs.count(v) for v in langs])
+    y = np.where(np.array(langs)[:, None] == np.array(["x", "y"]), 1.0, -1.0)
+    dense = np.linalg.solve(np.diag(weight) @ kernel + 0.1 * weight.sum() / len(x) * np.eye(len(x)), weight[:, None] * y)
+    assert model.labels == ["x", "y"] and np.allclose(model.scores(["abcabc dd", "ghij hh"]), new @ x.T @ dense, atol=2e-3)
+
+
+def test_languages_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "text", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(docs, most_languages=3)
+
+
 def test_held_out_accuracy(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     langs = {r["doc_id"]: r["lang"] for r in docs.collect()}
@@ -192,3 +210,29 @@ def test_license_scan(spark):
         if r["doc_id"] in (103, 104, 105, 106, 107):
             assert r["labels"] == ""
     assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_licence_like_texts_that_are_none(spark):
+    """Templates without a key phrase, with their words in another order, or cut short give no label of theirs."""
+    rng = random.Random(14)
+    rows, base = [], set(license_scan.BASE.values())
+    for label, text, phrases in license_scan.TEMPLATES:
+        ws = [w.decode() for w in license_scan.words(text.encode())]
+        broken = " ".join(ws)
+        for p in phrases:
+            broken = broken.replace(p, p.split()[0])
+        mixed = rng.sample(ws, len(ws))
+        rows += [(label, broken), (label, " ".join(mixed)), (label, " ".join(ws[: len(ws) // 4]))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan(docs).collect()}
+    wrong = [(label, t) for i, (label, t) in enumerate(rows) if label in got[i] and label not in base]
+    assert not wrong
+
+
+def test_many_base_phrases_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    ws = license_scan.words(b"cc by nc " * 200_000)
+    found = license_scan.base_places(ws, b" ".join(ws))
+    assert len(found) == 200_000 and found[-1] == (599_997, "cc-by-nc") and time.perf_counter() - began < 10

@@ -15,6 +15,16 @@ CASES = {
     "scripts": (f"<article><script>var a='</p>'</script><style>p{{}}</style><!-- x --><p>{BODY}</p></article>", BODY.strip()),
     "no article": (f"<nav><a href=/>Home</a><a href=/x>About us</a></nav><div class=post><p>{BODY}</p><p>{BODY}</p></div><div class=sidebar>Links</div><footer>Foot</footer>", f"{BODY.strip()} {BODY.strip()}"),
     "cookie notice": (f"<div class='cookie-notice'>We use cookies on this site and so on</div><main><p>{BODY}</p><p>{BODY}</p></main>", f"{BODY.strip()} {BODY.strip()}"),
+    "box with a sidebar": (f"<div class='content has-sidebar no-sidebar'><p>{BODY}</p></div><div class='sidebar-left'>Links</div>", BODY.strip()),
+    "page-wide form": (f"<form id=aspnetForm><div><p>{BODY}</p><p>{BODY}</p></div></form>", f"{BODY.strip()} {BODY.strip()}"),
+    "not hidden": (f"<article><p title='hidden gems'>{BODY}</p><p data-hidden='false' id=share-price>{BODY}</p><p class=social-policy-text>{BODY}</p></article>", " ".join([BODY.strip()] * 3)),
+    "hidden": (f"<article><p>{BODY}</p><p hidden>One</p><p style='Display : None'>Two</p><p aria-hidden=true>Three</p></article>", BODY.strip()),
+    "comments": (f"<div><p>{BODY}</p><p>{BODY}</p></div><ol class=commentlist><li>Nice post</li></ol><div id='post-comments'>Yes</div>", f"{BODY.strip()} {BODY.strip()}"),
+    "halves around links": (f"<div><p>{BODY}{BODY}</p><ul>{'<li><a href=/x>See this</a></li>' * 6}</ul><p>{BODY}{BODY}</p></div>", f"{(BODY * 2).strip()} {' '.join(['See this'] * 6)} {(BODY * 2).strip()}"),
+    "list at the end": (f"<article><p>{BODY}</p><ul>{'<li>One</li>' * 9}</ul></article>", f"{BODY.strip()} {' '.join(['One'] * 9)}"),
+    "two articles": (f"<article><p>{BODY}</p></article><article><p>{BODY}{BODY}{BODY}</p></article>", (BODY * 3).strip()),
+    "tags without an end": (f"<article><p>{BODY}</p><p class='x'{BODY}</p></article>", BODY.strip()),
+    "quotes": (f"<article><p title=\"a > b\" data-x='<p>'>{BODY}</p></article>", BODY.strip()),
 }
 
 
@@ -30,23 +40,44 @@ def test_nothing_to_extract(page):
     assert isinstance(hx.extract(page, WEIGHTS), str)
 
 
-def test_best_region_is_the_best_contiguous_sum():
+def test_best_run_is_the_best_contiguous_sum():
     import itertools
     import random
 
     rng = random.Random(1)
     for _ in range(50):
-        tokens = [(True, 0, rng.choice(["p", "a", "li"]), True) if rng.random() < 0.5 else (False, 0, "w " * rng.randrange(1, 4), False) for _ in range(rng.randrange(1, 12))]
-        value = [-WEIGHTS.tags[t[2]] if t[0] else len(t[2].split()) for t in tokens]
+        page = hx.Page([(True, 0, rng.choice(["p", "a", "li"]), 0) if rng.random() < 0.5 else (False, 0, "w", rng.randrange(1, 4)) for _ in range(rng.randrange(1, 12))])
+        value = [-WEIGHTS.tags[t[2]] if t[0] else t[3] for t in page.tokens]
         best = max([sum(value[i : j + 1]) for i, j in itertools.combinations_with_replacement(range(len(value)), 2)])
-        got = hx._best_region(tokens, WEIGHTS)
+        got = hx.best_run(page, WEIGHTS, [False])
         assert (got is None) == (best <= 0) and (got is None or sum(value[got[0] : got[1] + 1]) == pytest.approx(best))
 
 
+WORDS = "word " * 50
+HARD = {
+    "deep": "<div>" * 100_000 + WORDS,
+    "deep inline": "<div><b>" * 50_000 + "</p>" * 50_000 + WORDS,
+    "tags without an end": WORDS + "<a x " * 200_000,
+    "quotes without an end": WORDS + "<a b=\"" * 200_000,
+    "mixed quotes": WORDS + "<a b='\"<a c=\"' " * 100_000,
+    "silent without an end": "<svg>word " * 100_000,
+    "comments without an end": WORDS + "<!-- x " * 100_000,
+    "end tags": "<b>" * 50_000 + "<p>" * 50_000 + "</i>" * 50_000 + WORDS,
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_hard_pages_take_linear_time(name):
+    import time
+
+    began = time.perf_counter()
+    assert "word" in hx.extract(HARD[name], WEIGHTS) and time.perf_counter() - began < 8
+
+
 def test_all_pages_of_the_table(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     w = hx.fit(pages)
-    assert w.tags["li"] > w.tags["p"] and w.word > 0
+    assert w.tags["li"] > w.tags["p"] and w.tags["article"] > w.tags["li"] and w.word > 0
     want = {}
     for r in pages.collect():
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]

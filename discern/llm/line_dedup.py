@@ -15,9 +15,12 @@ most HOLE + 1 links for each line and hole. Linked lines form classes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import let, with_computed
 from .common import among, checkpointed, row_key, saved
 from .components import connected_components
 
@@ -102,8 +105,8 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return near.where("a <> b and (kind % 2 = 1 or a > b)").select("a", "b")
 
 
-def within(x: str, y: str, edits: int = EDITS) -> Column:
-    """If two text columns are at most so many edits apart, by a banded bit-parallel edit distance.
+def within(pairs: DataFrame, x: str, y: str, edits: int = EDITS) -> DataFrame:
+    """The rows of pairs whose texts x and y are at most so many edits apart, by a banded bit-parallel edit distance.
 
     A column of the distance table is kept for 2 * edits + 1 rows around the diagonal,
     as bits for a rise and a fall between neighbouring rows. A character of y makes the
@@ -111,33 +114,33 @@ def within(x: str, y: str, edits: int = EDITS) -> Column:
     that ends in the last cell is one bit of each column.
     """
     width = 2 * edits + 1
-    mask = F.lit((1 << width) - 1).cast("long")
-    a, b = F.split(x, ""), F.split(y, "")
-    n, m = F.length(x), F.length(y)
+    mask, one, none = (F.lit(v).cast("long") for v in ((1 << width) - 1, 1, 0))
     left, right = (lambda v: F.shiftleft(v, 1).bitwiseAND(mask)), (lambda v: F.shiftrightunsigned(v, 1))
+    invert = lambda v: v.bitwiseXOR(mask)
 
-    def step(s: Column, j: Column) -> Column:
-        same = [F.when(F.get(a, j - edits + k) == F.get(b, j), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(width)]
-        eq = F.get(F.transform(F.array(sum(same[1:], same[0])), lambda e: F.struct(e.alias("eq"), right(s["up"]).alias("up"), right(s["down"]).alias("down"))), F.lit(0))
+    def equal(j: Column) -> Column:
+        bits = [F.when(F.get("a", j - edits + k) == F.get("b", j), F.lit(1 << k).cast("long")).otherwise(none) for k in range(width)]
+        return reduce(Column.bitwiseOR, bits)
 
+    def step(s: Column, eq: Column) -> Column:
         def diagonal(q: Column) -> Column:
-            d0 = ((q["eq"].bitwiseAND(q["up"]) + q["up"]).bitwiseXOR(q["up"])).bitwiseOR(q["eq"]).bitwiseOR(q["down"]).bitwiseAND(mask)
+            d0 = ((eq.bitwiseAND(q["up"]) + q["up"]).bitwiseXOR(q["up"])).bitwiseOR(eq).bitwiseOR(q["down"]).bitwiseAND(mask)
             return F.struct(d0.alias("d0"), q["up"].alias("up"), q["down"].alias("down"))
 
         def advance(q: Column) -> Column:
-            rise = q["down"].bitwiseOR(F.bitwise_not(q["d0"].bitwiseOR(q["up"])).bitwiseAND(mask))
-            fall = q["d0"].bitwiseAND(q["up"])
-            up = left(fall).bitwiseOR(F.bitwise_not(q["d0"].bitwiseOR(left(rise))).bitwiseAND(mask))
-            down = q["d0"].bitwiseAND(left(rise))
-            end = F.call_function("shiftright", q["d0"], n - m + edits).bitwiseAND(F.lit(1).cast("long"))
-            return F.struct(up.alias("up"), down.alias("down"), (s["cost"] + 1 - end).alias("cost"))
+            rise = left(q["down"].bitwiseOR(invert(q["d0"].bitwiseOR(q["up"]))))
+            up = left(q["d0"].bitwiseAND(q["up"])).bitwiseOR(invert(q["d0"].bitwiseOR(rise)))
+            end = F.call_function("shiftright", q["d0"], s["end"]).bitwiseAND(one)
+            return F.struct(up.alias("up"), q["d0"].bitwiseAND(rise).alias("down"), (s["cost"] + one - end).alias("cost"), s["end"].alias("end"))
 
-        return F.get(F.transform(F.transform(F.array(eq), diagonal), advance), F.lit(0))
+        return let(let(F.struct(right(s["up"]).alias("up"), right(s["down"]).alias("down")), diagonal), advance)
 
+    n, m = F.length(x), F.length(y)
+    rows = with_computed(pairs.where(F.abs(n - m) <= edits), {"a": F.split(x, ""), "b": F.split(y, "")})
+    rows = with_computed(rows, {"eq": F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), equal)).otherwise(F.array().cast("array<bigint>"))})
     # before the first column, rows from 1 on rise by one each
-    start = F.struct(F.lit(((1 << edits) - 1) << (edits + 1)).cast("long").alias("up"), F.lit(0).cast("long").alias("down"), F.greatest(n - m, F.lit(0)).cast("long").alias("cost"))
-    cost = F.aggregate(F.sequence(F.lit(0), m - 1), start, step, lambda s: s["cost"])
-    return F.when(F.abs(n - m) > edits, F.lit(False)).when(m == 0, n <= edits).otherwise(cost <= edits)
+    start = F.struct(F.lit(((1 << edits) - 1) << (edits + 1)).cast("long").alias("up"), none.alias("down"), F.greatest(n - m, F.lit(0)).cast("long").alias("cost"), (n - m + edits).alias("end"))
+    return rows.where(F.aggregate("eq", start, step, lambda s: s["cost"]) <= edits).drop("a", "b", "eq")
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -159,8 +162,9 @@ def similar_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
     again = marked.where("hot").select("h", "key", "kind")
     wanted = cold.select(F.col("a").alias("h")).unionByName(cold.select(F.col("b").alias("h"))).unionByName(again.select("h")).distinct()
     texts = saved(_texts(rows, checkpointed(wanted)))
-    left, right = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    near = cold.join(left, "a").join(right, "b").where(within("x", "y")).select("a", "b")
+    left, right = texts.select(F.col("h").alias("p"), F.col("line").alias("x")), texts.select(F.col("h").alias("q"), F.col("line").alias("y"))
+    met = cold.select(F.col("a").alias("p"), F.col("b").alias("q")).join(left, "p").join(right, "q")
+    near = within(met, "x", "y").select(F.col("p").alias("a"), F.col("q").alias("b"))
     return near.unionByName(_hot_links(again.join(texts, "h")))
 
 

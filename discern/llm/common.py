@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +84,15 @@ def among(rows: DataFrame, key: str, known: DataFrame, words: int = 1 << 18) ->
     bitmap = known.groupBy(word.alias("__word")).agg(F.bit_or(bit_of(F.col(key))).alias("__bits"))
     near = rows.withColumn("__word", word).join(F.broadcast(bitmap), "__word")
     return near.where(F.col("__bits").bitwiseAND(bit_of(F.col(key))) != 0).drop("__word", "__bits")
+
+
+def slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold `size` bytes at most (or one text)."""
+    lo = held = 0
+    for i, t in enumerate(texts):
+        if i > lo and held + len(t) > size:
+            yield lo, i
+            lo, held = i, 0
+        held += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)

@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import slices, utf8
 
 SEGMENT = 8  # words; windows are runs of segments
 LEAST_PART = 0.35
 LEAST_ANSWER = 0.5
 PASSAGE = 4  # segments in a passage of the decomposition
-SLICE = 1 << 20  # bytes of text worked on at a time
 GATHERED = 1 << 17  # words whose vectors are gathered at a time
 WINDOWS, ITEMS = 1 << 14, 1 << 11  # compared at a time
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -90,18 +89,6 @@ def _summed(rows: np.ndarray, ids: np.ndarray, group: np.ndarray, n: int) -> np.
     return out
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of bounded size (or of one text)."""
-    lo = held = 0
-    for i, t in enumerate(texts):
-        if i > lo and held + len(t) > SLICE:
-            yield lo, i
-            lo, held = i, 0
-        held += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def _frequency_batches(vocab: dict[bytes, int]):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocab) + 1, np.int64)  # the last counts documents
@@ -138,7 +125,7 @@ def _sketch_batches(vocab: dict[bytes, int], idf: np.ndarray, omega: np.ndarray)
         total = np.zeros(omega.shape, np.float64)
         for b in batches:
             texts = b.column(0).to_pylist()
-            for lo, hi in _slices(texts):
+            for lo, hi in slices(texts):
                 ids, seg, _, _ = _tokens(texts[lo:hi], vocab)
                 for at in range(0, len(ids), GATHERED):
                     total += _sketch(ids[at : at + GATHERED], seg[at : at + GATHERED] // PASSAGE, idf, omega)
@@ -268,7 +255,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, index: Index | None = None
         own = index
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in _slices(texts):
+            for lo, hi in slices(texts):
                 rows = [(ids[lo + d], own.items[k].item_id, *rest) for d, k, *rest in search(texts[lo:hi], own)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
@@ -293,7 +280,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, index: Index | None = N
         for b in batches:
             texts = [(t or "").encode() for t in b.column(at).to_pylist()]
             keep = np.ones(len(texts), bool)
-            for lo, hi in _slices(texts):
+            for lo, hi in slices(texts):
                 keep[[lo + d for d, *_ in search(texts[lo:hi], own)]] = False
             yield b.filter(pa.array(keep))
 

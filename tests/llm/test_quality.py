@@ -65,18 +65,15 @@ def test_llr_against_brute_force(spark, corpus):
     assert row["llr"] == pytest.approx(np.mean([ratios[h % quality_rules.BUCKETS] for h in (a, b, pair)]))
 
 
-def brute_kn(counts, gram):
-    """Probability of the last class of a gram, by the textbook recursion."""
+def brute_kn(counts):
+    """Probability of the last character of a gram, by the textbook recursion, from counts of strings of four."""
     tables = [counts]
     for _ in range(3):
-        below = Counter()
-        for g in tables[-1]:
-            below[g[1:]] += 1
-        tables.append(below)
+        tables.append(Counter(g[1:] for g in tables[-1]))
 
     def p(gram, level):
         if not gram:
-            return 1 / kn_quality.CLASSES
+            return 1 / (len(tables[-1]) + 1)
         c = tables[level]
         n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
@@ -89,22 +86,53 @@ def brute_kn(counts, gram):
         v = own.get(gram, 0)
         return ((v - off(v) if v else 0) + sum(map(off, own.values())) * p(gram[1:], level + 1)) / total
 
-    return p(gram, 0)
-
-
-def test_kneser_ney_against_recursion():
-    text = b"the tree and the river, the tree and a house. the house is under a tree " * 2 + b"xyz"
-    keys = kn_quality.keys(text)
-    counts = np.bincount(keys, minlength=kn_quality.CLASSES**4)
-    logp = kn_quality.log_probabilities(counts)
-    split = lambda k: tuple(int(k) // kn_quality.CLASSES**e % kn_quality.CLASSES for e in (3, 2, 1, 0))
-    sparse = Counter({split(k): int(counts[k]) for k in np.flatnonzero(counts)})
-    other = kn_quality.keys(b"the river is a xylophone 99 #")
-    for k in [*keys[:20], *other]:
-        assert np.exp(logp[k]) == pytest.approx(brute_kn(sparse, split(k)), rel=1e-4)
-    for context in (0, split(keys[5])[0]):
-        row = np.exp(logp.reshape(-1, kn_quality.CLASSES)[context])
-        assert row.sum() == pytest.approx(1, rel=1e-4)
+    return lambda gram: p(gram, 0)
+
+
+def grams_of(text):
+    text = "   " + re.sub(r"[\x00-\x20]+", " ", re.sub("[0-9]", "0", text.lower()))
+    text = "  " + text.lstrip(" ").rjust(len(text.lstrip(" ")) + 1) if text.startswith("    ") else text
+    return [text[i : i + 4] for i in range(len(text) - 3)]
+
+
+def packed(gram):
+    return int(np.array(sum(ord(x) << 16 * (3 - i) for i, x in enumerate(gram)), np.uint64).view(np.int64))
+
+
+KN_TEXT = "the tree and the river, the tree and a house. Дерево и река, дерево и дом. 森の木と川と家。 the house is under a tree 19 " * 2 + "xyz"
+
+
+def test_kneser_ney_against_recursion(spark):
+    other = "the river is a xylophone 99 #, дом у реки и 木の家 🌲"
+    counts = Counter(grams_of(KN_TEXT))
+    assert Counter(map(packed, counts.elements())) == Counter(kn_quality.keys(KN_TEXT.encode()).tolist())
+    wanted = {packed(g): g for g in [*counts, *grams_of(other.replace("🌲", ""))]}
+    table = kn_quality.gram_counts(spark.createDataFrame([(KN_TEXT.encode(),)], "t binary"))
+    rows = kn_quality.probabilities(table, spark.createDataFrame([(g,) for g in wanted], "g long")).collect()
+    brute = brute_kn(counts)
+    assert len(rows) == len(wanted)
+    for r in rows:
+        assert np.exp(r["logp"]) == pytest.approx(brute(wanted[r["g"]]), rel=1e-4)
+
+
+def test_both_ways_of_scoring_agree(spark):
+    texts = ["the house", "река и дом", "木", "", None, "the house", "🌲🌲 tree", "zzz " * 999]
+    docs = spark.createDataFrame([(i % 3 or None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    scored = kn_quality.fit(docs, spark.createDataFrame([(KN_TEXT.encode(),)], "t binary"))
+    a, b = (sorted((str(r["doc_id"]), r["n"], round(r["perplexity"] or 0, 6)) for r in kn_quality.score(docs, scored, most_broadcast=m).collect()) for m in (10**6, 0))
+    assert a == b and len(a) == len(texts)
+
+
+@pytest.mark.parametrize("words", [["дерево", "река", "дом", "утро", "под", "светлое", "идёт", "и", "в", "снег"], ["森林", "河流", "房子", "早上", "下面", "明亮", "走路", "和", "在", "雪"]])
+def test_other_scripts(spark, words):
+    """Letters in another order are told from words in scripts other than Latin."""
+    rng = random.Random(15)
+    blank = " " if len(words[0]) > 2 else ""
+    rows = [(i, blank.join(rng.choice(words) for _ in range(150)), "x") for i in range(60)]
+    rows += [(100 + i, "".join(rng.sample(rows[i][1], len(rows[i][1]))), "x") for i in range(20)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in kn_quality.classify(docs, labels).collect()}
+    assert all(kept[i] for i in range(60)) and not any(kept[100 + i] for i in range(20))
 
 
 def test_kn_classification(corpus):

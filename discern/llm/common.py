@@ -74,16 +74,18 @@ def bit_of(h: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def among(rows: DataFrame, key: str, known: DataFrame, words: int = 1 << 18) -> DataFrame:
+def among(rows: DataFrame, key: str, known: DataFrame, words: int = 1 << 18, certain: bool = True) -> DataFrame:
     """rows without most of those whose key, a 64-bit hash, isn't in known (a column of that name).
 
     known is broadcast as a bitmap of so many words, which can't grow: the more keys,
-    the fewer rows it drops.
+    the fewer rows it drops. With certain=False all rows stay, with a column hit that is
+    false if the key can't be in known.
     """
     word = F.pmod(F.shiftright(key, 6), F.lit(words))
     bitmap = known.groupBy(word.alias("__word")).agg(F.bit_or(bit_of(F.col(key))).alias("__bits"))
-    near = rows.withColumn("__word", word).join(F.broadcast(bitmap), "__word")
-    return near.where(F.col("__bits").bitwiseAND(bit_of(F.col(key))) != 0).drop("__word", "__bits")
+    near = rows.withColumn("__word", word).join(F.broadcast(bitmap), "__word", "inner" if certain else "left")
+    hit = F.coalesce(F.col("__bits").bitwiseAND(bit_of(F.col(key))) != 0, F.lit(False))
+    return (near.where(hit) if certain else near.withColumn("hit", hit)).drop("__word", "__bits")
 
 
 def slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:

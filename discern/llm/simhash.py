@@ -2,7 +2,8 @@
 
 Two fingerprints that differ in at most three bits agree in one of four 16-bit
 segments, so each distinct fingerprint is dealt to four buckets and every link
-shows up in one of them. Inside a bucket the fingerprints are sorted by Gray rank;
+shows up in one of them. A bucket with too many rows is dealt again, by four segments
+of the bits that are left, and so on. Inside a bucket the fingerprints are sorted by Gray rank;
 neighbours in that order share most bits, so a node of the index factors the bits
 that all below it share into one masked pattern. A search adds up a query's
 differences from the patterns on the way down and drops a whole group as soon as
@@ -20,11 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, utf8
+from .common import among, checkpointed, row_key, saved, slices, utf8
 from .components import connected_components
 
 SEED = 42
 FAN = 8
+PARTS = 4  # segments, one more than differing bits
+DEPTH = 4  # how often a bucket is dealt again at most
+SHINGLE, LEAST_SIMILARITY = 5, 0.8
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -40,13 +44,18 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles; 0 without a word."""
+def shingles(text: bytes, n: int) -> Iterator[bytes]:
+    """Runs of n words, A-Z lower-cased; of fewer words the whole sequence; none without a word."""
     words = text.lower().split()
-    if not words:
+    return map(b" ".join, zip(*(words[i:] for i in range(n)))) if len(words) >= n else iter([b" ".join(words)] if words else [])
+
+
+def fingerprint(text: bytes, shingle: int = 3, repeats: bool = True) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles, each as often as it occurs or once; 0 without a word."""
+    runs = shingles(text, shingle)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, runs if repeats else set(runs), repeat(SEED)), np.uint64)
+    if not len(h):
         return 0
-    runs = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(SEED)), np.uint64)
     return int(np.packbits(2 * _bit_counts(h) > len(h), bitorder="little").view(np.uint64)[0])
 
 
@@ -161,22 +170,53 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", utf8("text").alias("t")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
+def _dealt(rows: DataFrame, depth: int) -> DataFrame:
+    """rows (fp, k, rest) with a row for each segment of the bits that are left: k names the segments so far, rest has the others."""
+    bits = 64
+    for _ in range(depth):
+        bits -= -(-bits // PARTS)
+    width, out = -(-bits // PARTS), []
+    for i in range(PARTS):
+        lo, hi = i * width, min((i + 1) * width, bits)
+        own = F.shiftrightunsigned("rest", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+        low = F.col("rest").bitwiseAND(F.lit((1 << lo) - 1).cast("long"))
+        rest = low if hi == bits else low.bitwiseOR(F.shiftleft(F.shiftrightunsigned("rest", hi), lo))
+        out.append(F.struct(F.xxhash64("k", F.lit(i), own).alias("k"), rest.alias("rest")))
+    return rows.select("fp", F.explode(F.array(*out)).alias("x")).select("fp", "x.k", "x.rest")
+
+
+def _spread(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """Buckets (fp, k) that no dealing makes smaller: cut into salted parts, each pair of which is searched by its own group."""
+    parts = rows.groupBy("k").agg(F.ceil(F.count("*") / bucket_rows).cast("long").alias("c"))
+    rows = rows.join(parts, "k").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("c")))
+    rows = rows.select("k", "fp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("with"))
+    return rows.select(F.xxhash64("k", F.least("part", "with"), F.greatest("part", "with")).alias("g"), "fp")
+
+
 def links(fps: DataFrame, radius: int = 3, bucket_rows: int = 512) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints within the radius.
 
-    A bucket over bucket_rows is cut into c salted parts, and each pair of parts is
-    searched by its own group, so no group holds more than about twice that many.
+    A bucket over bucket_rows is dealt again: its rows differ in at most three of the
+    bits that are left, so they agree in one of four segments of these. A row stands in
+    at most 4**n buckets after n times, where random fingerprints are 2**16, 2**28,
+    2**37 and 2**44 buckets.
     """
-    if radius > 3:
-        raise ValueError("four segments find up to three differing bits")
-    keys = F.array(*(F.struct((F.lit(b << 16) + F.shiftrightunsigned("fp", 16 * b).bitwiseAND(F.lit(0xFFFF))).alias("k")) for b in range(4)))
-    rows = fps.select("fp").distinct().select("fp", F.explode(keys).alias("x")).select("fp", F.col("x.k").alias("k"))
-    big = rows.groupBy("k").count().where(F.col("count") > bucket_rows).select("k", F.ceil(F.col("count") / bucket_rows).cast("long").alias("c"))
-    rows = rows.join(big, "k", "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("c", F.lit(1))))
-    rows = rows.select("k", "fp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("c", F.lit(1)) - 1)).alias("with"))
-    group = F.shiftleft(F.col("k").cast("long"), 44) + F.shiftleft(F.least("part", "with"), 22) + F.greatest("part", "with")
-    dealt = rows.select(group.alias("g"), "fp").repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(_star_batches(radius), "a long, b long")
+    if radius >= PARTS:
+        raise ValueError(f"{PARTS} segments find up to {PARTS - 1} differing bits")
+    rows = _dealt(fps.select("fp").distinct().select("fp", F.lit(0).cast("long").alias("k"), F.col("fp").alias("rest")), 0)
+    groups = None
+    for depth in range(1, DEPTH + 1):
+        big = checkpointed(rows.groupBy("k").count().where(F.col("count") > bucket_rows).select("k"))
+        small = rows.join(big, "k", "left_anti").select(F.col("k").alias("g"), "fp")
+        groups = small if groups is None else groups.unionByName(small)
+        if big.isEmpty():
+            break
+        again = checkpointed(rows.join(big, "k", "left_semi").select("fp", "k", "rest"))
+        if depth == DEPTH:
+            groups = groups.unionByName(_spread(again, bucket_rows))
+        else:
+            rows = _dealt(again, depth)
+    return groups.repartition("g").sortWithinPartitions("g").mapInArrow(_star_batches(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
@@ -196,12 +236,63 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """docs without those that link to a document of smaller id.
+def similarity(a: bytes, b: bytes) -> float:
+    """Share of the distinct five-word shingles of two texts that both hold (1 for two texts without a word)."""
+    x, y = set(shingles(a, SHINGLE)), set(shingles(b, SHINGLE))
+    return len(x & y) / len(x | y) if x or y else 1.0
 
-    Rows that repeat a kept doc_id and its text stay once; rows with a null doc_id all
-    stay, as nothing tells them apart.
+
+def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fp = np.array([fingerprint(t, 1, repeats=False) for t in b.column(2).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(fp.view(np.int64))], ["row", "id", "h", "fp"])
+
+
+def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        near = [similarity(x, y) >= LEAST_SIMILARITY for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
+def similar_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (a, b) between distinct texts, from texts (h, fp): one star for each linked group of a bucket."""
+    reps = checkpointed(texts.groupBy("fp").agg(F.min("h").alias("rep")))
+    same = texts.join(reps, "fp").where("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b"))
+    of = lambda x: reps.select(F.col("fp").alias(x), F.col("rep").alias("rep_" + x))
+    near = links(reps).distinct().join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    edges = checkpointed(same.unionByName(near))
+    nodes = checkpointed(edges.select(F.col("a").alias("h")).unionByName(edges.select(F.col("b").alias("h"))).distinct())
+    bodies = docs.select(F.xxhash64(utf8("text")).alias("h"), utf8("text").alias("t"))
+    bodies = saved(among(bodies, "h", nodes).join(nodes, "h", "left_semi").groupBy("h").agg(F.first("t").alias("t")))
+    met = edges.join(bodies.withColumnsRenamed({"h": "a", "t": "x"}), "a").join(bodies.withColumnsRenamed({"h": "b", "t": "y"}), "b")
+    return met.select("a", "b", "x", "y").mapInArrow(_similar_batches, "a long, b long")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs but for copies and near copies of an earlier one, with all their columns.
+
+    Near copies have LEAST_SIMILARITY of their distinct five-word shingles in common.
+    They are looked for by SimHashes of their distinct words, which changes of single
+    words move least, within three bits; so not all of them are found, but whatever goes
+    is equal to, or linked by verified pairs with, the row that stays. That is the first by doc_id,
+    null last, then by a hash of doc_id and text. Rows that are equal in doc_id and text
+    are copies of each other. Null text counts as empty; empty texts are copies. An
+    empty table gives an empty one.
     """
-    kept = near_duplicates(docs, radius).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(docs.where("doc_id is null"))
+    key = row_key("doc_id", "text")
+    rows = docs.select(key.alias("row"), F.col("doc_id").alias("id"), utf8("text").alias("t"), F.xxhash64(utf8("text")).alias("h"))
+    rows = checkpointed(rows.mapInArrow(_word_batches, "row long, id long, h long, fp long"))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    texts = checkpointed(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.min(place).alias("place")))
+    comps = connected_components(similar_texts(docs, texts)).withColumnRenamed("node", "h")
+    classes = texts.select("h", "place").join(comps, "h", "left").groupBy(F.coalesce("component", "h").alias("class")).agg(F.min("place").alias("place"))
+    stays = classes.select(F.col("place.row").alias("row"), F.lit(True).alias("stays"))
+    keys = rows.groupBy("row").count().join(stays, "row", "left")
+    # rows that go, and rows of which one stays; all others aren't shuffled
+    special = checkpointed(keys.where("stays is null or count > 1").select("row", F.coalesce("stays", F.lit(False)).alias("stays")))
+    full = docs.select(key.alias("row"), F.struct("*").alias("doc"))
+    hit = among(full, "row", special, certain=False)
+    there = hit.where("hit").join(special, "row", "left")
+    once = there.where("stays").groupBy("row").agg(F.first("doc").alias("doc")).select("doc")
+    left = hit.where("not hit").select("doc").unionByName(there.where("stays is null").select("doc")).unionByName(once)
+    return left.select(*(F.col("doc")[c].alias(c) for c in docs.columns))

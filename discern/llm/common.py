@@ -42,11 +42,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """As checkpointed(), but as a compressed columnar table (for wide rows)."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a compressed columnar table in the shared folder, and its path; cuts the lineage."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """As checkpointed(), but as a compressed columnar table (for wide rows)."""
+    return written(df)[0]
+
+
+def emptied(spark: SparkSession, path: str) -> None:
+    """Frees a written table that nothing reads any more; its folder stays, with no row."""
+    spark.createDataFrame([], "none int").write.mode("overwrite").parquet(path)
 
 
 def utf8(text: str) -> Column:

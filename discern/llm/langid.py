@@ -157,6 +157,30 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select(*keep).mapInArrow(run, schema)
 
 
+def recognised(docs: DataFrame, model: Model | None = None, languages: list[str] | None = None) -> DataFrame:
+    """docs in one of `languages` (default: any that was learned), with the predicted language as lang.
+
+    Null texts and texts without a letter are in none and go. Where there was nothing to
+    learn from, nothing is predicted and all rows stay as they are. Repeated rows are
+    judged each; other columns stay, whatever their names.
+    """
+    model = model or fit(docs)
+    if model is None:
+        return docs
+    names = docs.columns
+    at, to = names.index("text"), names.index("lang")
+    wanted = set(model.labels if languages is None else languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, _ = predict_texts(model, b.column(at).to_pylist())
+            columns = list(b.columns)
+            columns[to] = pa.array(langs, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([x in wanted for x in langs]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predictions(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs; only doc_id and text are read."""
     model = model or fit(docs)

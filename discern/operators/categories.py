@@ -14,13 +14,13 @@ def _shown(text: Text) -> Column:
     return F.array_compact(F.array(*(F.when(text.any(patterns), F.lit(key)) for key, patterns in rules.CATEGORIES.items())))
 
 
-def with_categories(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with data_collected and data_evidence, maps from each category in order, found in a text column.
+def with_categories(docs: DataFrame, sentences: str) -> DataFrame:
+    """docs with data_collected and data_evidence, maps from each category in order, found in an array column of sentences.
 
     Evidence is the first sentences in document order, not made distinct. All of it
     happens inside the row: no shuffle, no join.
     """
-    shown = F.transform(sentences(F.col(text)), lambda s: F.struct(s.alias("sentence"), evaluated(s, _shown).alias("keys")))
+    shown = F.transform(sentences, lambda s: F.struct(s.alias("sentence"), evaluated(s, _shown).alias("keys")))
     rows = with_computed(docs, {"__shown": F.filter(shown, lambda x: F.size(x["keys"]) > 0)})
 
     def first(key: str) -> Column:
@@ -33,4 +33,5 @@ def with_categories(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def categories(docs: DataFrame) -> DataFrame:
     """(doc_id, data_collected, data_evidence) of docs (doc_id, text)."""
-    return with_categories(docs.select("doc_id", "text")).select("doc_id", "data_collected", "data_evidence")
+    rows = with_computed(docs.select("doc_id", "text"), {"__sentences": sentences(F.col("text"))})
+    return with_categories(rows, "__sentences").select("doc_id", "data_collected", "data_evidence")

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.patterns import Text, evaluated, needed_words, with_computed
+from ..functions.patterns import Text, evaluated, let, needed_words, with_computed
 from ..functions.text import chunks, distinct_evidence, marked_chunks, sentences, shorten
 
 FINDING = "array<struct<category:string,title:string,summary:string,confidence:string,severity:string,score:int,evidence:array<string>,count_as_risk:boolean,source_key:string>>"
@@ -31,17 +31,31 @@ def unit_rows(docs: DataFrame) -> DataFrame:
 RULE_WORDS = needed_words([*(p for r in rules.FINDINGS for p in (*r.strong, *r.medium)), *rules.AD_TECH])
 
 
-def rule_units(docs: DataFrame) -> DataFrame:
-    """The rows of unit_rows() that any rule can match, found by the words of their sentences.
+def _has_rule_word(sentence: Column) -> Column:
+    return let(F.lower(sentence), lambda low: reduce(or_, (F.contains(low, F.lit(w)) for w in RULE_WORDS)))
+
+
+def _rule_units(sentences: str, marks: str) -> Column:
+    """(ord, unit) of the chunks that any rule can match, found by the words of their sentences.
 
     A sentence stands in up to six units and is looked through once; the words hold no
     blank, so that none can arise where two sentences meet.
     """
-    split = docs.select("doc_id", sentences(F.col("text")).alias("s"))
-    marks = F.transform(F.transform("s", F.lower), lambda low: reduce(or_, (F.contains(low, F.lit(w)) for w in RULE_WORDS)))
-    split = with_computed(split, {"marks": marks}).where(F.exists("marks", lambda m: m))
-    rows = split.select("doc_id", F.posexplode(marked_chunks("s", "marks")).alias("ord", "unit"))
-    return rows.where(F.col("unit").startswith("1")).select("doc_id", "ord", F.expr("substring(unit, 2)").alias("unit"))
+    numbered = F.transform(marked_chunks(sentences, marks), lambda u, i: F.struct(i.alias("ord"), u.alias("unit")))
+    units = F.transform(F.filter(numbered, lambda x: x["unit"].startswith("1")), lambda x: x.withField("unit", F.substring(x["unit"], 2, 1 << 30)))
+    return F.when(F.exists(marks, lambda m: m), units).otherwise(F.array().cast("array<struct<ord:int,unit:string>>"))
+
+
+def with_units(docs: DataFrame, sentences: str) -> DataFrame:
+    """docs with rule_units, made from an array column of sentences."""
+    rows = with_computed(docs, {"__marks": F.transform(sentences, _has_rule_word)})
+    return with_computed(rows, {"rule_units": _rule_units(sentences, "__marks")}).drop("__marks")
+
+
+def rule_units(docs: DataFrame) -> DataFrame:
+    """The rows of unit_rows() that any rule can match."""
+    rows = with_units(docs.select("doc_id", sentences(F.col("text")).alias("s")), "s")
+    return rows.select("doc_id", F.inline("rule_units"))
 
 
 def context(text: Text) -> dict[str, Column]:
@@ -68,32 +82,36 @@ def _detail(k: int, rule: rules.FindingRule, text: Text) -> Column:
     return F.struct(F.lit(k).alias("rule_ord"), text.count(rule.strong).alias("strong_hits"), text.count(rule.medium).alias("medium_hits"), text.any(rule.negations).alias("own_negation"))
 
 
-def matches(units: DataFrame) -> DataFrame:
-    """(doc_id, rule_ord, ord, unit, strong_hits, medium_hits, ad_tech_hits, negated, permission_limited, safe_context, score).
+def matched(unit: Column) -> Column:
+    """(rule_ord, strong_hits, medium_hits, ad_tech_hits, negated, permission_limited, safe_context, score) of each rule with a score above 0 in a unit.
 
-    A row for each rule and unit (doc_id, ord, unit) with a score above 0. Each pattern
-    is tested once a unit, in one projection; no join of rules and units takes place.
+    Each pattern is tested once a unit; no join of rules and units takes place.
     """
+    tracking, sharing = (next(k for k, r in enumerate(rules.FINDINGS) if r.category == c) for c in ("tracking", "sharing"))
 
     def tests(text: Text) -> Column:
         details = F.array(*(_detail(k, r, text) for k, r in enumerate(rules.FINDINGS)))
         return F.struct(details.alias("details"), *(c.alias(k) for k, c in context(text).items()))
 
+    def scored(d: Column, t: Column) -> Column:
+        score = 4 * d["strong_hits"] + 2 * d["medium_hits"] + F.when(t["ad_tech"], 3).otherwise(0)
+        score -= F.when(d["own_negation"], 5).when(t["negation"] & (d["strong_hits"] == 0), 2).otherwise(0)
+        score -= F.when(t["permission_limited"], 2).otherwise(0)
+        score -= F.when(t["safe_context"] & (d["rule_ord"] == tracking), 3).when(t["safe_context"] & (d["rule_ord"] == sharing), 1).otherwise(0)
+        kept = [d[c].alias(c) for c in ("rule_ord", "strong_hits", "medium_hits")] + [t["ad_tech"].cast("int").alias("ad_tech_hits")]
+        flags = [t[c].alias(c) for c in ("permission_limited", "safe_context")]
+        return let(score, lambda n: F.struct(*kept, (d["own_negation"] | (t["negation"] & (n <= 2))).alias("negated"), *flags, n.alias("score")))
+
     def found(t: Column) -> Column:
         some = F.filter(t["details"], lambda d: (d["strong_hits"] > 0) | (d["medium_hits"] > 0) | t["ad_tech"])
-        flags = ("negation", "permission_limited", "safe_context")
-        return F.transform(some, lambda d: F.struct(*(d[c].alias(c) for c in ("rule_ord", "strong_hits", "medium_hits", "own_negation")), *(t[c].alias(c) for c in flags), t["ad_tech"].cast("int").alias("ad_tech_hits")))
+        return F.filter(F.transform(some, lambda d: scored(d, t)), lambda x: x["score"] > 0)
 
-    # one generator: a filter on the outcome would be pushed down and test every pattern again
-    rows = units.select("doc_id", "ord", "unit", F.inline(F.flatten(F.transform(F.array(evaluated(F.col("unit"), tests)), found))))
-    tracking, sharing = (next(k for k, r in enumerate(rules.FINDINGS) if r.category == c) for c in ("tracking", "sharing"))
-    score = 4 * F.col("strong_hits") + 2 * F.col("medium_hits") + 3 * F.col("ad_tech_hits")
-    score -= F.when(F.col("own_negation"), 5).when(F.col("negation") & (F.col("strong_hits") == 0), 2).otherwise(0)
-    score -= F.when(F.col("permission_limited"), 2).otherwise(0)
-    score -= F.when(F.col("safe_context") & (F.col("rule_ord") == tracking), 3).when(F.col("safe_context") & (F.col("rule_ord") == sharing), 1).otherwise(0)
-    rows = rows.withColumn("score", score).where("score > 0")
-    negated = F.col("own_negation") | (F.col("negation") & (F.col("score") <= 2))
-    return rows.select("doc_id", "rule_ord", "ord", "unit", "strong_hits", "medium_hits", "ad_tech_hits", negated.alias("negated"), "permission_limited", "safe_context", "score")
+    return let(evaluated(unit, tests), found)
+
+
+def matches(units: DataFrame) -> DataFrame:
+    """matched() for each row of units (doc_id, ord, unit), a row for each rule."""
+    return units.select("doc_id", "ord", "unit", F.inline(matched(F.col("unit"))))
 
 
 def _totals() -> list[Column]:
@@ -106,23 +124,22 @@ def hit_totals(matched: DataFrame) -> DataFrame:
     return matched.groupBy("doc_id", "rule_ord").agg(*_totals())
 
 
-def _strength(text: Text) -> Column:
-    """Strength of a part under the rule of its row."""
-    out = F
-    for k, rule in enumerate(rules.FINDINGS):
-        out = out.when(F.col("rule_ord") == k, 5 * text.count(rule.strong) + 2 * text.count(rule.medium))
-    return out.otherwise(0) + F.when(text.any(rules.AD_TECH), 3).otherwise(0)
+def best_snippet(unit: Column, rule: Column) -> Column:
+    """The strongest sentence of a unit under a rule (its number), on ties the shorter, then the first; shortened."""
 
+    def strength(text: Text) -> Column:
+        out = F
+        for k, r in enumerate(rules.FINDINGS):
+            out = out.when(rule == k, 5 * text.count(r.strong) + 2 * text.count(r.medium))
+        return out.otherwise(0) + F.when(text.any(rules.AD_TECH), 3).otherwise(0)
 
-def best_snippet(unit: Column) -> Column:
-    """The strongest sentence of a unit under the rule of its row, on ties the shorter, then the first; shortened."""
-    ranked = F.transform(sentences(unit), lambda part, pos: F.struct((-evaluated(part, _strength)).alias("s"), F.length(part).alias("n"), pos.alias("pos"), part.alias("part")))
+    ranked = F.transform(sentences(unit), lambda part, pos: F.struct((-evaluated(part, strength)).alias("s"), F.length(part).alias("n"), pos.alias("pos"), part.alias("part")))
     return shorten(F.coalesce(F.array_min(ranked)["part"], unit))
 
 
 def with_snippets(matched: DataFrame) -> DataFrame:
     """matched with its snippet and the unit's length in place of the unit, so that little is shuffled afterwards."""
-    return with_computed(matched, {"snippet": best_snippet(F.col("unit")), "length": F.length("unit")}).drop("unit")
+    return with_computed(matched, {"snippet": best_snippet(F.col("unit"), F.col("rule_ord")), "length": F.length("unit")}).drop("unit")
 
 
 def snippets(matched: DataFrame) -> DataFrame:
@@ -131,21 +148,10 @@ def snippets(matched: DataFrame) -> DataFrame:
     return with_snippets(matched).select("doc_id", "rule_ord", F.row_number().over(place).alias("rank"), "ord", "snippet")
 
 
-def totals_with_evidence(matched: DataFrame) -> DataFrame:
-    """hit_totals() and evidence, the first distinct snippets, for each document and rule.
-
-    All shuffling is this one exchange by doc_id, of numbers and snippets.
-    """
-    rows = with_snippets(matched).repartition("doc_id").groupBy("doc_id", "rule_ord")
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "length", "ord", "snippet")))
-    totals = rows.agg(*_totals(), ranked.alias("r"))
-    return totals.withColumn("evidence", distinct_evidence(F.transform("r", lambda x: x["snippet"]))).drop("r")
-
-
-def _by_rule(value) -> Column:
+def _by_rule(rule: Column, value) -> Column:
     out = F
-    for k, rule in enumerate(rules.FINDINGS):
-        out = out.when(F.col("rule_ord") == k, value(rule))
+    for k, r in enumerate(rules.FINDINGS):
+        out = out.when(rule == k, value(r))
     return out
 
 
@@ -155,37 +161,40 @@ def confidence(strong: Column, medium: Column, negated: Column, ad_tech: Column)
     return F.when(weak, "low").when(explicit, "explicit").when(likely, "likely").when(medium >= 1, "possible").otherwise("low")
 
 
-def severity() -> Column:
+def severity(x: Column) -> Column:
     """The rule's severity, lower where the top evidence puts it in context."""
-    top = F.lower(F.get("evidence", F.lit(0)))
-    lowered = F
-    for k, rule in enumerate(rules.FINDINGS):
-        if rule.category in rules.SEVERITY_CONTEXT:
-            less = F.when(F.col("confidence") == "explicit", "medium").otherwise("low") if rule.category == "tracking" else F.lit("low")
-            lowered = lowered.when((F.col("rule_ord") == k) & top.rlike(rules.SEVERITY_CONTEXT[rule.category]), less)
-    return lowered.otherwise(_by_rule(lambda r: r.severity))
+
+    def of(top: Column) -> Column:
+        lowered = F
+        for k, rule in enumerate(rules.FINDINGS):
+            if rule.category in rules.SEVERITY_CONTEXT:
+                less = F.when(x["confidence"] == "explicit", "medium").otherwise("low") if rule.category == "tracking" else F.lit("low")
+                lowered = lowered.when((x["rule_ord"] == k) & top.rlike(rules.SEVERITY_CONTEXT[rule.category]), less)
+        return lowered.otherwise(_by_rule(x["rule_ord"], lambda r: r.severity))
+
+    return let(F.lower(F.get(x["evidence"], F.lit(0))), of)
 
 
-def summary() -> Column:
-    category = F.col("category")
+def summary(x: Column) -> Column:
+    category = x["category"]
     negated = F
     for name, words in rules.SUMMARY_NEGATED.items():
         negated = negated.when(category == name, words)
     return (
-        F.when((category == "tracking") & F.col("safe_context"), rules.SUMMARY_SAFE)
-        .when(F.col("permission_limited"), F.when(category == "location", rules.SUMMARY_PERMISSION_LOCATION).otherwise(rules.SUMMARY_PERMISSION))
-        .when(F.col("negated"), negated.otherwise(rules.SUMMARY_NEGATED_OTHER))
-        .otherwise(_by_rule(lambda r: r.summary))
+        F.when((category == "tracking") & x["safe_context"], rules.SUMMARY_SAFE)
+        .when(x["permission_limited"], F.when(category == "location", rules.SUMMARY_PERMISSION_LOCATION).otherwise(rules.SUMMARY_PERMISSION))
+        .when(x["negated"], negated.otherwise(rules.SUMMARY_NEGATED_OTHER))
+        .otherwise(_by_rule(x["rule_ord"], lambda r: r.summary))
     )
 
 
-def finding_score() -> Column:
-    points = _by_rule(lambda r: F.lit(r.base_score))
-    points += F.when(F.col("confidence") == "explicit", 8).when(F.col("confidence") == "likely", 4).when(F.col("confidence") == "low", -6).otherwise(0)
-    points += F.when(F.col("severity") == "high", 4).when(F.col("severity") == "low", -4).otherwise(0)
-    points -= F.when(F.col("negated") & (F.col("confidence") != "explicit"), 6).otherwise(0)
-    points -= F.when(F.col("permission_limited"), 3).otherwise(0)
-    points -= F.when(F.col("safe_context") & (F.col("category") == "tracking"), 4).otherwise(0)
+def finding_score(x: Column) -> Column:
+    points = _by_rule(x["rule_ord"], lambda r: F.lit(r.base_score))
+    points += F.when(x["confidence"] == "explicit", 8).when(x["confidence"] == "likely", 4).when(x["confidence"] == "low", -6).otherwise(0)
+    points += F.when(x["severity"] == "high", 4).when(x["severity"] == "low", -4).otherwise(0)
+    points -= F.when(x["negated"] & (x["confidence"] != "explicit"), 6).otherwise(0)
+    points -= F.when(x["permission_limited"], 3).otherwise(0)
+    points -= F.when(x["safe_context"] & (x["category"] == "tracking"), 4).otherwise(0)
     return F.greatest(F.lit(4), points)
 
 
@@ -195,24 +204,68 @@ def counts_as_risk(category: Column, confidence: Column, severity: Column) -> Co
     return low(severity).isin("high", "medium") & low(confidence).isin("likely", "explicit") & ~low(category).isin(*rules.UNCOUNTED)
 
 
-def finding_rows(units: DataFrame) -> DataFrame:
-    """A row for each document and rule with a match: rule_ord, category, title, summary, confidence, severity, score, evidence, count_as_risk, place.
+def _rule_totals(matches: str) -> Column:
+    """Sums, flags and evidence for each rule with a match, in rule order."""
+
+    def total(k: Column) -> Column:
+        def of(own: Column) -> Column:
+            add, any_of = (lambda c: F.aggregate(own, F.lit(0), lambda s, x: s + x[c])), (lambda c: F.exists(own, lambda x: x[c]))
+            sums = [add(c).alias(c) for c in ("strong_hits", "medium_hits", "ad_tech_hits")]
+            flags = [any_of(c).alias(c) for c in ("negated", "permission_limited", "safe_context")]
+            ranked = F.array_sort(F.transform(own, lambda x: F.struct((-x["score"]).alias("s"), F.length(x["unit"]).alias("length"), x["ord"].alias("ord"), best_snippet(x["unit"], k).alias("snippet"))))
+            evidence = distinct_evidence(F.transform(ranked, lambda x: x["snippet"]))
+            return F.when(F.size(own) > 0, F.struct(k.alias("rule_ord"), *sums, *flags, evidence.alias("evidence")))
+
+        return let(F.filter(matches, lambda x: x["rule_ord"] == k), of)
+
+    return F.array_compact(F.transform(F.array(*(F.lit(k) for k in range(len(rules.FINDINGS)))), total))
+
+
+def _finding(total: Column) -> Column:
+    """A finding, behind what it is ranked by: score, ties by rule order."""
+
+    def step(name: str, value) -> None:
+        steps.append(lambda x: x.withField(name, value(x)))
+
+    steps: list = []
+    step("confidence", lambda x: confidence(*(x[c] for c in ("strong_hits", "medium_hits", "negated", "ad_tech_hits"))))
+    step("category", lambda x: _by_rule(x["rule_ord"], lambda r: r.category))
+    step("severity", severity)
+    step("score", finding_score)
+
+    def made(x: Column) -> Column:
+        names = ("category", "confidence", "severity", "evidence")
+        title, counted = _by_rule(x["rule_ord"], lambda r: r.title), counts_as_risk(x["category"], x["confidence"], x["severity"])
+        return F.struct((-x["score"]).alias("s"), x["rule_ord"].alias("rule_ord"), x["score"].alias("score"), *(x[c].alias(c) for c in names), title.alias("title"), summary(x).alias("summary"), counted.alias("count_as_risk"))
+
+    def run(x: Column, left: list) -> Column:
+        return let(left[0](x), lambda y: run(y, left[1:])) if left else made(x)
+
+    return run(total, steps)
+
+
+def with_findings(docs: DataFrame, sentences: str) -> DataFrame:
+    """docs with findings, the best of each category, by score, from an array column of sentences.
 
-    place ranks a document's findings by score, ties by rule order, after the best of
-    each category was kept.
+    All that findings need is in the row, so nothing is shuffled.
     """
-    rows = totals_with_evidence(matches(units))
-    rows = rows.withColumn("confidence", confidence(*(F.col(c) for c in ("strong_hits", "medium_hits", "negated", "ad_tech_hits"))))
-    rows = rows.withColumns({"severity": severity(), "category": _by_rule(lambda r: r.category), "title": _by_rule(lambda r: r.title)})
-    rows = rows.withColumns({"score": finding_score(), "summary": summary(), "count_as_risk": counts_as_risk(F.col("category"), F.col("confidence"), F.col("severity"))})
-    best = W.partitionBy("doc_id", "category").orderBy(F.desc("score"), "rule_ord")
-    rows = rows.withColumn("best", F.row_number().over(best)).where("best = 1").drop("best")
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "rule_ord"))
-    return rows.withColumn("place", place)
-
-
-def finding_arrays(rows: DataFrame) -> DataFrame:
-    """(doc_id, findings): each document's findings in order of place."""
-    one = F.struct("place", "category", "title", "summary", "confidence", "severity", "score", "evidence", "count_as_risk", F.lit(None).cast("string").alias("source_key"))
-    ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("f"))
-    return ordered.select("doc_id", F.transform("f", lambda x: x.dropFields("place")).cast(FINDING).alias("findings"))
+    rows = with_units(docs, sentences)
+    found = F.flatten(F.transform("rule_units", lambda u: F.transform(matched(u["unit"]), lambda x: x.withField("ord", u["ord"]).withField("unit", u["unit"]))))
+    rows = with_computed(rows, {"__matches": found}).drop("rule_units")
+    rows = with_computed(rows, {"__totals": _rule_totals("__matches")}).drop("__matches")
+    rows = with_computed(rows, {"__ranked": F.array_sort(F.transform("__totals", _finding))}).drop("__totals")
+    best = F.filter("__ranked", lambda x, i: ~F.exists(F.slice("__ranked", 1, i), lambda y: y["category"] == x["category"]))
+    names = ("category", "title", "summary", "confidence", "severity", "score", "evidence", "count_as_risk")
+    made = F.transform(best, lambda x: F.struct(*(x[c].alias(c) for c in names), F.lit(None).cast("string").alias("source_key")))
+    return rows.withColumn("findings", made.cast(FINDING)).drop("__ranked")
+
+
+def findings_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, findings) of docs (doc_id, text)."""
+    return with_findings(docs.select("doc_id", sentences(F.col("text")).alias("s")), "s").drop("s")
+
+
+def finding_rows(docs: DataFrame) -> DataFrame:
+    """A row for each finding of docs (doc_id, text), with place, its rank."""
+    rows = findings_of(docs).select("doc_id", F.posexplode("findings").alias("place", "f"))
+    return rows.select("doc_id", (F.col("place") + 1).alias("place"), "f.*")

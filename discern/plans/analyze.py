@@ -6,30 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.patterns import with_computed
+from ..functions.text import sentences
 from ..operators import categories, detect, findings, risk
 from ..operators.report import counted
 from ..sources.pages import page_columns
 
 
-def analyze_texts(docs: DataFrame) -> DataFrame:
-    """A result for each row of docs (doc_id, text, title, url; best_policy_link, best_link_score if there are any).
+def analyze_texts(docs: DataFrame, *keep: str) -> DataFrame:
+    """A result for each row of docs (doc_id, text, title, url; best_policy_link, best_link_score if there are any), and its columns `keep`.
 
-    doc_id has to be distinct. Findings are made for likely policy pages only, data
-    categories for all. Null text, title or url count as empty.
+    Findings are made for likely policy pages only, data categories for all. Null text,
+    title or url count as empty. Each row is worked on by itself: one scan, no exchange.
     """
-    texts = docs.withColumn("page_text", F.left(F.coalesce("text", F.lit("")), F.lit(rules.MAX_TEXT)))
+    texts = docs.withColumn("page_text", F.left(F.coalesce("text", F.lit("")), F.lit(rules.MAX_TEXT))).drop("text")
     for name, none in (("best_policy_link", F.lit("")), ("best_link_score", F.lit(0))):
         if name not in docs.columns:
             texts = texts.withColumn(name, none)
     scored = detect.scored_pages(texts)
-    units = findings.rule_units(scored.where("is_likely_policy_page").select("doc_id", F.col("page_text").alias("text")))
-    found = findings.finding_arrays(findings.finding_rows(units))
-    # what stays of a text is small before it is joined
-    rows = categories.with_categories(scored.drop("text"), "page_text").drop("page_text").join(found, "doc_id", "left")
-    rows = rows.withColumn("findings", F.coalesce("findings", F.array().cast(findings.FINDING)))
+    rows = with_computed(scored, {"__sentences": sentences(F.col("page_text"))}).drop("page_text")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("__policy", F.when(F.col("is_likely_policy_page"), F.col("__sentences")).otherwise(none))
+    rows = findings.with_findings(rows, "__policy").drop("__policy")
+    rows = categories.with_categories(rows, "__sentences").drop("__sentences")
     risks = counted("findings")
     return rows.select(
         "doc_id",
+        *keep,
         "is_likely_policy_page",
         "page_score",
         "score",

@@ -133,22 +133,22 @@ def evidence_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def findings_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = findings.finding_rows(findings.rule_units(corpus.documents(spark, sf_dir)))
+    rows = findings.finding_rows(corpus.documents(spark, sf_dir))
     return rows.select("doc_id", "place", "category", "title", "summary", "confidence", "severity", "score", _bar("evidence").alias("evidence"), "count_as_risk")
 
 
 @query
 def findings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best score of each category, as strings in order (a rule pack may hold several rules of one)."""
-    rows = findings.finding_arrays(findings.finding_rows(findings.rule_units(corpus.documents(spark, sf_dir))))
+    rows = findings.findings_of(corpus.documents(spark, sf_dir)).where(F.size("findings") > 0)
     return rows.select("doc_id", _bar(F.transform("findings", lambda f: F.concat_ws(":", f["category"], f["score"].cast("string")))).alias("findings"))
 
 
 # ---- results, risks and reports --------------------------------------------------------
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess(analyze_texts(corpus.documents(spark, sf_dir)))
+def _results(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return assess(analyze_texts(corpus.documents(spark, sf_dir), *keep))
 
 
 @query
@@ -195,8 +195,7 @@ def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def risk_by_lang_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risks rolled up by language and source (an extension)."""
-    docs = corpus.documents(spark, sf_dir)
-    rows = _results(spark, sf_dir).select("doc_id", "risk_score", "issues_count", "level").join(docs.select("doc_id", "lang", "source"), "doc_id")
+    rows = _results(spark, sf_dir, "lang", "source")
     totals = (F.count("*").alias("docs"), F.sum("risk_score").alias("risk_sum"), F.sum("issues_count").alias("issues"), F.count_if(F.col("level") == "red").alias("red"))
     base = rows.groupBy("lang", "source").agg(*totals)  # rolled up from totals, not from documents
     return base.rollup("lang", "source").agg(*(F.sum(c).alias(c) for c in ("docs", "risk_sum", "issues", "red")))

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.patterns import evaluated, first_points, java, let, with_computed
-from ..sources.pages import anchor_array, resolved
+from ..functions.patterns import evaluated, first_points, java, with_computed
 
 
 def page_score(text: Column, title: Column, url: Column) -> Column:
@@ -44,8 +43,7 @@ def link_score(text: Column, href: Column, absolute: Column, in_nav: Column) ->
 
 
 def scored_links(links: DataFrame) -> DataFrame:
-    """links (page_id, url, pos, href, text, in_nav) with absolute and link_score; scripts, mail and phone links go, and scores of 0."""
-    links = links if "absolute" in links.columns else links.withColumn("absolute", resolved(F.col("href"), F.col("url")))
+    """links (page_id, pos, href, text, in_nav, absolute) with link_score; scripts, mail and phone links go, links without an address, and scores of 0."""
     usable = links.where("absolute is not null").where(~F.col("absolute").rlike("^(javascript|mailto|tel):"))
     return with_computed(usable, {"link_score": link_score(F.col("text"), F.col("href"), F.col("absolute"), F.col("in_nav"))}).where("link_score > 0")
 
@@ -57,12 +55,12 @@ def best_links(links: DataFrame) -> DataFrame:
 
 
 def with_best_link(pages: DataFrame) -> DataFrame:
-    """pages (url, html, ...) with best_policy_link ('' if there is none) and best_link_score; as best_links(), but inside the row."""
+    """pages (links, ...) with best_policy_link ('' if there is none) and best_link_score in place of links; as best_links(), but inside the row."""
 
     def candidate(a: Column, pos: Column) -> Column:
-        absolute = resolved(a["href"], F.col("url"))
-        return let(absolute, lambda to: F.struct(link_score(a["text"], a["href"], to, a["in_nav"]).alias("score"), (-pos).alias("place"), to.alias("to")))
+        return F.struct(link_score(a["text"], a["href"], a["absolute"], a["in_nav"]).alias("score"), (-pos).alias("place"), a["absolute"].alias("to"))
 
-    usable = F.filter(F.transform(anchor_array(F.col("html")), candidate), lambda x: x["to"].isNotNull() & ~x["to"].rlike("^(javascript|mailto|tel):") & (x["score"] > 0))
-    rows = with_computed(pages, {"__best": F.array_max(usable)})
-    return rows.withColumns({"best_policy_link": F.coalesce("__best.to", F.lit("")), "best_link_score": F.coalesce("__best.score", F.lit(0))}).drop("__best")
+    usable = F.filter("links", lambda a: a["absolute"].isNotNull() & ~a["absolute"].rlike("^(javascript|mailto|tel):"))
+    rows = with_computed(pages, {"__usable": usable})
+    rows = with_computed(rows, {"__best": F.array_max(F.filter(F.transform("__usable", candidate), lambda x: x["score"] > 0))})
+    return rows.withColumns({"best_policy_link": F.coalesce("__best.to", F.lit("")), "best_link_score": F.coalesce("__best.score", F.lit(0))}).drop("__best", "__usable", "links")

@@ -38,19 +38,19 @@ def findings_report(results: DataFrame, key: str, limit: int = 6) -> DataFrame:
     shown = F.when(policy, F.slice(counted("findings"), 1, limit))
     rows = results.select(key, "is_likely_policy_page", F.posexplode_outer(F.when(F.size(shown) > 0, shown)).alias("pos", "f"))
     empty = (
-        F.when(F.col("is_likely_policy_page").isNull(), "No meaningful privacy risks are available yet.")
-        .when(~F.col("is_likely_policy_page"), "Open the likely policy page to see counted privacy risks and full evidence.")
-        .otherwise("No meaningful privacy risks were counted on this policy page.")
+        F.when(F.col("is_likely_policy_page").isNull(), rules.SAID_NO_MEANINGFUL_PRIVACY_RISKS_ARE)
+        .when(~F.col("is_likely_policy_page"), rules.SAID_OPEN_THE_LIKELY_POLICY_PAGE)
+        .otherwise(rules.SAID_NO_MEANINGFUL_PRIVACY_RISKS_WERE)
     )
     meta = F.array_join(F.filter(F.array(confidence_label(F.col("f.confidence")), severity_label(F.col("f.severity"))), lambda x: x != ""), DOT)
     n = F.least(F.lit(2), F.coalesce(F.size("f.evidence"), F.lit(0)))
     return rows.select(
         key,
         F.coalesce("pos", F.lit(-1)).alias("pos"),
-        F.when(F.col("f").isNull(), empty).otherwise(F.coalesce(F.nullif("f.title", F.lit("")), F.lit("Possible privacy concern"))).alias("title"),
+        F.when(F.col("f").isNull(), empty).otherwise(F.coalesce(F.nullif("f.title", F.lit("")), F.lit(rules.SAID_POSSIBLE_PRIVACY_CONCERN))).alias("title"),
         F.when(F.col("f").isNull(), "").otherwise(meta).alias("meta"),
         F.coalesce("f.summary", F.lit("")).alias("summary"),
-        F.when(n > 0, F.concat(F.lit("Show evidence ("), n.cast("string"), F.lit(")"))).otherwise("").alias("evidence_label"),
+        F.when(n > 0, F.concat(F.lit(rules.SAID_SHOW_EVIDENCE), n.cast("string"), F.lit(")"))).otherwise("").alias("evidence_label"),
         F.coalesce(F.array_join(F.slice("f.evidence", 1, 2), "\n"), F.lit("")).alias("evidence"),
     )
 
@@ -61,11 +61,11 @@ def reasons_report(results: DataFrame, key: str, limit: int = rules.MAX_REASONS)
     shown = F.when(policy, F.slice(counted("findings"), 1, limit))
     rows = results.select(key, "is_likely_policy_page", F.posexplode_outer(F.when(F.size(shown) > 0, shown)).alias("pos", "f"))
     empty = (
-        F.when(F.col("is_likely_policy_page").isNull(), "No meaningful risks are available yet.")
-        .when(~F.col("is_likely_policy_page"), "Meaningful privacy risks are only counted when a likely privacy policy page is open.")
-        .otherwise("No meaningful privacy risks were counted on this policy page.")
+        F.when(F.col("is_likely_policy_page").isNull(), rules.SAID_NO_MEANINGFUL_RISKS_ARE_AVAILABLE)
+        .when(~F.col("is_likely_policy_page"), rules.SAID_MEANINGFUL_PRIVACY_RISKS_ARE_ONLY)
+        .otherwise(rules.SAID_NO_MEANINGFUL_PRIVACY_RISKS_WERE)
     )
-    said = F.coalesce(F.nullif("f.title", F.lit("")), F.nullif("f.summary", F.lit("")), F.lit("Possible privacy concern detected."))
+    said = F.coalesce(F.nullif("f.title", F.lit("")), F.nullif("f.summary", F.lit("")), F.lit(rules.SAID_POSSIBLE_PRIVACY_CONCERN_DETECTED))
     return rows.select(key, F.coalesce("pos", F.lit(-1)).alias("pos"), F.when(F.col("f").isNull(), empty).otherwise(said).alias("reason"))
 
 
@@ -90,11 +90,11 @@ def checklist(results: DataFrame, key: str) -> DataFrame:
     for pos, (k, (label, message)) in enumerate(rules.CHECKLIST.items()):
         checked = F.coalesce(F.try_element_at(collected, F.lit(k)), F.lit(False))
         shown = F.slice(F.coalesce(F.try_element_at("data_evidence", F.lit(k)), F.array().cast("array<string>")), 1, 2)
-        quote = F.when(checked & (F.size(shown) > 0), F.concat(F.lit("Evidence: "), F.array_join(shown, DOT))).otherwise("")
+        quote = F.when(checked & (F.size(shown) > 0), F.concat(F.lit(rules.SAID_EVIDENCE), F.array_join(shown, DOT))).otherwise("")
         rows.append(row(pos, k, F.lit(label), checked, F.when(checked, F.concat(prefix, F.lit(message))).otherwise(""), quote))
-    nothing = F.when(policy, "Privacy policy detected, but no clear data-type signals were found.").otherwise("No clear privacy-related data categories were estimated from this page.")
+    nothing = F.when(policy, rules.SAID_PRIVACY_POLICY_DETECTED_BUT_NO).otherwise(rules.SAID_NO_CLEAR_PRIVACY_RELATED_DATA)
     estimate = F.when(policy, F.array().cast("array<struct<pos:int,category:string,label:string,checked:boolean,message:string,quote:string>>")).otherwise(
-        F.array(note(F.lit("Estimated from current page content. Open the likely policy page for full policy-based analysis.")))
+        F.array(note(F.lit(rules.SAID_ESTIMATED_FROM_CURRENT_PAGE_CONTENT)))
     )
     lines = F.when(found, F.concat(estimate, F.array(*rows))).otherwise(F.array(note(nothing)))
     return results.select(key, F.inline(lines))
@@ -108,27 +108,27 @@ def page_status(results: DataFrame) -> DataFrame:
     word = F.when(n == 1, " risk").otherwise(" risks")
     detected = F.concat(n.cast("string"), word, F.lit(" detected"))
     status = (
-        F.when(none, "Refresh the page to check for a privacy policy.")
-        .when(~policy, F.when(link != "", "Likely policy link found.").otherwise("No likely policy link was found."))
+        F.when(none, rules.SAID_REFRESH_THE_PAGE_TO_CHECK)
+        .when(~policy, F.when(link != "", rules.SAID_LIKELY_POLICY_LINK_FOUND).otherwise(rules.SAID_NO_LIKELY_POLICY_LINK_WAS))
         .when(high > 0, F.concat(detected, F.lit(" ("), high.cast("string"), F.lit(" high-impact)")))
         .when(medium > 0, detected)
-        .otherwise("No major privacy risks detected")
+        .otherwise(rules.SAID_NO_MAJOR_PRIVACY_RISKS_DETECTED)
     )
     finder = (
-        F.when(none, "No page checked yet.")
+        F.when(none, rules.SAID_NO_PAGE_CHECKED_YET)
         .when(policy, "")
-        .when(link != "", "Privacy policy not detected on this page. A likely policy link was found.")
-        .otherwise("Privacy policy not detected on this page.")
+        .when(link != "", rules.SAID_PRIVACY_POLICY_NOT_DETECTED_ON)
+        .otherwise(rules.SAID_PRIVACY_POLICY_NOT_DETECTED_ON_2)
     )
     headline = (
-        F.when(none, "No heuristic result yet.")
-        .when(~policy & (link != ""), "Open the likely policy page for full risk findings and policy-based evidence.")
-        .when(~policy, "This page can still show estimated data categories below, but it is not being treated as the privacy policy.")
-        .when(n > 0, F.concat(F.lit("This policy shows "), n.cast("string"), F.lit(" meaningful privacy"), word, F.lit(". Review the findings below for the biggest concerns.")))
-        .when(F.size("findings") > 0, "This policy was detected, but only lower-impact or less certain findings were identified.")
-        .otherwise("This appears to be the privacy policy, but no major privacy concerns were clearly detected.")
+        F.when(none, rules.SAID_NO_HEURISTIC_RESULT_YET)
+        .when(~policy & (link != ""), rules.SAID_OPEN_THE_LIKELY_POLICY_PAGE_2)
+        .when(~policy, rules.SAID_THIS_PAGE_CAN_STILL_SHOW)
+        .when(n > 0, F.concat(F.lit(rules.SAID_THIS_POLICY_SHOWS), n.cast("string"), F.lit(" meaningful privacy"), word, F.lit(". Review the findings below for the biggest concerns.")))
+        .when(F.size("findings") > 0, rules.SAID_THIS_POLICY_WAS_DETECTED_BUT)
+        .otherwise(rules.SAID_THIS_APPEARS_TO_BE_THE)
     )
     color = F.when(~policy, "status-blue").when(high > 0, "status-red").when(medium > 0, "status-yellow").otherwise("status-green")
     return results.withColumns(
-        {"status": status, "status_class": color, "finder_status": finder, "headline": headline, "link_text": F.when(link != "", link).otherwise("No policy link found"), "link_enabled": link != ""}
+        {"status": status, "status_class": color, "finder_status": finder, "headline": headline, "link_text": F.when(link != "", link).otherwise(rules.SAID_NO_POLICY_LINK_FOUND), "link_enabled": link != ""}
     )

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 MOST_TEXT = 50_000
 ANALYZE_LIMIT, ADMIN_LIMIT = 20, 60
 REPLY = "summary string, data_collected array<string>, data_shared_with array<string>, user_rights array<string>, risk_flags array<string>, overall_risk string"
@@ -55,20 +57,24 @@ def gate_analyze(requests: DataFrame, token: str, enabled: Column | bool = True,
             (~lit(enabled), 403, "disabled"),
             (F.trim(F.regexp_replace(text, r"\s+", " ")) == "", 400, "missing_text"),
             (F.length(text) > MOST_TEXT, 413, "text_too_large"),
-            (~lit(has_key), 500, "missing_model_key"),
+            (~lit(has_key), 500, "missing_openai_api_key"),
         )
     )
 
 
 def gate_admin(requests: DataFrame, token: str) -> DataFrame:
-    """Requests to set the flag (token, enabled, limited) with status, error and the flag they set."""
+    """Requests to set the flag (token, enabled, limited) with status, error and the flag they set.
+
+    Requests (client_ip, ts) that weren't limited before are, by ADMIN_LIMIT a minute.
+    """
+    requests = requests if "limited" in requests.columns else limited(requests, ADMIN_LIMIT)
     rows = requests.withColumns(_gate((F.col("limited"), 429, "rate_limited"), (F.coalesce("token", F.lit("")) != token, 401, "unauthorized")))
     return rows.withColumn("set_enabled", F.when(F.col("status") == 200, F.coalesce("enabled", F.lit(False))))
 
 
 def gate_client(requests: DataFrame) -> DataFrame:
     """The caller's own checks (enabled, token): client_error, null if it may send; and the body to send."""
-    error = F.when(~F.coalesce("enabled", F.lit(False)), "Analyzer is disabled. Turn it on first.").when(F.coalesce("token", F.lit("")) == "", "Missing Extension Token. Paste it in the popup settings.")
+    error = F.when(~F.coalesce("enabled", F.lit(False)), rules.SAID_ANALYZER_IS_DISABLED_TURN_IT).when(F.coalesce("token", F.lit("")) == "", rules.SAID_MISSING_EXTENSION_TOKEN_PASTE_IT)
     return requests.withColumn("client_error", error).withColumn("body", F.when(F.col("client_error").isNull(), F.to_json(F.struct("text"))))
 
 
@@ -76,7 +82,7 @@ def client_reply(replies: DataFrame) -> DataFrame:
     """replies (status, body) with ok and reply_error, tolerant of bodies that aren't JSON."""
     ok = F.col("status").between(200, 299)
     said = F.nullif(F.get_json_object("body", "$.error"), F.lit(""))
-    return replies.withColumns({"ok": ok, "reply_error": F.when(~ok, F.coalesce(said, F.concat(F.lit("HTTP "), F.col("status").cast("string"))))})
+    return replies.withColumns({"ok": ok, "reply_error": F.when(~ok, F.coalesce(said, F.concat(F.lit(rules.SAID_HTTP), F.col("status").cast("string"))))})
 
 
 def prompt(text: Column) -> Column:
@@ -87,15 +93,15 @@ def prompt(text: Column) -> Column:
     )
 
 
-def offline_model() -> Callable[[str], str]:
+def offline_model(model: str) -> Callable[[str], str]:
     """A stand-in that needs no network: an empty, well-formed reply."""
     return lambda asked: '{"summary": "", "data_collected": [], "data_shared_with": [], "user_rights": [], "risk_flags": [], "overall_risk": "low"}'
 
 
-def call_model(requests: DataFrame, key: str, client: Callable[[], Callable[[str], str]] = offline_model) -> DataFrame:
-    """(key, output, failed) of each request with status 200; key is a long column.
+def call_model(requests: DataFrame, key: str, client: Callable[[str], Callable[[str], str]] = offline_model, model: str = DEFAULT_MODEL) -> DataFrame:
+    """(key, output, status, error) of each request with status 200; key is a long column.
 
-    `client` makes one caller for each task; a caller that raises gives failed with null output.
+    `client` makes one caller of the model for each task; a caller that raises gives status 500, a server_error and null output.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,13 +110,14 @@ def call_model(requests: DataFrame, key: str, client: Callable[[], Callable[[str
             out: list = []
             for asked in b.column(1).to_pylist():
                 try:
-                    ask = ask or client()
+                    ask = ask or client(model)
                     out.append(ask(asked))
                 except Exception:  # whatever the injected client raises is that request's failure
                     out.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array([x is None for x in out])], [key, "output", "failed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [key, "output"])
 
-    return requests.where("status = 200").select(key, prompt(F.col("text")).alias("asked")).mapInArrow(run, f"{key} long, output string, failed boolean")
+    called = requests.where("status = 200").select(key, prompt(F.col("text")).alias("asked")).mapInArrow(run, f"{key} long, output string")
+    return called.select(key, "output", *(c.alias(k) for k, c in _gate((F.col("output").isNull(), 500, "server_error")).items()))
 
 
 def response_text(response: Column) -> Column:

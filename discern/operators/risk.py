@@ -94,12 +94,12 @@ def risks(results: DataFrame) -> DataFrame:
     score = F.when(policy, F.greatest(F.lit(0), F.least(F.lit(100), F.floor(raw + 0.5)))).otherwise(0).cast("int")
     hint = F.when(none, "none").when(~policy, F.when(linked, "policy-link").otherwise("none")).when(F.col("high_risks") > 0, "high-risk").when(F.col("medium_risks") > 0, "policy-risk").otherwise("policy")
     said = (
-        F.when(none, "No analysis yet")
-        .when(~policy, F.when(linked, "Likely policy link found").otherwise("No policy detected"))
-        .when(F.col("high_risks") > 0, "High privacy concern")
-        .when(F.col("medium_risks") > 0, "Potential privacy concerns")
-        .when(F.size("findings") > 0, "Low-impact findings only")
-        .otherwise("Privacy policy detected")
+        F.when(none, rules.SAID_NO_ANALYSIS_YET)
+        .when(~policy, F.when(linked, rules.SAID_LIKELY_POLICY_LINK_FOUND_2).otherwise(rules.SAID_NO_POLICY_DETECTED))
+        .when(F.col("high_risks") > 0, rules.SAID_HIGH_PRIVACY_CONCERN)
+        .when(F.col("medium_risks") > 0, rules.SAID_POTENTIAL_PRIVACY_CONCERNS)
+        .when(F.size("findings") > 0, rules.SAID_LOW_IMPACT_FINDINGS_ONLY)
+        .otherwise(rules.SAID_PRIVACY_POLICY_DETECTED)
     )
     rows = rows.withColumns({"risk_score": score, "issues_count": F.when(policy, F.col("risks")).otherwise(0), "level_hint": hint, "risk_summary": said})
     return toolbar(rows)
@@ -110,10 +110,10 @@ def toolbar(rows: DataFrame) -> DataFrame:
     issues = F.col("issues_count")
     flagged = F.concat(F.col("risk_summary"), F.lit(": "), issues.cast("string"), F.when(issues == 1, " risk flagged").otherwise(" risks flagged"))
     title = (
-        F.when(F.col("level_hint") == "policy-link", "Likely privacy policy link found — click to review")
-        .when(F.col("level_hint") == "policy", F.when(issues > 0, flagged).otherwise("Privacy policy detected — no major risks flagged"))
+        F.when(F.col("level_hint") == "policy-link", rules.SAID_LIKELY_PRIVACY_POLICY_LINK_FOUND)
+        .when(F.col("level_hint") == "policy", F.when(issues > 0, flagged).otherwise(rules.SAID_PRIVACY_POLICY_DETECTED_NO_MAJOR))
         .when(F.col("level_hint").isin("policy-risk", "high-risk"), F.concat(flagged, F.lit(" — click to review")))
-        .otherwise("No policy detected yet")
+        .otherwise(rules.SAID_NO_POLICY_DETECTED_YET)
     )
     rows = rows.withColumn("level", level(F.col("risk_score")))
     color = F.when(F.col("level") == "red", "#D93025").when(F.col("level") == "yellow", "#F9AB00").otherwise("#1A73E8")

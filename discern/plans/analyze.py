@@ -10,7 +10,7 @@ from ..functions.patterns import with_computed
 from ..functions.text import sentences
 from ..operators import categories, detect, findings, risk
 from ..operators.report import counted
-from ..sources.pages import page_columns
+from ..sources.pages import parsed_pages
 
 
 def analyze_texts(docs: DataFrame, *keep: str) -> DataFrame:
@@ -50,10 +50,9 @@ def analyze_texts(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def analyze_pages(pages: DataFrame) -> DataFrame:
-    """A result for each row of pages (page_id, url, html); page_id has to be distinct."""
-    columns = page_columns(detect.with_best_link(pages), "best_policy_link", "best_link_score")
-    texts = columns.select(F.col("page_id").alias("doc_id"), F.col("page_text").alias("text"), "title", "url", "best_policy_link", "best_link_score")
-    return analyze_texts(texts)
+    """A result for each row of pages (page_id, url, html)."""
+    rows = detect.with_best_link(parsed_pages(pages, "title", "page_text", "links"))
+    return analyze_texts(rows.withColumnsRenamed({"page_id": "doc_id", "page_text": "text"}))
 
 
 def assess(results: DataFrame) -> DataFrame:

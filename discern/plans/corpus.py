@@ -40,6 +40,16 @@ PAGES = (("Privacy Policy", "https://a.example/privacy-policy"), ("Legal notice"
 TITLES = ("", "Privacy Notice", "Terms and cookies", "", "Your Privacy &amp; Cookies")
 NAV_LINKS = ('<a href="/legal">Legal</a>', "", '<a href="cookies">Cookie policy</a>', '<a href="mailto:privacy@a.example">Privacy policy</a>', '<a href="javascript:void(0)">Your privacy</a>')
 FOOTER_LINKS = ('<a href="/privacy">Privacy Policy</a><a href="/privacy">Privacy Policy again</a>', '<a href="https://b.example/privacy-policy?x=1">Do not sell or share</a>', "", '<a href="//c.example/terms">Terms of service</a>', '<a class="x" href="?privacy=1">GDPR and CCPA</a>')
+#: What follows the article of the pages with page_id % len(EXTRAS) = k: blocks of other selectors, and links in other spellings.
+MORE = "<p>This second block of the page says more about the ways in which we use the information that you give to us.</p>"
+EXTRAS = (
+    "",
+    f"<article>{MORE}</article>",
+    f'<div role="main">{MORE}</div>',
+    f'<section class="x legal policy">{MORE}</section>',
+    "<div class=\"footer\"><a href='/privacy-center'>Privacy <b>cen</b>ter</a> <a href=/cookie-policy>Cookie policy</a><a href=\"/x/../privacy\" aria-label=\"Privacy policy\"></a></div>",
+    '<div class="content"><p>Too short for a block.</p></div>',
+)
 
 
 def _pick(key, values, like=None):
@@ -62,12 +72,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, url, html) of all pages, with other titles and more links."""
+    """(page_id, url, html) of all pages, with other titles, more links and more blocks."""
     rows = table(spark, sf_dir, "pages")
     k = F.col("page_id")
     html = F.replace("html", F.lit("</nav>"), F.concat(_pick(k, NAV_LINKS), F.lit("</nav>")))
     html = F.replace(html, F.lit("</footer>"), F.concat(_pick(k, FOOTER_LINKS), F.lit("</footer>")))
     title = _pick(k, [f"<title>{t}</title>" if t else "" for t in TITLES])
     html = F.when(title == "", html).otherwise(F.regexp_replace(html, F.lit(r"<title>[^<]*</title>"), title))
-    text = F.concat(F.lit("<p>"), _pick(k, SEEDS), F.lit("</p></article>"))
+    text = F.concat(F.lit("<p>"), _pick(k, SEEDS), F.lit("</p></article>"), _pick(k, EXTRAS))
     return rows.select("page_id", "url", F.replace(html, F.lit("</article>"), text).alias("html"))

@@ -6,7 +6,9 @@ from collections.abc import Iterable
 
 from ..functions import rules
 from ..operators.requests import MOST_TEXT
-from ..sources.pages import REFERENCES, SILENT
+from ..sources.flags import DEFAULTS
+from ..sources.pages import FLOW, SILENT
+from ..streaming.tabs import RECHECK_MS
 from . import corpus
 
 BAR = " ¦ "
@@ -48,7 +50,7 @@ def norm(x: str) -> str:
 _PHRASES = [f"{s} {corpus.SEEDS[(k + corpus.SHIFT) % len(corpus.SEEDS)]}" for k, s in enumerate(corpus.SEEDS)]
 DOCS = f"""docs AS (
   SELECT doc_id, text || chr(10) || {pick('doc_id', _PHRASES)} AS text, lang, source,
-    {pick('doc_id', [t for t, _ in corpus.PAGES])} AS title, {pick('doc_id', [u for _, u in corpus.PAGES])} AS url
+    {pick('doc_id', [t for t, _ in corpus.PAGES])} AS title, {pick('doc_id', [u for _, u in corpus.PAGES])} AS url, '' AS link, false AS linked
   FROM documents)"""
 
 
@@ -147,7 +149,7 @@ def page_score(text: str, title: str, url: str) -> str:
 
 
 _DISPLAY = "least(10, greatest(0, floor(page_score / 2 + 0.5)))::INT AS score, CASE WHEN page_score >= 14 THEN 'High' WHEN page_score >= 8 THEN 'Medium' ELSE 'Low' END AS confidence, page_score >= 8 AS is_likely_policy_page"
-DOC_SCORE_OF = f"""pscore AS (SELECT doc_id, {page_score(f'left(text, {rules.MAX_TEXT})', 'title', 'url')}::INT AS page_score, title, url FROM docs),
+DOC_SCORE_OF = f"""pscore AS (SELECT doc_id, {page_score(f'left(text, {rules.MAX_TEXT})', 'title', 'url')}::INT AS page_score, title, url, link, linked FROM docs),
 page AS (SELECT *, {_DISPLAY} FROM pscore)"""
 CATS_OF = f"""cat(pos, category) AS (VALUES {', '.join(f'({i}, {q(k)})' for i, k in enumerate(rules.CATEGORIES))}),
 shown AS ({' UNION ALL '.join(f"SELECT doc_id, {q(k)} AS category, i, sentence FROM sent WHERE {some('sentence', p)}" for k, p in rules.CATEGORIES.items())}),
@@ -168,8 +170,8 @@ r0 AS (SELECT page.*, coalesce(raw, 0) AS raw, coalesce(risks, 0)::INT AS risks,
   FROM page LEFT JOIN sums USING (doc_id) LEFT JOIN counts USING (doc_id)),
 r1 AS (SELECT *, CASE WHEN is_likely_policy_page THEN greatest(0, least(100, floor(raw + CASE WHEN risks > 0 AND confidence = 'High' THEN 4 WHEN risks > 0 AND confidence = 'Low' THEN -4 ELSE 0 END + 0.5))) ELSE 0 END::INT AS risk_score,
   CASE WHEN is_likely_policy_page THEN risks ELSE 0 END::INT AS issues_count,
-  CASE WHEN NOT is_likely_policy_page THEN 'none' WHEN high_risks > 0 THEN 'high-risk' WHEN medium_risks > 0 THEN 'policy-risk' ELSE 'policy' END AS level_hint,
-  CASE WHEN NOT is_likely_policy_page THEN 'No policy detected' WHEN high_risks > 0 THEN 'High privacy concern' WHEN medium_risks > 0 THEN 'Potential privacy concerns' WHEN n_findings > 0 THEN 'Low-impact findings only' ELSE 'Privacy policy detected' END AS risk_summary FROM r0),
+  CASE WHEN NOT is_likely_policy_page THEN CASE WHEN linked THEN 'policy-link' ELSE 'none' END WHEN high_risks > 0 THEN 'high-risk' WHEN medium_risks > 0 THEN 'policy-risk' ELSE 'policy' END AS level_hint,
+  CASE WHEN NOT is_likely_policy_page THEN CASE WHEN linked THEN 'Likely policy link found' ELSE 'No policy detected' END WHEN high_risks > 0 THEN 'High privacy concern' WHEN medium_risks > 0 THEN 'Potential privacy concerns' WHEN n_findings > 0 THEN 'Low-impact findings only' ELSE 'Privacy policy detected' END AS risk_summary FROM r0),
 r2 AS (SELECT *, CASE WHEN risk_score >= 70 THEN 'red' WHEN risk_score >= 35 THEN 'yellow' ELSE 'blue' END AS level,
   risk_summary || ': ' || issues_count || CASE WHEN issues_count = 1 THEN ' risk flagged' ELSE ' risks flagged' END AS flagged FROM r1),
 risk AS (SELECT *, CASE WHEN issues_count > 0 THEN least(issues_count, 99)::VARCHAR ELSE '' END AS badge_text, CASE level WHEN 'red' THEN '#D93025' WHEN 'yellow' THEN '#F9AB00' ELSE '#1A73E8' END AS badge_color,
@@ -178,10 +180,15 @@ risk AS (SELECT *, CASE WHEN issues_count > 0 THEN least(issues_count, 99)::VARC
 RESULTS = ",\n".join((FOUND, DOC_SCORE_OF, CATS_OF, LEGACY_OF, WHOLE_OF, RISK_OF))
 
 
+#: Character references of the pages.
+REFERENCES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
 def plain(x: str) -> str:
     for tag in SILENT:
-        x = rf"regexp_replace({x}, '(?is)<{tag}\b.*?</{tag}\s*>', ' ', 'g')"
-    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
+        x = rf"regexp_replace({x}, '(?is)<{tag}\b.*?</{tag}\s*>', '', 'g')"
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
+    x = rf"regexp_replace({x}, '(?is)</?(?:{'|'.join(sorted(FLOW))})(?:\s[^>]*)?>', '', 'g')"
     x = f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"
     for reference, character in REFERENCES:
         x = f"replace({x}, {q(reference)}, {q(character)})"
@@ -190,22 +197,40 @@ def plain(x: str) -> str:
 
 _TITLE = case([(f"page_id % {len(corpus.TITLES)} = {k}", f"<title>{t}</title>" if t else "") for k, t in enumerate(corpus.TITLES)], "")
 PAGES = rf"""p0 AS (SELECT page_id, url, replace(replace(html, '</nav>', {pick('page_id', corpus.NAV_LINKS)} || '</nav>'), '</footer>', {pick('page_id', corpus.FOOTER_LINKS)} || '</footer>') AS h, {_TITLE} AS t FROM pages),
-aug AS (SELECT page_id, url, replace(CASE WHEN t = '' THEN h ELSE regexp_replace(h, '<title>[^<]*</title>', t, 'g') END, '</article>', '<p>' || {pick('page_id', corpus.SEEDS)} || '</p></article>') AS html FROM p0)"""
-TEXTS_OF = rf"""b0 AS (SELECT page_id, url, {plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {plain(r"regexp_extract(html, '(?is)<main\b[^>]*>(.*?)</main\s*>', 1)")} AS b1, {plain(r"regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1)")} AS b2,
-  {plain(r"regexp_extract(html, '(?is)<body\b[^>]*>(.*)', 1)")} AS body, left({plain("regexp_replace(html, '(?is)<title[^>]*>.*?</title>', ' ', 'g')")}, {rules.MAX_TEXT}) AS full_text FROM aug),
-b1 AS (SELECT page_id, url, title, full_text, left(CASE WHEN length(b1) >= {rules.LEAST_BLOCK} AND length(b2) >= {rules.LEAST_BLOCK} THEN b1 || chr(10) || chr(10) || b2 WHEN length(b1) >= {rules.LEAST_BLOCK} THEN b1 WHEN length(b2) >= {rules.LEAST_BLOCK} THEN b2 ELSE body END, {rules.MAX_TEXT}) AS main_text FROM b0),
+aug AS (SELECT page_id, url, replace(CASE WHEN t = '' THEN h ELSE regexp_replace(h, '<title>[^<]*</title>', t, 'g') END, '</article>', '<p>' || {pick('page_id', corpus.SEEDS)} || '</p></article>' || {pick('page_id', corpus.EXTRAS)}) AS html FROM p0)"""
+_all = lambda pattern: f"regexp_extract_all(html, {q('(?is)' + pattern)}, 1)"
+_MARKED = _all(r'<section class="x legal policy">(.*?)</section>')
+_BLOCKS = [_all(r"<main\b[^>]*>(.*?)</main\s*>"), _all(r"<article\b[^>]*>(.*?)</article\s*>"), _all('<div role="main">(.*?)</div>'), _MARKED, _MARKED, _all('<div class="content">(.*?)</div>')]
+TEXTS_OF = rf"""t0 AS (SELECT page_id, list_concat({', '.join(_BLOCKS)}) AS l FROM aug),
+t1 AS (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM t0),
+t2 AS (SELECT page_id, pos, {plain('x')} AS block FROM t1),
+t3 AS (SELECT page_id, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS blocks FROM t2 WHERE length(block) >= {rules.LEAST_BLOCK} GROUP BY page_id),
+b0 AS (SELECT page_id, url, {plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {plain(r"regexp_extract(html, '(?is)<body\b[^>]*>(.*)', 1)")} AS body, left({plain("regexp_replace(html, '(?is)<title[^>]*>.*?</title>', ' ', 'g')")}, {rules.MAX_TEXT}) AS full_text FROM aug),
+b1 AS (SELECT page_id, url, title, full_text, left(coalesce(blocks, body), {rules.MAX_TEXT}) AS main_text FROM b0 LEFT JOIN t3 USING (page_id)),
 texts AS (SELECT *, CASE WHEN main_text <> '' THEN main_text ELSE full_text END AS page_text FROM b1)"""
-_A = r"(?is)<a\b[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>".replace("\\\"", '"')
-ANCHORS_OF = rf"""a0 AS (SELECT page_id, url, html, regexp_extract_all(html, '{_A}') AS l, array_to_string(regexp_extract_all(html, '(?is)<nav\b[^>]*>.*?</nav\s*>'), ' ') || ' ' || array_to_string(regexp_extract_all(html, '(?is)<footer\b[^>]*>.*?</footer\s*>'), ' ') AS framed FROM aug),
+_A = q(r"""(?is)<a\b[^>]*?href=("[^"]*"|'[^']*'|[^\s>"']+)[^>]*>(.*?)</a>""")
+_FRAMES = " || ' ' || ".join(f"array_to_string(regexp_extract_all(html, {q('(?is)' + p)}), ' ')" for p in (r"<nav\b[^>]*>.*?</nav\s*>", r"<footer\b[^>]*>.*?</footer\s*>", '<div class="footer">.*?</div>'))
+ANCHORS_OF = rf"""a0 AS (SELECT page_id, url, html, regexp_extract_all(html, {_A}) AS l, {_FRAMES} AS framed FROM aug),
 a1 AS (SELECT page_id, url, framed, unnest(l) AS a, (generate_subscripts(l, 1) - 1)::INT AS pos FROM a0),
-anch AS (SELECT page_id, url, pos, regexp_extract(a, '{_A}', 1) AS href, {plain(f"regexp_extract(a, '{_A}', 2)")} AS text, contains(framed, a) AS in_nav FROM a1)"""
+a2 AS (SELECT page_id, url, pos, regexp_replace(regexp_extract(a, {_A}, 1), {q('^["' + chr(39) + ']|["' + chr(39) + ']$')}, '', 'g') AS href,
+  coalesce(nullif({plain(f"regexp_extract(a, {_A}, 2)")}, ''), regexp_extract(a, 'aria-label="([^"]*)"', 1)) AS text, contains(framed, a) AS in_nav FROM a1)"""
 _BASE = r"regexp_extract(url, '^([^?#]*)', 1)"
 _ORIGIN = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)"
-LINKS_OF = rf"""abs0 AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || href WHEN starts_with(href, '/') THEN {_ORIGIN} || href
-    WHEN href = '' THEN {_BASE} WHEN starts_with(href, '?') THEN {_BASE} || href WHEN starts_with(href, '#') THEN regexp_extract(url, '^([^#]*)', 1) || href
-    ELSE regexp_extract({_BASE} || CASE WHEN {_BASE} = {_ORIGIN} THEN '/' ELSE '' END, '^(.*/)', 1) || href END AS absolute, lower(text || ' ' || href) AS hay FROM anch),
-links AS (SELECT * FROM (SELECT page_id, pos, absolute, (6 * {count('hay', rules.HIGH_LINK)} + 3 * {count('hay', rules.MEDIUM_LINK)} + {count('hay', rules.LOW_LINK)} + {case([(has('absolute', p), n) for p, n in rules.URL_POINTS], 0)} + in_nav::INT)::INT AS link_score
-  FROM abs0 WHERE NOT regexp_matches(absolute, '^(javascript|mailto|tel):')) WHERE link_score > 0)"""
+ANCHORS_OF += rf""",
+a3 AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || href WHEN starts_with(href, '/') THEN {_ORIGIN} || href
+    WHEN href = '' THEN url WHEN starts_with(href, '?') THEN {_BASE} || href WHEN starts_with(href, '#') THEN regexp_extract(url, '^([^#]*)', 1) || href
+    ELSE regexp_extract({_BASE} || CASE WHEN {_BASE} = {_ORIGIN} THEN '/' ELSE '' END, '^(.*/)', 1) || href END AS direct FROM a2),
+anch AS (SELECT page_id, url, pos, href, text, in_nav, regexp_replace(direct, '/[^/]+/\.\./', '/', 'g') AS absolute, lower(text || ' ' || href) AS hay FROM a3)"""
+LINKS_OF = rf"""links AS (SELECT * FROM (SELECT page_id, pos, absolute, (6 * {count('hay', rules.HIGH_LINK)} + 3 * {count('hay', rules.MEDIUM_LINK)} + {count('hay', rules.LOW_LINK)} + {case([(has('absolute', p), n) for p, n in rules.URL_POINTS], 0)} + in_nav::INT)::INT AS link_score
+  FROM anch WHERE NOT regexp_matches(absolute, '^(javascript|mailto|tel):')) WHERE link_score > 0),
+top AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY link_score DESC, pos) = 1)"""
+#: The pages as documents, with their best link.
+PAGE_DOCS = f"""{PAGES},
+{TEXTS_OF},
+{ANCHORS_OF},
+{LINKS_OF},
+docs AS (SELECT page_id AS doc_id, page_text AS text, title, url, coalesce(absolute, '') AS link, coalesce(link_score, 0) >= {rules.STRONG_LINK} AS linked FROM texts LEFT JOIN top USING (page_id))"""
+PAGE_RESULTS = RESULTS.replace(DOCS, PAGE_DOCS, 1)
 
 EVENTS = """ev AS (SELECT user_id AS tab_id, ts, event_id AS seq, CASE WHEN event_id % 8 < 4 THEN 'heuristicResult' WHEN event_id % 8 < 6 THEN 'loading' WHEN event_id % 8 = 6 THEN 'removed' ELSE 'getHeuristic' END AS type,
   CASE WHEN event_id % 3 = 0 THEN 'https://site.example/' || event_type END AS url, props AS payload, value FROM events),
@@ -233,17 +258,17 @@ def sql() -> dict[str, str]:
     return {
         "sentence_split": with_(SENT, "SELECT doc_id, i, sentence FROM sent"),
         "chunk_windows": with_(UNITS, "SELECT doc_id, ord, unit FROM units"),
-        "snippet_shorten": with_(UNITS, f"SELECT doc_id, ord, {shorten('unit')} AS snippet, {compare_key('left(unit, 300)')} AS key FROM units WHERE ord % 3 = 2"),
+        "snippet_shorten": with_(UNITS, f"SELECT doc_id, ord, {shorten('unit')} AS snippet, {compare_key('unit')} AS key FROM units"),
         "pattern_hits_page_hints": with_(DOCS, f"SELECT doc_id, {count('text', rules.STRONG_PAGE)} AS strong, {count('text', rules.WEAK_PAGE)} AS weak FROM docs"),
         "page_text_extract": with_(f"{PAGES},\n{TEXTS_OF}", "SELECT page_id, title, main_text, full_text FROM texts"),
         "page_policy_score": with_(f"{PAGES},\n{TEXTS_OF}", f"SELECT page_id, page_score, {_DISPLAY} FROM (SELECT page_id, {page_score('page_text', 'title', 'url')}::INT AS page_score FROM texts)"),
-        "anchor_scan": with_(f"{PAGES},\n{ANCHORS_OF}", "SELECT page_id, pos, href, text, in_nav FROM anch"),
+        "anchor_scan": with_(f"{PAGES},\n{ANCHORS_OF}", "SELECT page_id, pos, href, text, in_nav, absolute FROM anch"),
         "link_score": with_(f"{PAGES},\n{ANCHORS_OF},\n{LINKS_OF}", "SELECT page_id, pos, absolute, link_score FROM links"),
         "best_policy_link": with_(
-            f"{PAGES},\n{ANCHORS_OF},\n{LINKS_OF},\ntop AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY link_score DESC, pos) = 1)",
+            f"{PAGES},\n{ANCHORS_OF},\n{LINKS_OF}",
             "SELECT page_id, coalesce(absolute, '') AS best_policy_link, coalesce(link_score, 0)::INT AS best_link_score FROM pages LEFT JOIN top USING (page_id)",
         ),
-        "best_policy_link_of_rows": with_(f"{PAGES},\n{ANCHORS_OF},\n{LINKS_OF}", "SELECT page_id, absolute AS best_policy_link, link_score AS best_link_score FROM links QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY link_score DESC, pos) = 1"),
+        "best_policy_link_of_rows": with_(f"{PAGES},\n{ANCHORS_OF},\n{LINKS_OF}", "SELECT page_id, absolute AS best_policy_link, link_score AS best_link_score FROM top"),
         "category_flags": with_(f"{SENT},\n{CATS_OF}", f"SELECT doc_id, category, present, array_to_string(e, '{BAR}') AS evidence FROM cats"),
         "unit_context_flags": with_(f"{UNITS},\n{CONTEXT_OF}", "SELECT doc_id, ord, negation, permission_limited, safe_context, ad_tech FROM ctx WHERE negation OR permission_limited OR safe_context OR ad_tech"),
         "unit_evidence_score": with_(MATCHES, "SELECT doc_id, rule_ord, ord, strong_hits, medium_hits, ad_tech_hits, negated, permission_limited, safe_context, score FROM m"),
@@ -255,6 +280,10 @@ def sql() -> dict[str, str]:
             f"{FOUND},\n{DOC_SCORE_OF},\nagg AS (SELECT doc_id, count(*)::INT AS n, count_if(count_as_risk)::INT AS c, list(title ORDER BY place) FILTER (count_as_risk) AS t FROM found GROUP BY doc_id)",
             f"SELECT doc_id, is_likely_policy_page, page_score, score, confidence, CASE WHEN is_likely_policy_page THEN coalesce(n, 0) ELSE 0 END::INT AS n_findings, CASE WHEN is_likely_policy_page THEN coalesce(c, 0) ELSE 0 END::INT AS counted_risk_count, CASE WHEN is_likely_policy_page THEN coalesce(array_to_string(t[1:{rules.MAX_REASONS}], '{BAR}'), '') ELSE '' END AS reasons FROM page LEFT JOIN agg USING (doc_id)",
         ),
+        "page_results": with_(
+            f"{PAGE_RESULTS},\nagg AS (SELECT doc_id, count_if(count_as_risk)::INT AS c, list(title ORDER BY place) FILTER (count_as_risk) AS t FROM own GROUP BY doc_id)",
+            f"SELECT doc_id AS page_id, score, confidence, link AS best_policy_link, coalesce(c, 0)::INT AS counted_risk_count, risk_score, level, level_hint, toolbar_title, coalesce(array_to_string(t[1:{rules.MAX_REASONS}], '{BAR}'), '') AS reasons FROM risk LEFT JOIN agg USING (doc_id)",
+        ),
         "risk_scores": with_(RESULTS, "SELECT doc_id, risks, high_risks, medium_risks, risk_score, issues_count, level_hint, risk_summary, level, badge_text, badge_color, toolbar_title FROM risk"),
         "legacy_findings": with_(f"{SENT},\n{CATS_OF},\n{LEGACY_OF}", f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS pos, category, title, confidence, severity, score, count_as_risk, source_key, array_to_string(e, '{BAR}') AS evidence FROM lf"),
         "findings_report": with_(
@@ -281,6 +310,21 @@ def sql() -> dict[str, str]:
         ),
         "risk_by_lang_source": with_(RESULTS, "SELECT lang, source, count(*) AS docs, sum(risk_score)::BIGINT AS risk_sum, sum(issues_count)::BIGINT AS issues, count_if(level = 'red')::BIGINT AS red FROM risk JOIN (SELECT doc_id, lang, source FROM docs) USING (doc_id) GROUP BY ROLLUP (lang, source)"),
         "latest_result_per_tab": with_(EVENTS, "SELECT tab_id, seq, payload FROM lastchange WHERE type = 'heuristicResult'"),
+        "tab_resets": with_(EVENTS, f"SELECT tab_id, seq, '' AS badge_text, {q(rules.SCANNING)} AS toolbar_title FROM ev WHERE type = 'loading'"),
+        "analysis_triggers": with_(
+            EVENTS,
+            f"SELECT tab_id, seq, epoch_us(ts) AS due_us, seq % 5 = 0 AS immediate FROM ev WHERE seq % 5 < 4 UNION ALL SELECT tab_id, seq, epoch_us(ts) + {1000 * RECHECK_MS}, false FROM ev WHERE seq % 5 = 0",
+        ),
+        "stored_settings": with_(EVENTS, f"SELECT 'user.' || tab_id AS key, arg_max(coalesce(url, ''), seq) AS value FROM ev GROUP BY tab_id UNION ALL SELECT * FROM (VALUES {', '.join(f'({q(k)}, {q(v)})' for k, v in DEFAULTS.items())})"),
+        "toolbar_icons": with_(RESULTS, "SELECT doc_id, size, 'icons/' || level || size || '.png' AS path FROM risk CROSS JOIN (VALUES (16), (32), (48), (128)) s(size)"),
+        "unscored_findings_risk": with_(
+            f"{FOUND},\nw AS (SELECT doc_id, sum({_WEIGHT('category', rules.CATEGORY_WEIGHT, 10)} * {_WEIGHT('confidence', rules.CONFIDENCE_WEIGHT, 0.75)} * {_WEIGHT('severity', rules.SEVERITY_WEIGHT, 1.0)} + CASE WHEN s1 IS NOT NULL THEN 2 ELSE 0 END) AS raw FROM found WHERE count_as_risk GROUP BY doc_id)",
+            "SELECT doc_id, round(coalesce(raw, 0), 6)::DOUBLE AS raw FROM docs LEFT JOIN w USING (doc_id)",
+        ),
+        "text_caps": with_(
+            f"{PAGES},\ncut AS (SELECT page_id AS doc_id, left(repeat(url || ' is the address of the page.' || chr(10), 4000), {rules.MAX_TEXT}) AS text FROM aug),\n{sent('cut')}",
+            "SELECT cut.doc_id AS page_id, any_value(length(text))::INT AS n_chars, count(i)::INT AS n_sentences, arg_max(sentence, i) AS last_sentence FROM cut LEFT JOIN sent USING (doc_id) GROUP BY cut.doc_id",
+        ),
         "evicted_tabs": with_(EVENTS, "SELECT tab_id, seq FROM lastchange WHERE type <> 'heuristicResult'"),
         "tab_lookup": with_(EVENTS, "SELECT tab_id, payload FROM (SELECT DISTINCT tab_id FROM ev) LEFT JOIN (SELECT tab_id, payload FROM lastchange WHERE type = 'heuristicResult') USING (tab_id)"),
         "address_changes": with_(EVENTS, "SELECT tab_id, seq, url FROM (SELECT *, lag(url) OVER (PARTITION BY tab_id ORDER BY ts, seq) AS before FROM ev) WHERE before IS NOT NULL AND url IS NOT NULL AND url <> before"),
@@ -289,7 +333,7 @@ def sql() -> dict[str, str]:
             "SELECT tab_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM isl GROUP BY tab_id, g",
         ),
         "rate_limited_requests": with_(f"{EVENTS},\n{REQUESTS_OF}", "SELECT tab_id, seq, rank_in_window, limited FROM req"),
-        "request_gate": with_(f"{EVENTS},\n{REQUESTS_OF}", f"SELECT tab_id, seq, {_gate(_LIMITED, _TOKEN, ('NOT coalesce(enabled, false)', 403, 'disabled'), *_TEXT_GATES, ('NOT seq % 23 <> 0', 500, 'missing_model_key'))} FROM req"),
+        "request_gate": with_(f"{EVENTS},\n{REQUESTS_OF}", f"SELECT tab_id, seq, {_gate(_LIMITED, _TOKEN, ('NOT coalesce(enabled, false)', 403, 'disabled'), *_TEXT_GATES, ('NOT seq % 23 <> 0', 500, 'missing_openai_api_key'))} FROM req"),
         "admin_gate": with_(f"{EVENTS},\n{REQUESTS_OF}", f"SELECT tab_id, seq, status, error, CASE WHEN status = 200 THEN coalesce(enabled, false) END AS set_enabled FROM (SELECT tab_id, seq, enabled, {_gate(_LIMITED, _TOKEN)} FROM req)"),
         "client_gate": with_(
             f"{EVENTS},\n{REQUESTS_OF}",
@@ -305,5 +349,9 @@ def sql() -> dict[str, str]:
             r"tried AS (SELECT seq, output, try_cast(output AS JSON) AS whole, try_cast(regexp_extract(output, '(?s)\{.*\}') AS JSON) AS part FROM replies)",
             "SELECT seq, ok AS is_json, CASE WHEN NOT ok THEN output END AS raw FROM (SELECT seq, output, coalesce(coalesce(nullif(whole::VARCHAR, ''), nullif(part::VARCHAR, '')) NOT IN ('null', 'false', '0', '\"\"'), false) AS ok FROM tried)",
         ),
+        "llm_call_offline": with_(
+            f"{EVENTS},\n{REQUESTS_OF}",
+            f"SELECT request_id, status, error, 'low' AS overall_risk FROM (SELECT seq AS request_id, {_gate(_LIMITED, _TOKEN, ('NOT coalesce(enabled, false)', 403, 'disabled'), *_TEXT_GATES)} FROM req) WHERE status = 200",
+        ),
         "llm_response_text": with_(EVENTS, "SELECT seq, CASE seq % 3 WHEN 0 THEN 'a' || seq WHEN 1 THEN 'b' ELSE '' END AS output FROM ev"),
     }

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..functions.patterns import Text
 from ..operators import categories, detect, findings, report, requests, risk
-from ..sources.pages import anchors, page_columns
+from ..sources import flags
+from ..sources.pages import anchors, parsed_pages
 from ..streaming import tabs
 from . import corpus
 from .analyze import analyze_pages, analyze_texts, assess
@@ -48,8 +49,8 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def snippet_shorten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = findings.unit_rows(corpus.documents(spark, sf_dir)).where("ord % 3 = 2")
-    return rows.select("doc_id", "ord", text.shorten(F.col("unit")).alias("snippet"), text.compare_key(F.left("unit", F.lit(300))).alias("key"))
+    rows = findings.unit_rows(corpus.documents(spark, sf_dir))
+    return rows.select("doc_id", "ord", text.shorten(F.col("unit")).alias("snippet"), text.compare_key(F.col("unit")).alias("key"))
 
 
 @query
@@ -63,18 +64,18 @@ def pattern_hits_page_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_columns(corpus.pages(spark, sf_dir)).select("page_id", "title", "main_text", "full_text")
+    return parsed_pages(corpus.pages(spark, sf_dir), "title", "main_text", "full_text").drop("url")
 
 
 @query
 def page_policy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = detect.scored_pages(page_columns(corpus.pages(spark, sf_dir)))
+    rows = detect.scored_pages(parsed_pages(corpus.pages(spark, sf_dir), "title", "page_text"))
     return rows.select("page_id", "page_score", "score", "confidence", "is_likely_policy_page")
 
 
 @query
 def anchor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anchors(corpus.pages(spark, sf_dir)).select("page_id", "pos", "href", "text", "in_nav")
+    return anchors(corpus.pages(spark, sf_dir)).select("page_id", "pos", "href", "text", "in_nav", "absolute")
 
 
 @query
@@ -84,13 +85,13 @@ def link_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def best_policy_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.with_best_link(corpus.pages(spark, sf_dir)).select("page_id", "best_policy_link", "best_link_score")
+    return detect.with_best_link(parsed_pages(corpus.pages(spark, sf_dir), "links")).select("page_id", "best_policy_link", "best_link_score")
 
 
 @query
 def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = assess(analyze_pages(corpus.pages(spark, sf_dir)))
-    return rows.select(F.col("doc_id").alias("page_id"), "score", "confidence", "best_policy_link", "counted_risk_count", "risk_score", "level", "level_hint", _bar("reasons").alias("reasons"))
+    return rows.select(F.col("doc_id").alias("page_id"), "score", "confidence", "best_policy_link", "counted_risk_count", "risk_score", "level", "level_hint", "toolbar_title", _bar("reasons").alias("reasons"))
 
 
 @query
@@ -163,6 +164,27 @@ def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(spark, sf_dir).select(*columns)
 
 
+@query
+def toolbar_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _results(spark, sf_dir).select("doc_id", F.explode("icons").alias("size", "path"))
+
+
+@query
+def unscored_findings_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk of findings that came without a score: the weight of their category counts."""
+    found = F.transform("findings", lambda f: f.withField("score", F.lit(None).cast("int")))
+    rows = findings.findings_of(corpus.documents(spark, sf_dir))
+    return rows.select("doc_id", F.round(risk.raw_risk(found), 6).alias("raw"))
+
+
+@query
+def text_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages repeated beyond both caps: the characters that are kept of a text, its sentences that count, and the last of them."""
+    rows = corpus.pages(spark, sf_dir).select("page_id", F.left(F.repeat(F.concat("url", F.lit(" is the address of the page.\n")), 4000), F.lit(rules.MAX_TEXT)).alias("t"))
+    rows = rows.select("page_id", F.length("t").alias("n_chars"), text.sentences(F.col("t")).alias("s"))
+    return rows.select("page_id", "n_chars", F.size("s").alias("n_sentences"), F.element_at("s", -1).alias("last_sentence"))
+
+
 @query
 def legacy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir)
@@ -232,6 +254,25 @@ def address_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabs.address_changes(_events(spark, sf_dir)).select("tab_id", "seq", "url")
 
 
+@query
+def tab_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabs.resets(_events(spark, sf_dir)).select("tab_id", "seq", "badge_text", "toolbar_title")
+
+
+@query
+def analysis_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("ready", "load", "mutation", "address", "other"))), (F.col("seq") % 5 + 1).cast("int"))
+    rows = tabs.triggers(_events(spark, sf_dir).withColumn("type", kind))
+    return rows.select("tab_id", "seq", F.unix_micros("ts").alias("due_us"), "immediate")
+
+
+@query
+def stored_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stored value of each key (a user's setting) over the defaults."""
+    key = F.concat(F.lit("user."), F.col("tab_id").cast("string"))
+    return flags.settings(spark, _events(spark, sf_dir).select(key.alias("key"), F.coalesce("url", F.lit("")).alias("value"), "seq"))
+
+
 @query
 def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tabs.debounced(_events(spark, sf_dir), "6 hours")
@@ -309,4 +350,4 @@ def llm_call_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = requests.gate_analyze(_requests(spark, sf_dir), "right", enabled=F.coalesce("enabled", F.lit(False)))
     called = requests.call_model(rows.withColumnRenamed("seq", "request_id"), "request_id")
     reply = F.from_json(requests.parsed_reply(F.col("output"))["parsed"], requests.REPLY)
-    return called.select("request_id", "failed", reply.alias("r")).select("request_id", "failed", "r.overall_risk")
+    return called.select("request_id", "status", "error", reply.alias("r")).select("request_id", "status", "error", "r.overall_risk")

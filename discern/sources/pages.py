@@ -1,215 +1,167 @@
 """Web pages: title, text blocks, visible text and links.
 
-Two readers give the same columns. `page_columns` is made of built-in expressions and
-covers article and main elements of static pages; `parsed_pages` walks the whole tree in
-an Arrow task, with all block selectors, nesting, aria-label and closest-ancestor tests.
+One pass over a page's tags, in an Arrow task, gives all of them: text blocks of all
+selectors with nesting, aria-label, and the elements around a link. There is no CSS:
+text of block elements is parted by blanks, and text of inline elements isn't.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.patterns import with_computed
-from ..functions.text import norm
 
-#: Elements without text of their own.
+#: Elements without text of their own.
 SILENT = ("script", "style", "noscript", "svg", "video", "audio")
-#: Selectors of text blocks, in the order in which blocks are joined.
+#: Selectors of text blocks, in the order in which blocks are joined.
 SELECTORS = ("main", "article", "[role=main]", ".privacy", ".policy", ".legal", ".content", ".main-content", ".entry-content", ".page-content")
-#: Character references that the expression reader decodes.
-REFERENCES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
-
-ANCHOR = r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
-
-
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, html) from a Parquet table."""
-    return spark.read.parquet(path).select("page_id", "url", "html")
-
-
-def plain(html: Column) -> Column:
-    """Text of a fragment: silent elements and tags go, references are decoded."""
-    for tag in SILENT:
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    html = F.regexp_replace(html, r"(?s)<[^>]*>", " ")
-    for reference, character in REFERENCES:
-        html = F.replace(html, F.lit(reference), F.lit(character))
-    return norm(html)
-
-
-def page_columns(pages: DataFrame, *keep: str) -> DataFrame:
-    """(page_id, url, title, main_text, full_text, page_text) by built-in expressions, and the columns `keep` of pages."""
-    html = F.coalesce("html", F.lit(""))
-    blocks = F.array(*(plain(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)) for tag in ("main", "article")))
-    rows = pages.select(
-        *keep,
-        "page_id",
-        "url",
-        plain(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
-        F.filter(blocks, lambda b: F.length(b) >= rules.LEAST_BLOCK).alias("blocks"),
-        plain(F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)", 1)).alias("body"),
-        plain(F.regexp_replace(html, r"(?is)<title[^>]*>.*?</title>", " ")).alias("full"),
-    )
-    main = F.left(F.when(F.size("blocks") > 0, F.array_join("blocks", "\n\n")).otherwise(F.col("body")), F.lit(rules.MAX_TEXT))
-    rows = rows.select(*keep, "page_id", "url", "title", main.alias("main_text"), F.left("full", F.lit(rules.MAX_TEXT)).alias("full_text"))
-    return with_computed(rows, {"page_text": F.when(F.col("main_text") != "", F.col("main_text")).otherwise(F.col("full_text"))})
-
-
-def anchor_array(html: Column) -> Column:
-    """The links of a page in order, as an array of href, text, in_nav."""
-    html = F.coalesce(html, F.lit(""))
-    parts = [F.concat_ws(" ", F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"), F.lit(0))) for tag in ("nav", "footer")]
-    framed = F.concat_ws(" ", *parts)
-
-    def link(a: Column, frame: Column) -> Column:
-        return F.struct(F.regexp_extract(a, ANCHOR, 1).alias("href"), plain(F.regexp_extract(a, ANCHOR, 2)).alias("text"), F.contains(frame, a).alias("in_nav"))
-
-    found = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0))
-    return F.flatten(F.transform(F.array(framed), lambda frame: F.transform(found, lambda a: link(a, frame))))
-
-
-def anchors(pages: DataFrame) -> DataFrame:
-    """(page_id, url, pos, href, text, in_nav) of each link in page order, by built-in expressions."""
-    rows = pages.select("page_id", "url", F.posexplode(anchor_array(F.col("html"))).alias("pos", "a"))
-    return rows.select("page_id", "url", "pos", "a.href", "a.text", "a.in_nav")
+#: Elements around a link that count (tags, and a class).
+FRAMES, FRAME_CLASS = ("footer", "nav"), "footer"
 
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+FLOW = frozenset("a abbr b bdi bdo cite code data em font i kbd label mark q s samp small span strong sub sup time u var".split())
+_CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 
-def resolved(href: Column, base: Column) -> Column:
-    """Absolute address of a link; null if there is none.
 
-    Covers absolute, //host, /path, ?query, #fragment and relative links.
-    """
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    page = F.regexp_extract(base, r"^([^?#]*)", 1)
-    folder = F.regexp_extract(F.concat(page, F.when(page == origin, F.lit("/")).otherwise(F.lit(""))), r"^(.*/)", 1)
-    return (
-        F.when(href.isNull() | base.isNull() | (origin == ""), F.lit(None).cast("string"))
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when(href == "", page)
-        .when(href.startswith("?"), F.concat(page, href))
-        .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
-        .otherwise(F.concat(folder, href))
-    )
-
-
-# ---- whole-tree reader -----------------------------------------------------------
-
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_FLOW = frozenset("a abbr b bdi bdo cite code data em font i kbd label mark q s samp small span strong sub sup time u var".split())
-_CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+def _selectors(name: str, attrs: dict[str, str]) -> list[int]:
+    """Which of SELECTORS an element matches."""
+    classes = attrs.get("class", "").split()
+    own = {name, *("." + c for c in classes), "[role=main]" if attrs.get("role") == "main" else ""}
+    return [k for k, s in enumerate(SELECTORS) if s in own]
 
 
 class _Tree(HTMLParser):
-    """Text runs with the elements around them."""
+    """Text pieces in order; an element's text is a range of them."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[int] = []
-        self.nodes: list[tuple[str, dict, int]] = []  # name, attributes, parent
-        self.texts: list[tuple[int, str]] = []  # element, text or a block break
-
-    def _start(self, name: str, attrs: list, closed: bool) -> None:
-        if name in _CLOSES_P:
-            for depth in range(len(self.open) - 1, -1, -1):
-                inner = self.nodes[self.open[depth]][0]
-                if inner == "p":
-                    del self.open[depth:]
-                if inner == "p" or inner not in _FLOW:
-                    break
-        if name not in _FLOW:
-            self.texts.append((self.open[-1] if self.open else -1, "\n"))
-        self.nodes.append((name, {k: v or "" for k, v in attrs}, self.open[-1] if self.open else -1))
-        if not closed and name not in _VOID:
-            self.open.append(len(self.nodes) - 1)
-
-    def handle_starttag(self, name: str, attrs: list) -> None:
-        self._start(name, attrs, False)
+        self.pieces: list[str] = []
+        self.ends: list[int] = []  # of each element, once it is closed
+        self.open: list[tuple[int, str, bool, bool]] = []  # element, name, silent and framed, by itself or by what is around it
+        self.count: Counter = Counter()  # open elements by name
+        self.blocks: list[tuple[int, int, int]] = []  # selector, element, first piece
+        self.links: list[tuple[int, int, dict, bool]] = []  # element, first piece, attributes, framed
+        self.body: tuple[int, int] | None = None
+        self.heading: list[str] = []  # text of the first title
+        self.titled = False
+
+    def _close(self, depth: int) -> None:
+        for element, name, *_ in reversed(self.open[depth:]):
+            self.ends[element] = len(self.pieces)
+            self.count[name] -= 1
+        del self.open[depth:]
+
+    def _close_last(self, name: str) -> None:
+        """Closes the last open element of a name and all inside it; nothing happens if there is none."""
+        if self.count[name]:
+            self._close(next(d for d in range(len(self.open) - 1, -1, -1) if self.open[d][1] == name))
+
+    def _break(self) -> None:
+        self.pieces.append("\n")
+
+    def handle_starttag(self, name: str, attrs: list, closed: bool = False) -> None:
+        if name in _CLOSES_P and self.count["p"]:
+            depth = len(self.open) - 1
+            while self.open[depth][1] in FLOW:
+                depth -= 1
+            if self.open[depth][1] == "p":
+                self._close(depth)
+        if name == "a":
+            self._close_last("a")
+        if name not in FLOW:
+            self._break()
+        own = {k: v or "" for k, v in attrs}
+        _, _, silent, framed = self.open[-1] if self.open else (0, "", False, False)
+        framed = framed or name in FRAMES or FRAME_CLASS in own.get("class", "").split()
+        element, at = len(self.ends), len(self.pieces)
+        self.ends.append(at)
+        self.blocks += [(k, element, at) for k in _selectors(name, own)]
+        if name == "a" and "href" in own:
+            self.links.append((element, at, own, framed))
+        if name == "body" and self.body is None:
+            self.body = element, at
+        if not closed and name not in VOID:
+            self.open.append((element, name, silent or name in SILENT or name == "title", framed))
+            self.count[name] += 1
 
     def handle_startendtag(self, name: str, attrs: list) -> None:
-        self._start(name, attrs, True)
+        self.handle_starttag(name, attrs, True)
 
     def handle_endtag(self, name: str) -> None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[depth]][0] == name:
-                del self.open[depth:]
-                break
-        if name not in _FLOW:
-            self.texts.append((self.open[-1] if self.open else -1, "\n"))
+        self._close_last(name)
+        if name not in FLOW:
+            self._break()
+        self.titled = self.titled or name == "title"
 
     def handle_data(self, data: str) -> None:
-        self.texts.append((self.open[-1] if self.open else -1, data))
-
-    def chain(self, node: int) -> Iterator[int]:
-        while node >= 0:
-            yield node
-            node = self.nodes[node][2]
-
-    def text_of(self, top: int, silent: bool = True) -> str:
-        out = []
-        for node, text in self.texts:
-            above = list(self.chain(node))
-            if (top < 0 or top in above) and not (silent and any(self.nodes[x][0] in SILENT or self.nodes[x][0] == "title" for x in above)):
-                out.append(text)
-        return " ".join("".join(out).split())
-
+        _, name, silent, _ = self.open[-1] if self.open else (0, "", False, False)
+        if not silent:
+            self.pieces.append(data)
+        elif name == "title" and not self.titled:
+            self.heading.append(data)
 
-def _selected(selector: str, name: str, attrs: dict) -> bool:
-    if selector.startswith("."):
-        return selector[1:] in attrs.get("class", "").split()
-    if selector == "[role=main]":
-        return attrs.get("role") == "main"
-    return name == selector
+    def text_of(self, first: int, end: int) -> str:
+        return " ".join("".join(self.pieces[first:end]).split())
 
 
 def parse_page(html: str | None, url: str | None) -> dict:
-    """Title, texts and links of one page (null: empty)."""
+    """title, main_text, full_text, page_text and links (href, text, in_nav, absolute) of one page (null: empty).
+
+    absolute is the link's address on the page; null if it has none, as where the page's
+    own address is null.
+    """
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
-    titles = [i for i, n in enumerate(tree.nodes) if n[0] == "title"]
-    blocks = []
-    for selector in SELECTORS:
-        for i, (name, attrs, _) in enumerate(tree.nodes):
-            if _selected(selector, name, attrs) and len(text := tree.text_of(i)) >= rules.LEAST_BLOCK:
-                blocks.append(text)
-    full = tree.text_of(-1)[: rules.MAX_TEXT]
-    body = next((tree.text_of(i) for i, n in enumerate(tree.nodes) if n[0] == "body"), full)
+    tree._close(0)
+    blocks = [text for _, e, at in sorted(tree.blocks) if len(text := tree.text_of(at, tree.ends[e])) >= rules.LEAST_BLOCK]
+    full = tree.text_of(0, len(tree.pieces))[: rules.MAX_TEXT]
+    body = tree.text_of(tree.body[1], tree.ends[tree.body[0]]) if tree.body else full
     links = []
-    for i, (name, attrs, _) in enumerate(tree.nodes):
-        if name == "a" and "href" in attrs:
-            framed = any(tree.nodes[x][0] in ("footer", "nav") or "footer" in tree.nodes[x][1].get("class", "").split() for x in tree.chain(i))
-            try:
-                absolute = urljoin(url or "", attrs["href"].strip())
-            except ValueError:
-                absolute = None
-            links.append({"href": attrs["href"], "text": tree.text_of(i) or " ".join(attrs.get("aria-label", "").split()), "in_nav": framed, "absolute": absolute})
+    for e, at, attrs, framed in tree.links:
+        try:
+            absolute = urljoin(url or "", attrs["href"].strip())
+        except ValueError:
+            absolute = ""
+        text = tree.text_of(at, tree.ends[e]) or " ".join(attrs.get("aria-label", "").split())
+        links.append({"href": attrs["href"], "text": text, "in_nav": framed, "absolute": absolute if _SCHEME.match(absolute) else None})
     main = ("\n\n".join(blocks) or body)[: rules.MAX_TEXT]
-    return {"title": tree.text_of(titles[0], silent=False) if titles else "", "main_text": main, "full_text": full, "page_text": main or full, "links": links}
+    return {"title": " ".join("".join(tree.heading).split()), "main_text": main, "full_text": full, "page_text": main or full, "links": links}
 
 
-_LINKS = "array<struct<href:string,text:string,in_nav:boolean,absolute:string>>"
+LINKS = "array<struct<href:string,text:string,in_nav:boolean,absolute:string>>"
 _ARROW_LINKS = pa.list_(pa.struct([("href", pa.string()), ("text", pa.string()), ("in_nav", pa.bool_()), ("absolute", pa.string())]))
+_TEXTS = ("title", "main_text", "full_text", "page_text")
+
 
+def _parse_batches(texts: tuple[str, ...], with_links: bool):
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [parse_page(h, u) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            columns = [pa.array([r[k] for r in rows], pa.string()) for k in texts]
+            columns += [pa.array([r["links"] for r in rows], _ARROW_LINKS)] if with_links else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["page_id", "url", *texts, *(["links"] if with_links else [])])
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [parse_page(h, u) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        texts = [pa.array([r[k] for r in rows], pa.string()) for k in ("title", "main_text", "full_text", "page_text")]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *texts, pa.array([r["links"] for r in rows], _ARROW_LINKS)], ["page_id", "url", "title", "main_text", "full_text", "page_text", "links"])
+    return parsed
 
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """page_columns() and links (an array of href, text, in_nav, absolute), by the whole-tree reader."""
-    schema = f"page_id long, url string, title string, main_text string, full_text string, page_text string, links {_LINKS}"
-    return pages.select("page_id", "url", "html").mapInArrow(_parse_batches, schema)
+def parsed_pages(pages: DataFrame, *columns: str) -> DataFrame:
+    """(page_id, url) and those of title, main_text, full_text, page_text and links that are asked for (default: all)."""
+    wanted = columns or (*_TEXTS, "links")
+    texts = tuple(c for c in _TEXTS if c in wanted)
+    schema = "page_id long, url string" + "".join(f", {c} string" for c in texts) + (f", links {LINKS}" if "links" in wanted else "")
+    return pages.select("page_id", "url", "html").mapInArrow(_parse_batches(texts, "links" in wanted), schema)
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """(page_id, url, pos, href, text, in_nav, absolute) of each link in page order."""
+    return parsed_pages(pages, "links").select("page_id", "url", F.posexplode("links").alias("pos", "a")).select("page_id", "url", "pos", "a.*")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions import rules
+
 RESULT, EVICT, RELOAD = "result", "evict", "reload"
 
 
@@ -40,6 +42,29 @@ def evicted(events: DataFrame) -> DataFrame:
     return last.where(F.col("x.change") == EVICT).select("tab_id", "x.ts", "x.seq")
 
 
+def resets(events: DataFrame) -> DataFrame:
+    """(tab_id, ts, seq, badge_text, toolbar_title) of each load, with or without an address: what the toolbar shows until there is a result."""
+    loads = events.where(F.col("type") == "loading")
+    return loads.select("tab_id", "ts", "seq", F.lit("").alias("badge_text"), F.lit(rules.SCANNING).alias("toolbar_title"))
+
+
+#: A page is looked at again so many milliseconds after it is ready, and so long after the last trigger.
+RECHECK_MS, DEBOUNCE_MS = 1200, 900
+
+
+def triggers(events: DataFrame) -> DataFrame:
+    """(tab_id, ts, seq, immediate) of the analyses that events ask for: ready, load, mutation, address.
+
+    A ready page is analysed at once, and is due again RECHECK_MS later; the others only
+    ask for a debounced analysis. debounced() of those that aren't immediate tells when
+    these run.
+    """
+    kinds = F.when(F.col("type") == "ready", F.array(F.lit(0), F.lit(RECHECK_MS))).when(F.col("type").isin("load", "mutation", "address"), F.array(F.lit(0)))
+    rows = events.select("tab_id", "ts", "seq", "type", F.explode(kinds).alias("later"))
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + 1000 * F.col("later"))
+    return rows.select("tab_id", at.alias("ts"), "seq", ((F.col("type") == "ready") & (F.col("later") == 0)).alias("immediate"))
+
+
 def lookup(state: DataFrame, tabs: DataFrame) -> DataFrame:
     """tabs (tab_id) with the payload of their latest result, null without one."""
     return tabs.join(state.select("tab_id", "payload"), "tab_id", "left")
@@ -66,10 +91,15 @@ def address_changes(events: DataFrame) -> DataFrame:
 
 
 class TabState(StatefulProcessor):
-    """Keeps a tab's latest result; emits its payload, or null when it is removed."""
+    """Keeps a tab's latest result; emits its payload, or null when it is removed.
+
+    A removal is remembered until the watermark passes it; nothing older can come any
+    more then, and the tab's state is cleared.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._entry = handle.getValueState("entry", "ts timestamp, seq long, payload string")
+        self._handle = handle
+        self._entry = handle.getValueState("entry", "ts timestamp, seq long, payload string, removed boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frames = [f for f in rows if len(f)]
@@ -82,15 +112,24 @@ class TabState(StatefulProcessor):
         row = real.iloc[-1]
         if held is not None and (pd.Timestamp(held[0]), held[1]) > (row["ts"], row["seq"]):
             return  # it came late
-        payload = row["payload"] if row["change"] == RESULT else None
-        self._entry.update((row["ts"].to_pydatetime(), int(row["seq"]), payload))
+        removed = row["change"] != RESULT
+        payload = None if removed else row["payload"]
+        self._entry.update((row["ts"].to_pydatetime(), int(row["seq"]), payload, removed))
+        if removed:
+            self._handle.registerTimer(int(row["ts"].timestamp() * 1000) + 1)
         yield pd.DataFrame({"tab_id": [key[0]], "ts": [row["ts"]], "payload": [payload]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # a result may have come since
+        if self._entry.exists() and self._entry.get()[3] and int(self._entry.get()[0].timestamp() * 1000) < expiredTimerInfo.getExpiryTimeInMs():
+            self._entry.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def track(events: DataFrame) -> DataFrame:
-    """A stream of (tab_id, ts, payload) updates of a stream of events; needs the RocksDB state store."""
-    keyed = changes(events).select("tab_id", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"), "change", "payload")
-    return keyed.groupBy("tab_id").transformWithStateInPandas(TabState(), outputStructType="tab_id long, ts timestamp, payload string", outputMode="Update", timeMode="None")
+def track(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """A stream of (tab_id, ts, payload) updates of a stream of events, which may come `late`; needs the RocksDB state store."""
+    keyed = changes(events).select("tab_id", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"), "change", "payload").withWatermark("ts", late)
+    return keyed.groupBy("tab_id").transformWithStateInPandas(TabState(), outputStructType="tab_id long, ts timestamp, payload string", outputMode="Update", timeMode="EventTime")

@@ -1,7 +1,7 @@
-from pyspark.sql import functions as F
+import time
 
 from discern.operators import detect
-from discern.sources.pages import anchors, page_columns, parse_page, parsed_pages, resolved
+from discern.sources.pages import anchors, parse_page, parsed_pages
 from discern.sources.flags import read_flag, settings, write_flag
 
 LONG = "word " * 30
@@ -25,33 +25,45 @@ def test_whole_tree_reader():
     assert parse_page(None, None)["page_text"] == ""
 
 
-def test_readers_agree_on_static_pages(spark, data):
-    pages = spark.read.parquet(f"{data}/pages.parquet")
-    a = {r["page_id"]: r for r in page_columns(pages).collect()}
-    b = {r["page_id"]: r for r in parsed_pages(pages).collect()}
-    assert len(a) == len(b) == pages.count()
-    assert all(a[k]["title"] == b[k]["title"] for k in a)
-    same = sum(a[k]["main_text"].replace(" ", "") == b[k]["main_text"].replace(" ", "") for k in a)
-    assert same == len(a)
+def test_hard_pages_take_linear_time():
+    for html in ("<div>" * 50_000 + LONG, "<p><b>" * 30_000 + "</i>" * 30_000, '<a href="/x">x' * 30_000, "<main>" * 300 + LONG * 50):
+        began = time.perf_counter()
+        parse_page(html, "https://a.example/")
+        assert time.perf_counter() - began < 10
+
+
+def test_every_match_of_every_selector():
+    page = parse_page(f"<body>B<article>A1 {LONG}</article><div role='main'>R {LONG}</div><article>A2 {LONG}</article><i class='legal policy'>P {LONG}</i><div class=content>short</div><div class=contents>N {LONG}</div>", None)
+    assert [b.split()[0] for b in page["main_text"].split("\n\n")] == ["A1", "A2", "R", "P", "P"]
+
+
+def test_links_in_all_spellings():
+    html = "<nav><a href='/a'>O<b>n</b>e</a></nav><a href=/b>Two</a><div class='x footer'><p><a HREF=\"../c/../d\" aria-label=' Three '><img></a></div><a name=x>None</a><a href='http://[bad'>Four</a><a href=''>Five"
+    got = [(x["href"], x["text"], x["in_nav"], x["absolute"]) for x in parse_page(html, "https://a.example/p/q?x=1")["links"]]
+    assert got == [
+        ("/a", "One", True, "https://a.example/a"), ("/b", "Two", False, "https://a.example/b"), ("../c/../d", "Three", True, "https://a.example/d"),
+        ("http://[bad", "Four", False, None), ("", "Five", False, "https://a.example/p/q?x=1"),
+    ]
 
 
 def test_block_length(spark):
     rows = frame(spark, (1, "u", f"<body>B<article>{'x' * 100}</article></body>"), (2, "u", f"<body>B<article>{'x' * 101}</article></body>"), (3, None, None), (4, "u", ""))
-    got = {r["page_id"]: r["page_text"] for r in page_columns(rows).collect()}
+    got = {r["page_id"]: r["page_text"] for r in parsed_pages(rows, "page_text").collect()}
     assert got == {1: "B " + "x" * 100, 2: "x" * 101, 3: "", 4: ""}
+    assert parsed_pages(rows).columns == ["page_id", "url", "title", "main_text", "full_text", "page_text", "links"]
 
 
-def test_resolution(spark):
+def test_resolution():
     base = "https://a.example/dir/page?x=1#y"
-    for href, want in (("/p", "https://a.example/p"), ("//b.example/p", "https://b.example/p"), ("q", "https://a.example/dir/q"), ("?z", "https://a.example/dir/page?z"), ("#t", "https://a.example/dir/page?x=1#t"), ("", "https://a.example/dir/page"), ("http://c/", "http://c/"), ("mailto:x", "mailto:x")):
-        assert spark.range(1).select(resolved(F.lit(href), F.lit(base))).first()[0] == want
-    assert spark.range(1).select(resolved(F.lit("/p"), F.lit("no address"))).first()[0] is None
+    for href, want in (("/p", "https://a.example/p"), ("//b.example/p", "https://b.example/p"), ("q", "https://a.example/dir/q"), ("?z", "https://a.example/dir/page?z"), ("#t", "https://a.example/dir/page?x=1#t"), ("http://c/", "http://c/"), ("mailto:x", "mailto:x"), (" /p/../r ", "https://a.example/r")):
+        assert parse_page(f'<a href="{href}">x</a>', base)["links"][0]["absolute"] == want
+    assert parse_page('<a href="/p">x</a>', "no address")["links"][0]["absolute"] is None
 
 
 def test_best_link_ties_and_junk(spark):
     html = '<nav><a href="/a">Privacy policy</a><a href="/b">Privacy policy</a></nav><a href="javascript:x">Privacy policy do not sell</a><a href="tel:1">Privacy notice</a>'
     rows = frame(spark, (1, "https://a.example/", html), (2, "https://a.example/", "<p>none</p>"), (3, None, html))
-    got = {r["page_id"]: (r["best_policy_link"], r["best_link_score"]) for r in detect.with_best_link(rows).collect()}
+    got = {r["page_id"]: (r["best_policy_link"], r["best_link_score"]) for r in detect.with_best_link(parsed_pages(rows)).collect()}
     assert got == {1: ("https://a.example/a", 8), 2: ("", 0), 3: ("", 0)}
     assert detect.scored_links(anchors(rows)).count() == 2
 

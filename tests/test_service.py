@@ -1,4 +1,5 @@
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ def test_gates_in_order(spark):
     assert got == [(429, "rate_limited"), (401, "unauthorized"), (401, "unauthorized"), (400, "missing_text"), (400, "missing_text"), (413, "text_too_large"), (200, None)]
     closed = [r["status"] for r in requests.gate_analyze(df, "ok", enabled=False, has_key=False).orderBy("id").collect()]
     assert closed == [429, 401, 401, 403, 403, 403, 403]
-    assert requests.gate_analyze(df, "ok", has_key=False).where("id = 7").first()["error"] == "missing_model_key"
+    assert requests.gate_analyze(df, "ok", has_key=False).where("id = 7").first()["error"] == "missing_openai_api_key"
 
 
 def test_rate_limit(spark):
@@ -39,7 +40,9 @@ def test_salvage(spark, output, parsed):
 def test_model_call(spark):
     df = spark.createDataFrame([(1, "x", 200), (2, "boom", 200), (3, "x", 403)], "id long, text string, status int")
 
-    def client():
+    def client(model):
+        assert model == requests.DEFAULT_MODEL
+
         def ask(text):
             if "boom" in text:
                 raise RuntimeError
@@ -47,8 +50,35 @@ def test_model_call(spark):
 
         return ask
 
-    got = {r["id"]: (r["output"], r["failed"]) for r in requests.call_model(df, "id", client).collect()}
-    assert got == {1: ("x", False), 2: (None, True)}
+    got = {r["id"]: (r["output"], r["status"], r["error"]) for r in requests.call_model(df, "id", client).collect()}
+    assert got == {1: ("x", 200, None), 2: (None, 500, "server_error")}
+
+
+def test_admin_limit(spark):
+    df = spark.createDataFrame([("ip", T0 + dt.timedelta(milliseconds=i), "ok", True) for i in range(62)], "client_ip string, ts timestamp, token string, enabled boolean")
+    assert Counter(r["status"] for r in requests.gate_admin(df, "ok").collect()) == {200: 60, 429: 2}
+
+
+def test_resets_and_triggers(spark):
+    df = spark.createDataFrame([(1, T0, 1, "ready", None, None), (1, T0 + dt.timedelta(milliseconds=500), 2, "mutation", None, None), (1, T0, 3, "loading", None, None), (1, T0, 4, "other", None, None)], SCHEMA)
+    rows = tabs.triggers(df)
+    assert sorted((r["seq"], (r["ts"] - T0).total_seconds(), r["immediate"]) for r in rows.collect()) == [(1, 0, True), (1, 1.2, False), (2, 0.5, False)]
+    assert [r["n"] for r in tabs.debounced(rows.where("not immediate")).collect()] == [2]
+    assert [(r["seq"], r["badge_text"], r["toolbar_title"]) for r in tabs.resets(df).collect()] == [(3, "", "Scanning...")]
+
+
+def test_removed_tabs_are_cleared(spark, tmp_path):
+    batches = [
+        [(2, T0, 3, "heuristicResult", None, "b"), (2, T0 + dt.timedelta(seconds=5), 4, "removed", None, None), (3, T0, 5, "heuristicResult", None, "c")],
+        [(7, T0 + dt.timedelta(hours=1), 6, "heuristicResult", None, "x")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        run = tabs.track(stream, "1 minute").writeStream.format("noop").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+        assert run.awaitTermination(120)
+    state = spark.read.format("statestore").option("stateVarName", "entry").load(str(tmp_path / "cp"))
+    assert sorted(r["key"]["tab_id"] for r in state.collect()) == [3, 7]
 
 
 def test_client_and_dispatch(spark):

@@ -124,17 +124,36 @@ def hit_totals(matched: DataFrame) -> DataFrame:
     return matched.groupBy("doc_id", "rule_ord").agg(*_totals())
 
 
-def best_snippet(unit: Column, rule: Column) -> Column:
-    """The strongest sentence of a unit under a rule (its number), on ties the shorter, then the first; shortened."""
+def _parts(unit: Column) -> Column:
+    """(text, low, ad_tech) of each sentence of a unit."""
+    return F.transform(sentences(unit), lambda part: evaluated(part, lambda t: F.struct(t.text.alias("text"), t.low.alias("low"), t.any(rules.AD_TECH).alias("ad_tech"))))
+
+
+def _strongest(parts: Column, unit: Column, rule: Column) -> Column:
+    """The strongest sentence under a rule (its number), on ties the shorter, then the first; shortened. Of one sentence nothing is tested."""
 
-    def strength(text: Text) -> Column:
-        out = F
+    def strength(p: Column) -> Column:
+        text, out = Text(p["text"], p["low"]), F
         for k, r in enumerate(rules.FINDINGS):
             out = out.when(rule == k, 5 * text.count(r.strong) + 2 * text.count(r.medium))
-        return out.otherwise(0) + F.when(text.any(rules.AD_TECH), 3).otherwise(0)
+        return out.otherwise(0) + F.when(p["ad_tech"], 3).otherwise(0)
+
+    ranked = F.transform(parts, lambda p, pos: F.struct((-strength(p)).alias("s"), F.length(p["text"]).alias("n"), pos.alias("pos"), p["text"].alias("part")))
+    return shorten(F.when(F.size(parts) > 1, F.array_min(ranked)["part"]).otherwise(F.coalesce(F.get(parts, F.lit(0))["text"], unit)))
+
+
+def best_snippet(unit: Column, rule: Column) -> Column:
+    return let(_parts(unit), lambda parts: _strongest(parts, unit, rule))
+
+
+def _told(u: Column) -> Column:
+    """matched() of a unit (ord, unit) with its order, length and snippets."""
+    none = F.array().cast("array<struct<text:string,low:string,ad_tech:boolean>>")
+
+    def told(found: Column, parts: Column) -> Column:
+        return F.transform(found, lambda x: x.withField("ord", u["ord"]).withField("length", F.length(u["unit"])).withField("snippet", _strongest(parts, u["unit"], x["rule_ord"])))
 
-    ranked = F.transform(sentences(unit), lambda part, pos: F.struct((-evaluated(part, strength)).alias("s"), F.length(part).alias("n"), pos.alias("pos"), part.alias("part")))
-    return shorten(F.coalesce(F.array_min(ranked)["part"], unit))
+    return let(matched(u["unit"]), lambda found: let(F.when(F.size(found) > 0, _parts(u["unit"])).otherwise(none), lambda parts: told(found, parts)))
 
 
 def with_snippets(matched: DataFrame) -> DataFrame:
@@ -212,7 +231,7 @@ def _rule_totals(matches: str) -> Column:
             add, any_of = (lambda c: F.aggregate(own, F.lit(0), lambda s, x: s + x[c])), (lambda c: F.exists(own, lambda x: x[c]))
             sums = [add(c).alias(c) for c in ("strong_hits", "medium_hits", "ad_tech_hits")]
             flags = [any_of(c).alias(c) for c in ("negated", "permission_limited", "safe_context")]
-            ranked = F.array_sort(F.transform(own, lambda x: F.struct((-x["score"]).alias("s"), F.length(x["unit"]).alias("length"), x["ord"].alias("ord"), best_snippet(x["unit"], k).alias("snippet"))))
+            ranked = F.array_sort(F.transform(own, lambda x: F.struct((-x["score"]).alias("s"), x["length"].alias("length"), x["ord"].alias("ord"), x["snippet"].alias("snippet"))))
             evidence = distinct_evidence(F.transform(ranked, lambda x: x["snippet"]))
             return F.when(F.size(own) > 0, F.struct(k.alias("rule_ord"), *sums, *flags, evidence.alias("evidence")))
 
@@ -250,8 +269,7 @@ def with_findings(docs: DataFrame, sentences: str) -> DataFrame:
     All that findings need is in the row, so nothing is shuffled.
     """
     rows = with_units(docs, sentences)
-    found = F.flatten(F.transform("rule_units", lambda u: F.transform(matched(u["unit"]), lambda x: x.withField("ord", u["ord"]).withField("unit", u["unit"]))))
-    rows = with_computed(rows, {"__matches": found}).drop("rule_units")
+    rows = with_computed(rows, {"__matches": F.flatten(F.transform("rule_units", _told))}).drop("rule_units")
     rows = with_computed(rows, {"__totals": _rule_totals("__matches")}).drop("__matches")
     rows = with_computed(rows, {"__ranked": F.array_sort(F.transform("__totals", _finding))}).drop("__totals")
     best = F.filter("__ranked", lambda x, i: ~F.exists(F.slice("__ranked", 1, i), lambda y: y["category"] == x["category"]))

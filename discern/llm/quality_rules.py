@@ -9,10 +9,13 @@ and if no passage of it holds more of the toxic label's words than nearly all of
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import let, with_computed
 from . import toxic
 from .common import binned_quantile, checkpointed
 
@@ -64,29 +67,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[float]
     return [math.log((good.get(k, 0) + 1) / a) - math.log((raw.get(k, 0) + 1) / b) for k in range(BUCKETS)]
 
 
-def _shift(name: str, x: Column, bits: str) -> Column:
-    return F.call_function(name, x, F.col(bits))
+def _repeated() -> Column:
+    """Places, in order, of the three-word windows of w that stand in the text twice or more.
 
-
-def _windows(n: str, bits: str, low: bool) -> Column:
-    """Each three-word window: bits of its hash above its place.
-
-    `low` takes other bits of the hash; windows count as equal if both agree.
+    Windows are sorted by a hash of their words' hashes, so that equal ones are
+    neighbours; of neighbours with equal hashes the words are compared.
     """
-    def one(i: Column) -> Column:
-        h = F.xxhash64(F.get("wh", i), F.get("wh", i + 1), F.get("wh", i + 2))
-        return _shift("shiftleft", h if low else _shift("shiftright", h, bits), bits).bitwiseOR(i.cast("long"))
-
-    return F.when(F.col(n) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col(n) - 3), one))).otherwise(F.array().cast("array<bigint>"))
+    def window(i: Column) -> Column:
+        return F.struct(F.xxhash64(F.get("wh", i), F.get("wh", i + 1), F.get("wh", i + 2)).alias("h"), i.alias("i"))
 
+    def same(x: Column, y: Column) -> Column:
+        return F.coalesce((x["h"] == y["h"]) & reduce(and_, (F.get("w", x["i"] + k) == F.get("w", y["i"] + k) for k in range(3))), F.lit(False))
 
-def _repeated(windows: str, bits: str) -> Column:
-    """Places, in order, of the windows whose hash bits occur again."""
-    top = lambda x: _shift("shiftright", x, bits)
-    same = lambda x, y: F.coalesce(top(x) == top(y), F.lit(False))
-    found = F.filter(windows, lambda x, i: same(x, F.get(windows, i - 1)) | same(x, F.get(windows, i + 1)))
-    mask = _shift("shiftleft", F.lit(1).cast("long"), bits) - 1
-    return F.sort_array(F.transform(found, lambda x: x.bitwiseAND(mask)))
+    windows = F.when(F.col("n") >= 3, F.array_sort(F.transform(F.sequence(F.lit(0), F.col("n") - 3), window))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    found = let(windows, lambda own: F.filter(own, lambda x, k: same(x, F.get(own, k - 1)) | same(x, F.get(own, k + 1))))
+    return F.array_sort(F.transform(found, lambda x: x["i"]))
 
 
 def statistics(docs: DataFrame, ratios: list[float] | None, *keep: str, weights: dict[str, float] | None = None) -> DataFrame:
@@ -94,14 +89,13 @@ def statistics(docs: DataFrame, ratios: list[float] | None, *keep: str, weights:
 
     llr is the mean log ratio of a text's words and word pairs (0 without a word),
     toxic_score the worst passage by the weights of toxic.lexicon().
-    Windows of up to 65,536 words compare by 48 hash bits or more, longer texts by two
-    sets of bits.
     """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select(*keep, text.alias("t"), _words(text).alias("w"), lines.alias("ls"))
     rows = rows.select(
         *keep,
+        "w",
         F.size("w").alias("n"),
         F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -110,19 +104,16 @@ def statistics(docs: DataFrame, ratios: list[float] | None, *keep: str, weights:
         F.transform("w", lambda x: F.xxhash64(x)).alias("wh"),
     )
     base = [*keep, "n", "word_chars", "n_symbols", "n_dup_lines", "toxic_score"]
-    rows = rows.select(*base, "wh", F.greatest(F.lit(1), F.ceil(F.log2(F.col("n") + 1))).cast("int").alias("bits"))
     if ratios is None:
         llr = F.lit(0.0)
     else:
         table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
         sums = F.aggregate(_features("wh"), F.lit(0.0), lambda s, k: s + F.get(table, k))
         llr = F.when(F.col("n") > 0, sums / (2 * F.col("n") - 1)).otherwise(0.0)
-    rows = rows.select(*base, "wh", "bits", llr.alias("llr"), _windows("n", "bits", False).alias("win"))
-    rows = rows.select(*base, "llr", _repeated("win", "bits").alias("p"), F.when(F.col("n") > 65_536, _windows("n", "bits", True)).alias("win2"), "bits")
-    rows = rows.select(*base, "llr", "p", F.when(F.col("win2").isNotNull(), _repeated("win2", "bits")).alias("p2"))
-    rows = rows.select(*base, "llr", F.when(F.col("p2").isNull(), F.col("p")).otherwise(F.sort_array(F.array_intersect("p", "p2"))).alias("p"))
-    covered = F.aggregate(F.transform("p", lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("p", i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda s, x: s + x)
-    return rows.select(*keep, F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "toxic_score", "llr")
+    rows = with_computed(rows, {"p": _repeated(), "llr": llr}).drop("w", "wh")
+    three = F.lit(3)
+    covered = F.aggregate(F.transform("p", lambda x, i: F.least(three, F.coalesce(F.get("p", i + 1) - x, three)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select(*keep, F.col("n").cast("long").alias("n_words"), *base[len(keep) + 1 : -1], covered.alias("n_repeat_words"), "toxic_score", "llr")
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.005, slack: float = 0.05) -> DataFrame:

@@ -24,6 +24,7 @@ SEGMENT = 8  # words; windows are runs of segments
 LEAST_PART = 0.35
 LEAST_ANSWER = 0.5
 PASSAGE = 4  # segments in a passage of the decomposition
+PIECE = 32  # rows of a run that are added one by one
 GATHERED = 1 << 17  # words whose vectors are gathered at a time
 WINDOWS, ITEMS = 1 << 14, 1 << 11  # compared at a time
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -79,13 +80,35 @@ def _tokens(texts: list[bytes], vocab: dict[bytes, int]) -> tuple[np.ndarray, np
     return ids[known], seg[known], split, base
 
 
+def _run_sums(rows: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of rows[ids] over the runs of ids that start at `at`.
+
+    All runs advance together, a whole row at a time; long ones are cut into pieces,
+    whose sums are summed up again.
+    """
+    size = np.diff(np.r_[at, len(ids)])
+    pieces = -(-size // PIECE)
+    first = np.cumsum(pieces) - pieces
+    start = np.repeat(at - PIECE * first, pieces) + PIECE * np.arange(pieces.sum())
+    length = np.minimum(PIECE, np.repeat(at + size, pieces) - start)
+    order = np.argsort(-length, kind="stable")
+    start = start[order]
+    sums = rows[ids[start]]
+    longer = len(length) - np.cumsum(np.bincount(length, minlength=PIECE + 1))
+    for k in range(1, int(length.max(initial=0))):
+        sums[: longer[k]] += rows[ids[start[: longer[k]] + k]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out if len(out) == len(at) else _run_sums(out, np.arange(len(out)), first)
+
+
 def _summed(rows: np.ndarray, ids: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows that ids name by ascending group, as n rows; a bounded number is gathered at a time."""
     out = np.zeros((n, rows.shape[1]), np.float32)
     for lo in range(0, len(ids), GATHERED):
         g = group[lo : lo + GATHERED]
         at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        out[g[at]] += np.add.reduceat(rows[ids[lo : lo + GATHERED]], at, axis=0)
+        out[g[at]] += _run_sums(rows, ids[lo : lo + GATHERED], at)
     return out
 
 
@@ -107,14 +130,12 @@ def _sketch(ids: np.ndarray, passage: np.ndarray, idf: np.ndarray, omega: np.nda
     if not len(ids):
         return out
     starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-    w = idf[ids][:, None]
-    norm = np.sqrt(np.add.reduceat(w * w, starts))
-    z = np.add.reduceat(omega[ids] * w, starts) / (norm * norm)
+    z = _run_sums(omega * idf[:, None], ids, starts) / np.add.reduceat(idf[ids] ** 2, starts)[:, None]
     row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ids)]))
     order = np.argsort(ids, kind="stable")
     s = ids[order]
     at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    out[s[at]] = np.add.reduceat((z[row] * w)[order], at)
+    out[s[at]] = _run_sums(z, row[order], at) * idf[s[at], None]
     return out
 
 
@@ -208,14 +229,15 @@ def search(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, float,
     hits: dict[tuple[int, int], list] = {}
     for m in np.unique(index.segments):
         same = np.flatnonzero(index.segments == m)
+        # a window that holds half an item reaches nearly half its length in its direction; no window reaches more than its own length
+        least = LEAST_PART * index.length[same].min()
         for lo in range(0, int(base[-1]), WINDOWS):
             start = np.arange(lo, min(lo + WINDOWS, int(base[-1])))
             window = upto[np.minimum(start + m, base[-1])] - upto[start]
-            norm = np.linalg.norm(window, axis=1)
-            some = np.flatnonzero(norm > 1e-3)
+            norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+            some = np.flatnonzero(norm >= max(least, 1e-3))
             for which in (same[i : i + ITEMS] for i in range(0, len(same), ITEMS)):
                 dot = window[some] @ index.latent[which].T
-                # a window that holds half an item reaches nearly half its length in its direction
                 a, b = np.nonzero((dot >= index.least_cosine * norm[some, None]) & (dot >= LEAST_PART * index.length[which]))
                 cosine = dot[a, b] / norm[some[a]]
                 at = start[some[a]]

@@ -52,6 +52,42 @@ def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.dedup_spans(table(spark, sf_dir, "documents"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express."""
+    return op6_quality_rules(spark, sf_dir).drop("llr", "kept")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express."""
+    return op9_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+def mixing_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express."""
+    return op3_mixing(spark, sf_dir).drop("target", "taken")
+
+
+_BLANK = r"\x20\x09-\x0D"
+_WORDS = f"regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+')"
+_PHRASES = "(VALUES " + ", ".join(f"('{p}', '{label}')" for p, label in license_scan.BASE.items()) + ") p(phrase, label)"
+SQL = {
+    "quality_base": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^{_BLANK}]') GROUP BY r),
+win AS (SELECT r, i, w[i:i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+cover AS (SELECT r, count(DISTINCT i + k) AS n FROM again CROSS JOIN (VALUES (0), (1), (2)) o(k) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+  coalesce(cover.n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(cover.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN dup USING (r) LEFT JOIN cover USING (r)""",
+    "license_base": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+placed AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+hit AS (SELECT r, i - 1 AS i, label FROM placed, {_PHRASES} WHERE array_to_string(w[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
+found AS (SELECT r, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN found USING (r)""",
+    "mixing_sizes": f"SELECT doc_id, len({_WORDS})::BIGINT AS size, sum(len({_WORDS})) OVER (PARTITION BY source)::BIGINT AS source_size FROM documents",
+}
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,8 +96,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_simhash, op2_html_extract, op3_mixing, op4_decontamination, op5_line_dedup, op6_quality_rules, op7_kn_quality, op8_language_id, op9_license_scan, op10_span_dedup)
-    return {f.__name__: f for f in ops} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (*ops, quality_base, license_base, mixing_sizes)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

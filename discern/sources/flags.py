@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 FLAG_SCHEMA = "enabled boolean"
-SETTINGS_PREFIX = "discern."
 DEFAULTS = {"analyzer.enabled": "false"}
 
 

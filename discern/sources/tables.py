@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables of fewer bytes are dealt out: they may be one file with one row group, and so one task.
-SMALL = 64 << 20
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """The table `name` of a folder; with `spread`, a small one over all cores (others are split as they are stored)."""
+    """The table `name` of a folder; with `spread`, one that is read by fewer tasks than there are cores is dealt out.
+
+    Such a table is a file or two that can't be split; others are read as they are stored.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if spread and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df

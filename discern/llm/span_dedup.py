@@ -23,6 +23,7 @@ from .common import among, checkpointed, row_key, saved, utf8
 LEAST_WORDS = 16
 #: A sentence ends at a line break, at an ideographic full stop, or at blanks behind . ! or ?
 _BREAK = re.compile(rb"((?<=[.!?])[\x20\x09-\x0D]+|(?<=\xe3\x80\x82)|\n+)")
+BITMAP_WORDS = 1 << 20
 _LENGTH_BITS = 24  # of a run's place: its first sentence above, the number of further ones below
 
 
@@ -107,7 +108,8 @@ def dedup_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     rows = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").alias("id"), utf8("text").alias("t"))
     found = saved(rows.where(F.length("t") >= 2 * least_words - 1).mapInArrow(_run_batches(least_words), "h long, row long, id long, at long"))
     twice = checkpointed(found.groupBy("h").count().where("count > 1").select("h"))
-    shared = among(found, "h", twice).join(twice, "h", "left_semi")
+    # not joined with the exact keys: behind such a join by h, all rows of a common run would be summed up in one task
+    shared = among(found, "h", twice, BITMAP_WORDS)
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "at")
     firsts = shared.groupBy("h").agg(F.min(place).alias("first")).select("h", F.col("first.row").alias("first_row"), _last(F.col("first.at")).alias("first_end"))
     later = shared.join(firsts, "h").where((F.col("row") != F.col("first_row")) | (F.shiftright("at", _LENGTH_BITS) > F.col("first_end")))

@@ -79,9 +79,9 @@ def _repeated() -> Column:
     def same(x: Column, y: Column) -> Column:
         return F.coalesce((x["h"] == y["h"]) & reduce(and_, (F.get("w", x["i"] + k) == F.get("w", y["i"] + k) for k in range(3))), F.lit(False))
 
-    windows = F.when(F.col("n") >= 3, F.array_sort(F.transform(F.sequence(F.lit(0), F.col("n") - 3), window))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    windows = F.when(F.col("n") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n") - 3), window))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
     found = let(windows, lambda own: F.filter(own, lambda x, k: same(x, F.get(own, k - 1)) | same(x, F.get(own, k + 1))))
-    return F.array_sort(F.transform(found, lambda x: x["i"]))
+    return F.sort_array(F.transform(found, lambda x: x["i"]))
 
 
 def statistics(docs: DataFrame, ratios: list[float] | None, *keep: str, weights: dict[str, float] | None = None) -> DataFrame:

@@ -42,12 +42,6 @@ def needed(pattern: str) -> str:
     return max(plain.split("\n"), key=len).lower()
 
 
-def needed_words(patterns: Iterable[str]) -> list[str]:
-    """Words, in lower case, of which every text that matches one of the patterns holds at least one, inside another word or not."""
-    words = {max(needed(p).split(), key=len, default="") for p in patterns}
-    return sorted(w for w in words if not any(v in w for v in words if v != w))
-
-
 class Text:
     """A text column and its lower-cased form, against which patterns are tested."""
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,26 +20,11 @@ def sentences(text: Column) -> Column:
     return F.slice(F.filter(parts, lambda s: F.length(s) >= rules.LEAST_SENTENCE), 1, rules.MAX_SENTENCES)
 
 
-def _runs(sentences: str, mark: Callable[[Column, Column], Column] | None = None) -> Column:
-    def run(i: Column, n: Column) -> Column:
-        text = F.array_join(F.slice(sentences, i + 1, n), " ")
-        return F.concat(mark(i, n), text) if mark else text
-
-    runs = F.transform(sentences, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(sentences) - i)), lambda n: run(i, n)))
-    return F.array_distinct(F.flatten(runs))
-
-
 def chunks(sentences: str) -> Column:
     """Runs of one, two and three sentences in order of their first, each text once."""
-    return _runs(sentences)
-
-
-def marked_chunks(sentences: str, marks: str) -> Column:
-    """chunks(), each behind a 1 if one of its sentences is marked, else a 0.
-
-    Equal chunks need equal marks: so it is where a mark tells if a word occurs.
-    """
-    return _runs(sentences, lambda i, n: F.when(F.exists(F.slice(marks, i + 1, n), lambda m: m), "1").otherwise("0"))
+    run = lambda i, n: F.array_join(F.slice(sentences, i + 1, n), " ")
+    runs = F.transform(sentences, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(sentences) - i)), lambda n: run(i, n)))
+    return F.array_distinct(F.flatten(runs))
 
 
 def compare_key(text: Column) -> Column:

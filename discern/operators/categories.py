@@ -6,32 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.patterns import Text, evaluated, with_computed
+from ..functions.hits import has_any, with_hits
+from ..functions.patterns import with_computed
 from ..functions.text import sentences
 
 
-def _shown(text: Text) -> Column:
-    return F.array_compact(F.array(*(F.when(text.any(patterns), F.lit(key)) for key, patterns in rules.CATEGORIES.items())))
-
-
-def with_categories(docs: DataFrame, sentences: str) -> DataFrame:
-    """docs with data_collected and data_evidence, maps from each category in order, found in an array column of sentences.
+def with_categories(docs: DataFrame, hits: str) -> DataFrame:
+    """docs with data_collected and data_evidence, maps from each category in order, from an array column of the hits of its sentences.
 
     Evidence is the first sentences in document order, not made distinct. All of it
     happens inside the row: no shuffle, no join.
     """
-    shown = F.transform(sentences, lambda s: F.struct(s.alias("sentence"), evaluated(s, _shown).alias("keys")))
-    rows = with_computed(docs, {"__shown": F.filter(shown, lambda x: F.size(x["keys"]) > 0)})
+    every = [p for patterns in rules.CATEGORIES.values() for p in patterns]
+    rows = with_computed(docs, {"__shown": F.filter(hits, lambda h: has_any(h, every))})
 
-    def first(key: str) -> Column:
-        own = F.filter("__shown", lambda x: F.array_contains(x["keys"], key))
-        return F.transform(F.slice(own, 1, rules.MAX_EVIDENCE), lambda x: x["sentence"])
+    def first(patterns: tuple[str, ...]) -> Column:
+        own = F.filter("__shown", lambda h: has_any(h, patterns))
+        return F.transform(F.slice(own, 1, rules.MAX_EVIDENCE), lambda h: h["text"])
 
-    rows = with_computed(rows, {"data_evidence": F.create_map(*(x for k in rules.CATEGORIES for x in (F.lit(k), first(k))))}).drop("__shown")
+    rows = with_computed(rows, {"data_evidence": F.create_map(*(x for k, p in rules.CATEGORIES.items() for x in (F.lit(k), first(p))))}).drop("__shown")
     return rows.withColumn("data_collected", F.transform_values("data_evidence", lambda _, v: F.size(v) > 0))
 
 
 def categories(docs: DataFrame) -> DataFrame:
     """(doc_id, data_collected, data_evidence) of docs (doc_id, text)."""
-    rows = with_computed(docs.select("doc_id", "text"), {"__sentences": sentences(F.col("text"))})
-    return with_categories(rows, "__sentences").select("doc_id", "data_collected", "data_evidence")
+    rows = with_hits(docs.select("doc_id", sentences(F.col("text")).alias("s")), "s")
+    return with_categories(rows, "hits").select("doc_id", "data_collected", "data_evidence")

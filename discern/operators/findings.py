@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.patterns import Text, evaluated, let, needed_words, with_computed
-from ..functions.text import chunks, distinct_evidence, marked_chunks, sentences, shorten
+from ..functions.hits import MASKS, count_of, has_any, hits_of, with_hits, with_units
+from ..functions.patterns import let, with_computed
+from ..functions.text import chunks, distinct_evidence, sentences, shorten
 
 FINDING = "array<struct<category:string,title:string,summary:string,confidence:string,severity:string,score:int,evidence:array<string>,count_as_risk:boolean,source_key:string>>"
 
@@ -27,71 +25,41 @@ def unit_rows(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", F.posexplode(chunks("s")).alias("ord", "unit"))
 
 
-#: No finding rule and no ad-tech pattern matches a unit that has none of these words.
-RULE_WORDS = needed_words([*(p for r in rules.FINDINGS for p in (*r.strong, *r.medium)), *rules.AD_TECH])
-
-
-def _has_rule_word(sentence: Column) -> Column:
-    return let(F.lower(sentence), lambda low: reduce(or_, (F.contains(low, F.lit(w)) for w in RULE_WORDS)))
+#: No finding rule tells anything of a unit that matches none of these.
+RULE_PATTERNS = tuple(dict.fromkeys([*(p for r in rules.FINDINGS for p in (*r.strong, *r.medium)), *rules.AD_TECH]))
+CONTEXTS = {"negation": rules.NEGATION, "permission_limited": rules.PERMISSION, "safe_context": rules.SAFE_FUNCTION, "ad_tech": rules.AD_TECH}
+CONTEXT_PATTERNS = tuple(dict.fromkeys(p for patterns in CONTEXTS.values() for p in patterns))
 
 
-def _rule_units(sentences: str, marks: str) -> Column:
-    """(ord, unit) of the chunks that any rule can match, found by the words of their sentences.
-
-    A sentence stands in up to six units and is looked through once; the words hold no
-    blank, so that none can arise where two sentences meet.
-    """
-    numbered = F.transform(marked_chunks(sentences, marks), lambda u, i: F.struct(i.alias("ord"), u.alias("unit")))
-    units = F.transform(F.filter(numbered, lambda x: x["unit"].startswith("1")), lambda x: x.withField("unit", F.substring(x["unit"], 2, 1 << 30)))
-    return F.when(F.exists(marks, lambda m: m), units).otherwise(F.array().cast("array<struct<ord:int,unit:string>>"))
-
-
-def with_units(docs: DataFrame, sentences: str) -> DataFrame:
-    """docs with rule_units, made from an array column of sentences."""
-    rows = with_computed(docs, {"__marks": F.transform(sentences, _has_rule_word)})
-    return with_computed(rows, {"rule_units": _rule_units(sentences, "__marks")}).drop("__marks")
+def _units(docs: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
+    rows = with_hits(docs.select("doc_id", sentences(F.col("text")).alias("s")), "s")
+    rows = with_units(rows, "hits", lambda h: has_any(h, patterns))
+    bits = F.struct(*(F.col(m) for m in MASKS)).alias("hits")
+    return rows.select("doc_id", F.inline("units")).select("doc_id", "ord", "unit", "parts", bits)
 
 
 def rule_units(docs: DataFrame) -> DataFrame:
-    """The rows of unit_rows() that any rule can match."""
-    rows = with_units(docs.select("doc_id", sentences(F.col("text")).alias("s")), "s")
-    return rows.select("doc_id", F.inline("rule_units"))
+    """(doc_id, ord, unit, parts, hits): the rows of unit_rows() that a rule matches, with the bits of all patterns."""
+    return _units(docs, RULE_PATTERNS)
 
 
-def context(text: Text) -> dict[str, Column]:
-    return {
-        "negation": text.any(rules.NEGATION),
-        "permission_limited": text.any(rules.PERMISSION),
-        "safe_context": text.any(rules.SAFE_FUNCTION),
-        "ad_tech": text.any(rules.AD_TECH),
-    }
+def context_units(docs: DataFrame) -> DataFrame:
+    """As rule_units(), for units that are in any context."""
+    return _units(docs, CONTEXT_PATTERNS)
 
 
 def with_context(units: DataFrame) -> DataFrame:
-    """units (doc_id, ord, unit) that are in any context, with the context flags."""
-
-    def flags(t: Text) -> Column:
-        return F.struct(*(c.alias(k) for k, c in context(t).items()))
-
-    found = F.filter(F.array(evaluated(F.col("unit"), flags)), lambda f: f["negation"] | f["permission_limited"] | f["safe_context"] | f["ad_tech"])
-    return units.select(*units.columns, F.inline(found))
+    """units (doc_id, ord, hits, ...) that are in any context, with the context flags."""
+    flagged = units.withColumns({k: has_any(F.col("hits"), patterns) for k, patterns in CONTEXTS.items()})
+    return flagged.where(" or ".join(CONTEXTS))
 
 
-def _detail(k: int, rule: rules.FindingRule, text: Text) -> Column:
-    """What a rule makes of a unit, from its context columns and own patterns."""
-    return F.struct(F.lit(k).alias("rule_ord"), text.count(rule.strong).alias("strong_hits"), text.count(rule.medium).alias("medium_hits"), text.any(rule.negations).alias("own_negation"))
-
-
-def matched(unit: Column) -> Column:
-    """(rule_ord, strong_hits, medium_hits, ad_tech_hits, negated, permission_limited, safe_context, score) of each rule with a score above 0 in a unit.
-
-    Each pattern is tested once a unit; no join of rules and units takes place.
-    """
+def matched(hits: Column) -> Column:
+    """(rule_ord, strong_hits, medium_hits, ad_tech_hits, negated, permission_limited, safe_context, score) of each rule with a score above 0, from a unit's bits."""
     tracking, sharing = (next(k for k, r in enumerate(rules.FINDINGS) if r.category == c) for c in ("tracking", "sharing"))
 
-    def tests(text: Text) -> Column:
-        details = F.array(*(_detail(k, r, text) for k, r in enumerate(rules.FINDINGS)))
-        return F.struct(details.alias("details"), *(c.alias(k) for k, c in context(text).items()))
+    def detail(k: int, rule: rules.FindingRule) -> Column:
+        return F.struct(F.lit(k).alias("rule_ord"), count_of(hits, rule.strong).alias("strong_hits"), count_of(hits, rule.medium).alias("medium_hits"), has_any(hits, rule.negations).alias("own_negation"))
 
     def scored(d: Column, t: Column) -> Column:
         score = 4 * d["strong_hits"] + 2 * d["medium_hits"] + F.when(t["ad_tech"], 3).otherwise(0)
@@ -103,15 +71,18 @@ def matched(unit: Column) -> Column:
         return let(score, lambda n: F.struct(*kept, (d["own_negation"] | (t["negation"] & (n <= 2))).alias("negated"), *flags, n.alias("score")))
 
     def found(t: Column) -> Column:
-        some = F.filter(t["details"], lambda d: (d["strong_hits"] > 0) | (d["medium_hits"] > 0) | t["ad_tech"])
+        details = F.array(*(detail(k, r) for k, r in enumerate(rules.FINDINGS)))
+        some = F.filter(details, lambda d: (d["strong_hits"] > 0) | (d["medium_hits"] > 0) | t["ad_tech"])
         return F.filter(F.transform(some, lambda d: scored(d, t)), lambda x: x["score"] > 0)
 
-    return let(evaluated(unit, tests), found)
+    return let(F.struct(*(has_any(hits, patterns).alias(k) for k, patterns in CONTEXTS.items())), found)
 
 
 def matches(units: DataFrame) -> DataFrame:
-    """matched() for each row of units (doc_id, ord, unit), a row for each rule."""
-    return units.select("doc_id", "ord", "unit", F.inline(matched(F.col("unit"))))
+    """matched() for each row of units (doc_id, ord, unit, parts, hits), a row for each rule. Units without bits are tested one by one."""
+    if "hits" not in units.columns:
+        units = with_computed(units.withColumn("parts", _no_parts()), {"hits": hits_of(F.col("unit"))})
+    return units.select("doc_id", "ord", "unit", "parts", F.inline(matched(F.col("hits"))))
 
 
 def _totals() -> list[Column]:
@@ -124,41 +95,32 @@ def hit_totals(matched: DataFrame) -> DataFrame:
     return matched.groupBy("doc_id", "rule_ord").agg(*_totals())
 
 
-def _parts(unit: Column) -> Column:
-    """(text, low, ad_tech) of each sentence of a unit."""
-    return F.transform(sentences(unit), lambda part: evaluated(part, lambda t: F.struct(t.text.alias("text"), t.low.alias("low"), t.any(rules.AD_TECH).alias("ad_tech"))))
+def _no_parts() -> Column:
+    return F.array().cast(f"array<struct<text: string, {', '.join(f'{m}: bigint' for m in MASKS)}>>")
 
 
-def _strongest(parts: Column, unit: Column, rule: Column) -> Column:
-    """The strongest sentence under a rule (its number), on ties the shorter, then the first; shortened. Of one sentence nothing is tested."""
+def best_snippet(unit: Column, parts: Column, rule: Column) -> Column:
+    """The strongest part of a unit under a rule (its number), on ties the shorter, then the first; shortened. Of one part nothing is compared."""
 
     def strength(p: Column) -> Column:
-        text, out = Text(p["text"], p["low"]), F
+        out = F
         for k, r in enumerate(rules.FINDINGS):
-            out = out.when(rule == k, 5 * text.count(r.strong) + 2 * text.count(r.medium))
-        return out.otherwise(0) + F.when(p["ad_tech"], 3).otherwise(0)
+            out = out.when(rule == k, 5 * count_of(p, r.strong) + 2 * count_of(p, r.medium))
+        return out.otherwise(0) + F.when(has_any(p, rules.AD_TECH), 3).otherwise(0)
 
     ranked = F.transform(parts, lambda p, pos: F.struct((-strength(p)).alias("s"), F.length(p["text"]).alias("n"), pos.alias("pos"), p["text"].alias("part")))
-    return shorten(F.when(F.size(parts) > 1, F.array_min(ranked)["part"]).otherwise(F.coalesce(F.get(parts, F.lit(0))["text"], unit)))
-
-
-def best_snippet(unit: Column, rule: Column) -> Column:
-    return let(_parts(unit), lambda parts: _strongest(parts, unit, rule))
+    return shorten(F.when(F.size(parts) > 1, F.array_min(ranked)["part"]).otherwise(unit))
 
 
 def _told(u: Column) -> Column:
-    """matched() of a unit (ord, unit) with its order, length and snippets."""
-    none = F.array().cast("array<struct<text:string,low:string,ad_tech:boolean>>")
-
-    def told(found: Column, parts: Column) -> Column:
-        return F.transform(found, lambda x: x.withField("ord", u["ord"]).withField("length", F.length(u["unit"])).withField("snippet", _strongest(parts, u["unit"], x["rule_ord"])))
-
-    return let(matched(u["unit"]), lambda found: let(F.when(F.size(found) > 0, _parts(u["unit"])).otherwise(none), lambda parts: told(found, parts)))
+    """matched() of a unit (ord, unit, parts, bits) with its order, length and snippets."""
+    return F.transform(matched(u), lambda x: x.withField("ord", u["ord"]).withField("length", F.length(u["unit"])).withField("snippet", best_snippet(u["unit"], u["parts"], x["rule_ord"])))
 
 
 def with_snippets(matched: DataFrame) -> DataFrame:
     """matched with its snippet and the unit's length in place of the unit, so that little is shuffled afterwards."""
-    return with_computed(matched, {"snippet": best_snippet(F.col("unit"), F.col("rule_ord")), "length": F.length("unit")}).drop("unit")
+    snippet = best_snippet(F.col("unit"), F.col("parts"), F.col("rule_ord"))
+    return with_computed(matched, {"snippet": snippet, "length": F.length("unit")}).drop("unit", "parts")
 
 
 def snippets(matched: DataFrame) -> DataFrame:
@@ -263,13 +225,13 @@ def _finding(total: Column) -> Column:
     return run(total, steps)
 
 
-def with_findings(docs: DataFrame, sentences: str) -> DataFrame:
-    """docs with findings, the best of each category, by score, from an array column of sentences.
+def with_findings(docs: DataFrame, hits: str) -> DataFrame:
+    """docs with findings, the best of each category, by score, from an array column of the hits of its sentences.
 
     All that findings need is in the row, so nothing is shuffled.
     """
-    rows = with_units(docs, sentences)
-    rows = with_computed(rows, {"__matches": F.flatten(F.transform("rule_units", _told))}).drop("rule_units")
+    rows = with_units(docs, hits, lambda h: has_any(h, RULE_PATTERNS))
+    rows = with_computed(rows, {"__matches": F.flatten(F.transform("units", _told))}).drop("units")
     rows = with_computed(rows, {"__totals": _rule_totals("__matches")}).drop("__matches")
     rows = with_computed(rows, {"__ranked": F.array_sort(F.transform("__totals", _finding))}).drop("__totals")
     best = F.filter("__ranked", lambda x, i: ~F.exists(F.slice("__ranked", 1, i), lambda y: y["category"] == x["category"]))
@@ -280,7 +242,8 @@ def with_findings(docs: DataFrame, sentences: str) -> DataFrame:
 
 def findings_of(docs: DataFrame) -> DataFrame:
     """(doc_id, findings) of docs (doc_id, text)."""
-    return with_findings(docs.select("doc_id", sentences(F.col("text")).alias("s")), "s").drop("s")
+    rows = with_hits(docs.select("doc_id", sentences(F.col("text")).alias("s")), "s")
+    return with_findings(rows, "hits").drop("s", "hits")
 
 
 def finding_rows(docs: DataFrame) -> DataFrame:

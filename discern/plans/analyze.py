@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.hits import with_hits
 from ..functions.patterns import with_computed
 from ..functions.text import sentences
 from ..operators import categories, detect, findings, risk
@@ -25,10 +26,10 @@ def analyze_texts(docs: DataFrame, *keep: str) -> DataFrame:
             texts = texts.withColumn(name, none)
     scored = detect.scored_pages(texts)
     rows = with_computed(scored, {"__sentences": sentences(F.col("page_text"))}).drop("page_text")
-    none = F.array().cast("array<string>")
-    rows = rows.withColumn("__policy", F.when(F.col("is_likely_policy_page"), F.col("__sentences")).otherwise(none))
+    rows = with_hits(rows, "__sentences", "__hits").drop("__sentences")
+    rows = rows.withColumn("__policy", F.when(F.col("is_likely_policy_page"), F.col("__hits")).otherwise(F.slice("__hits", 1, 0)))
     rows = findings.with_findings(rows, "__policy").drop("__policy")
-    rows = categories.with_categories(rows, "__sentences").drop("__sentences")
+    rows = categories.with_categories(rows, "__hits").drop("__hits")
     risks = counted("findings")
     return rows.select(
         "doc_id",

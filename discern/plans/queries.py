@@ -113,13 +113,13 @@ def category_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unit_context_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = findings.with_context(findings.unit_rows(corpus.documents(spark, sf_dir)))
+    rows = findings.with_context(findings.context_units(corpus.documents(spark, sf_dir)))
     return rows.select("doc_id", "ord", "negation", "permission_limited", "safe_context", "ad_tech")
 
 
 @query
 def unit_evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.matches(findings.rule_units(corpus.documents(spark, sf_dir))).drop("unit")
+    return findings.matches(findings.rule_units(corpus.documents(spark, sf_dir))).drop("unit", "parts")
 
 
 @query

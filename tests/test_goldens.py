@@ -53,7 +53,7 @@ def test_overlapping_chunks_multiply_hits(spark):
     rows = {r["category"]: r for r in findings.finding_rows(docs).collect()}
     assert findings.unit_rows(docs).count() == 18
     assert set(rows) == {"location", "retention"}
-    totals = {r["rule_ord"]: r for r in findings.hit_totals(findings.matches(findings.unit_rows(docs))).collect()}
+    totals = {r["rule_ord"]: r for r in findings.hit_totals(findings.matches(findings.rule_units(docs))).collect()}
     assert sorted((r["strong_hits"], r["medium_hits"]) for r in totals.values()) == [(0, 6), (6, 6)]
     assert (rows["location"]["confidence"], rows["retention"]["confidence"]) == ("explicit", "likely")
 

@@ -6,20 +6,21 @@ A sentence is tested once, although it stands in up to six units of one to three
 sentences: a unit matches what its sentences match, and what matches across a join. Only
 patterns that hold a blank can do that. Those of fixed words can't where the sentence in front of
 the join ends with a mark; and across two joins only those long or open enough to hold a sentence.
+
+Expressions of hundreds of parts are written as SQL text, one call each: built as columns,
+every part is a call to the JVM, and a plan took longer to build than to run.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from functools import reduce
-from operator import add, and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
-from .patterns import java, let, with_computed
+from .patterns import computed_sql, let_sql, pattern_sql, text_sql
 
 #: Bits of a long that are used.
 WIDTH = 60
@@ -75,19 +76,14 @@ def _word_bits(words: Iterable[str]) -> list[int]:
     return out
 
 
-def _long(n: int) -> Column:
-    return F.lit(n).cast("long")
-
-
-def has_any(hits: Column, patterns: Iterable[str]) -> Column:
-    """Does a text with these bits match one of the patterns?"""
-    parts = [hits[m].bitwiseAND(_long(b)) != 0 for m, b in zip(MASKS, _bits(patterns)) if b]
-    return reduce(or_, parts, F.lit(False)) if len(parts) != 1 else parts[0]
+def has_any(hits: str, patterns: Iterable[str]) -> str:
+    """Does a text with these bits match one of the patterns? hits: "" for columns m0, ..., or a struct's name and a dot."""
+    return "(" + (" or ".join(f"({hits}{m} & {b}L) != 0" for m, b in zip(MASKS, _bits(patterns)) if b) or "false") + ")"
 
 
-def count_of(hits: Column, patterns: Iterable[str]) -> Column:
+def count_of(hits: str, patterns: Iterable[str]) -> str:
     """How many of the patterns it matches (each counts once)."""
-    return reduce(add, (F.bit_count(hits[m].bitwiseAND(_long(b))) for m, b in zip(MASKS, _bits(patterns)) if b), F.lit(0))
+    return "(" + (" + ".join(f"bit_count({hits}{m} & {b}L)" for m, b in zip(MASKS, _bits(patterns)) if b) or "0") + ")"
 
 
 def _tree(words: Iterable[str]) -> str:
@@ -104,86 +100,63 @@ def _tree(words: Iterable[str]) -> str:
 WORDS = rf"(?i)(?<!\w){_tree(LITERALS)}"
 
 
-def _found(text: Column) -> Column:
-    """The bits of the words that a text holds: of each word found, and of those that begin it."""
-    table = []
-    for w in LITERALS:
-        values = _word_bits(v for v in LITERALS if w.startswith(v))
-        table += [F.lit(w), F.struct(*(_long(b).alias(n) for n, b in zip(WORD_MASKS, values)))]
-    known, none = F.create_map(*table), F.struct(*(_long(0).alias(n) for n in WORD_MASKS))
-
-    def also(bits: Column, word: Column) -> Column:
-        return let(F.element_at(known, F.lower(word)), lambda b: F.struct(*(bits[n].bitwiseOR(b[n]).alias(n) for n in WORD_MASKS)))
-
-    return F.aggregate(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), none, also)
+def struct_sql(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
-def _all_of(words: Column, wanted: list[int]) -> Column:
-    return reduce(and_, (words[n].bitwiseAND(_long(b)) == b for n, b in zip(WORD_MASKS, wanted) if b))
+def _found(text: str) -> str:
+    """The bits of the words that a text holds: of each word found, and of those that begin it."""
+    also = {w: _word_bits(v for v in LITERALS if w.startswith(v)) for w in LITERALS}
+    known = "map(" + ", ".join(f"'{w}', {struct_sql(dict(zip(WORD_MASKS, (f'{b}L' for b in bits))))}" for w, bits in also.items()) + ")"
+    join = let_sql(f"element_at({known}, lower(word))", "b", struct_sql({n: f"bits.{n} | b.{n}" for n in WORD_MASKS}))
+    return f"aggregate(regexp_extract_all({text}, {text_sql(WORDS)}, 0), {struct_sql(dict.fromkeys(WORD_MASKS, '0L'))}, (bits, word) -> {join})"
 
 
-def _tested(text: Column, words: Column, patterns: Iterable[str], known: Column | None = None) -> list[Column]:
+def _tested(text: str, words: str, patterns: Iterable[str], known: str = "") -> str:
     """The bits of those patterns that a text matches, by the words that it holds; of those it is known to match nothing is tested."""
-    out: list[list[Column]] = [[] for _ in MASKS]
     by: dict[tuple, list[str]] = {}
     for p in patterns:
         need = _word_bits(v for v in LITERALS if any(w.startswith(v) for w in starts(p)))
         by.setdefault((_PLACE[p][0], tuple(need)), []).append(p)
+    out: list[list[str]] = [[] for _ in MASKS]
     for (k, need), same in by.items():
-        def bit(p: str) -> Column:
-            test, b = text.rlike(java(p)), _long(1 << _PLACE[p][1])
-            return F.when(test if known is None else (known[MASKS[k]].bitwiseAND(b) == 0) & test, b).otherwise(0)
-
-        out[k].append(F.when(_all_of(words, list(need)), _balanced([bit(p) for p in same])).otherwise(0))
-    return [_balanced(x) if x else _long(0) for x in out]
-
+        bits = []
+        for p in same:
+            b = f"{1 << _PLACE[p][1]}L"
+            new = f"({known}.{MASKS[k]} & {b}) = 0 and " if known else ""
+            bits.append(f"if({new}{pattern_sql(text, p)}, {b}, 0L)")
+        there = " and ".join(f"({words}.{n} & {b}L) = {b}L" for n, b in zip(WORD_MASKS, need) if b)
+        out[k].append(f"if({there}, {' + '.join(bits)}, 0L)")
+    return struct_sql({m: " + ".join(x) or "0L" for m, x in zip(MASKS, out)})
 
-def _balanced(columns: list[Column]) -> Column:
-    """Their sum, as a shallow tree."""
-    while len(columns) > 1:
-        columns = [a + b[0] if b else a for a, *b in (columns[i : i + 2] for i in range(0, len(columns), 2))]
-    return columns[0].cast("long")
 
+NO_BITS = struct_sql(dict.fromkeys(MASKS, "0L"))
+_BITS_TYPE = ", ".join(f"{m}: bigint" for m in MASKS)
+PARTS_TYPE = f"array<struct<text: string, {_BITS_TYPE}>>"
 
-def _masks(values: list[Column]) -> list[Column]:
-    return [v.alias(n) for n, v in zip(MASKS, values)]
 
-
-def hits_of(text: Column) -> Column:
+def hits_of(text: str) -> str:
     """(text, closed, some, w0, ..., m0, ...): does it end with a mark, does it hold a needed word, bits of these and of the patterns that it matches."""
-    ends = reduce(or_, (text.endswith(c) for c in ".!?"))
-
-    def made(words: Column) -> Column:
-        some = reduce(or_, (words[n] != 0 for n in WORD_MASKS))
-        tests = F.when(some, F.struct(*_masks(_tested(text, words, PATTERNS)))).otherwise(F.struct(*_masks([_long(0)] * len(MASKS))))
-        return let(tests, lambda m: F.struct(text.alias("text"), ends.alias("closed"), some.alias("some"), *(words[n].alias(n) for n in WORD_MASKS), *(m[n].alias(n) for n in MASKS)))
-
-    return let(_found(text), made)
+    some = " or ".join(f"words.{n} != 0" for n in WORD_MASKS)
+    ends = " or ".join(f"endswith({text}, '{c}')" for c in ".!?")
+    fields = {"text": text, "closed": f"({ends})", "some": f"({some})"} | {n: f"words.{n}" for n in WORD_MASKS} | {m: f"bits.{m}" for m in MASKS}
+    return let_sql(_found(text), "words", let_sql(f"if({some}, {_tested(text, 'words', PATTERNS)}, {NO_BITS})", "bits", struct_sql(fields)))
 
 
-def _united(parts: list[Column], names: Iterable[str]) -> list[Column]:
-    return [reduce(Column.bitwiseOR, (p[n] for p in parts)).alias(n) for n in names]
+def _united(parts: Iterable[str], names: Iterable[str]) -> dict[str, str]:
+    return {n: "(" + " | ".join(f"{p}.{n}" for p in parts) + ")" for n in names}
 
 
-def _across(sentences: list[Column], known: list[Column]) -> Column:
-    """The bits of what two or three sentences match only together; known: bits of what parts of them match."""
-    wide = len(sentences) > 2
-    phrases = LONG if wide else PHRASES
-    open_joins = reduce(and_, (~s["closed"] for s in sentences[:-1]))
-
-    def made(x: Column) -> Column:
-        def tests(patterns: list[str]) -> Column:
-            # the text is put together only where a pattern's words are all there
-            return F.struct(*_masks(_tested(F.concat_ws(" ", *(s["text"] for s in sentences)), x, patterns, x)))
-
-        return F.when(open_joins, tests([*OPEN, *phrases])).otherwise(tests(OPEN))
-
-    return let(F.struct(*_united(sentences, WORD_MASKS), *_united([*sentences, *known], MASKS)), made)
-
-
-def with_hits(docs: DataFrame, sentences: str, name: str = "hits") -> DataFrame:
-    """docs with hits_of() each sentence of an array column."""
-    return with_computed(docs, {name: F.transform(sentences, hits_of)})
+def _across(hits: str, n: int, known: list[str]) -> str:
+    """The bits of what the n sentences from the i-th on match only together; known: bits of what parts of them match."""
+    own = [f"get({hits}, i + {k})" for k in range(n)]
+    text = "concat_ws(' ', " + ", ".join(f"{s}.text" for s in own) + ")"
+    phrases = LONG if n > 2 else PHRASES
+    open_joins = " and ".join(f"not {s}.closed" for s in own[:-1])
+    # the text is put together only where a pattern's words are all there
+    tests = f"if({open_joins}, {_tested(text, 'x', [*OPEN, *phrases], 'x')}, {_tested(text, 'x', OPEN, 'x')})"
+    there = " or ".join(f"{s}.some" for s in own)
+    return f"if({there}, {let_sql(struct_sql(_united(own, WORD_MASKS) | _united([*own, *known], MASKS)), 'x', tests)}, {NO_BITS})"
 
 
 def _with_joins(docs: DataFrame, hits: str) -> DataFrame:
@@ -191,75 +164,58 @@ def _with_joins(docs: DataFrame, hits: str) -> DataFrame:
 
     Where none of them holds a needed word there is nothing to look for; without any in the document they are empty.
     """
-    at = lambda a, i: F.get(F.col(a), i)
-    none = F.struct(*_masks([_long(0)] * len(MASKS)))
-    empty = F.array().cast(f"array<struct<{', '.join(f'{n}: bigint' for n in MASKS)}>>")
-    rows, known = docs, []
-    for n, name in ((2, "__two"), (3, "__three")):
-
-        def joined(i: Column) -> Column:
-            own = [at(hits, i + k) for k in range(n)]
-            return F.when(reduce(or_, (h["some"] for h in own)), _across(own, [at("__two", i + k) for k in known])).otherwise(none)
-
-        all_of = F.transform(F.sequence(F.lit(0), F.size(hits) - n), joined)
-        rows = with_computed(rows, {name: F.when(F.exists(hits, lambda h: h["some"]) & (F.size(hits) >= n), all_of).otherwise(empty)})
-        known = [0, 1]
+    rows = docs
+    for n, name, known in ((2, "__two", []), (3, "__three", ["get(__two, i)", "get(__two, i + 1)"])):
+        joins = f"transform(sequence(0, size({hits}) - {n}), i -> {_across(hits, n, known)})"
+        rows = computed_sql(rows, {name: f"if(exists({hits}, h -> h.some) and size({hits}) >= {n}, {joins}, cast(array() as array<struct<{_BITS_TYPE}>>))"})
     return rows
 
 
-def with_units(docs: DataFrame, hits: str, wanted: Callable[[Column], Column]) -> DataFrame:
+def with_hits(docs: DataFrame, sentences: str, name: str = "hits") -> DataFrame:
+    """docs with hits_of() each sentence of an array column."""
+    return computed_sql(docs, {name: f"transform({sentences}, s -> {hits_of('s')})"})
+
+
+def with_units(docs: DataFrame, hits: str, wanted: Callable[[str], str]) -> DataFrame:
     """docs with units (ord, unit, parts, m0, ...): the distinct chunks whose bits are wanted, in order of chunks().
 
     parts (text, m0, ...) are what a unit's text falls into again: runs of its sentences, parted
     behind those that end with a mark. Of a unit of one sentence there are none.
     """
-    at = lambda a, i: F.get(F.col(a), i)
-    last = F.size(hits) - 1
-    text = lambda i, n: F.array_join(F.transform(F.slice(hits, i + 1, n), lambda h: h["text"]), " ")
+    last = f"(size({hits}) - 1)"
 
-    def bits(i: Column, n: int) -> list[Column]:
-        return _united([at(hits, i + k) for k in range(n)] + [at("__two", i + k) for k in range(n - 1)] + ([at("__three", i)] if n == 3 else []), MASKS)
+    def text(i: str, n: str | int) -> str:
+        return f"array_join(transform(slice({hits}, {i} + 1, {n}), h -> h.text), ' ')"
 
-    def runs(i: Column) -> Column:
-        own = F.array(*(F.when(i + n - 1 <= last, F.struct(i.alias("i"), F.lit(n).alias("n"), *bits(i, n))) for n in (1, 2, 3)))
-        return F.filter(own, lambda r: r.isNotNull() & wanted(r))
+    def bits(i: str, n: int) -> dict[str, str]:
+        return _united([f"get({hits}, {i} + {k})" for k in range(n)] + [f"get(__two, {i} + {k})" for k in range(n - 1)] + ([f"get(__three, {i})"] if n == 3 else []), MASKS)
 
-    near = F.filter(F.sequence(F.lit(0), last), lambda i: reduce(or_, (F.coalesce(at(hits, i + k)["some"], F.lit(False)) for k in range(3))))
-    found = F.when(F.exists(hits, lambda h: h["some"]), F.flatten(F.transform(near, runs)))
-    rows = with_computed(_with_joins(docs, hits), {"__some": found})
+    own = ", ".join(f"if(i + {n} - 1 <= {last}, {struct_sql({'i': 'i', 'n': str(n)} | bits('i', n))}, null)" for n in (1, 2, 3))
+    near = " or ".join(f"coalesce(get({hits}, i + {k}).some, false)" for k in range(3))
+    runs = f"flatten(transform(filter(sequence(0, {last}), i -> {near}), i -> filter(array({own}), r -> r is not null and {wanted('r.')})))"
+    rows = computed_sql(_with_joins(docs, hits), {"__some": f"if(exists({hits}, h -> h.some), {runs}, null)"})
     # chunks can only be equal where sentences are, or where one without a mark at its end runs into the next
-    sentences = F.transform(hits, lambda h: h["text"])
-    plain = (F.size(F.array_distinct(sentences)) == F.size(hits)) & F.forall(F.slice(hits, 1, F.greatest(last, F.lit(0))), lambda h: h["closed"])
-    rows = with_computed(rows, {"__plain": (F.size("__some") > 0) & plain})
-    every = F.flatten(F.transform(hits, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), last + 1 - i)), lambda n: text(i, n))))
-    rows = with_computed(rows, {"__texts": F.when((F.size("__some") > 0) & ~F.col("__plain"), every)})
-    rows = with_computed(rows, {"__distinct": F.array_distinct("__texts")})
-
-    def part(i: Column, n: int) -> Column:
-        return F.struct(text(i, F.lit(n)).alias("text"), *bits(i, n))
-
-    def parts(r: Column) -> Column:
-        i = r["i"]
-        closed = [at(hits, i + k)["closed"] for k in range(2)]
-        two = F.when(closed[0], F.array(part(i, 1), part(i + 1, 1))).otherwise(F.array(part(i, 2)))
-        three = (
-            F.when(closed[0] & closed[1], F.array(part(i, 1), part(i + 1, 1), part(i + 2, 1)))
-            .when(closed[0], F.array(part(i, 1), part(i + 1, 2)))
-            .when(closed[1], F.array(part(i, 2), part(i + 2, 1)))
-            .otherwise(F.array(part(i, 3)))
-        )
-        return F.when(r["n"] == 2, two).when(r["n"] == 3, three).otherwise(F.array().cast(f"array<struct<text: string, {', '.join(f'{m}: bigint' for m in MASKS)}>>"))
-
-    def unit(r: Column) -> Column:
-        place = 3 * r["i"] + r["n"] - 1 - F.when((r["i"] == last) & (last > 0), 1).otherwise(0)  # among all runs
-
-        def made(x: Column) -> Column:
-            first = F.col("__plain") | (F.array_position("__texts", x["own"]) == x["place"] + 1)  # of equal chunks the first counts
-            order = F.when(F.col("__plain"), x["place"]).otherwise((F.array_position("__distinct", x["own"]) - 1).cast("int"))
-            return F.when(first, F.struct(order.alias("ord"), x["own"].alias("unit"), parts(r).alias("parts"), *(r[m].alias(m) for m in MASKS)))
-
-        return let(F.struct(place.alias("place"), text(r["i"], r["n"]).alias("own")), made)
-
-    units = F.when(F.size("__some") > 0, F.array_compact(F.transform("__some", unit)))
-    none = F.array().cast(f"array<struct<ord: int, unit: string, parts: array<struct<text: string, {', '.join(f'{m}: bigint' for m in MASKS)}>>, {', '.join(f'{m}: bigint' for m in MASKS)}>>")
-    return with_computed(rows, {"units": F.coalesce(units, none)}).drop("__two", "__three", "__some", "__plain", "__texts", "__distinct")
+    plain = f"size(array_distinct(transform({hits}, h -> h.text))) = size({hits}) and forall(slice({hits}, 1, greatest({last}, 0)), h -> h.closed)"
+    rows = computed_sql(rows, {"__plain": f"size(__some) > 0 and {plain}"})
+    every = f"flatten(transform({hits}, (h, i) -> transform(sequence(1, least(3, {last} + 1 - i)), n -> {text('i', 'n')})))"
+    rows = computed_sql(rows, {"__texts": f"if(size(__some) > 0 and not __plain, {every}, null)"})
+    rows = computed_sql(rows, {"__distinct": "array_distinct(__texts)"})
+
+    def part(i: str, n: int) -> str:
+        return struct_sql({"text": text(i, n)} | bits(i, n))
+
+    first, second = f"get({hits}, r.i).closed", f"get({hits}, r.i + 1).closed"
+    one, two, three = "r.i", "r.i + 1", "r.i + 2"
+    parts = f"""case when r.n = 1 then cast(array() as {PARTS_TYPE})
+      when r.n = 2 then if({first}, array({part(one, 1)}, {part(two, 1)}), array({part(one, 2)}))
+      when {first} and {second} then array({part(one, 1)}, {part(two, 1)}, {part(three, 1)})
+      when {first} then array({part(one, 1)}, {part(two, 2)})
+      when {second} then array({part(one, 2)}, {part(three, 1)})
+      else array({part(one, 3)}) end"""
+    place = f"3 * r.i + r.n - 1 - if(r.i = {last} and {last} > 0, 1, 0)"  # among all runs
+    unit = struct_sql({"ord": "if(__plain, x.place, cast(array_position(__distinct, x.own) - 1 as int))", "unit": "x.own", "parts": parts} | {m: f"r.{m}" for m in MASKS})
+    # of equal chunks the first counts
+    made = let_sql(struct_sql({"place": place, "own": text("r.i", "r.n")}), "x", f"if(__plain or array_position(__texts, x.own) = x.place + 1, {unit}, null)")
+    none = f"cast(array() as array<struct<ord: int, unit: string, parts: {PARTS_TYPE}, {_BITS_TYPE}>>)"
+    rows = computed_sql(rows, {"units": f"coalesce(if(size(__some) > 0, array_compact(transform(__some, r -> {made})), null), {none})"})
+    return rows.drop("__two", "__three", "__some", "__plain", "__texts", "__distinct")

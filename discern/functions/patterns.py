@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from functools import reduce
-from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,24 +40,39 @@ def needed(pattern: str) -> str:
     return max(plain.split("\n"), key=len).lower()
 
 
+def text_sql(text: str) -> str:
+    """A text as a literal; it holds no double quote."""
+    assert '"' not in text
+    return f'r"{text}"'
+
+
+def pattern_sql(text: str, pattern: str) -> str:
+    return f"{text} rlike {text_sql(java(pattern))}"
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """body, with value worked out once under a name however often the body uses it."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 class Text:
-    """A text column and its lower-cased form, against which patterns are tested."""
+    """A text and its lower-cased form, both as SQL, against which patterns are tested."""
 
-    def __init__(self, text: Column, low: Column | None = None):
+    def __init__(self, text: str, low: str | None = None):
         self.text = text
-        self.low = F.lower(text) if low is None else low
+        self.low = low or f"lower({text})"
 
-    def has(self, pattern: str) -> Column:
+    def has(self, pattern: str) -> str:
         word = needed(pattern)
-        match = self.text.rlike(java(pattern))
-        return F.contains(self.low, F.lit(word)) & match if len(word) >= 3 else match
+        match = pattern_sql(self.text, pattern)
+        return f"(contains({self.low}, {text_sql(word)}) and {match})" if len(word) >= 3 else f"({match})"
 
-    def any(self, patterns: Iterable[str]) -> Column:
-        return reduce(or_, map(self.has, patterns), F.lit(False))
+    def any(self, patterns: Iterable[str]) -> str:
+        return "(" + (" or ".join(map(self.has, patterns)) or "false") + ")"
 
-    def count(self, patterns: Iterable[str]) -> Column:
+    def count(self, patterns: Iterable[str]) -> str:
         """How many of the patterns match (each counts once)."""
-        return reduce(add, (self.has(p).cast("int") for p in patterns), F.lit(0))
+        return "(" + (" + ".join(f"if({self.has(p)}, 1, 0)" for p in patterns) or "0") + ")"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -67,13 +80,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def evaluated(text: Column, make: Callable[[Text], Column]) -> Column:
+def evaluated(text: str, make: Callable[[Text], str]) -> str:
     """make(Text(text)), kept out of generated code.
 
     Dozens of patterns in one generated method pass the limits up to which the JVM
     compiles it; as the body of a higher-order function they are evaluated one by one.
     """
-    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), lambda x: make(Text(x["text"], x["low"])))
+    return let_sql(f"named_struct('text', {text}, 'low', lower({text}))", "t", make(Text("t.text", "t.low")))
+
+
+def computed_sql(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """with_computed() for expressions in SQL."""
+    return with_computed(df, {k: F.expr(v) for k, v in columns.items()})
 
 
 def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -86,9 +104,6 @@ def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
-def first_points(text: Column, points: Iterable[tuple[str, int]]) -> Column:
+def first_points(text: str, points: Iterable[tuple[str, int]]) -> str:
     """The points of the first pattern that matches, else 0."""
-    out = F
-    for pattern, n in points:
-        out = out.when(text.rlike(java(pattern)), n)
-    return out.otherwise(0)
+    return "(case " + " ".join(f"when {pattern_sql(text, p)} then {n}" for p, n in points) + " else 0 end)"

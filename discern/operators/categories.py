@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.hits import has_any, with_hits
-from ..functions.patterns import with_computed
+from ..functions.patterns import computed_sql
 from ..functions.text import sentences
 
 
@@ -18,14 +18,10 @@ def with_categories(docs: DataFrame, hits: str) -> DataFrame:
     happens inside the row: no shuffle, no join.
     """
     every = [p for patterns in rules.CATEGORIES.values() for p in patterns]
-    rows = with_computed(docs, {"__shown": F.filter(hits, lambda h: has_any(h, every))})
-
-    def first(patterns: tuple[str, ...]) -> Column:
-        own = F.filter("__shown", lambda h: has_any(h, patterns))
-        return F.transform(F.slice(own, 1, rules.MAX_EVIDENCE), lambda h: h["text"])
-
-    rows = with_computed(rows, {"data_evidence": F.create_map(*(x for k, p in rules.CATEGORIES.items() for x in (F.lit(k), first(p))))}).drop("__shown")
-    return rows.withColumn("data_collected", F.transform_values("data_evidence", lambda _, v: F.size(v) > 0))
+    rows = computed_sql(docs, {"__shown": f"filter({hits}, h -> {has_any('h.', every)})"})
+    first = {k: f"transform(slice(filter(__shown, h -> {has_any('h.', p)}), 1, {rules.MAX_EVIDENCE}), h -> h.text)" for k, p in rules.CATEGORIES.items()}
+    rows = computed_sql(rows, {"data_evidence": "map(" + ", ".join(f"'{k}', {v}" for k, v in first.items()) + ")"}).drop("__shown")
+    return rows.withColumn("data_collected", F.expr("transform_values(data_evidence, (k, v) -> size(v) > 0)"))
 
 
 def categories(docs: DataFrame) -> DataFrame:

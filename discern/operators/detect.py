@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.patterns import evaluated, first_points, java, with_computed
+from ..functions.patterns import computed_sql, evaluated, first_points, with_computed
 
 
-def page_score(text: Column, title: Column, url: Column) -> Column:
-    body = evaluated(text, lambda t: 2 * t.count(rules.STRONG_PAGE) + t.count(rules.WEAK_PAGE))
-    head = evaluated(F.concat_ws(" ", title, url), lambda t: 3 * t.count(rules.STRONG_PAGE) + t.count(rules.WEAK_PAGE))
-    hints = body + head
-    pattern, bonus = rules.TEXT_BONUS
-    return hints + first_points(url, rules.URL_POINTS) + first_points(title, rules.TITLE_POINTS) + F.when(text.rlike(java(pattern)), bonus).otherwise(0)
+def page_score(text: str, title: str, url: str) -> str:
+    """Of a page's text, title and address; all of it SQL."""
+    body = evaluated(text, lambda t: f"2 * {t.count(rules.STRONG_PAGE)} + {t.count(rules.WEAK_PAGE)}")
+    head = evaluated(f"concat_ws(' ', {title}, {url})", lambda t: f"3 * {t.count(rules.STRONG_PAGE)} + {t.count(rules.WEAK_PAGE)}")
+    return f"{body} + {head} + {first_points(url, rules.URL_POINTS)} + {first_points(title, rules.TITLE_POINTS)} + {first_points(text, [rules.TEXT_BONUS])}"
 
 
 def page_confidence(score: Column) -> Column:
@@ -30,22 +29,21 @@ def scored_pages(pages: DataFrame) -> DataFrame:
 
     Null url or title count as empty.
     """
-    url, title = F.coalesce("url", F.lit("")), F.coalesce("title", F.lit(""))
-    scored = with_computed(pages, {"page_score": page_score(F.col("page_text"), title, url)})
+    scored = computed_sql(pages, {"page_score": page_score("page_text", "coalesce(title, '')", "coalesce(url, '')")})
     total = F.col("page_score")
     return scored.withColumns({"score": display_score(total), "confidence": page_confidence(total), "is_likely_policy_page": total >= rules.POLICY_SCORE})
 
 
-def link_score(text: Column, href: Column, absolute: Column, in_nav: Column) -> Column:
-    hay = F.lower(F.concat_ws(" ", text, href))
-    signal = evaluated(hay, lambda t: 6 * t.count(rules.HIGH_LINK) + 3 * t.count(rules.MEDIUM_LINK) + t.count(rules.LOW_LINK))
-    return signal + first_points(absolute, rules.URL_POINTS) + F.when(in_nav, 1).otherwise(0)
+def link_score(link: str) -> str:
+    """Of a link (text, href, absolute, in_nav): the name of a struct and a dot, or "" for columns; all of it SQL."""
+    signal = evaluated(f"lower(concat_ws(' ', {link}text, {link}href))", lambda t: f"6 * {t.count(rules.HIGH_LINK)} + 3 * {t.count(rules.MEDIUM_LINK)} + {t.count(rules.LOW_LINK)}")
+    return f"{signal} + {first_points(f'{link}absolute', rules.URL_POINTS)} + if({link}in_nav, 1, 0)"
 
 
 def scored_links(links: DataFrame) -> DataFrame:
     """links (page_id, pos, href, text, in_nav, absolute) with link_score; scripts, mail and phone links go, links without an address, and scores of 0."""
     usable = links.where("absolute is not null").where(~F.col("absolute").rlike("^(javascript|mailto|tel):"))
-    return with_computed(usable, {"link_score": link_score(F.col("text"), F.col("href"), F.col("absolute"), F.col("in_nav"))}).where("link_score > 0")
+    return computed_sql(usable, {"link_score": link_score("")}).where("link_score > 0")
 
 
 def best_links(links: DataFrame) -> DataFrame:
@@ -57,10 +55,8 @@ def best_links(links: DataFrame) -> DataFrame:
 def with_best_link(pages: DataFrame) -> DataFrame:
     """pages (links, ...) with best_policy_link ('' if there is none) and best_link_score in place of links; as best_links(), but inside the row."""
 
-    def candidate(a: Column, pos: Column) -> Column:
-        return F.struct(link_score(a["text"], a["href"], a["absolute"], a["in_nav"]).alias("score"), (-pos).alias("place"), a["absolute"].alias("to"))
-
     usable = F.filter("links", lambda a: a["absolute"].isNotNull() & ~a["absolute"].rlike("^(javascript|mailto|tel):"))
+    candidates = f"transform(__usable, (a, pos) -> named_struct('score', {link_score('a.')}, 'place', -pos, 'to', a.absolute))"
     rows = with_computed(pages, {"__usable": usable})
-    rows = with_computed(rows, {"__best": F.array_max(F.filter(F.transform("__usable", candidate), lambda x: x["score"] > 0))})
+    rows = computed_sql(rows, {"__best": f"array_max(filter({candidates}, x -> x.score > 0))"})
     return rows.withColumns({"best_policy_link": F.coalesce("__best.to", F.lit("")), "best_link_score": F.coalesce("__best.score", F.lit(0))}).drop("__best", "__usable", "links")

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.hits import MASKS, count_of, has_any, hits_of, with_hits, with_units
-from ..functions.patterns import let, with_computed
+from ..functions.hits import MASKS, PARTS_TYPE, count_of, has_any, hits_of, struct_sql, with_hits, with_units
+from ..functions.patterns import computed_sql, let, let_sql, text_sql, with_computed
 from ..functions.text import chunks, distinct_evidence, sentences, shorten
 
 FINDING = "array<struct<category:string,title:string,summary:string,confidence:string,severity:string,score:int,evidence:array<string>,count_as_risk:boolean,source_key:string>>"
@@ -50,39 +50,35 @@ def context_units(docs: DataFrame) -> DataFrame:
 
 def with_context(units: DataFrame) -> DataFrame:
     """units (doc_id, ord, hits, ...) that are in any context, with the context flags."""
-    flagged = units.withColumns({k: has_any(F.col("hits"), patterns) for k, patterns in CONTEXTS.items()})
+    flagged = units.withColumns({k: F.expr(has_any("hits.", patterns)) for k, patterns in CONTEXTS.items()})
     return flagged.where(" or ".join(CONTEXTS))
 
 
-def matched(hits: Column) -> Column:
-    """(rule_ord, strong_hits, medium_hits, ad_tech_hits, negated, permission_limited, safe_context, score) of each rule with a score above 0, from a unit's bits."""
-    tracking, sharing = (next(k for k, r in enumerate(rules.FINDINGS) if r.category == c) for c in ("tracking", "sharing"))
-
-    def detail(k: int, rule: rules.FindingRule) -> Column:
-        return F.struct(F.lit(k).alias("rule_ord"), count_of(hits, rule.strong).alias("strong_hits"), count_of(hits, rule.medium).alias("medium_hits"), has_any(hits, rule.negations).alias("own_negation"))
-
-    def scored(d: Column, t: Column) -> Column:
-        score = 4 * d["strong_hits"] + 2 * d["medium_hits"] + F.when(t["ad_tech"], 3).otherwise(0)
-        score -= F.when(d["own_negation"], 5).when(t["negation"] & (d["strong_hits"] == 0), 2).otherwise(0)
-        score -= F.when(t["permission_limited"], 2).otherwise(0)
-        score -= F.when(t["safe_context"] & (d["rule_ord"] == tracking), 3).when(t["safe_context"] & (d["rule_ord"] == sharing), 1).otherwise(0)
-        kept = [d[c].alias(c) for c in ("rule_ord", "strong_hits", "medium_hits")] + [t["ad_tech"].cast("int").alias("ad_tech_hits")]
-        flags = [t[c].alias(c) for c in ("permission_limited", "safe_context")]
-        return let(score, lambda n: F.struct(*kept, (d["own_negation"] | (t["negation"] & (n <= 2))).alias("negated"), *flags, n.alias("score")))
+def matched(hits: str) -> str:
+    """(rule_ord, strong_hits, medium_hits, ad_tech_hits, negated, permission_limited, safe_context, score) of each rule with a score above 0.
 
-    def found(t: Column) -> Column:
-        details = F.array(*(detail(k, r) for k, r in enumerate(rules.FINDINGS)))
-        some = F.filter(details, lambda d: (d["strong_hits"] > 0) | (d["medium_hits"] > 0) | t["ad_tech"])
-        return F.filter(F.transform(some, lambda d: scored(d, t)), lambda x: x["score"] > 0)
-
-    return let(F.struct(*(has_any(hits, patterns).alias(k) for k, patterns in CONTEXTS.items())), found)
+    All of it is SQL; hits are a unit's bits, the name of a struct and a dot.
+    """
+    tracking, sharing = (next(k for k, r in enumerate(rules.FINDINGS) if r.category == c) for c in ("tracking", "sharing"))
+    details = [
+        struct_sql({"rule_ord": str(k), "strong_hits": count_of(hits, r.strong), "medium_hits": count_of(hits, r.medium), "own_negation": has_any(hits, r.negations)})
+        for k, r in enumerate(rules.FINDINGS)
+    ]
+    score = f"""4 * d.strong_hits + 2 * d.medium_hits + if(t.ad_tech, 3, 0)
+      - case when d.own_negation then 5 when t.negation and d.strong_hits = 0 then 2 else 0 end - if(t.permission_limited, 2, 0)
+      - case when t.safe_context and d.rule_ord = {tracking} then 3 when t.safe_context and d.rule_ord = {sharing} then 1 else 0 end"""
+    fields = {c: f"d.{c}" for c in ("rule_ord", "strong_hits", "medium_hits")} | {"ad_tech_hits": "int(t.ad_tech)", "negated": "d.own_negation or (t.negation and n <= 2)"}
+    fields |= {c: f"t.{c}" for c in ("permission_limited", "safe_context")} | {"score": "n"}
+    some = f"filter(array({', '.join(details)}), d -> d.strong_hits > 0 or d.medium_hits > 0 or t.ad_tech)"
+    scored = f"filter(transform({some}, d -> {let_sql(score, 'n', struct_sql(fields))}), x -> x.score > 0)"
+    return let_sql(struct_sql({k: has_any(hits, patterns) for k, patterns in CONTEXTS.items()}), "t", scored)
 
 
 def matches(units: DataFrame) -> DataFrame:
     """matched() for each row of units (doc_id, ord, unit, parts, hits), a row for each rule. Units without bits are tested one by one."""
     if "hits" not in units.columns:
-        units = with_computed(units.withColumn("parts", _no_parts()), {"hits": hits_of(F.col("unit"))})
-    return units.select("doc_id", "ord", "unit", "parts", F.inline(matched(F.col("hits"))))
+        units = computed_sql(units, {"parts": f"cast(array() as {PARTS_TYPE})", "hits": hits_of("unit")})
+    return units.select("doc_id", "ord", "unit", "parts", F.inline(F.expr(matched("hits."))))
 
 
 def _totals() -> list[Column]:
@@ -95,31 +91,17 @@ def hit_totals(matched: DataFrame) -> DataFrame:
     return matched.groupBy("doc_id", "rule_ord").agg(*_totals())
 
 
-def _no_parts() -> Column:
-    return F.array().cast(f"array<struct<text: string, {', '.join(f'{m}: bigint' for m in MASKS)}>>")
-
-
-def best_snippet(unit: Column, parts: Column, rule: Column) -> Column:
-    """The strongest part of a unit under a rule (its number), on ties the shorter, then the first; shortened. Of one part nothing is compared."""
-
-    def strength(p: Column) -> Column:
-        out = F
-        for k, r in enumerate(rules.FINDINGS):
-            out = out.when(rule == k, 5 * count_of(p, r.strong) + 2 * count_of(p, r.medium))
-        return out.otherwise(0) + F.when(has_any(p, rules.AD_TECH), 3).otherwise(0)
-
-    ranked = F.transform(parts, lambda p, pos: F.struct((-strength(p)).alias("s"), F.length(p["text"]).alias("n"), pos.alias("pos"), p["text"].alias("part")))
-    return shorten(F.when(F.size(parts) > 1, F.array_min(ranked)["part"]).otherwise(unit))
-
-
-def _told(u: Column) -> Column:
-    """matched() of a unit (ord, unit, parts, bits) with its order, length and snippets."""
-    return F.transform(matched(u), lambda x: x.withField("ord", u["ord"]).withField("length", F.length(u["unit"])).withField("snippet", best_snippet(u["unit"], u["parts"], x["rule_ord"])))
+def _strongest(unit: str, parts: str, rule: str) -> str:
+    """The strongest part of a unit under a rule (its number), on ties the shorter, then the first; of one part nothing is compared. All of it is SQL."""
+    own = " ".join(f"when {k} then 5 * {count_of('p.', r.strong)} + 2 * {count_of('p.', r.medium)}" for k, r in enumerate(rules.FINDINGS))
+    strength = f"case {rule} {own} else 0 end + if({has_any('p.', rules.AD_TECH)}, 3, 0)"
+    ranked = f"transform({parts}, (p, pos) -> named_struct('s', -({strength}), 'n', length(p.text), 'pos', pos, 'part', p.text))"
+    return f"if(size({parts}) > 1, array_min({ranked}).part, {unit})"
 
 
 def with_snippets(matched: DataFrame) -> DataFrame:
     """matched with its snippet and the unit's length in place of the unit, so that little is shuffled afterwards."""
-    snippet = best_snippet(F.col("unit"), F.col("parts"), F.col("rule_ord"))
+    snippet = shorten(F.expr(_strongest("unit", "parts", "rule_ord")))
     return with_computed(matched, {"snippet": snippet, "length": F.length("unit")}).drop("unit", "parts")
 
 
@@ -130,10 +112,9 @@ def snippets(matched: DataFrame) -> DataFrame:
 
 
 def _by_rule(rule: Column, value) -> Column:
-    out = F
-    for k, r in enumerate(rules.FINDINGS):
-        out = out.when(rule == k, value(r))
-    return out
+    """A value (a text or number) of the rule of that number."""
+    values = ", ".join(text_sql(v) if isinstance(v, str) else str(v) for v in map(value, rules.FINDINGS))
+    return F.get(F.expr(f"array({values})"), rule)
 
 
 def confidence(strong: Column, medium: Column, negated: Column, ad_tech: Column) -> Column:
@@ -170,7 +151,7 @@ def summary(x: Column) -> Column:
 
 
 def finding_score(x: Column) -> Column:
-    points = _by_rule(x["rule_ord"], lambda r: F.lit(r.base_score))
+    points = _by_rule(x["rule_ord"], lambda r: r.base_score)
     points += F.when(x["confidence"] == "explicit", 8).when(x["confidence"] == "likely", 4).when(x["confidence"] == "low", -6).otherwise(0)
     points += F.when(x["severity"] == "high", 4).when(x["severity"] == "low", -4).otherwise(0)
     points -= F.when(x["negated"] & (x["confidence"] != "explicit"), 6).otherwise(0)
@@ -231,7 +212,10 @@ def with_findings(docs: DataFrame, hits: str) -> DataFrame:
     All that findings need is in the row, so nothing is shuffled.
     """
     rows = with_units(docs, hits, lambda h: has_any(h, RULE_PATTERNS))
-    rows = with_computed(rows, {"__matches": F.flatten(F.transform("units", _told))}).drop("units")
+    told = ", ".join(f"'{c}', x.{c}" for c in ("rule_ord", "strong_hits", "medium_hits", "ad_tech_hits", "negated", "permission_limited", "safe_context", "score"))
+    told = f"transform({matched('u.')}, x -> named_struct({told}, 'ord', u.ord, 'length', length(u.unit), 'snippet', {_strongest('u.unit', 'u.parts', 'x.rule_ord')}))"
+    rows = computed_sql(rows, {"__matches": f"flatten(transform(units, u -> {told}))"}).drop("units")
+    rows = with_computed(rows, {"__matches": F.transform("__matches", lambda x: x.withField("snippet", shorten(x["snippet"])))})
     rows = with_computed(rows, {"__totals": _rule_totals("__matches")}).drop("__matches")
     rows = with_computed(rows, {"__ranked": F.array_sort(F.transform("__totals", _finding))}).drop("__totals")
     best = F.filter("__ranked", lambda x, i: ~F.exists(F.slice("__ranked", 1, i), lambda y: y["category"] == x["category"]))

@@ -55,8 +55,8 @@ def snippet_shorten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pattern_hits_page_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Text(F.col("text"))
-    return corpus.documents(spark, sf_dir).select("doc_id", t.count(rules.STRONG_PAGE).alias("strong"), t.count(rules.WEAK_PAGE).alias("weak"))
+    t = Text("text")
+    return corpus.documents(spark, sf_dir).select("doc_id", F.expr(t.count(rules.STRONG_PAGE)).alias("strong"), F.expr(t.count(rules.WEAK_PAGE)).alias("weak"))
 
 
 # ---- pages -----------------------------------------------------------------------

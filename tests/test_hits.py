@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from discern.functions import hits, rules
-from discern.functions.patterns import evaluated, java
+from discern.functions.patterns import evaluated, let_sql, pattern_sql
 from discern.functions.text import sentences
 from discern.operators import findings
 from tests.test_patterns import example
@@ -58,8 +58,8 @@ def test_patterns_that_cross_joins():
 
 def test_bits_of_a_sentence_are_its_patterns(spark, docs):
     rows = docs.select("doc_id", F.explode(sentences(F.col("text"))).alias("s"))
-    made = rows.select("s", evaluated(F.col("s"), lambda t: F.array(*(t.text.rlike(java(p)) for p in hits.PATTERNS))).alias("want"), hits.hits_of(F.col("s")).alias("h"))
-    made = made.select("s", "want", F.transform(F.array("h"), lambda h: F.array(*(hits.has_any(h, [p]) for p in hits.PATTERNS)))[0].alias("got"))
+    made = rows.select("s", F.expr(evaluated("s", lambda t: f"array({', '.join(pattern_sql(t.text, p) for p in hits.PATTERNS)})")).alias("want"), F.expr(hits.hits_of("s")).alias("h"))
+    made = made.select("s", "want", F.expr(let_sql("h", "x", f"array({', '.join(hits.has_any('x.', [p]) for p in hits.PATTERNS)})")).alias("got"))
     some = 0
     for r in made.collect():
         assert r["want"] == r["got"], (r["s"], [p for p, a, b in zip(hits.PATTERNS, r["want"], r["got"]) if a != b])
@@ -70,7 +70,7 @@ def test_bits_of_a_sentence_are_its_patterns(spark, docs):
 def test_units_from_sentences_equal_units_tested_whole(spark, docs):
     every = tuple(hits.PATTERNS)
     units = findings.unit_rows(docs)
-    whole = units.select("doc_id", "ord", "unit", hits.hits_of(F.col("unit")).alias("h"))
+    whole = units.select("doc_id", "ord", "unit", F.expr(hits.hits_of("unit")).alias("h"))
     want = {(r["doc_id"], r["ord"]): (r["unit"], *(r["h"][m] for m in hits.MASKS)) for r in whole.collect()}
     got = {(r["doc_id"], r["ord"]): (r["unit"], *r["hits"]) for r in findings._units(docs, every).collect()}
     assert got == {k: v for k, v in want.items() if any(v[1:])}
@@ -79,16 +79,16 @@ def test_units_from_sentences_equal_units_tested_whole(spark, docs):
 
 def test_parts_are_the_sentences_of_a_unit(spark, docs):
     rows = findings._units(docs, tuple(hits.PATTERNS)).where(F.size("parts") > 0)
-    rows = rows.select("unit", F.transform("parts", lambda p: p["text"]).alias("got"), sentences(F.col("unit")).alias("want"), F.transform("parts", lambda p: F.array(*(p[m] for m in hits.MASKS))).alias("bits"), F.transform(sentences(F.col("unit")), lambda s: F.struct(hits.hits_of(s).alias("h"))).alias("direct"))
+    rows = rows.select("unit", F.transform("parts", lambda p: p["text"]).alias("got"), sentences(F.col("unit")).alias("want"), F.transform("parts", lambda p: F.array(*(p[m] for m in hits.MASKS))).alias("bits")).withColumn("direct", F.expr(f"transform(want, s -> {hits.hits_of('s')})"))
     found = rows.collect()
     assert len(found) > 500
     for r in found:
         assert r["got"] == r["want"]
-        assert r["bits"] == [[d["h"][m] for m in hits.MASKS] for d in r["direct"]]
+        assert r["bits"] == [[d[m] for m in hits.MASKS] for d in r["direct"]]
 
 
 def test_counts_by_bits(spark):
     rule = rules.FINDINGS[0]
     text = "We use cookies, pixels, and similar technologies; personalized ads and PERSONALIZED AD, device fingerprinting."
-    row = spark.createDataFrame([(text,)], "t string").select(hits.hits_of(F.col("t")).alias("h")).select(hits.count_of(F.col("h"), rule.strong).alias("s"), hits.count_of(F.col("h"), rule.medium).alias("m"), hits.has_any(F.col("h"), rules.NEGATION).alias("n")).first()
+    row = spark.createDataFrame([(text,)], "t string").selectExpr(f"{hits.hits_of('t')} h").selectExpr(f"{hits.count_of('h.', rule.strong)} s", f"{hits.count_of('h.', rule.medium)} m", f"{hits.has_any('h.', rules.NEGATION)} n").first()
     assert tuple(row) == (4, 2, False)

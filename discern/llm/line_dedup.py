@@ -24,7 +24,7 @@ from ..functions.patterns import let, with_computed
 from .common import among, checkpointed, row_key, saved
 from .components import connected_components
 
-LEAST_LENGTH = 24
+LEAST_LENGTH = 8
 EDITS = 1
 HOT = 48
 HOLE = 8
@@ -183,6 +183,23 @@ def line_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return occurs.select("h", "row", "pos"), known.join(best, "class").select("h", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos"))
 
 
+def without(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs without the lines at the places (row, pos) of repeated, pos among a row's distinct lines; as dedup_lines() returns them."""
+    gone = repeated.groupBy("row").agg(F.collect_list("pos").alias("gone"))
+    full = docs.select(row_key("doc_id", "text").alias("row"), F.struct("*").alias("doc")).join(gone, "row", "left")
+    text = F.coalesce(F.col("doc")["text"], F.lit(""))
+    full = full.select("doc", "gone", F.when(text != "", F.split(text, "\n")).otherwise(F.array().cast("array<string>")).alias("lines"))
+    # blank lines get a number, so that the distinct others can be told from them
+    blank = F.transform("lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), x).otherwise(F.concat(F.lit("\0"), i.cast("string"), F.lit("\0"), x)))
+    # distinct lines are worked out once a row; what follows works by hashing, so cost grows with the lines and not with their pairs
+    full = with_computed(full, {"distinct": F.array_distinct("lines")})
+    held = F.array_except(blank, F.transform(F.coalesce("gone", F.array().cast("array<int>")), lambda p: F.get("distinct", p)))
+    full = full.select("doc", F.size("lines").cast("long").alias("n"), held.alias("kept"))
+    text = F.array_join(F.transform("kept", lambda x: F.when(x.startswith("\0"), F.regexp_replace(x, "^\0[0-9]+\0", "")).otherwise(x)), "\n")
+    keep = [F.col("doc")[c].alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "text")]
+    return full.select(*keep, text.alias("text"), F.col("n").alias("n_lines"), (F.col("n") - F.size("kept")).alias("n_removed"))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text without repeated lines, and n_lines and n_removed.
 
@@ -197,14 +214,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     meet by 64-bit hashes; pairs that share a segment are verified on their text.
     """
     occurs, firsts = line_classes(_rows(docs))
-    gone = occurs.join(firsts, "h").where("row <> first_row or pos <> first_pos").groupBy("row").agg(F.collect_set("h").alias("gone"))
-    full = docs.select(row_key("doc_id", "text").alias("row"), F.struct("*").alias("doc")).join(gone, "row", "left")
-    text = F.coalesce(F.col("doc")["text"], F.lit(""))
-    full = full.select("doc", "gone", F.when(text != "", F.split(text, "\n")).otherwise(F.array().cast("array<string>")).alias("lines"))
-    # blank lines get a number, so that the distinct others can be told from them
-    blank = F.transform("lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), x).otherwise(F.concat(F.lit("\0"), i.cast("string"), F.lit("\0"), x)))
-    held = F.when(F.col("gone").isNull(), blank).otherwise(F.filter(blank, lambda x: ~F.array_contains("gone", F.xxhash64(x))))
-    full = full.select("doc", F.size("lines").cast("long").alias("n"), F.array_distinct(held).alias("kept"))
-    text = F.array_join(F.transform("kept", lambda x: F.when(x.startswith("\0"), F.regexp_replace(x, "^\0[0-9]+\0", "")).otherwise(x)), "\n")
-    keep = [F.col("doc")[c].alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "text")]
-    return full.select(*keep, text.alias("text"), F.col("n").alias("n_lines"), (F.col("n") - F.size("kept")).alias("n_removed"))
+    return without(docs, occurs.join(firsts, "h").where("row <> first_row or pos <> first_pos").select("row", "pos"))

@@ -29,6 +29,7 @@ FAN = 8
 PARTS = 4  # segments, one more than differing bits
 DEPTH = 4  # how often a bucket is dealt again at most
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
+WORD_PRINTS = 6  # SimHashes of a text's words by which near copies are looked for
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -59,6 +60,19 @@ def fingerprint(text: bytes, shingle: int = 3, repeats: bool = True) -> int:
     return int(np.packbits(2 * _bit_counts(h) > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def word_fingerprints(text: bytes, n: int = WORD_PRINTS) -> np.ndarray:
+    """n unsigned 64-bit SimHashes of a text's distinct words, each by other hashes of them; all 0 without a word."""
+    words = np.fromiter(map(xxhash.xxh64_intdigest, set(shingles(text, 1)), repeat(SEED)), np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(n if len(words) else 0):
+        h = words + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        out[k] = np.packbits(2 * _bit_counts(h) > len(h), bitorder="little").view(np.uint64)[0]
+    return out
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Position of each 64-bit word in the reflected Gray sequence."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -193,8 +207,8 @@ def _spread(rows: DataFrame, bucket_rows: int) -> DataFrame:
     return rows.select(F.xxhash64("k", F.least("part", "with"), F.greatest("part", "with")).alias("g"), "fp")
 
 
-def links(fps: DataFrame, radius: int = 3, bucket_rows: int = 512) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints within the radius.
+def links(fps: DataFrame, radius: int = 3, bucket_rows: int = 512, kind: str | None = None) -> DataFrame:
+    """Edges (a, b) that connect all distinct fingerprints within the radius; only those of one kind, a column, if there are several.
 
     A bucket over bucket_rows is dealt again: its rows differ in at most three of the
     bits that are left, so they agree in one of four segments of these. A row stands in
@@ -203,7 +217,8 @@ def links(fps: DataFrame, radius: int = 3, bucket_rows: int = 512) -> DataFrame:
     """
     if radius >= PARTS:
         raise ValueError(f"{PARTS} segments find up to {PARTS - 1} differing bits")
-    rows = _dealt(fps.select("fp").distinct().select("fp", F.lit(0).cast("long").alias("k"), F.col("fp").alias("rest")), 0)
+    own = F.col(kind).cast("long") if kind else F.lit(0).cast("long")
+    rows = _dealt(fps.select("fp", own.alias("k")).distinct().select("fp", "k", F.col("fp").alias("rest")), 0)
     groups = None
     for depth in range(1, DEPTH + 1):
         big = checkpointed(rows.groupBy("k").count().where(F.col("count") > bucket_rows).select("k"))
@@ -244,8 +259,8 @@ def similarity(a: bytes, b: bytes) -> float:
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.array([fingerprint(t, 1, repeats=False) for t in b.column(2).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(fp.view(np.int64))], ["row", "id", "h", "fp"])
+        fps = pa.array([word_fingerprints(t).view(np.int64) for t in b.column(2).to_pylist()], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), fps], ["row", "id", "h", "fps"])
 
 
 def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,12 +270,14 @@ def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def similar_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links (a, b) between distinct texts, from texts (h, fp): one star for each linked group of a bucket."""
-    reps = checkpointed(texts.groupBy("fp").agg(F.min("h").alias("rep")))
-    same = texts.join(reps, "fp").where("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b"))
+    """Verified links (a, b) between distinct texts, from texts (h, fps): one star for each linked group of a bucket."""
+    each = texts.select("h", F.posexplode("fps").alias("kind", "fp"))
+    reps = checkpointed(each.groupBy("fp").agg(F.min("h").alias("rep"), F.min("kind").alias("kind")))
+    same = each.join(reps, "fp").where("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b"))
     of = lambda x: reps.select(F.col("fp").alias(x), F.col("rep").alias("rep_" + x))
-    near = links(reps).distinct().join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    edges = checkpointed(same.unionByName(near))
+    near = links(reps, kind="kind").distinct().join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    both = same.unionByName(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = checkpointed(both.where("a <> b").distinct())
     nodes = checkpointed(edges.select(F.col("a").alias("h")).unionByName(edges.select(F.col("b").alias("h"))).distinct())
     bodies = docs.select(F.xxhash64(utf8("text")).alias("h"), utf8("text").alias("t"))
     bodies = saved(among(bodies, "h", nodes).join(nodes, "h", "left_semi").groupBy("h").agg(F.first("t").alias("t")))
@@ -272,8 +289,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs but for copies and near copies of an earlier one, with all their columns.
 
     Near copies have LEAST_SIMILARITY of their distinct five-word shingles in common.
-    They are looked for by SimHashes of their distinct words, which changes of single
-    words move least, within three bits; so not all of them are found, but whatever goes
+    They are looked for by WORD_PRINTS SimHashes of their distinct words, which changes of
+    single words move least, within three bits of any; so not all are found, but whatever goes
     is equal to, or linked by verified pairs with, the row that stays. That is the first by doc_id,
     null last, then by a hash of doc_id and text. Rows that are equal in doc_id and text
     are copies of each other. Null text counts as empty; empty texts are copies. An
@@ -281,9 +298,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     key = row_key("doc_id", "text")
     rows = docs.select(key.alias("row"), F.col("doc_id").alias("id"), utf8("text").alias("t"), F.xxhash64(utf8("text")).alias("h"))
-    rows = checkpointed(rows.mapInArrow(_word_batches, "row long, id long, h long, fp long"))
+    rows = checkpointed(rows.mapInArrow(_word_batches, "row long, id long, h long, fps array<long>"))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
-    texts = checkpointed(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.min(place).alias("place")))
+    texts = checkpointed(rows.groupBy("h").agg(F.first("fps").alias("fps"), F.min(place).alias("place")))
     comps = connected_components(similar_texts(docs, texts)).withColumnRenamed("node", "h")
     classes = texts.select("h", "place").join(comps, "h", "left").groupBy(F.coalesce("component", "h").alias("class")).agg(F.min("place").alias("place"))
     stays = classes.select(F.col("place.row").alias("row"), F.lit(True).alias("stays"))

@@ -127,3 +127,27 @@ def test_banded_distance(spark):
     for edits in (1, 2, 4):
         got = {r["i"] for r in line_dedup.within(spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string"), "x", "y", edits).collect()}
         assert got == {i for i, p in enumerate(pairs) if distance(*p) <= edits}
+
+
+def test_short_lines_are_compared(spark):
+    rows = [(1, "a short line here.\nsection 1\nab cd ef"), (2, "a short line hera.\nab cd e\nab cd efg"), (3, "a short line.\nab cd e"), (4, "tiny 1\ntiny 2")]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute_lines(rows)
+    rng = random.Random(14)
+    short = ["".join(rng.choice("ab ") for _ in range(rng.randrange(7, 24))) for _ in range(300)]
+    rows = [(i, "\n".join(short[i * 10 : i * 10 + 10])) for i in range(30)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute_lines(rows)
+
+
+def test_many_repeated_lines_of_one_document(spark):
+    """Twice the lines take about twice the time; by pairs it would be four times."""
+    import time
+
+    took = []
+    for n in (10_000, 10_000, 40_000):
+        text = "\n".join(f"{i:08d} a line of its own here {i:08d}" for i in range(n))
+        df = spark.createDataFrame([(1, text), (2, text + "\nthe end")], "doc_id long, text string").repartition(2)
+        began = time.perf_counter()
+        out = {r["doc_id"]: r for r in line_dedup.without(df, df.where("doc_id = 2").select(line_dedup.row_key("doc_id", "text").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))).collect()}
+        took.append(time.perf_counter() - began)
+        assert out[1]["n_removed"] == 0 and out[2]["text"] == "the end" and out[2]["n_removed"] == n
+    assert took[2] < 10 * took[1] + 2

@@ -333,6 +333,19 @@ def sql() -> dict[str, str]:
             "SELECT tab_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM isl GROUP BY tab_id, g",
         ),
         "rate_limited_requests": with_(f"{EVENTS},\n{REQUESTS_OF}", "SELECT tab_id, seq, rank_in_window, limited FROM req"),
+        "quota_windows": with_(
+            f"RECURSIVE {EVENTS},\nstarts AS (SELECT tab_id, min(ts) AS start FROM ev GROUP BY tab_id UNION ALL SELECT s.tab_id, min(e.ts) FROM starts s JOIN ev e ON e.tab_id = s.tab_id AND e.ts >= s.start + INTERVAL 1 DAY GROUP BY s.tab_id)",
+            "SELECT key, us, seq, n AS rank_in_window, n > 3 AS limited FROM (SELECT ev.tab_id::VARCHAR AS key, epoch_us(ev.ts) AS us, seq, row_number() OVER (PARTITION BY ev.tab_id, s.start ORDER BY ev.ts, seq) AS n FROM ev ASOF JOIN starts s ON ev.tab_id = s.tab_id AND ev.ts >= s.start)",
+        ),
+        "page_analyses": with_(
+            f"""{EVENTS},
+kinds AS (SELECT tab_id, ts, seq, url, CASE seq % 5 WHEN 0 THEN 'ready' WHEN 1 THEN 'load' WHEN 2 THEN 'mutation' END AS type FROM ev),
+asked AS (SELECT tab_id, ts FROM kinds WHERE type IN ('load', 'mutation') UNION ALL SELECT tab_id, ts + INTERVAL 1200 MILLISECONDS FROM kinds WHERE type = 'ready'
+  UNION ALL SELECT tab_id, ts FROM (SELECT *, lag(url) OVER (PARTITION BY tab_id ORDER BY ts, seq) AS before FROM kinds WHERE url IS NOT NULL) WHERE url <> before),
+marks AS (SELECT tab_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY tab_id ORDER BY ts) > INTERVAL 900 MILLISECONDS THEN 1 ELSE 0 END AS new FROM asked),
+isl AS (SELECT *, sum(new) OVER (PARTITION BY tab_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS g FROM marks)""",
+            "SELECT tab_id, epoch_us(max(ts)) + 900000 AS due_us, count(*) AS n, false AS immediate FROM isl GROUP BY tab_id, g UNION ALL SELECT tab_id, epoch_us(ts), 1, true FROM kinds WHERE type = 'ready'",
+        ),
         "request_gate": with_(f"{EVENTS},\n{REQUESTS_OF}", f"SELECT tab_id, seq, {_gate(_LIMITED, _TOKEN, ('NOT coalesce(enabled, false)', 403, 'disabled'), *_TEXT_GATES, ('NOT seq % 23 <> 0', 500, 'missing_openai_api_key'))} FROM req"),
         "admin_gate": with_(f"{EVENTS},\n{REQUESTS_OF}", f"SELECT tab_id, seq, status, error, CASE WHEN status = 200 THEN coalesce(enabled, false) END AS set_enabled FROM (SELECT tab_id, seq, enabled, {_gate(_LIMITED, _TOKEN)} FROM req)"),
         "client_gate": with_(

@@ -12,7 +12,7 @@ from ..functions.patterns import Text
 from ..operators import categories, detect, findings, report, requests, risk
 from ..sources import flags
 from ..sources.pages import anchors, parsed_pages
-from ..streaming import tabs
+from ..streaming import ordered, tabs
 from . import corpus
 from .analyze import analyze_pages, analyze_texts, assess
 
@@ -285,6 +285,19 @@ def rate_limited_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("tab_id", "seq", "rank_in_window", "limited")
 
 
+@query
+def quota_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by windows of a day that start at a client's first request."""
+    return ordered.quota(_events(spark, sf_dir), limit=3, window_us=86_400_000_000, by="tab_id")
+
+
+@query
+def page_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the events of a tab let it be analysed."""
+    kind = F.element_at(F.array(*map(F.lit, ("ready", "load", "mutation", "address", "other"))), (F.col("seq") % 5 + 1).cast("int"))
+    return tabs.analyses(_events(spark, sf_dir).withColumn("type", kind))
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = requests.limited(_events(spark, sf_dir), limit=3, window="1 day", by="tab_id", order=("seq",))
     token = F.when(F.col("seq") % 5 == 0, "wrong").when(F.col("seq") % 7 == 0, F.lit(None)).otherwise("right")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -90,6 +90,27 @@ def address_changes(events: DataFrame) -> DataFrame:
     return events.withColumn("before", before).where("before is not null and url is not null and url <> before").drop("before")
 
 
+def analyses(events: DataFrame) -> DataFrame:
+    """(tab_id, due_us, n, immediate): when a tab's events (tab_id, ts, seq, type, url) let it be analysed.
+
+    At once when it is ready; and DEBOUNCE_MS after the last of a run of n triggers: load and
+    mutation events, changes of address, and a look RECHECK_MS after ready.
+    """
+    plain = events.where(F.col("type").isin("ready", "load", "mutation"))
+    moved = address_changes(events.where("url is not null")).withColumn("type", F.lit("address"))
+    asked = triggers(plain.select("tab_id", "ts", "seq", "type").unionByName(moved.select("tab_id", "ts", "seq", "type")))
+    runs = debounced(asked.where("not immediate"), f"{DEBOUNCE_MS} milliseconds")
+    later = runs.select("tab_id", (F.unix_micros("last_ts") + 1000 * DEBOUNCE_MS).alias("due_us"), "n", F.lit(False).alias("immediate"))
+    now = asked.where("immediate").select("tab_id", F.unix_micros("ts").alias("due_us"), F.lit(1).cast("long").alias("n"), "immediate")
+    return now.unionByName(later)
+
+
+def held(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(tab_id, ts, payload) of the tabs that have a result in the state of a stream of track(), after its last batch."""
+    state = spark.read.format("statestore").option("stateVarName", "entry").load(checkpoint)
+    return state.where("not value.removed").select("key.tab_id", "value.ts", "value.payload")
+
+
 class TabState(StatefulProcessor):
     """Keeps a tab's latest result; emits its payload, or null when it is removed.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -98,25 +100,43 @@ def offline_model(model: str) -> Callable[[str], str]:
     return lambda asked: '{"summary": "", "data_collected": [], "data_shared_with": [], "user_rights": [], "risk_flags": [], "overall_risk": "low"}'
 
 
-def call_model(requests: DataFrame, key: str, client: Callable[[str], Callable[[str], str]] = offline_model, model: str = DEFAULT_MODEL) -> DataFrame:
+def call_model(
+    requests: DataFrame, key: str, client: Callable[[str], Callable[[str], str]] = offline_model, model: str = DEFAULT_MODEL, attempts: int = 1, pause: float = 0.5, at_once: int = 4
+) -> DataFrame:
     """(key, output, status, error) of each request with status 200; key is a long column.
 
-    `client` makes one caller of the model for each task; a caller that raises gives status 500, a server_error and null output.
+    Equal texts are asked once and the answer joined back; only digests of texts meet, so
+    copies of a text aren't exchanged with it. `client` makes one caller of the model for each
+    task, used by at most `at_once` threads. A call that raises is made again, up to `attempts`
+    times in all, after a pause that doubles; if all fail, its requests get status 500, a
+    server_error and null output.
     """
 
+    def answer(ask: Callable[[str], str], asked: str) -> str | None:
+        for k in range(attempts):
+            try:
+                return ask(asked)
+            except Exception:  # whatever the injected client raises is that request's failure
+                if k + 1 < attempts:
+                    time.sleep(pause * 2**k)
+        return None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = None
-        for b in batches:
-            out: list = []
-            for asked in b.column(1).to_pylist():
-                try:
-                    ask = ask or client(model)
-                    out.append(ask(asked))
-                except Exception:  # whatever the injected client raises is that request's failure
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [key, "output"])
-
-    called = requests.where("status = 200").select(key, prompt(F.col("text")).alias("asked")).mapInArrow(run, f"{key} long, output string")
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                if ask is None:
+                    try:
+                        ask = client(model)
+                    except Exception:  # no caller: all requests of the batch fail
+                        yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(b.num_rows, pa.string())], ["digest", "output"])
+                        continue
+                out = list(pool.map(lambda asked: answer(ask, asked), b.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["digest", "output"])
+
+    asked = requests.where("status = 200").select(key, prompt(F.coalesce("text", F.lit(""))).alias("asked")).withColumn("digest", F.unhex(F.sha2("asked", 256)))
+    answers = asked.groupBy("digest").agg(F.first("asked").alias("asked")).mapInArrow(run, "digest binary, output string")
+    called = asked.select(key, "digest").join(answers, "digest")
     return called.select(key, "output", *(c.alias(k) for k, c in _gate((F.col("output").isNull(), 500, "server_error")).items()))
 
 

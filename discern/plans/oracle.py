@@ -333,6 +333,11 @@ def sql() -> dict[str, str]:
             "SELECT tab_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM isl GROUP BY tab_id, g",
         ),
         "rate_limited_requests": with_(f"{EVENTS},\n{REQUESTS_OF}", "SELECT tab_id, seq, rank_in_window, limited FROM req"),
+        "answer_delays": with_(
+            EVENTS,
+            "SELECT a.tab_id, a.seq AS asked_seq, r.seq AS result_seq, epoch_us(r.ts) - epoch_us(a.ts) AS delay_us FROM ev a JOIN ev r ON a.tab_id = r.tab_id AND r.ts >= a.ts AND r.ts <= a.ts + INTERVAL 6 HOURS WHERE a.type = 'loading' AND r.type = 'heuristicResult'",
+        ),
+        "unchanged_pages": "SELECT DISTINCT ON (url, html) url, length(html)::INT AS n_chars FROM (SELECT url, unnest([html, CASE WHEN page_id % 5 = 0 THEN html || ' ' ELSE html END]) AS html FROM pages)",
         "quota_windows": with_(
             f"RECURSIVE {EVENTS},\nstarts AS (SELECT tab_id, min(ts) AS start FROM ev GROUP BY tab_id UNION ALL SELECT s.tab_id, min(e.ts) FROM starts s JOIN ev e ON e.tab_id = s.tab_id AND e.ts >= s.start + INTERVAL 1 DAY GROUP BY s.tab_id)",
             "SELECT key, us, seq, n AS rank_in_window, n > 3 AS limited FROM (SELECT ev.tab_id::VARCHAR AS key, epoch_us(ev.ts) AS us, seq, row_number() OVER (PARTITION BY ev.tab_id, s.start ORDER BY ev.ts, seq) AS n FROM ev ASOF JOIN starts s ON ev.tab_id = s.tab_id AND ev.ts >= s.start)",

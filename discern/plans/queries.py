@@ -12,7 +12,7 @@ from ..functions.patterns import Text
 from ..operators import categories, detect, findings, report, requests, risk
 from ..sources import flags
 from ..sources.pages import anchors, parsed_pages
-from ..streaming import ordered, tabs
+from ..streaming import ordered, scans, tabs
 from . import corpus
 from .analyze import analyze_pages, analyze_texts, assess
 
@@ -298,6 +298,21 @@ def page_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabs.analyses(_events(spark, sf_dir).withColumn("type", kind))
 
 
+@query
+def answer_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of a tab within six hours after a load of its page."""
+    events = _events(spark, sf_dir)
+    return scans.answered(events.where("type = 'loading'"), events.where("type = 'heuristicResult'"), "6 hours")
+
+
+@query
+def unchanged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses and lengths of the pages that are left when each is scanned three times, every fifth of them changed once."""
+    rows = corpus.table(spark, sf_dir, "pages").select("page_id", "url", "html", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("scan"))
+    html = F.when((F.col("scan") == 3) & (F.col("page_id") % 5 == 0), F.concat("html", F.lit(" "))).otherwise(F.col("html"))
+    return scans.unchanged_once(rows.select("url", html.alias("html"))).select("url", F.length("html").alias("n_chars"))
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = requests.limited(_events(spark, sf_dir), limit=3, window="1 day", by="tab_id", order=("seq",))
     token = F.when(F.col("seq") % 5 == 0, "wrong").when(F.col("seq") % 7 == 0, F.lit(None)).otherwise("right")

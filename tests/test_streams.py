@@ -144,3 +144,54 @@ def test_live_state_equals_the_latest_results(spark, tmp_path):
     assert as_set(state) == as_set(want.select("tab_id", "ts", "payload"))
     asked = spark.createDataFrame([(k,) for k in range(9)], "tab_id long")
     assert as_set(tabs.lookup(state, asked).fillna("")) == as_set(tabs.lookup(want, asked).fillna(""))
+
+
+def test_unchanged_pages_come_through_once(spark, tmp_path):
+    from discern.streaming import scans
+
+    page = "url string, html string, ts timestamp, note long"
+    batches = [[("a", "x", T0, 1), ("a", "x", T0, 2), ("b", None, T0, 3)], [("a", "x", T0, 4), ("b", None, T0, 5), ("b", "", T0, 6), (None, "x", T0, 7)], [("a", "y", T0, 8), (None, "x", T0, 9)]]
+    for rows in batches:
+        spark.createDataFrame(rows, page).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(page).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    written(scans.unchanged_once(stream), tmp_path, "once")
+    got = as_set(spark.read.parquet(f"{tmp_path}/once").select(F.coalesce("url", F.lit("-")), F.coalesce("html", F.lit("-"))))
+    want = as_set(scans.unchanged_once(spark.read.schema(page).parquet(f"{tmp_path}/in")).select(F.coalesce("url", F.lit("-")), F.coalesce("html", F.lit("-"))))
+    assert got == want == [("-", "x"), ("a", "x"), ("a", "y"), ("b", ""), ("b", "-")]
+
+
+def test_answers_on_streams_agree_with_batch(spark, tmp_path):
+    from discern.streaming import scans
+
+    rows = events(9, 200)
+    stream = fed(spark, tmp_path, shuffled(rows, 10))
+    kinds = lambda df: (df.where("type = 'load'"), df.where("type = 'heuristicResult'"))
+    written(scans.answered(*kinds(stream), "1 minute", "2 minutes"), tmp_path, "answers")
+    got = as_set(spark.read.schema("tab_id long, asked_seq long, result_seq long, delay_us long").parquet(f"{tmp_path}/answers"))
+    assert got == as_set(scans.answered(*kinds(spark.createDataFrame(rows, SCHEMA)), "1 minute")) and len(got) > 20
+
+
+def test_equal_texts_are_asked_once_and_failures_again(spark, tmp_path):
+    from discern.operators import requests
+
+    texts = ["same"] * 30 + ["other", "fails twice", "fails twice", "fails for ever", None]
+    df = spark.createDataFrame([(i, t, 200) for i, t in enumerate(texts)] + [(99, "same", 403)], "id long, text string, status int").repartition(5)
+
+    def client(model):
+        def ask(asked):
+            import os
+            import uuid
+
+            kind = next(k for k in ("same", "other", "twice", "ever") if k in asked)
+            open(f"{tmp_path}/{kind}-{uuid.uuid4().hex}", "w").close()
+            if kind == "ever" or kind == "twice" and sum(f.startswith("twice") for f in os.listdir(tmp_path)) < 3:
+                raise RuntimeError(kind)
+            return f"reply to {kind}"
+
+        return ask
+
+    got = {r["id"]: (r["output"], r["status"], r["error"]) for r in requests.call_model(df.where("text is not null"), "id", client, attempts=4, pause=0.01).collect()}
+    assert [got[i] for i in (0, 29, 30, 31, 32)] == [("reply to same", 200, None)] * 2 + [("reply to other", 200, None)] + [("reply to twice", 200, None)] * 2
+    assert got[33] == (None, 500, "server_error") and set(got) == set(range(34))
+    calls = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert {k: calls.count(k) for k in calls} == {"same": 1, "other": 1, "twice": 3, "ever": 4}

@@ -42,8 +42,12 @@ BOILER = frozenset("nav footer aside form header menu dialog button".split())
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice newsletter subscribe subscription signup popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus respond replies share sharing social related recommended pagination pager toolbar widget widgets complementary contentinfo search dialog alert alertdialog".split()
 )
-#: ... if all others in the same name only tell where or what kind of box it is.
-BOX_WORDS = frozenset("left right top bottom site page post entry blog area box wrap wrapper container list item items block bar inner outer slot unit links link buttons button section group panel form thread primary secondary global sticky fixed mobile desktop small large the js".split())
+#: Those of them that mark whatever else the name says ...
+SURE_WORDS = frozenset("comment comments commentlist disqus related recommended newsletter sidebar breadcrumb breadcrumbs advert adverts advertisement adsense sponsored pagination".split())
+#: ... but for names that tell of a layout (has-sidebar, no-comments).
+LAYOUT_WORDS = frozenset("no not has have with without is show hide hidden count".split())
+#: The others mark if all else in the same name only tells where or what kind of box it is.
+BOX_WORDS = frozenset("left right top bottom site page post entry blog area box wrap wrapper container list item items block bar inner outer slot unit links link buttons button section group panel form thread primary secondary global sticky fixed mobile desktop small large the js posts articles reader readers user users body inline more latest popular".split())
 #: Used where no page labels its content.
 PRIOR_WORD, PRIOR_TAG, PRIOR_TAGS = 1.0, 1.0, {"a": 2.0, "li": 1.0, "article": 40.0, "main": 40.0, "nav": 40.0, "footer": 40.0, "aside": 40.0, "header": 40.0, "form": 40.0, "p": 0.25, "br": 0.25}
 #: Most that a tag costs, in words: labelled pages of one shape mustn't forbid what other articles hold.
@@ -62,9 +66,11 @@ class Weights:
 
 
 def _names_boiler(value: str) -> bool:
-    """If one of the names in a class, id or role is a mark: sidebar-left is one, has-sidebar and share-price aren't."""
+    """If one of the names in a class, id or role is a mark: reader-comments and menu-left are, has-sidebar and share-price aren't."""
     for name in value.split():
         parts = {p.lower() for p in _PART.findall(name) if not p.isdigit()}
+        if not SURE_WORDS.isdisjoint(parts) and LAYOUT_WORDS.isdisjoint(parts):
+            return True
         if not BOILER_WORDS.isdisjoint(parts) and parts <= BOILER_WORDS | BOX_WORDS:
             return True
     return False
@@ -151,11 +157,14 @@ def parse(page: str) -> Page:
             continue
         name = m[2].lower()
         if m[1]:
+            of = stack[-1]
             if places[name]:
                 depth = places[name][-1]
                 if not (name in INLINE or name in ("p", "li")) or walls[-1] <= depth:
+                    ended = stack[depth]
                     close(depth)
-            tokens.append((True, stack[-1], name, 0))
+                    of = ended if out.mark[ended] else stack[-1]
+            tokens.append((True, of, name, 0))
             continue
         if name in SILENT:
             over = re.compile(rf"</{name}\s*>", re.I).search(page, at) if name not in unclosed else None
@@ -170,11 +179,14 @@ def parse(page: str) -> Page:
             above = out.name[stack[blocks[-1]]]
             if above == "p" or above == name == "li":
                 close(blocks[-1])
-        tokens.append((True, stack[-1], name, 0))
-        if name not in VOID and not m[3].rstrip().endswith("/"):
+        opens = name not in VOID and not m[3].rstrip().endswith("/")
+        marked = opens and _marked(name, m[3])
+        # the tags of a marked element are its own, so that one that isn't read doesn't part what stands around it
+        tokens.append((True, len(out.name) if marked else stack[-1], name, 0))
+        if opens:
             out.parent.append(stack[-1])
             out.name.append(name)
-            out.mark.append(_marked(name, m[3]))
+            out.mark.append(marked)
             out.first.append(len(tokens))
             out.end.append(0)
             places[name].append(len(stack))

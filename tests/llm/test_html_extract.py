@@ -53,6 +53,42 @@ def test_best_run_is_the_best_contiguous_sum():
         assert (got is None) == (best <= 0) and (got is None or sum(value[got[0] : got[1] + 1]) == pytest.approx(best))
 
 
+def planted(rng):
+    """A page without a label and its article: comments, related posts, notices, adverts and menus stand around and in it."""
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    junk = [
+        lambda: f"<div class='{rng.choice(('reader-comments', 'comment-body', 'user-comments', 'comments', 'commentList', 'post-comments-area'))}'><p>{words(rng.randrange(5, 40))}</p><p>{words(9)}</p></div>",
+        lambda: f"<{(t := rng.choice(('div', 'section', 'ul')))} class=\"{rng.choice(('related-posts', 'relatedArticles', 'box related_stories', 'recommended-reading'))}\"><h3>{words(2)}</h3><p>{words(8)}</p></{t}>",
+        lambda: f"<div id={rng.choice(('cookie-notice', 'newsletter-signup', 'ad-slot', 'sidebar', 'sponsored-content'))}>{words(12)}</div>",
+        lambda: f"<aside>{words(20)}</aside>",
+        lambda: f"<nav><ul><li><a href=/>{words(1)}</a></li><li><a href=/x>{words(2)}</a></li></ul></nav>",
+    ]
+    body, want = [], []
+    for _ in range(rng.randrange(3, 9)):
+        p = words(rng.randrange(15, 60))
+        body.append(f"<p>{p}</p>")
+        want.append(p)
+        if rng.random() < 0.4:
+            body.append(rng.choice(junk)())
+    around = [rng.choice(junk)() for _ in range(rng.randrange(4))]
+    page = "".join([f"<html><head><title>{words(3)}</title></head><body><header>{words(6)}</header>", *around[:2], f"<div class='{rng.choice(('post', 'content', 'no-comments', 'has-sidebar entry'))}'>", *body, "</div>", *around[2:], f"<footer>{words(15)}</footer></body></html>"])
+    return page, " ".join(want)
+
+
+def test_planted_articles_of_pages_without_a_label():
+    import random
+
+    rng = random.Random(21)
+    pages = [planted(rng) for _ in range(400)]
+    wrong = [(p, want, hx.extract(p, WEIGHTS)) for p, want in pages if hx.extract(p, WEIGHTS) != want]
+    assert len(wrong) <= 4, (len(wrong), wrong[0])
+
+
+@pytest.mark.parametrize("name, marks", [("reader-comments", True), ("comment-body", True), ("related-posts", True), ("relatedArticles", True), ("has-comments", False), ("no-sidebar", False), ("share-price", False), ("social-policy-text", False), ("cookie-recipes", False), ("menu-left", True)])
+def test_names_that_mark(name, marks):
+    assert hx._names_boiler(name) == marks
+
+
 WORDS = "word " * 50
 HARD = {
     "deep": "<div>" * 100_000 + WORDS,

@@ -263,8 +263,11 @@ def search(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, float,
 def find_leaks(docs: DataFrame, benchmark: DataFrame, index: Index | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, first_word, last_word): a row for each leaked item of each document row.
 
-    Words count from 0. Null texts have no leak; rows that repeat a doc_id are searched
-    each; ties between windows go to the higher cosine.
+    Words count from 0. Null and empty texts have no leak, and null or empty items aren't
+    found; rows that repeat a doc_id are searched each; ties between windows go to the higher
+    cosine. Texts are searched whole, in windows, at any length. Without a document or an
+    item the result is empty. Only doc_id, item_id and text are read, so other columns can't
+    clash.
     """
     index = index or build(docs, benchmark)
     schema = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long, last_word long"

@@ -193,7 +193,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
     words than the same quantile of the trusted documents have isn't kept either. Empty
     or null text has no perplexity and isn't kept; without trusted text all other rows
     are. Rows that repeat a doc_id are scored each by its own text; only doc_id, lang
-    and text are read; an empty table gives an empty one.
+    and text are read; texts of any length are read whole; an empty table gives an empty one.
     """
     good = trusted(labels)
     texts = toxic.labelled_texts(docs, labels)

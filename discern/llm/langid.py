@@ -182,7 +182,12 @@ def recognised(docs: DataFrame, model: Model | None = None, languages: list[str]
 
 
 def predictions(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of docs; only doc_id and text are read."""
+    """(doc_id, held_out, lang_pred, score) for every row of docs; only doc_id and text are read.
+
+    Null texts and texts without a letter are `und` with score 0. Repeated rows give a row
+    each, by their own text; a null doc_id is held out by no fold. Texts of any length are
+    read whole, one at a time. An empty table gives an empty one.
+    """
     model = model or fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

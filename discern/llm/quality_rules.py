@@ -123,7 +123,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.005, slack: fl
     llr less `slack`, in steps of a hundredth, and no passage with more of the toxic
     label's words than all but the share `quantile` of the trusted documents have. Null
     text has no word; without trusted text only the base rules decide; a null doc_id is
-    never trusted.
+    never trusted. Repeated rows give a row each, by their own text, at any length; an empty
+    table gives an empty one; only doc_id and text are read, so other columns can't clash.
     """
     ratios = fit(docs, labels)
     weights = toxic.lexicon(toxic.labelled_texts(docs, labels)) if ratios is not None else {}

@@ -259,13 +259,13 @@ def similarity(a: bytes, b: bytes) -> float:
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps = pa.array([word_fingerprints(t).view(np.int64) for t in b.column(2).to_pylist()], pa.list_(pa.int64()))
+        fps = pa.array([word_fingerprints(t.as_py()).view(np.int64) for t in b.column(2)], pa.list_(pa.int64()))  # one text at a time
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), fps], ["row", "id", "h", "fps"])
 
 
 def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        near = [similarity(x, y) >= LEAST_SIMILARITY for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        near = [similarity(x.as_py(), y.as_py()) >= LEAST_SIMILARITY for x, y in zip(b.column(2), b.column(3))]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 

@@ -220,7 +220,7 @@ ANCHORS_OF += rf""",
 a3 AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || href WHEN starts_with(href, '/') THEN {_ORIGIN} || href
     WHEN href = '' THEN url WHEN starts_with(href, '?') THEN {_BASE} || href WHEN starts_with(href, '#') THEN regexp_extract(url, '^([^#]*)', 1) || href
     ELSE regexp_extract({_BASE} || CASE WHEN {_BASE} = {_ORIGIN} THEN '/' ELSE '' END, '^(.*/)', 1) || href END AS direct FROM a2),
-anch AS (SELECT page_id, url, pos, href, text, in_nav, regexp_replace(direct, '/[^/]+/\.\./', '/', 'g') AS absolute, lower(text || ' ' || href) AS hay FROM a3)"""
+anch AS (SELECT page_id, url, pos, href, text, in_nav, array_to_string(list_transform(string_split(regexp_replace(direct, '/[^/]+/\.\./', '/', 'g'), ''), lambda c: CASE WHEN ord(c) > 126 OR c = ' ' THEN url_encode(c) ELSE c END), '') AS absolute, lower(text || ' ' || href) AS hay FROM a3)"""
 LINKS_OF = rf"""links AS (SELECT * FROM (SELECT page_id, pos, absolute, (6 * {count('hay', rules.HIGH_LINK)} + 3 * {count('hay', rules.MEDIUM_LINK)} + {count('hay', rules.LOW_LINK)} + {case([(has('absolute', p), n) for p, n in rules.URL_POINTS], 0)} + in_nav::INT)::INT AS link_score
   FROM anch WHERE NOT regexp_matches(absolute, '^(javascript|mailto|tel):')) WHERE link_score > 0),
 top AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY link_score DESC, pos) = 1)"""
@@ -263,6 +263,10 @@ def sql() -> dict[str, str]:
         "page_text_extract": with_(f"{PAGES},\n{TEXTS_OF}", "SELECT page_id, title, main_text, full_text FROM texts"),
         "page_policy_score": with_(f"{PAGES},\n{TEXTS_OF}", f"SELECT page_id, page_score, {_DISPLAY} FROM (SELECT page_id, {page_score('page_text', 'title', 'url')}::INT AS page_score FROM texts)"),
         "anchor_scan": with_(f"{PAGES},\n{ANCHORS_OF}", "SELECT page_id, pos, href, text, in_nav, absolute FROM anch"),
+        "address_spellings": "WITH p AS (SELECT page_id, url, split_part(url, ':', 1) AS scheme, regexp_extract(url, '^https?://([^/]*)', 1) AS host, regexp_extract(url, '^https?://[^/]*/(.*)$', 1) AS rest FROM pages),\n"
+        "s(pos) AS (VALUES (0), (1), (2), (3), (4), (5))\n"
+        "SELECT page_id, pos::INT AS pos, CASE pos WHEN 0 THEN upper(scheme) || '://' || upper(host) || '/' || rest WHEN 1 THEN scheme || '://' || host || CASE WHEN scheme = 'https' THEN ':443/' ELSE ':80/' END || rest "
+        r"WHEN 2 THEN scheme || ':\\' || host || '\x\.\%2e%2E\' || rest WHEN 3 THEN ' ' || scheme || '://' || chr(9) || host || '/../' || rest || chr(10) WHEN 4 THEN '//' || host || '/' || rest ELSE './a/../../../../../../' || rest END AS href, url AS absolute FROM p CROSS JOIN s",
         "link_score": with_(f"{PAGES},\n{ANCHORS_OF},\n{LINKS_OF}", "SELECT page_id, pos, absolute, link_score FROM links"),
         "best_policy_link": with_(
             f"{PAGES},\n{ANCHORS_OF},\n{LINKS_OF}",

@@ -11,7 +11,9 @@ from ..functions import rules, text
 from ..functions.patterns import Text
 from ..operators import categories, detect, findings, report, requests, risk
 from ..sources import flags
+from ..sources.addresses import address
 from ..sources.pages import anchors, parsed_pages
+from ..sources.tables import read_table
 from ..streaming import ordered, scans, tabs
 from . import corpus
 from .analyze import analyze_pages, analyze_texts, assess
@@ -78,6 +80,24 @@ def anchor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors(corpus.pages(spark, sf_dir)).select("page_id", "pos", "href", "text", "in_nav", "absolute")
 
 
+@query
+def address_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address of each page from other spellings of it."""
+    url = F.col("url")
+    host, rest = F.regexp_extract(url, "^https?://([^/]*)", 1), F.regexp_extract(url, "^https?://[^/]*/(.*)$", 1)
+    scheme = F.substring_index(url, ":", 1)
+    spelled = F.array(
+        F.concat(F.upper(scheme), F.lit("://"), F.upper(host), F.lit("/"), rest),
+        F.concat(scheme, F.lit("://"), host, F.when(scheme == "https", ":443/").otherwise(":80/"), rest),
+        F.concat(scheme, F.lit(":\\\\"), host, F.lit("\\x\\.\\%2e%2E\\"), rest),
+        F.concat(F.lit(" "), scheme, F.lit("://\t"), host, F.lit("/../"), rest, F.lit("\n")),
+        F.concat(F.lit("//"), host, F.lit("/"), rest),
+        F.concat(F.lit("./a/../../"), F.lit("../../../../"), rest),
+    )
+    rows = read_table(spark, sf_dir, "pages", spread=True).select("page_id", "url", F.posexplode(spelled).alias("pos", "href"))
+    return rows.select("page_id", "pos", "href", address(F.col("href"), url).alias("absolute"))
+
+
 @query
 def link_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.scored_links(anchors(corpus.pages(spark, sf_dir))).select("page_id", "pos", "absolute", "link_score")

@@ -40,7 +40,8 @@ TEMPLATES = (
     ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("gnu general public license as published by the free software foundation", "version 3 of the license")),
     ("gpl-2", "This work is licensed under the GNU General Public License, version 2.", ("gnu general public license version 2",)),
     ("gpl-3", "This work is licensed under the GNU General Public License, version 3.", ("gnu general public license version 3",)),
-    ("lgpl-3", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ("gnu lesser general public license",)),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ("gnu lesser general public license", "version 2 1 of the license")),
+    ("lgpl-3", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("gnu lesser general public license", "version 3 of the license")),
     ("agpl-3", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", ("gnu affero general public license",)),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", ("mozilla public license v 2",)),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0.", ("cc by nc",)),
@@ -52,8 +53,31 @@ TEMPLATES = (
     ("bsl-1", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software", ("any person or organization obtaining a copy of the software",)),
 )
 
+#: Identifiers of licences in SPDX lines, and names and heads of licence files, by label (fixed values).
+IDENTIFIERS = {
+    "mit": "MIT", "apache-2": "Apache-2.0", "bsd-2-clause": "BSD-2-Clause", "bsd-3-clause": "BSD-3-Clause", "isc": "ISC", "gpl-2": "GPL-2.0", "gpl-3": "GPL-3.0", "lgpl-2.1": "LGPL-2.1", "lgpl-3": "LGPL-3.0",
+    "agpl-3": "AGPL-3.0", "mpl-2": "MPL-2.0", "epl-2": "EPL-2.0", "cc-by-nc": "CC-BY-NC-4.0", "cc-by-sa": "CC-BY-SA-4.0", "cc-by": "CC-BY-4.0", "cc0": "CC0-1.0", "unlicense": "Unlicense", "zlib": "Zlib", "bsl-1": "BSL-1.0",
+}
+NAMES = {
+    "apache-2": ("Apache License Version 2.0, January 2004", "Apache License 2.0", "Apache License, v2.0"),
+    "bsd-2-clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "bsd-3-clause": ("BSD 3-Clause License", "3-Clause BSD License"),
+    "gpl-2": ("GNU General Public License Version 2, June 1991", "GNU General Public License v2.0", "GNU General Public License v2", "GNU GPL version 2", "under the GPLv2"),
+    "gpl-3": ("GNU General Public License Version 3, 29 June 2007", "GNU General Public License v3.0", "GNU General Public License v3", "GNU GPL version 3", "under the GPLv3"),
+    "lgpl-2.1": ("GNU Lesser General Public License Version 2.1, February 1999", "GNU Lesser General Public License v2.1", "under the LGPLv2.1"),
+    "lgpl-3": ("GNU Lesser General Public License Version 3, 29 June 2007", "GNU Lesser General Public License v3.0", "GNU Lesser General Public License v3", "under the LGPLv3"),
+    "agpl-3": ("GNU Affero General Public License Version 3, 19 November 2007", "GNU Affero General Public License v3.0", "GNU Affero General Public License v3", "under the AGPLv3"),
+    "mpl-2": ("Mozilla Public License Version 2.0", "Mozilla Public License 2.0"),
+    "epl-2": ("Eclipse Public License - v 2.0", "Eclipse Public License 2.0"),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 International",),
+    "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0 International",),
+    "cc0": ("CC0 1.0 Universal",),
+    "bsl-1": ("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"),
+    "unlicense": ("under the Unlicense",),
+}
+
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-RARE_WORDS = 8  # of each template
+RARE_WORDS = 8  # of each template; of short ones half their words
 LEAST_VOTES = 3
 LEAST_COVER = 0.7
 SLIP = 3  # words that postings may be out of step
@@ -65,6 +89,9 @@ def words(text: bytes) -> list[bytes]:
 
 _BASE = [(p.encode().split(), label) for p, label in BASE.items()]
 _TEXTS = [(label, words(t.encode()), [p.encode() for p in phrases]) for label, t, phrases in TEMPLATES]
+# a name stands word for word; an identifier on an SPDX line, or next to another that stands there
+_TEXTS += [(label, words(n.encode()), [b" ".join(words(n.encode()))]) for label, names in NAMES.items() for n in names]
+_TEXTS += [(label, words(f"SPDX-License-Identifier: {i}".encode()), [b"spdx license identifier", b" ".join(words(i.encode()))]) for label, i in IDENTIFIERS.items()]
 VOCABULARY = sorted({w for _, ws, _ in _TEXTS for w in ws})
 
 
@@ -92,11 +119,11 @@ def index_from(frequencies: dict[int, int]) -> Index:
     postings: dict[bytes, list] = defaultdict(list)
     needed = []
     for k, (_, ws, _) in enumerate(_TEXTS):
-        rare = set(sorted(set(ws), key=lambda w: (-weight[w], w))[:RARE_WORDS])
+        rare = set(sorted(set(ws), key=lambda w: (-weight[w], w))[: min(RARE_WORDS, max(2, (len(ws) + 1) // 2))])
         for i, w in enumerate(ws):
             if w in rare:
                 postings[w].append((k, i))
-        needed.append(min(LEAST_VOTES, len(rare) - 1))
+        needed.append(min(LEAST_VOTES, max(2, len(rare) - 1)))
     return Index(weight, dict(postings), needed)
 
 

@@ -168,3 +168,25 @@ def parsed_reply(output: Column) -> dict[str, Column]:
     falsy = text.isin("null", "false", "0", "0.0", "-0", '""')
     parsed = F.when(text.isNotNull() & ~falsy, text)
     return {"parsed": parsed, "raw": F.when(parsed.isNull(), output)}
+
+
+def _error_body() -> Column:
+    return F.to_json(F.struct(F.lit(False).alias("ok"), F.col("error")))
+
+
+def analyze_reply(rows: DataFrame) -> DataFrame:
+    """rows (status, error, parsed, raw) with the body that is sent: a result, else the raw reply, else the error."""
+    said = F.when(F.col("parsed").isNotNull(), F.concat(F.lit('{"ok":true,"result":'), F.col("parsed"), F.lit("}")))
+    said = said.otherwise(F.to_json(F.struct(F.lit(True).alias("ok"), F.coalesce("raw", F.lit("")).alias("raw"))))
+    return rows.withColumn("body", F.when(F.col("status") == 200, said).otherwise(_error_body()))
+
+
+def admin_reply(rows: DataFrame) -> DataFrame:
+    """rows of gate_admin() with the body that is sent; a limited request gets plain text."""
+    done = F.to_json(F.struct(F.lit(True).alias("ok"), F.col("set_enabled").alias("enabled")))
+    return rows.withColumn("body", F.when(F.col("status") == 200, done).when(F.col("status") == 429, rules.SAID_TOO_MANY_REQUESTS).otherwise(_error_body()))
+
+
+def status_reply(flag: DataFrame) -> DataFrame:
+    """(body) of a request for the flag (enabled; null: false)."""
+    return flag.select(F.to_json(F.struct(F.coalesce("enabled", F.lit(False)).alias("enabled"))).alias("body"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 FLAG_SCHEMA = "enabled boolean"
+#: Columns of stored changes of settings.
+STORED = {"key": "string", "value": "string", "seq": "long"}
 DEFAULTS = {"analyzer.enabled": "false"}
 
 
@@ -22,8 +24,25 @@ def read_flag(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_flag(spark: SparkSession, path: str, enabled: bool | None) -> None:
-    """Replaces the flag (null: false)."""
-    spark.range(1).select(F.lit(bool(enabled)).alias("enabled")).coalesce(1).write.mode("overwrite").json(path)
+    """Replaces the flag (null: false); the file is indented by two blanks."""
+    text = F.concat(F.lit('{\n  "enabled": '), F.lit(bool(enabled)).cast("string"), F.lit("\n}"))
+    spark.range(1).select(text).coalesce(1).write.mode("overwrite").text(path)
+
+
+def store(changes: DataFrame, path: str) -> None:
+    """Adds changes (key, value, seq) of settings to a table; the largest seq of a key counts."""
+    changes.select(*(F.col(c).cast(t).alias(c) for c, t in STORED.items())).write.mode("append").parquet(path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """All changes (key, value, seq) that were stored; none where there is no table yet."""
+    schema = ", ".join(map(" ".join, STORED.items()))
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def settings(spark: SparkSession, stored: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@ import time
 
 from discern.operators import detect
 from discern.sources.pages import anchors, parse_page, parsed_pages
-from discern.sources.flags import read_flag, settings, write_flag
+from discern.sources.flags import read_flag, settings, store, stored, write_flag
 
 LONG = "word " * 30
 HTML = f"""<html><head><title> A &amp; B </title><style>p{{}}</style></head><body><nav><a href="/legal">Legal</a></nav>
@@ -80,3 +80,17 @@ def test_flag_and_settings(spark, tmp_path):
     assert {r["key"]: r["value"] for r in settings(spark).collect()} == {"analyzer.enabled": "false"}
     stored = spark.createDataFrame([("analyzer.enabled", "true", 2), ("analyzer.enabled", "false", 1), ("token", "t", 1)], "key string, value string, seq int")
     assert {r["key"]: r["value"] for r in settings(spark, stored).collect()} == {"analyzer.enabled": "true", "token": "t"}
+
+
+def test_flag_file_is_indented(spark, tmp_path):
+    write_flag(spark, str(tmp_path / "flag"), True)
+    assert next((tmp_path / "flag").glob("part-*")).read_text() == '{\n  "enabled": true\n}\n'
+
+
+def test_settings_are_stored(spark, tmp_path):
+    path = str(tmp_path / "settings")
+    assert stored(spark, path).count() == 0
+    assert settings(spark, stored(spark, path)).first()["value"] == "false"
+    store(spark.createDataFrame([("token", "a", 1), ("analyzer.enabled", "true", 2)], "key string, value string, seq int"), path)
+    store(spark.createDataFrame([("token", "b", 3)], "key string, value string, seq int"), path)
+    assert {r["key"]: r["value"] for r in settings(spark, stored(spark, path)).collect()} == {"analyzer.enabled": "true", "token": "b"}

@@ -148,3 +148,18 @@ def test_reports_without_a_result(spark):
     assert report.checklist(rows, "id").first()["label"].startswith("No clear privacy-related")
     status = report.page_status(rows).first()
     assert status["finder_status"] == "No page checked yet." and status["link_text"] == "No policy link found"
+
+
+def test_reply_bodies(spark):
+    rows = spark.createDataFrame(
+        [(200, None, '{"a":1}', None), (200, None, None, 'no "json"'), (200, None, None, None), (401, "unauthorized", None, None), (429, "rate_limited", None, None)],
+        "status int, error string, parsed string, raw string",
+    )
+    assert [r["body"] for r in requests.analyze_reply(rows).collect()] == [
+        '{"ok":true,"result":{"a":1}}', '{"ok":true,"raw":"no \\"json\\""}', '{"ok":true,"raw":""}', '{"ok":false,"error":"unauthorized"}', '{"ok":false,"error":"rate_limited"}',
+    ]
+    rows = spark.createDataFrame([(200, None, True), (401, "unauthorized", None), (429, "rate_limited", None)], "status int, error string, set_enabled boolean")
+    assert [r["body"] for r in requests.admin_reply(rows).collect()] == ['{"ok":true,"enabled":true}', '{"ok":false,"error":"unauthorized"}', "Too many requests, please try again later."]
+    assert requests.status_reply(spark.sql("select cast(null as boolean) enabled")).first()["body"] == '{"enabled":false}'
+    replies = requests.client_reply(requests.analyze_reply(spark.sql("select 403 status, 'disabled' error, cast(null as string) parsed, cast(null as string) raw"))).first()
+    assert (replies["ok"], replies["reply_error"]) == (False, "disabled")

@@ -12,6 +12,7 @@ the sum passes the radius. A bucket only passes on a star per linked group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -30,6 +31,7 @@ PARTS = 4  # segments, one more than differing bits
 DEPTH = 4  # how often a bucket is dealt again at most
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
 WORD_PRINTS = 6  # SimHashes of a text's words by which near copies are looked for
+SKETCH = 8  # words of 64 bits at least by which pairs that can't be similar are dropped
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -257,10 +259,49 @@ def similarity(a: bytes, b: bytes) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """The distinct five-word shingles of a text as unsigned 64-bit hashes, ascending; a single 0 without a word."""
+    words = np.fromiter(map(xxhash.xxh64_intdigest, text.lower().split(), repeat(SEED)), np.uint64)
+    n = min(len(words), SHINGLE)
+    h = np.full(max(len(words) - SHINGLE + 1, 1), n, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(h)]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = np.sort(h ^ (h >> np.uint64(29)))
+    return h[np.r_[True, h[1:] != h[:-1]]]
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bits, at least as many as hashes, each the parity of the hashes that name it; their number is a power of two.
+
+    Two sketches differ in no more bits than their sets differ in hashes.
+    """
+    words = max(SKETCH, 1 << (len(hashes) - 1 >> 6).bit_length())
+    odd = np.bincount((hashes % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same hashes with fewer words."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
+def prefix(n: int) -> int:
+    """How many of n hashes, the least, hold one of any set that is similar enough."""
+    return n - math.ceil(LEAST_SIMILARITY * n - 1e-9) + 1
+
+
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps = pa.array([word_fingerprints(t.as_py()).view(np.int64) for t in b.column(2)], pa.list_(pa.int64()))  # one text at a time
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), fps], ["row", "id", "h", "fps"])
+        fps, n, sketches = [], [], []
+        for t in b.column(2):  # one text at a time
+            text = t.as_py()
+            hashes = shingle_hashes(text)
+            fps.append(word_fingerprints(text).view(np.int64))
+            n.append(len(hashes))
+            sketches.append(sketch(hashes).view(np.int64))
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(fps, longs), pa.array(n, pa.int64()), pa.array(sketches, longs)], ["row", "id", "h", "fps", "n", "sketch"])
 
 
 def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,15 +310,9 @@ def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
-def similar_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links (a, b) between distinct texts, from texts (h, fps): one star for each linked group of a bucket."""
-    each = texts.select("h", F.posexplode("fps").alias("kind", "fp"))
-    reps = checkpointed(each.groupBy("fp").agg(F.min("h").alias("rep"), F.min("kind").alias("kind")))
-    same = each.join(reps, "fp").where("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b"))
-    of = lambda x: reps.select(F.col("fp").alias(x), F.col("rep").alias("rep_" + x))
-    near = links(reps, kind="kind").distinct().join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    both = same.unionByName(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = checkpointed(both.where("a <> b").distinct())
+def _verified(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of the edges (a, b), each once, whose texts are similar enough."""
+    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     nodes = checkpointed(edges.select(F.col("a").alias("h")).unionByName(edges.select(F.col("b").alias("h"))).distinct())
     bodies = docs.select(F.xxhash64(utf8("text")).alias("h"), utf8("text").alias("t"))
     bodies = saved(among(bodies, "h", nodes).join(nodes, "h", "left_semi").groupBy("h").agg(F.first("t").alias("t")))
@@ -285,22 +320,194 @@ def similar_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(_similar_batches, "a long, b long")
 
 
+def _by_fingerprint(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts (h, fps): one star for each linked group of a bucket."""
+    each = texts.select("h", F.posexplode("fps").alias("kind", "fp"))
+    reps = checkpointed(each.groupBy("fp").agg(F.min("h").alias("rep"), F.min("kind").alias("kind")))
+    same = each.join(reps, "fp").where("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b"))
+    of = lambda x: reps.select(F.col("fp").alias(x), F.col("rep").alias("rep_" + x))
+    near = links(reps, kind="kind").distinct().join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    return same.unionByName(near)
+
+
+def _posting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        own, size = [], []
+        for t in b.column(1):
+            hashes = shingle_hashes(t.as_py())
+            own.append(hashes[: prefix(len(hashes))])
+            size.append(len(own[-1]))
+        if own:
+            size = np.array(size)
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            h = np.repeat(b.column(0).to_numpy(zero_copy_only=False), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(h), pa.array(place.astype(np.int32))], ["w", "h", "i"])
+
+
+def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (w, h, i), sorted by w, of the w that stand with two h or more; no group is held."""
+    only = np.zeros((0, 3), np.int64)  # the first row of a group that goes on, while it has one h
+    shared = None
+    for b in batches:
+        x = np.concatenate([only, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)])
+        if not len(x):
+            continue
+        w, h = x[:, 0], x[:, 1]
+        at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        several = np.minimum.reduceat(h, at) != np.maximum.reduceat(h, at)
+        several[0] |= shared is not None and w[0] == shared
+        shared = w[-1] if several[-1] else None
+        only = x[:0] if several[-1] else x[at[-1] : at[-1] + 1]
+        out = x[np.repeat(several, np.diff(np.r_[at, len(w)]))]
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32))], ["w", "h", "i"])
+
+
+def _fits(i: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m hashes can be similar enough if the first they share is at i in one and at j in the other."""
+    least = np.ceil(LEAST_SIMILARITY / (1 + LEAST_SIMILARITY) * (n + m) - 1e-9)
+    return (i + least <= n) & (j + least <= m)
+
+
+def _alike(n, m, bits):
+    """Whether sets of n and m hashes can be similar enough if their sketches differ in so many bits."""
+    return bits * (1 + LEAST_SIMILARITY) <= (1 - LEAST_SIMILARITY) * (n + m) + 1e-6
+
+
+def cross_pairs(g: np.ndarray, h: np.ndarray, i: np.ndarray, n: np.ndarray, own: np.ndarray, sketches: np.ndarray | None = None, step: int = 1 << 20) -> Iterator[tuple]:
+    """Pairs (h, h) of the rows of one g, sorted by it, of different classes `own` that can be similar enough."""
+    size = np.diff(np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)])
+    last = np.repeat(np.cumsum(size), size)  # one past each row's group
+    found, held = [], 0
+    rows, by = np.arange(len(g)), 1
+    while len(rows := rows[rows + by < last[rows]]):
+        a, b = rows, rows + by
+        near = (own[a] != own[b]) & _fits(i[a], i[b], n[a], n[b])
+        a, b = a[near], b[near]
+        if sketches is not None:
+            near = _alike(n[a], n[b], np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64))
+            a, b = a[near], b[near]
+        if len(a):
+            found.append((h[a], h[b]))
+            held += len(a)
+        if held >= step:
+            yield tuple(np.concatenate(x) for x in zip(*found))
+            found, held = [], 0
+        by += 1
+    if found:
+        yield tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) from rows (g, h, i, n, own and, if it is there, sketch) sorted by g; only whole groups are searched."""
+    kept: list[list] = []
+
+    def flush(n: int) -> Iterator[pa.RecordBatch]:
+        x = [np.concatenate(c) for c in zip(*kept)]
+        kept[:] = [[c[n:] for c in x]]
+        # of rows that repeat (copies of a text), one is compared
+        order = np.lexsort((x[1][:n], x[0][:n]))
+        g, h = x[0][order], x[1][order]
+        order = order[np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])]]
+        for a, b in cross_pairs(*(c[order] for c in x)):
+            both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    held = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        kept.append([np.array([folded(x.values.to_numpy().view(np.uint64), SKETCH) for x in c]) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns])
+        held += b.num_rows
+        if held >= 50_000:
+            g = np.concatenate([x[0] for x in kept])
+            n = int(np.flatnonzero(g == g[-1])[0])  # the last group may go on
+            if n:
+                yield from flush(n)
+                held = len(g) - n
+    if held:
+        yield from flush(held)
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("g").sortWithinPartitions("g")
+
+
+def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        apart = []
+        for x, y in zip(b.column(4), b.column(5)):
+            x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+            k = min(len(x), len(y))
+            apart.append(int(np.bitwise_count(folded(x, k) ^ folded(y, k)).sum()))
+        near = _alike(b.column(2).to_numpy(), b.column(3).to_numpy(), np.array(apart, np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near))
+
+
+def _can_be_alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches don't differ in too many bits."""
+    of = lambda x: texts.select(F.col("h").alias(x), F.col("n").alias("n_" + x), F.col("sketch").alias("s_" + x))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    return both.mapInArrow(_alike_batches, "a long, b long")
+
+
+def _by_shingle(docs: DataFrame, texts: DataFrame, classes: DataFrame, group_rows: int = 256, star_rows: int = 16) -> DataFrame:
+    """Verified links (a, b) that join all texts which are similar enough and not of one class (node, component) yet.
+
+    A text is posted under the least of its shingles' hashes, as many as hold one of any
+    similar set (prefix filter), and meets the others there. Where more than star_rows
+    meet, they are compared with one of them first, another at each hash, so that near
+    copies are of one class before all pairs of different classes are searched. Where
+    more than group_rows meet, they are dealt out and compared by sketches too.
+    """
+    posts = docs.select(F.xxhash64(utf8("text")).alias("h"), utf8("text").alias("t")).mapInArrow(_posting_batches, "w long, h long, i int")
+    shared = posts.repartition("w").sortWithinPartitions("w").mapInArrow(_shared_batches, "w long, h long, i int")
+    known = texts.select("h", "n").join(classes.withColumnRenamed("node", "h"), "h", "left").select("h", "n", F.coalesce("component", "h").alias("own"))
+    rows = saved(shared.join(known, "h"))
+    groups = rows.groupBy("w").agg(F.count("*").alias("c"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("w", "c")
+    rows = saved(rows.join(groups, "w"))
+    many = rows.where(F.col("c") > star_rows)
+    centres = many.groupBy("w").agg(F.min_by(F.struct("h", "own"), F.xxhash64("h", "w")).alias("x")).select("w", F.col("x.h").alias("b"), F.col("x.own").alias("to"))
+    star = many.join(centres, "w").where("own <> to").select(F.greatest("h", "b").alias("a"), F.least("h", "b").alias("b")).distinct()
+    found = saved(_verified(docs, _can_be_alike(star, texts)))
+    ends = lambda x: known.select(F.col("h").alias(x), F.col("own").alias("own_" + x))
+    joined = connected_components(found.join(ends("a"), "a").join(ends("b"), "b").select(F.col("own_a").alias("a"), F.col("own_b").alias("b")))
+    rows = rows.join(joined.withColumnRenamed("node", "own"), "own", "left").withColumn("own", F.coalesce("component", "own")).drop("component")
+    few = rows.where(F.col("c") <= group_rows).select(F.col("w").alias("g"), "h", "i", "n", "own")
+    pairs = _can_be_alike(_in_order(few).mapInArrow(_pair_batches, "a long, b long").distinct(), texts)
+    hot = rows.where(F.col("c") > group_rows).join(texts.select("h", "sketch"), "h").withColumn("parts", F.ceil(F.col("c") / group_rows).cast("long"))
+    hot = hot.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    hot = hot.select(F.xxhash64("w", F.least("part", "with"), F.greatest("part", "with")).alias("g"), "h", "i", "n", "own", "sketch")
+    pairs = pairs.unionByName(_in_order(hot).mapInArrow(_pair_batches, "a long, b long"))
+    return found.unionByName(_verified(docs, pairs))
+
+
+def similar_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (a, b) that join all distinct texts which are similar enough, from texts (h, fps, n, sketch).
+
+    Most are found by fingerprints, the others by the prefix filter, which leaves out
+    none (but for equal 64-bit hashes of different shingles).
+    """
+    classes = connected_components(_verified(docs, _by_fingerprint(texts)))
+    return classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_by_shingle(docs, texts, classes))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs but for copies and near copies of an earlier one, with all their columns.
 
     Near copies have LEAST_SIMILARITY of their distinct five-word shingles in common.
     They are looked for by WORD_PRINTS SimHashes of their distinct words, which changes of
-    single words move least, within three bits of any; so not all are found, but whatever goes
-    is equal to, or linked by verified pairs with, the row that stays. That is the first by doc_id,
+    single words move least, within three bits of any, then by shared shingles, which miss
+    none; whatever goes is equal to, or linked by verified pairs with, the row that stays,
+    and no two rows that stay are near copies. That is the first by doc_id,
     null last, then by a hash of doc_id and text. Rows that are equal in doc_id and text
     are copies of each other. Null text counts as empty; empty texts are copies. An
     empty table gives an empty one.
     """
     key = row_key("doc_id", "text")
     rows = docs.select(key.alias("row"), F.col("doc_id").alias("id"), utf8("text").alias("t"), F.xxhash64(utf8("text")).alias("h"))
-    rows = checkpointed(rows.mapInArrow(_word_batches, "row long, id long, h long, fps array<long>"))
+    rows = checkpointed(rows.mapInArrow(_word_batches, "row long, id long, h long, fps array<long>, n long, sketch array<long>"))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
-    texts = checkpointed(rows.groupBy("h").agg(F.first("fps").alias("fps"), F.min(place).alias("place")))
+    texts = checkpointed(rows.groupBy("h").agg(F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(place).alias("place")))
     comps = connected_components(similar_texts(docs, texts)).withColumnRenamed("node", "h")
     classes = texts.select("h", "place").join(comps, "h", "left").groupBy(F.coalesce("component", "h").alias("class")).agg(F.min("place").alias("place"))
     stays = classes.select(F.col("place.row").alias("row"), F.lit(True).alias("stays"))

@@ -162,5 +162,84 @@ def test_recall_of_near_copies(similarity):
     assert recall(similarity, 300) >= 0.9
 
 
+def brute_kept(rows):
+    """Smallest ids of what links of all pairs of texts join."""
+    sets = [set(simhash.shingles(t.encode(), 5)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if not x and not y or 5 * len(x & y) >= 4 * len(x | y):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return set(least.values())
+
+
+def test_no_near_copy_is_left_out(spark):
+    """Whole and reordered texts, short ones, and a text of which only one end of a chain is a near copy."""
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(200)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = ["", " ", "a", "A", "a b", "a b c d e", "A b C d e"]
+    for n in (9, 12, 20, 60, 300, 1500):
+        for _ in range(12):
+            a = text(n)
+            texts.append(" ".join(a))
+            cut = rng.randrange(1, n)
+            texts.append(" ".join(a[cut:] + a[:cut]))
+            for share in (0.01, 0.02, 0.022, 0.03):
+                b = list(a)
+                for k in rng.sample(range(n), max(1, int(n * share))):
+                    b[k] = rng.choice(words)
+                texts.append(" ".join(b))
+            texts.append(" ".join(a + text(n // 4)))
+            texts.append(" ".join(a[: n - n // 5]))
+    rows = list(enumerate(dict.fromkeys(texts)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == brute_kept(rows)
+
+
+@pytest.mark.parametrize("group_rows, star_rows", ((256, 16), (8, 4), (8, 1000)))
+def test_groups_of_any_size_without_fingerprints(spark, monkeypatch, group_rows, star_rows):
+    """Many texts with one common passage, and near copies of one text, most of which are no near copies of each other."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(500)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    base, passage = text(200), text(40)
+    texts = [" ".join(text(30) + passage + text(30)) for _ in range(60)]
+    for _ in range(60):
+        b = list(base)
+        for k in rng.sample(range(200), 3):
+            b[k] = rng.choice(words)
+        texts.append(" ".join(b))
+    rows = list(enumerate([*texts, " ".join(base)]))
+    by_shingle = simhash._by_shingle
+    monkeypatch.setattr(simhash, "_by_shingle", lambda docs, known, classes: by_shingle(docs, known, classes.limit(0), group_rows, star_rows))
+    monkeypatch.setattr(simhash, "_by_fingerprint", lambda known: known.selectExpr("h a", "h b"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_kept(rows)
+    assert 60 < len(want) < 100
+    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == want
+
+
+def test_sketches_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(12)
+    for n, m in ((1, 1), (500, 400), (600, 5000), (513, 512)):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.r_[a[: min(n, m) // 2], rng.integers(0, 1 << 63, m - min(n, m) // 2).astype(np.uint64)]
+        x, y = simhash.sketch(np.unique(a)), simhash.sketch(np.unique(b))
+        k = min(len(x), len(y))
+        assert 64 * len(x) >= n and 64 * len(y) >= m
+        assert np.bitwise_count(simhash.folded(x, k) ^ simhash.folded(y, k)).sum() <= len(np.setxor1d(a, b))
+
+
 if __name__ == "__main__":
     print({s: recall(s) for s in (0.8, 0.85, 0.9, 0.95)})

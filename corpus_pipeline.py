@@ -18,6 +18,17 @@ from discern.llm.common import emptied, table, written
 #: No SQL: string kernels, SimHash and the mix are tested against brute force.
 ORACLE_SQL = None
 
+#: Rows that a Python task gets at a time. Texts are long, and an executor keeps the memory of its largest batches.
+BATCH_ROWS = 1000
+
+
+def _batched(spark: SparkSession) -> None:
+    """Sets BATCH_ROWS in the session, unless it asks for smaller batches; it holds when a stage's result is computed."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(name))
+    if own <= 0 or own > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay, with the predicted one as lang.
@@ -25,6 +36,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null texts and texts without a letter go. Without a row that has a language there is
     nothing to learn, and all stay as they are.
     """
+    _batched(spark)
     return langid.recognised(docs)
 
 
@@ -36,16 +48,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies stays; of repeated rows one, of null and empty texts one."""
+    _batched(spark)
     return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; each row is judged by its text, and null texts stay."""
+    _batched(spark)
     return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of all documents by source, a row for each block; null and wordless texts give none, a null source is one of its own."""
+    _batched(spark)
     return mixing.mixed_blocks(docs)
 
 

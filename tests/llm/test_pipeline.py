@@ -95,3 +95,14 @@ def test_tables_go_once_the_next_is_written(spark, data, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "written", lambda df: paths.append(common.written(df)) or paths[-1])
     corpus_pipeline.run(spark, data)
     assert [spark.read.parquet(p).count() > 0 for _, p in paths] == [False] * 3 + [True]
+
+
+def test_python_tasks_get_small_batches(spark, data):
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame(rows((1, EN, "en", "s")), SCHEMA)
+    for own, want in ((10_000, corpus_pipeline.BATCH_ROWS), (0, corpus_pipeline.BATCH_ROWS), (10, 10)):
+        spark.conf.set(name, str(own))
+        corpus_pipeline._batched(spark)
+        assert int(spark.conf.get(name)) == want
+    spark.conf.unset(name)
+    corpus_pipeline.mix_sources(spark, docs, data)
+    assert int(spark.conf.get(name)) == corpus_pipeline.BATCH_ROWS

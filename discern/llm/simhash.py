@@ -315,7 +315,8 @@ def _verified(docs: DataFrame, edges: DataFrame) -> DataFrame:
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     nodes = checkpointed(edges.select(F.col("a").alias("h")).unionByName(edges.select(F.col("b").alias("h"))).distinct())
     bodies = docs.select(F.xxhash64(utf8("text")).alias("h"), utf8("text").alias("t"))
-    bodies = saved(among(bodies, "h", nodes).join(nodes, "h", "left_semi").groupBy("h").agg(F.first("t").alias("t")))
+    # a semi-join would be pushed below among(), and all texts shuffled
+    bodies = saved(among(bodies, "h", nodes).groupBy("h").agg(F.first("t").alias("t")).join(nodes, "h"))
     met = edges.join(bodies.withColumnsRenamed({"h": "a", "t": "x"}), "a").join(bodies.withColumnsRenamed({"h": "b", "t": "y"}), "b")
     return met.select("a", "b", "x", "y").mapInArrow(_similar_batches, "a long, b long")
 
@@ -369,8 +370,8 @@ def _fits(i: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndar
 
 
 def _alike(n, m, bits):
-    """Whether sets of n and m hashes can be similar enough if their sketches differ in so many bits."""
-    return bits * (1 + LEAST_SIMILARITY) <= (1 - LEAST_SIMILARITY) * (n + m) + 1e-6
+    """Whether sets of n and m hashes can be similar enough if their sketches differ in so many bits; they differ in |n - m| hashes at least."""
+    return np.maximum(bits, abs(n - m)) * (1 + LEAST_SIMILARITY) <= (1 - LEAST_SIMILARITY) * (n + m) + 1e-6
 
 
 def cross_pairs(g: np.ndarray, h: np.ndarray, i: np.ndarray, n: np.ndarray, own: np.ndarray, sketches: np.ndarray | None = None, step: int = 1 << 20) -> Iterator[tuple]:
@@ -473,12 +474,14 @@ def _by_shingle(docs: DataFrame, texts: DataFrame, classes: DataFrame, group_row
     joined = connected_components(found.join(ends("a"), "a").join(ends("b"), "b").select(F.col("own_a").alias("a"), F.col("own_b").alias("b")))
     rows = rows.join(joined.withColumnRenamed("node", "own"), "own", "left").withColumn("own", F.coalesce("component", "own")).drop("component")
     few = rows.where(F.col("c") <= group_rows).select(F.col("w").alias("g"), "h", "i", "n", "own")
-    pairs = _can_be_alike(_in_order(few).mapInArrow(_pair_batches, "a long, b long").distinct(), texts)
-    hot = rows.where(F.col("c") > group_rows).join(texts.select("h", "sketch"), "h").withColumn("parts", F.ceil(F.col("c") / group_rows).cast("long"))
+    pairs = _in_order(few).mapInArrow(_pair_batches, "a long, b long")
+    hot = rows.where(F.col("c") > group_rows)
+    apart = hot.groupBy("w").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("w")
+    hot = hot.join(apart, "w").join(texts.select("h", "sketch"), "h").withColumn("parts", F.ceil(F.col("c") / group_rows).cast("long"))
     hot = hot.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     hot = hot.select(F.xxhash64("w", F.least("part", "with"), F.greatest("part", "with")).alias("g"), "h", "i", "n", "own", "sketch")
-    pairs = pairs.unionByName(_in_order(hot).mapInArrow(_pair_batches, "a long, b long"))
-    return found.unionByName(_verified(docs, pairs))
+    pairs = pairs.unionByName(_in_order(hot).mapInArrow(_pair_batches, "a long, b long")).distinct()
+    return found.unionByName(_verified(docs, _can_be_alike(pairs, texts)))
 
 
 def similar_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:

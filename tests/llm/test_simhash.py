@@ -241,5 +241,31 @@ def test_sketches_never_differ_more_than_their_sets():
         assert np.bitwise_count(simhash.folded(x, k) ^ simhash.folded(y, k)).sum() <= len(np.setxor1d(a, b))
 
 
+def test_sets_of_too_different_sizes_are_not_alike():
+    assert simhash._alike(np.array([1000, 1000, 1000]), np.array([100, 799, 800]), np.array([50, 201, 200])).tolist() == [False, False, True]
+
+
+def test_long_texts_of_a_large_group_are_told_apart_before_they_are_read(spark, monkeypatch):
+    """Long texts with one passage in common: sketches of 512 bits say nothing of them, whole sketches do."""
+    rng = random.Random(13)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(60)
+    df = spark.createDataFrame([(i, " ".join(text(2000) + passage)) for i in range(40)], "doc_id long, text string")
+    read = []
+    verified, by_shingle = simhash._verified, simhash._by_shingle
+    monkeypatch.setattr(simhash, "_by_shingle", lambda docs, texts, classes: by_shingle(docs, texts, classes, 16, 4))
+    monkeypatch.setattr(simhash, "_verified", lambda docs, edges: (read.append(edges.count()), verified(docs, edges))[1])
+    assert simhash.one_of_each(df).count() == 40 and sum(read) == 0
+
+
+def test_only_texts_of_pairs_are_shuffled(spark, monkeypatch):
+    plans, saved = [], simhash.saved
+    monkeypatch.setattr(simhash, "saved", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), saved(df))[1])
+    docs = spark.createDataFrame([(i, f"a b c d e f {i}") for i in range(9)], "doc_id long, text string")
+    hashes = [r[0] for r in docs.selectExpr("xxhash64(cast(text as binary))").collect()]
+    simhash._verified(docs, spark.createDataFrame([(hashes[0], hashes[1])], "a long, b long")).collect()
+    assert len(plans) == 1 and "LeftSemi" not in plans[0]
+
+
 if __name__ == "__main__":
     print({s: recall(s) for s in (0.8, 0.85, 0.9, 0.95)})

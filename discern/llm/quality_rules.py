@@ -70,18 +70,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[float]
 def _repeated() -> Column:
     """Places, in order, of the three-word windows of w that stand in the text twice or more.
 
-    Windows are sorted by a hash of their words' hashes, so that equal ones are
-    neighbours; of neighbours with equal hashes the words are compared.
+    Where all hashes of the windows' words' hashes differ, as in most texts, there are
+    none. Else windows are sorted by that hash, so that equal ones are neighbours; of
+    neighbours with equal hashes the words are compared.
     """
     def window(i: Column) -> Column:
-        return F.struct(F.xxhash64(F.get("wh", i), F.get("wh", i + 1), F.get("wh", i + 2)).alias("h"), i.alias("i"))
+        return F.xxhash64(F.get("wh", i), F.get("wh", i + 1), F.get("wh", i + 2))
 
     def same(x: Column, y: Column) -> Column:
         return F.coalesce((x["h"] == y["h"]) & reduce(and_, (F.get("w", x["i"] + k) == F.get("w", y["i"] + k) for k in range(3))), F.lit(False))
 
-    windows = F.when(F.col("n") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n") - 3), window))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    found = let(windows, lambda own: F.filter(own, lambda x, k: same(x, F.get(own, k - 1)) | same(x, F.get(own, k + 1))))
-    return F.sort_array(F.transform(found, lambda x: x["i"]))
+    def places(hashes: Column) -> Column:
+        windows = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        found = let(windows, lambda own: F.filter(own, lambda x, k: same(x, F.get(own, k - 1)) | same(x, F.get(own, k + 1))))
+        return F.sort_array(F.transform(found, lambda x: x["i"]))
+
+    none = F.array().cast("array<int>")
+    hashes = F.when(F.col("n") >= 3, F.transform(F.sequence(F.lit(0), F.col("n") - 3), window)).otherwise(F.array().cast("array<bigint>"))
+    return let(hashes, lambda own: F.when(F.size(F.array_distinct(own)) == F.size(own), none).otherwise(places(own)))
 
 
 def statistics(docs: DataFrame, ratios: list[float] | None, *keep: str, weights: dict[str, float] | None = None) -> DataFrame:
@@ -97,8 +103,8 @@ def statistics(docs: DataFrame, ratios: list[float] | None, *keep: str, weights:
         *keep,
         "w",
         F.size("w").alias("n"),
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
         toxic.passage_column(docs, F.col("t"), weights or {}).alias("toxic_score"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("wh"),

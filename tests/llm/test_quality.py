@@ -264,3 +264,12 @@ def test_many_base_phrases_in_linear_time():
     ws = license_scan.words(b"cc by nc " * 200_000)
     found = license_scan.base_places(ws, b" ".join(ws))
     assert len(found) == 200_000 and found[-1] == (599_997, "cc-by-nc") and time.perf_counter() - began < 10
+
+
+def test_windows_are_sorted_only_where_some_stand_twice(spark):
+    """Texts without a repeated window need no sort, and characters are counted without a look-up for each."""
+    docs = spark.createDataFrame([("a b c d e", 0), ("a b c x a b c", 6), ("a b c a b c", 6), ("a a a a", 4), ("a b", 0), ("", 0), (None, 0)], "text string, want long")
+    rows = quality_rules.statistics(docs, None, "want")
+    assert all(r["n_repeat_words"] == r["want"] for r in rows.collect())
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(lambda" in plan and "translate(" not in plan

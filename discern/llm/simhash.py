@@ -19,11 +19,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import among, checkpointed, row_key, saved, utf8
-from .components import connected_components
+from .components import connected_components, joined
 
 SEED = 42
 FAN = 8
@@ -31,6 +31,7 @@ PARTS = 4  # segments, one more than differing bits
 DEPTH = 4  # how often a bucket is dealt again at most
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
 WORD_PRINTS = 6  # SimHashes of a text's words by which near copies are looked for
+BEFORE = 4  # hashes that a posting knows of those before it
 SKETCH = 8  # words of 64 bits at least by which pairs that can't be similar are dropped
 
 
@@ -136,15 +137,7 @@ def stars(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, n
     group, fp = group[order], fp[order]
     root = np.arange(len(fp))
     for a, b in _close_pairs(group, fp, radius):
-        while True:
-            x, y = root[a], root[b]
-            if (x == y).all():
-                break
-            low = np.minimum(x, y)
-            np.minimum.at(root, x, low)
-            np.minimum.at(root, y, low)
-            while (root[root] != root).any():
-                root = root[root]
+        root = joined(root, a, b)
     moved = root != np.arange(len(fp))
     return fp[moved], fp[root[moved]]
 
@@ -346,11 +339,17 @@ def _posting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (w, h, i), sorted by w, of the w that stand with two h or more; no group is held."""
+    """Rows (w, h, i), sorted by w and h, of the w that stand with two h or more, each once; no group is held."""
+    last = None  # w and h of the last row
     only = np.zeros((0, 3), np.int64)  # the first row of a group that goes on, while it has one h
     shared = None
     for b in batches:
-        x = np.concatenate([only, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)])
+        x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
+        if not len(x):
+            continue
+        new = np.r_[last is None or tuple(x[0, :2]) != last, (x[1:, :2] != x[:-1, :2]).any(axis=1)]
+        last = tuple(x[-1, :2])
+        x = np.concatenate([only, x[new]])
         if not len(x):
             continue
         w, h = x[:, 0], x[:, 1]
@@ -374,8 +373,17 @@ def _alike(n, m, bits):
     return np.maximum(bits, abs(n - m)) * (1 + LEAST_SIMILARITY) <= (1 - LEAST_SIMILARITY) * (n + m) + 1e-6
 
 
-def cross_pairs(g: np.ndarray, h: np.ndarray, i: np.ndarray, n: np.ndarray, own: np.ndarray, sketches: np.ndarray | None = None, step: int = 1 << 20) -> Iterator[tuple]:
-    """Pairs (h, h) of the rows of one g, sorted by it, of different classes `own` that can be similar enough."""
+def _met(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows of hashes have one in common; 0 is none."""
+    return ((x[:, :, None] == y[:, None, :]) & (x != 0)[:, :, None]).any(axis=(1, 2))
+
+
+def cross_pairs(g: np.ndarray, h: np.ndarray, i: np.ndarray, n: np.ndarray, own: np.ndarray, sketches: np.ndarray | None = None, before: np.ndarray | None = None, step: int = 1 << 20) -> Iterator[tuple]:
+    """Pairs (h, h) of the rows of one g, sorted by it, of different classes `own` that can be similar enough.
+
+    before: hashes at which a row stands in groups too and which precede its own; rows
+    that have one in common are left to the first group in which they meet.
+    """
     size = np.diff(np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)])
     last = np.repeat(np.cumsum(size), size)  # one past each row's group
     found, held = [], 0
@@ -387,6 +395,9 @@ def cross_pairs(g: np.ndarray, h: np.ndarray, i: np.ndarray, n: np.ndarray, own:
         if sketches is not None:
             near = _alike(n[a], n[b], np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64))
             a, b = a[near], b[near]
+        if before is not None:
+            near = ~_met(before[a], before[b])
+            a, b = a[near], b[near]
         if len(a):
             found.append((h[a], h[b]))
             held += len(a)
@@ -399,13 +410,13 @@ def cross_pairs(g: np.ndarray, h: np.ndarray, i: np.ndarray, n: np.ndarray, own:
 
 
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) from rows (g, h, i, n, own and, if it is there, sketch) sorted by g; only whole groups are searched."""
+    """Pairs (a, b) from rows (g, h, i, n, own and, if they are there, sketch and before) sorted by g; only whole groups are searched."""
     kept: list[list] = []
 
     def flush(n: int) -> Iterator[pa.RecordBatch]:
         x = [np.concatenate(c) for c in zip(*kept)]
         kept[:] = [[c[n:] for c in x]]
-        # of rows that repeat (copies of a text), one is compared
+        # a text that is dealt to a group twice is compared once
         order = np.lexsort((x[1][:n], x[0][:n]))
         g, h = x[0][order], x[1][order]
         order = order[np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])]]
@@ -417,7 +428,9 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         if not b.num_rows:
             continue
-        kept.append([np.array([folded(x.values.to_numpy().view(np.uint64), SKETCH) for x in c]) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns])
+        kept.append([c.to_numpy(zero_copy_only=False) for c in b.columns[:5]])
+        if b.num_columns > 5:
+            kept[-1] += [np.array([folded(x.values.to_numpy().view(np.uint64), SKETCH) for x in b.column(5)]), b.column(6).flatten().to_numpy().reshape(-1, BEFORE)]
         held += b.num_rows
         if held >= 50_000:
             g = np.concatenate([x[0] for x in kept])
@@ -458,10 +471,11 @@ def _by_shingle(docs: DataFrame, texts: DataFrame, classes: DataFrame, group_row
     similar set (prefix filter), and meets the others there. Where more than star_rows
     meet, they are compared with one of them first, another at each hash, so that near
     copies are of one class before all pairs of different classes are searched. Where
-    more than group_rows meet, they are dealt out and compared by sketches too.
+    more than group_rows meet, they are dealt out and compared by sketches too, and a
+    pair is left to the first of their groups if the hashes just before tell of one.
     """
     posts = docs.select(F.xxhash64(utf8("text")).alias("h"), utf8("text").alias("t")).mapInArrow(_posting_batches, "w long, h long, i int")
-    shared = posts.repartition("w").sortWithinPartitions("w").mapInArrow(_shared_batches, "w long, h long, i int")
+    shared = posts.repartition("w").sortWithinPartitions("w", "h").mapInArrow(_shared_batches, "w long, h long, i int")
     known = texts.select("h", "n").join(classes.withColumnRenamed("node", "h"), "h", "left").select("h", "n", F.coalesce("component", "h").alias("own"))
     rows = saved(shared.join(known, "h"))
     groups = rows.groupBy("w").agg(F.count("*").alias("c"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("w", "c")
@@ -472,14 +486,16 @@ def _by_shingle(docs: DataFrame, texts: DataFrame, classes: DataFrame, group_row
     found = saved(_verified(docs, _can_be_alike(star, texts)))
     ends = lambda x: known.select(F.col("h").alias(x), F.col("own").alias("own_" + x))
     joined = connected_components(found.join(ends("a"), "a").join(ends("b"), "b").select(F.col("own_a").alias("a"), F.col("own_b").alias("b")))
-    rows = rows.join(joined.withColumnRenamed("node", "own"), "own", "left").withColumn("own", F.coalesce("component", "own")).drop("component")
+    rows = saved(rows.join(joined.withColumnRenamed("node", "own"), "own", "left").withColumn("own", F.coalesce("component", "own")).drop("component"))
     few = rows.where(F.col("c") <= group_rows).select(F.col("w").alias("g"), "h", "i", "n", "own")
     pairs = _in_order(few).mapInArrow(_pair_batches, "a long, b long")
     hot = rows.where(F.col("c") > group_rows)
     apart = hot.groupBy("w").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("w")
     hot = hot.join(apart, "w").join(texts.select("h", "sketch"), "h").withColumn("parts", F.ceil(F.col("c") / group_rows).cast("long"))
+    earlier = Window.partitionBy("h").orderBy("i")
+    hot = hot.withColumn("before", F.array(*(F.coalesce(F.lag("w", k).over(earlier), F.lit(0).cast("long")) for k in range(1, BEFORE + 1))))
     hot = hot.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    hot = hot.select(F.xxhash64("w", F.least("part", "with"), F.greatest("part", "with")).alias("g"), "h", "i", "n", "own", "sketch")
+    hot = hot.select(F.xxhash64("w", F.least("part", "with"), F.greatest("part", "with")).alias("g"), "h", "i", "n", "own", "sketch", "before")
     pairs = pairs.unionByName(_in_order(hot).mapInArrow(_pair_batches, "a long, b long")).distinct()
     return found.unionByName(_verified(docs, _can_be_alike(pairs, texts)))
 

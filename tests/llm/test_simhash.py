@@ -68,6 +68,18 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_short_edge_lists_are_joined_without_rounds(spark):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)], "a long, b long")
+    tracker, got, jobs = spark.sparkContext.statusTracker(), {}, {}
+    for few in (0, 190):
+        spark.sparkContext.setJobGroup(f"few {few}", "")
+        got[few] = sorted(tuple(r) for r in connected_components(edges, few).collect())
+        jobs[few] = len(tracker.getJobIdsForGroup(f"few {few}"))
+    spark.sparkContext.setJobGroup("", "")
+    assert got[0] == got[190] and jobs[190] <= 10 < jobs[0]
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(50)]
@@ -241,6 +253,22 @@ def test_sketches_never_differ_more_than_their_sets():
         assert np.bitwise_count(simhash.folded(x, k) ^ simhash.folded(y, k)).sum() <= len(np.setxor1d(a, b))
 
 
+def test_pairs_are_left_to_the_first_group_in_which_they_meet():
+    rng = np.random.default_rng(14)
+    base, rows = rng.integers(1, 1 << 62, 150), []
+    for h in range(60):
+        own = np.unique(np.r_[rng.choice(base, 130, replace=False), rng.integers(1, 1 << 62, rng.integers(5, 30))])
+        first = own[: simhash.prefix(len(own))]
+        rows += [(w, h, i, len(own), h, first[max(0, i - simhash.BEFORE) : i]) for i, w in enumerate(first)]
+    rows.sort(key=lambda r: r[:2])
+    columns = [np.array(c) for c in zip(*(r[:5] for r in rows))]
+    before = np.array([[*r[5], *[0] * (simhash.BEFORE - len(r[5]))] for r in rows])
+    pairs = lambda **more: [p for a, b in simhash.cross_pairs(*columns, **more) for p in zip(a.tolist(), b.tolist())]
+    every, once = pairs(), pairs(before=before)
+    assert set(every) == set(once) and 1000 < len(set(once))
+    assert len(once) < 1.3 * len(set(once)) and len(every) > 5 * len(set(every))
+
+
 def test_sets_of_too_different_sizes_are_not_alike():
     assert simhash._alike(np.array([1000, 1000, 1000]), np.array([100, 799, 800]), np.array([50, 201, 200])).tolist() == [False, False, True]
 

@@ -50,9 +50,9 @@ def analyze_texts(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def analyze_pages(pages: DataFrame) -> DataFrame:
-    """A result for each row of pages (page_id, url, html)."""
-    rows = detect.with_best_link(parsed_pages(pages, "title", "page_text", "links"))
+def analyze_pages(pages: DataFrame, bare: bool = True) -> DataFrame:
+    """A result for each row of pages (page_id, url, html); bare as in parse_page()."""
+    rows = detect.with_best_link(parsed_pages(pages, "title", "page_text", "links", bare=bare))
     return analyze_texts(rows.withColumnsRenamed({"page_id": "doc_id", "page_text": "text"}))
 
 

@@ -1,6 +1,10 @@
 import time
 
+import duckdb
+
 from discern.operators import detect
+from discern.plans import oracle
+from discern.plans.queries import queries
 from discern.sources.pages import anchors, parse_page, parsed_pages
 from discern.sources.flags import read_flag, settings, store, stored, write_flag
 
@@ -60,6 +64,20 @@ def test_resolution():
     assert parse_page('<a href="/p">x</a>', "no address")["links"][0]["absolute"] is None
 
 
+def test_references_without_semicolon(spark, tmp_path):
+    html = "<title>a &amp;&amp</title><body><p>b &amp; &am; &notin; &#65; &#x42; &#67 &copy 1 &ampx; &quot<a href='/x?a=1&copy=2'>l&amp</a></body>"
+    page, plain = parse_page(html, "https://a.example/"), parse_page(html, "https://a.example/", bare=False)
+    assert page["title"] == "a &&" and page["full_text"] == 'b & &am; \u2209 A B C © 1 &x; "l&' and page["links"][0]["text"] == "l&"
+    assert plain["title"] == "a &&amp" and plain["full_text"] == "b & &am; \u2209 A B &#67 &copy 1 &ampx; &quotl&amp" and plain["links"][0]["text"] == "l&amp"
+    # the query on a page whose title was cut inside a reference, against its SQL
+    frame(spark, (28, "https://a.example/", f"<html><head><title>x</title></head><body><article><h1>Ly &amp;&amp</h1><p>{LONG}</p></article></body></html>")).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries()["page_text_extract"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(oracle.sql()["page_text_extract"]).fetchall()
+    assert [tuple(r) for r in got] == want and "Ly &&amp word" in want[0][2]
+
+
 def test_best_link_ties_and_junk(spark):
     html = '<nav><a href="/a">Privacy policy</a><a href="/b">Privacy policy</a></nav><a href="javascript:x">Privacy policy do not sell</a><a href="tel:1">Privacy notice</a>'
     rows = frame(spark, (1, "https://a.example/", html), (2, "https://a.example/", "<p>none</p>"), (3, None, html))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among, checkpointed, row_key, saved, utf8
+from .common import among, bit_of, checkpointed, row_key, saved, utf8
 from .components import connected_components, joined
 
 SEED = 42
@@ -32,6 +32,8 @@ DEPTH = 4  # how often a bucket is dealt again at most
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
 WORD_PRINTS = 6  # SimHashes of a text's words by which near copies are looked for
 BEFORE = 4  # hashes that a posting knows of those before it
+POSTINGS = 4  # how often texts are posted at most, each time with more hashes that are too common last
+COMMON_WORDS = 1 << 16  # words of 64 bits of the bitmap of such hashes, which the driver and each task hold
 SKETCH = 8  # words of 64 bits at least by which pairs that can't be similar are dropped
 
 
@@ -280,7 +282,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def prefix(n: int) -> int:
-    """How many of n hashes, the least, hold one of any set that is similar enough."""
+    """How many of n hashes, the first in any order that all sets share, hold one of any set that is similar enough."""
     return n - math.ceil(LEAST_SIMILARITY * n - 1e-9) + 1
 
 
@@ -324,18 +326,30 @@ def _by_fingerprint(texts: DataFrame) -> DataFrame:
     return same.unionByName(near)
 
 
-def _posting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        own, size = [], []
-        for t in b.column(1):
-            hashes = shingle_hashes(t.as_py())
-            own.append(hashes[: prefix(len(hashes))])
-            size.append(len(own[-1]))
-        if own:
-            size = np.array(size)
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            h = np.repeat(b.column(0).to_numpy(zero_copy_only=False), size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(h), pa.array(place.astype(np.int32))], ["w", "h", "i"])
+def in_posting_order(hashes: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+    """Ascending hashes as they stand, but for those last that `common`, a bitmap, names (and some others, as bits are shared)."""
+    if common is None:
+        return hashes
+    word = (hashes.view(np.int64) >> 6) & (len(common) - 1)
+    late = (common[word] >> (hashes & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return np.r_[hashes[~late], hashes[late]]
+
+
+def _posting_batches(common: np.ndarray | None = None):
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, size = [], []
+            for t in b.column(1):
+                hashes = in_posting_order(shingle_hashes(t.as_py()), common)
+                own.append(hashes[: prefix(len(hashes))])
+                size.append(len(own[-1]))
+            if own:
+                size = np.array(size)
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                h = np.repeat(b.column(0).to_numpy(zero_copy_only=False), size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(h), pa.array(place.astype(np.int32))], ["w", "h", "i"])
+
+    return posted
 
 
 def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,6 +478,38 @@ def _can_be_alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_alike_batches, "a long, b long")
 
 
+def _posted(bodies: DataFrame, known: DataFrame, common: np.ndarray | None = None) -> DataFrame:
+    """(w, h, i, n, own, c): the posts of bodies (h, t) under hashes where texts of several classes meet, with their number c."""
+    posts = bodies.mapInArrow(_posting_batches(common), "w long, h long, i int")
+    shared = posts.repartition("w").sortWithinPartitions("w", "h").mapInArrow(_shared_batches, "w long, h long, i int")
+    rows = saved(shared.join(known, "h"))
+    groups = rows.groupBy("w").agg(F.count("*").alias("c"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("w", "c")
+    return saved(rows.join(groups, "w"))
+
+
+def _bitmap(hashes: DataFrame, column: str, known: np.ndarray | None = None, words: int = COMMON_WORDS) -> np.ndarray:
+    """A bitmap of so many words, a power of two, that names all hashes of a column, and those known."""
+    bits = hashes.groupBy(F.pmod(F.shiftright(column, 6), F.lit(words)).alias("word")).agg(F.bit_or(bit_of(F.col(column))).alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64) if known is None else known.copy()
+    out[bits["word"].to_numpy()] |= bits["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _dealt_pairs(hot: DataFrame, texts: DataFrame, group_rows: int) -> DataFrame:
+    """Pairs (a, b) of posts in groups of more than group_rows, which are dealt out, each pair of parts to a group of its own.
+
+    Sketches drop pairs, and a pair is left to the first of its groups if the hashes just
+    before tell of one. Rows grow with the square of a group.
+    """
+    fold = F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda k: F.aggregate(F.filter("sketch", lambda _, j: F.pmod(j, F.lit(SKETCH)) == k), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)))
+    hot = hot.join(texts.select("h", "sketch"), "h").withColumn("sketch", fold).withColumn("parts", F.ceil(F.col("c") / group_rows).cast("long"))
+    earlier = Window.partitionBy("h").orderBy("i")
+    hot = hot.withColumn("before", F.array(*(F.coalesce(F.lag("w", k).over(earlier), F.lit(0).cast("long")) for k in range(1, BEFORE + 1))))
+    hot = hot.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    hot = hot.select(F.xxhash64("w", F.least("part", "with"), F.greatest("part", "with")).alias("g"), "h", "i", "n", "own", "sketch", "before")
+    return _in_order(hot).mapInArrow(_pair_batches, "a long, b long")
+
+
 def _by_shingle(docs: DataFrame, texts: DataFrame, classes: DataFrame, group_rows: int = 256, star_rows: int = 16) -> DataFrame:
     """Verified links (a, b) that join all texts which are similar enough and not of one class (node, component) yet.
 
@@ -471,33 +517,38 @@ def _by_shingle(docs: DataFrame, texts: DataFrame, classes: DataFrame, group_row
     similar set (prefix filter), and meets the others there. Where more than star_rows
     meet, they are compared with one of them first, another at each hash, so that near
     copies are of one class before all pairs of different classes are searched. Where
-    more than group_rows meet, they are dealt out and compared by sketches too, and a
-    pair is left to the first of their groups if the hashes just before tell of one.
+    more than group_rows meet, and comparing them would take more rows than there are texts,
+    they are posted anew, among themselves, in an order that has those common hashes
+    last: similar texts of them meet under rarer ones. The prefix filter holds in any order,
+    so no pair is left out. What still meets in large groups after POSTINGS times, as texts
+    that share most of their shingles, is dealt out and compared by sketches.
     """
-    posts = docs.select(F.xxhash64(utf8("text")).alias("h"), utf8("text").alias("t")).mapInArrow(_posting_batches, "w long, h long, i int")
-    shared = posts.repartition("w").sortWithinPartitions("w", "h").mapInArrow(_shared_batches, "w long, h long, i int")
+    bodies = docs.select(F.xxhash64(utf8("text")).alias("h"), utf8("text").alias("t"))
     known = texts.select("h", "n").join(classes.withColumnRenamed("node", "h"), "h", "left").select("h", "n", F.coalesce("component", "h").alias("own"))
-    rows = saved(shared.join(known, "h"))
-    groups = rows.groupBy("w").agg(F.count("*").alias("c"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("w", "c")
-    rows = saved(rows.join(groups, "w"))
+    rows = _posted(bodies, known)
     many = rows.where(F.col("c") > star_rows)
     centres = many.groupBy("w").agg(F.min_by(F.struct("h", "own"), F.xxhash64("h", "w")).alias("x")).select("w", F.col("x.h").alias("b"), F.col("x.own").alias("to"))
     star = many.join(centres, "w").where("own <> to").select(F.greatest("h", "b").alias("a"), F.least("h", "b").alias("b")).distinct()
     found = saved(_verified(docs, _can_be_alike(star, texts)))
     ends = lambda x: known.select(F.col("h").alias(x), F.col("own").alias("own_" + x))
     joined = connected_components(found.join(ends("a"), "a").join(ends("b"), "b").select(F.col("own_a").alias("a"), F.col("own_b").alias("b")))
-    rows = saved(rows.join(joined.withColumnRenamed("node", "own"), "own", "left").withColumn("own", F.coalesce("component", "own")).drop("component"))
-    few = rows.where(F.col("c") <= group_rows).select(F.col("w").alias("g"), "h", "i", "n", "own")
-    pairs = _in_order(few).mapInArrow(_pair_batches, "a long, b long")
-    hot = rows.where(F.col("c") > group_rows)
-    apart = hot.groupBy("w").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("w")
-    hot = hot.join(apart, "w").join(texts.select("h", "sketch"), "h").withColumn("parts", F.ceil(F.col("c") / group_rows).cast("long"))
-    earlier = Window.partitionBy("h").orderBy("i")
-    hot = hot.withColumn("before", F.array(*(F.coalesce(F.lag("w", k).over(earlier), F.lit(0).cast("long")) for k in range(1, BEFORE + 1))))
-    hot = hot.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    hot = hot.select(F.xxhash64("w", F.least("part", "with"), F.greatest("part", "with")).alias("g"), "h", "i", "n", "own", "sketch", "before")
-    pairs = pairs.unionByName(_in_order(hot).mapInArrow(_pair_batches, "a long, b long")).distinct()
-    return found.unionByName(_verified(docs, _can_be_alike(pairs, texts)))
+    renamed = lambda x: x.join(joined.withColumnRenamed("node", "own"), "own", "left").withColumn("own", F.coalesce("component", "own")).drop("component")
+    rows, known = saved(renamed(rows)), renamed(known)
+    bound, pairs, common = texts.count(), None, None
+    for time in range(1, POSTINGS + 1):
+        few = rows.where(F.col("c") <= group_rows).select(F.col("w").alias("g"), "h", "i", "n", "own")
+        near = _in_order(few).mapInArrow(_pair_batches, "a long, b long")
+        pairs = near if pairs is None else pairs.unionByName(near)
+        hot = rows.where(F.col("c") > group_rows)
+        apart = checkpointed(hot.groupBy("w").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.first("c").alias("c")).where("lo <> hi").select("w", "c"))
+        dealt = apart.agg(F.sum(F.col("c") * F.ceil(F.col("c") / group_rows))).first()[0] or 0
+        hot = hot.join(apart.select("w"), "w")
+        if dealt <= bound or time == POSTINGS:
+            pairs = pairs.unionByName(_dealt_pairs(hot, texts, group_rows)) if dealt else pairs
+            break
+        common = _bitmap(apart, "w", common)
+        rows = _posted(among(bodies, "h", checkpointed(hot.select("h").distinct())), known, common)
+    return found.unionByName(_verified(docs, _can_be_alike(pairs.distinct(), texts)))
 
 
 def similar_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:

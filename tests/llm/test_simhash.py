@@ -286,6 +286,46 @@ def test_long_texts_of_a_large_group_are_told_apart_before_they_are_read(spark,
     assert simhash.one_of_each(df).count() == 40 and sum(read) == 0
 
 
+def test_a_common_passage_does_not_multiply_rows(spark, monkeypatch):
+    """Texts that have two common shingles, which stand among the first of each, meet under their own ones; near copies among them are found."""
+    rng = random.Random(15)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    low = []
+    while len(low) < 2:
+        low += [p for p in [text(5)] if simhash.shingle_hashes(" ".join(p).encode())[0] < 1 << 55]
+    texts = [text(30) + low[0] + text(20) + low[1] + text(10) for _ in range(240)]
+    texts += [[*t[:-1], "other"] for t in texts[:20]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    given, by_shingle, pair_batches = spark.sparkContext.accumulator(0), simhash._by_shingle, simhash._pair_batches
+
+    def counted(batches):
+        def each():
+            for b in batches:
+                given.add(b.num_rows)
+                yield b
+
+        return pair_batches(each())
+
+    monkeypatch.setattr(simhash, "_by_shingle", lambda docs, known, classes: by_shingle(docs, known, classes.limit(0), 16, 4))
+    monkeypatch.setattr(simhash, "_by_fingerprint", lambda known: known.selectExpr("h a", "h b"))
+    monkeypatch.setattr(simhash, "_pair_batches", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == set(range(240))
+    assert given.value < 10 * len(rows), given.value  # by parts of the two groups, 260 rows in 17 parts each: 8,840
+
+
+def test_posting_order_is_one_for_all_sets():
+    rng = np.random.default_rng(16)
+    hashes = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    common = np.zeros(1 << 10, np.uint64)
+    for h in hashes[::10]:
+        common[int(np.int64(h.view(np.int64)) >> 6) % len(common)] |= np.uint64(1) << (h & np.uint64(63))
+    order = simhash.in_posting_order(hashes, common)
+    assert sorted(order) == sorted(hashes) and set(hashes[::10]) <= set(order[-600:])
+    part = np.sort(rng.choice(hashes, 500, replace=False))
+    assert simhash.in_posting_order(part, common).tolist() == [h for h in order.tolist() if h in set(part.tolist())]
+
+
 def test_only_texts_of_pairs_are_shuffled(spark, monkeypatch):
     plans, saved = [], simhash.saved
     monkeypatch.setattr(simhash, "saved", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), saved(df))[1])

@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .patterns import BLANK, let
+from .patterns import BLANK, UNEVEN_BLANKS, let
+
+#: What parts sentences: blanks behind a full stop or the like, else line ends. Its first step is one test of a character.
+PARTING = rf"{BLANK}(?:(?<=[.!?]{BLANK}){BLANK}*+|(?<=\n)\n*+)"
+#: The same for texts without other blanks than single ones and line ends.
+PLAIN_PARTING = r"[ \n](?:(?<=[.!?][ \n])[ \n]*+|(?<=\n)\n*+)"
+#: A text is plain if it holds none of these; searches for bytes cost less than a pattern. Of rare blanks first bytes are enough.
+UNEVEN = ("  ", "\t", "\x0B", "\f", "\r")
+UNEVEN_BYTES = (b"\xC2\xA0", b"\xE1\x9A\x80", b"\xE2\x80", b"\xE2\x81\x9F", b"\xE3\x80\x80", b"\xEF\xBB\xBF")
+QUOTES = "“”\"'`"
 
 
 def norm(text: Column) -> Column:
     """White space collapsed to one blank and trimmed; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK + "+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), UNEVEN_BLANKS, " "))
+
+
+def is_plain(text: Column) -> Column:
+    """Whether no blanks but single ones and line ends are in a text, so that trimming normalises its lines; false also for some that have none."""
+    rare = [F.contains(text.cast("binary"), F.lit(x)) for x in UNEVEN_BYTES]
+    some = reduce(or_, [*(F.contains(text, F.lit(x)) for x in UNEVEN), (F.octet_length(text) != F.length(text)) & reduce(or_, rare)])
+    return ~some
+
+
+def _sentences(text: Column, parting: str, clean: Callable[[Column], Column]) -> Column:
+    most = rules.MAX_SENTENCES
+    of = lambda parts: F.filter(F.transform(parts, clean), lambda s: F.length(s) >= rules.LEAST_SENTENCE)
+    every = F.slice(of(F.split(text, parting, -1)), 1, most)
+    # the last of most + 1 parts is the rest of the text, which is only looked at if some before it were too short
+    return let(F.split(text, parting, most + 1), lambda parts: let(of(F.slice(parts, 1, most)), lambda first: F.when((F.size(parts) <= most) | (F.size(first) == most), first).otherwise(every)))
 
 
 def sentences(text: Column) -> Column:
     """The first MAX_SENTENCES normalised sentences of LEAST_SENTENCE characters or more."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), rf"(?<=[.!?]){BLANK}+|\n+", -1), norm)
-    return F.slice(F.filter(parts, lambda s: F.length(s) >= rules.LEAST_SENTENCE), 1, rules.MAX_SENTENCES)
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(is_plain(t), _sentences(t, PLAIN_PARTING, lambda s: F.trim(s))).otherwise(_sentences(t, PARTING, norm)))
 
 
 def chunks(sentences: str) -> Column:
@@ -27,28 +54,31 @@ def chunks(sentences: str) -> Column:
     return F.array_distinct(F.flatten(runs))
 
 
-def compare_key(text: Column) -> Column:
-    """The form in which evidence is compared: lower case, one blank, no quotes."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BLANK + "+", " ")
-    return F.trim(F.regexp_replace(plain, "[“”\"'`]", ""))
+def compare_key(text: Column, clean: bool = False) -> Column:
+    """The form in which evidence is compared: lower case, one blank, no quotes. clean: the text is normalised."""
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    plain = plain if clean else F.regexp_replace(plain, UNEVEN_BLANKS, " ")
+    for quote in QUOTES:  # each is a search for bytes
+        plain = F.replace(plain, F.lit(quote), F.lit(""))
+    return F.trim(plain)
 
 
 def last_index(text: Column, part: str) -> Column:
     """Place of the last occurrence, from 0; -1 without one."""
-    at = F.instr(F.reverse(text), part[::-1])
-    return F.when(at == 0, -1).otherwise(F.length(text) - at - len(part) + 1)
+    return F.greatest(F.lit(-1), F.length(text) - F.length(F.substring_index(text, part, -1)) - len(part))
+
 
+def shorten(text: Column, most: int = 220, least: int = 80, clean: bool = False) -> Column:
+    """Text of at most `most` characters, cut behind its last clause, else at a word. clean: the text is normalised."""
 
-def shorten(text: Column, most: int = 220, least: int = 80) -> Column:
-    """Text of at most `most` characters, cut behind its last clause, else at a word."""
+    def at_word(head: Column) -> Column:
+        return let(last_index(head, " "), lambda blank: F.concat(F.trim(F.when(blank > least, F.left(head, blank)).otherwise(head)), F.lit("…")))
 
-    def cut(clean: Column, head: Column) -> Column:
+    def cut(head: Column) -> Column:
         clause = F.greatest(*(last_index(head, p) for p in (". ", "; ", ", ")))
-        blank = last_index(head, " ")
-        at = F.when(clause > least, F.trim(F.left(head, clause + 1))).when(blank > least, F.concat(F.trim(F.left(head, blank)), F.lit("…")))
-        return F.when(F.length(clean) <= most, clean).otherwise(at.otherwise(F.concat(F.trim(head), F.lit("…"))))
+        return let(clause, lambda at: F.when(at > least, F.trim(F.left(head, at + 1))).otherwise(at_word(head)))
 
-    return let(norm(text), lambda clean: let(F.substring(clean, 1, most), lambda head: cut(clean, head)))
+    return let(text if clean else norm(text), lambda whole: F.when(F.length(whole) <= most, whole).otherwise(let(F.substring(whole, 1, most), cut)))
 
 
 def distinct_evidence(items: Column, most: int = rules.MAX_EVIDENCE) -> Column:

@@ -1,3 +1,6 @@
+import random
+import time
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -22,6 +25,53 @@ def test_sentences(spark):
     assert len(one(spark, ("w" * 30 + ".\n") * 1300, text.sentences)) == 1200
 
 
+#: As texts were normalised and parted before: each blank was replaced, and each character tested by a look-behind and a class of many members.
+OLD_BLANK = "[\\s\\x0B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
+def old_sentences(t):
+    norm = lambda x: F.trim(F.regexp_replace(x, OLD_BLANK + "+", " "))
+    parts = F.transform(F.split(F.coalesce(t, F.lit("")), rf"(?<=[.!?]){OLD_BLANK}+|\n+", -1), norm)
+    return F.slice(F.filter(parts, lambda s: F.length(s) >= 25), 1, 1200)
+
+
+def old_key(t):
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), OLD_BLANK + "+", " "), "[“”\"'`]", ""))
+
+
+def test_blanks_of_all_kinds(spark):
+    rng = random.Random(1)
+    blanks = " \t\n\x0b\f\r\x1c\x85\u00a0\u1680\u2000\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+    texts = [" \n" * 3, "", " ", "a. b"]
+    for kinds in (blanks, " \n", " ", " \u00a0", "\n.! \t", " \n\u201d'\u2003"):
+        for _ in range(150):
+            texts.append("".join(rng.choice(kinds) * rng.choice((1, 1, 1, 2)) if rng.random() < 0.3 else rng.choice(("word", "Ünd", "end.", "what?", "no!", "“so”", "it's", "x" * 25, "😀")) for _ in range(rng.randrange(40))))
+    for n in (1199, 1200, 1201, 1300):  # around the most sentences, with short lines and without
+        texts += ["".join(f"{'y' * 26} {k}\n" for k in range(n)), "".join(f"{'y' * 26} {k}.{' ' if k % 3 else ' short. '}" for k in range(n)), "".join(f"{'é' * 26} {k}.  " for k in range(n))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    clean = F.trim(F.regexp_replace(t, OLD_BLANK + "+", " "))
+    got = rows.select((text.sentences(t) == old_sentences(t)).alias("a"), (text.norm(t) == clean).alias("b"), (text.compare_key(t) == old_key(t)).alias("c"), (text.compare_key(clean, True) == old_key(clean)).alias("d"), (text.shorten(t) == text.shorten(clean, clean=True)).alias("e"))
+    assert got.where("a and b and c and d and e").count() == len(texts)
+
+
+def test_long_texts_take_less_time_than_by_patterns_alone(spark):
+    rows = spark.range(60).selectExpr("left(repeat(concat('https://www.example.org/', id, ' is the address of the page.\n'), 4000), 140000) as t").repartition(1).cache()
+    rows.count()
+
+    def seconds(column):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            rows.select(column.alias("x")).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    t = F.col("t")
+    assert 1.5 * seconds(text.sentences(t)) < seconds(old_sentences(t))
+    assert 1.5 * seconds(text.compare_key(t, True)) < seconds(old_key(t))
+
+
 def test_chunks(spark):
     get = lambda s: spark.createDataFrame([(s,)], "s array<string>").select(text.chunks("s").alias("c")).first()["c"]
     assert get([]) == [] and get(["a"]) == ["a"]
